@@ -16,9 +16,10 @@ import numpy as np
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
-CACHE_LIMIT = 400_000
+#: Entries that a worker keeps: words, and chunks of more than one pre-token.
+CACHE_LIMIT, CHUNK_LIMIT = 800_000, 150_000
 #: White space other than blank and newline; a text with any of it isn't cut here.
-RARE_SPACE = "\t\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0                　"
+RARE_SPACE = "\t\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0     　" + "".join(map(chr, range(0x2000, 0x200B)))
 _LETTER = "A-Za-zÀ-ÖØ-öø-ÿ"
 _PLAIN = re.compile(f"[\\x00-\\x7f{_LETTER}]*")
 _BYTE_LEVEL = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d| ?[{_LETTER}]+| ?[0-9]+| ?[^\\s0-9{_LETTER}]+|\\s+(?!\\S)|\\s+")
@@ -33,18 +34,29 @@ def byte_alphabet() -> list[str]:
     return [chr(b) if b in keep else chr(next(rest)) for b in range(256)]
 
 
-class _Chunks(dict):
-    """chunk -> ids as bytes."""
+class _Kept(dict):
+    """A bounded cache: key -> make(key)."""
 
-    def __init__(self, make):
+    def __init__(self, make, limit: int):
         super().__init__()
-        self.make = make
+        self.make, self.limit = make, limit
 
-    def __missing__(self, chunk: str) -> bytes:
-        ids = self.make(chunk)
-        if len(self) < CACHE_LIMIT and len(chunk) <= 48:
-            self[chunk] = ids
-        return ids
+    def __missing__(self, key: str):
+        value = self.make(key)
+        if len(self) < self.limit and len(key) <= 48:
+            self[key] = value
+        return value
+
+
+class _Words(_Kept):
+    """Keeps single words only; what holds more than one pre-token goes to `other`."""
+
+    def __init__(self, make, other, limit: int):
+        super().__init__(make, limit)
+        self.other = other
+
+    def __missing__(self, key: str):
+        return super().__missing__(key) if key.isalpha() and _PLAIN.fullmatch(key) else self.other(key)
 
 
 class Encoder:
@@ -62,9 +74,10 @@ class Encoder:
         self.width = self.dtype.itemsize
         alphabet = byte_alphabet()
         self._latin = {i: "".join(alphabet[b] for b in chr(i).encode()) for i in range(256)}
-        self._pretokens: dict[str, bytes] = _Chunks(self._of_model)
-        self._chunks = _Chunks(self._of_chunk)
-        self._spaced = _Chunks(lambda chunk: self._of_chunk(" " + chunk))
+        lead = " " if self.byte_level else ""
+        self._words = _Words(lambda w: self._of_model(lead + (w if self.byte_level else w.lower())), lambda w: self._chunks[lead + w], CACHE_LIMIT)
+        self._chunks = _Kept(self._of_chunk, CHUNK_LIMIT)
+        self._pretokens = _Kept(self._of_model, CHUNK_LIMIT)
 
     def _pack(self, ids) -> bytes:
         return np.array(ids, dtype=self.dtype).tobytes()
@@ -75,12 +88,15 @@ class Encoder:
     def _of_model(self, pretoken: str) -> bytes:
         return self._pack([t.id for t in self.model.tokenize(pretoken.translate(self._latin))])
 
+    def _of_pretoken(self, p: str) -> bytes:
+        if self.byte_level:
+            return self._words[p[1:]] if p[0] == " " and p[1:].isalpha() else self._pretokens[p]
+        return self._words[p] if p.isalpha() else self._pretokens[p]
+
     def _of_chunk(self, chunk: str) -> bytes:
         if not _PLAIN.fullmatch(chunk):
             return self.whole(chunk)
-        if self.byte_level:
-            return b"".join(map(self._pretokens.__getitem__, _BYTE_LEVEL.findall(chunk)))
-        return b"".join(map(self._pretokens.__getitem__, _WORD_LEVEL.findall(chunk.lower())))
+        return b"".join(map(self._of_pretoken, _BYTE_LEVEL.findall(chunk) if self.byte_level else _WORD_LEVEL.findall(chunk.lower())))
 
     def cuts(self, text: str) -> bool:
         """Whether blanks alone decide."""
@@ -90,11 +106,11 @@ class Encoder:
         if not self.cuts(text):
             return self.whole(text)
         if not self.byte_level:
-            return b"".join(map(self._chunks.__getitem__, text.split()))
+            return b"".join(map(self._words.__getitem__, text.split()))
         if "  " in text or "\n \n" in text or text.endswith("\n "):
             return b"".join(map(self._chunks.__getitem__, _BYTE_CHUNK.findall(text)))
         first, *rest = text.split(" ")
-        return self._chunks[first] + b"".join(map(self._spaced.__getitem__, rest))
+        return self._chunks[first] + b"".join(map(self._words.__getitem__, rest))
 
     def ids(self, text: str) -> np.ndarray:
         return np.frombuffer(self.encode(text), self.dtype)
