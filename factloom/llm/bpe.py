@@ -53,12 +53,12 @@ class PrefixCoder:
         for i in range(1, len(word) + 1):
             for k in range(max(0, i - longest), i):
                 t = word[k:i]
-                if t in usable and (not k or (last[k] and follows(last[k], t))):
+                if t in usable and (not k or follows(last[k], t)):
                     last.append(t)
                     count.append(count[k] + 1)
                     break
-            else:  # a symbol that no token covers
-                last.append("")
+            else:  # a symbol that no token covers stands alone
+                last.append(word[i - 1])
                 count.append(count[i - 1] + 1)
         return last, count
 
@@ -66,6 +66,6 @@ class PrefixCoder:
         """The last token of word[:i] when the word ends there, and where it begins."""
         for k in range(max(0, i - self.longest), i):
             t = word[k:i] + self.end
-            if t in self.usable and (not k or (last[k] and self.follows(last[k], t))):
+            if t in self.usable and (not k or self.follows(last[k], t)):
                 return t, k
         return "", i - 1

@@ -61,3 +61,8 @@ def text_of(df: DataFrame, text: str = "text") -> Column:
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
+
+
+def small_side(table: DataFrame, rows: int = 200_000) -> DataFrame:
+    """A table that written() made, marked for broadcast if it has no more than `rows` rows; else Spark joins by a shuffle."""
+    return F.broadcast(table) if table.count() <= rows else table

@@ -30,7 +30,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import ship, text_of, written
+from .common import ship, small_side, text_of, written
 from .components import components
 
 BITS, PIVOTS, HOT, FEW = 4, 16, 2_000, 24
@@ -216,6 +216,13 @@ def near_groups(df: DataFrame, shingle: int = 4, seed: int = 42, radius: int = B
     return rows.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
+def first_of_groups(df: DataFrame, found: DataFrame, doc_id: str = "doc_id") -> DataFrame:
+    """The rows of df that are the first of their group in near_groups(df), all their columns as they are. Rows with one
+    doc_id stay or go together; rows with a null doc_id stay."""
+    gone = written(found.filter("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct(), "gone")
+    return df.join(small_side(gone), df[doc_id].cast("long") == gone["_gone"], "left_anti")
+
+
 def hex_of(fp: str = "fp") -> Column:
     """16 lowercase hex digits."""
     return F.lower(F.lpad(F.hex(F.col(fp)), 16, "0"))
