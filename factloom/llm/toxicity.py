@@ -2,13 +2,13 @@
 
 Learning (fit): labelled rows, at most SAMPLE of them chosen by a hash of doc_id, give for each word and each stem (a word's
 first 4 to 6 letters) the toxic and the clean texts that hold it. Terms are chosen that hardly ever occur in clean texts, until
-each toxic text of the sample holds COVER of them or no term gains. The bound on the sample is the only one; all else reads
-all rows.
+each toxic text of the sample holds COVER of them or no term gains LEAST texts that aren't copies of each other; a stem that
+one longer term nearly always continues gives way to it. The bound on the sample is the only one; all else reads all rows.
 
 Scanning: the terms stand in a trie. Levenshtein automata of all terms, run along the trie, are made deterministic as words
 ask for it, so a word costs one step a letter and most words end in the dead state after a few. Words of 5 to 7 letters are
 found at one edit (a swap of neighbours counts as one), from 8 letters on at two; stems and shorter words as they are. Near
-forms that clean texts of the sample hold are exempt.
+forms that clean texts of the sample hold are exempt, and a term with several of them is found as it is only.
 
 Scoring: a hit counts its term's weight, near forms NEAR of it. Within a window of WINDOW words, quotation marks around a hit
 or a word of reporting before it turn it into a quotation, which counts QUOTED of it. The sum goes through a logistic curve
@@ -24,6 +24,7 @@ from __future__ import annotations
 
 import math
 import re
+import zlib
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -36,6 +37,8 @@ from .common import ship, text_of, written
 from .encoding import _Kept
 
 SAMPLE, TERMS, COVER, LEAST = 20_000, 400, 4, 3
+#: Evidence from which on more makes no difference.
+CAP = 8.0
 NEAR, QUOTED, WINDOW = 0.7, 0.25, 6
 STEMS = (4, 5, 6)
 #: Words before a hit that report what someone else said.
@@ -63,13 +66,14 @@ class Automaton:
 
     STATES = 100_000
 
-    def __init__(self, terms: list[str], stems: list[str]):
+    def __init__(self, terms: list[str], stems: list[str], exact: frozenset[str] = frozenset()):
+        self.bound = {t: 0 if t in exact else bound(t) for t in terms}
         self.children: list[dict[str, int]] = [{}]
         self.terms: dict[int, str] = {}
         self.stems: dict[int, str] = {}
         self.reach = [0]  # the largest bound below each node
         for t, is_stem in [*((t, False) for t in terms), *((s, True) for s in stems)]:
-            at, k = 0, 0 if is_stem else bound(t)
+            at, k = 0, 0 if is_stem else self.bound[t]
             self.reach[0] = max(self.reach[0], k)
             for c in t:
                 if c not in self.children[at]:
@@ -127,7 +131,7 @@ class Automaton:
                 if not e and not p and node in self.stems:
                     return self.stems[node], 0
         if at not in self.ends:
-            hits = [(e, self.terms[n]) for n, e, p in at if not p and n in self.terms and e <= bound(self.terms[n])]
+            hits = [(e, self.terms[n]) for n, e, p in at if not p and n in self.terms and e <= self.bound[self.terms[n]]]
             self.ends[at] = min(hits)[::-1] if hits else None
         return self.ends[at]
 
@@ -140,6 +144,7 @@ class Model:
     weights: dict[str, float] = field(default_factory=dict)
     stems: list[str] = field(default_factory=list)
     exempt: frozenset[str] = frozenset()
+    exact: frozenset[str] = frozenset()
     base: float = -4.0
     slope: float = 1.5
 
@@ -148,7 +153,7 @@ class Scorer:
     def __init__(self, model: Model):
         self.model = model
         stems = set(model.stems)
-        self.automaton = Automaton([t for t in model.weights if t not in stems], model.stems)
+        self.automaton = Automaton([t for t in model.weights if t not in stems], model.stems, model.exact)
         self.chunks = _Kept(self._chunk, CACHE)
 
     def _chunk(self, chunk: str) -> float:
@@ -174,7 +179,7 @@ class Scorer:
         return (opened and closed) or any(w in REPORTING for c in before[:-1][-3:] for w in words_of(c))
 
     def score(self, text: str) -> float:
-        x = self.model.base + self.model.slope * min(self.evidence(text), 40.0)
+        x = self.model.base + self.model.slope * min(self.evidence(text), CAP)
         return 1 / (1 + math.exp(-x))
 
 
@@ -197,7 +202,7 @@ def fit(df: DataFrame, labels: DataFrame, sample: int = SAMPLE, doc_id: str = "d
     known = labels.select(labels["doc_id"].cast("long").alias("_id"), labels["toxic"].cast("int").alias("_toxic")).dropna()
     chosen = known.filter(~held_out(F.col("_id"))).groupBy("_id").agg(F.max("_toxic").alias("_toxic")).orderBy(F.xxhash64("_id"), "_id").limit(sample)
     own = df.select(df[doc_id].cast("long").alias("_id"), text_of(df, text).alias("text"))
-    rows = written(own.join(F.broadcast(chosen), "_id").select("text", "_toxic"), "labelled")  # at most `sample` ids are broadcast
+    rows = written(own.join(F.broadcast(chosen), "_id").select("text", "_toxic").dropDuplicates(["text"]), "labelled")  # at most `sample` ids are broadcast
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         toxic, clean = Counter(), Counter()
@@ -219,36 +224,46 @@ def fit(df: DataFrame, labels: DataFrame, sample: int = SAMPLE, doc_id: str = "d
     rare = F.col("clean") * 50 * bad <= F.col("toxic") * good  # fifty times as frequent in toxic texts
     top = counted.filter((F.col("toxic") >= LEAST) & rare).withColumn("w", weight).orderBy(F.desc("toxic"), "clean", F.length("term"), "term").limit(10 * TERMS).collect()
     weights = {r["term"]: r["w"] for r in top}
-    terms = _covering([r["term"] for r in top], rows)
+    terms = _covering({r["term"]: r["toxic"] for r in top}, rows)
     stems = [t[1:] for t in terms if t[0] == "^"]
     model = Model({t.removeprefix("^"): float(weights[t]) for t in terms}, stems)
-    model.exempt = frozenset(_benign(rows, model))
+    model.exempt, model.exact = _benign(rows, model)
     evidence = rows.mapInArrow(_evidence(model), "e double, y int").groupBy("y", F.round("e", 1).alias("e")).count().orderBy("y", "e").collect()
     model.base, model.slope = _curve([(r["e"], r["y"], r["count"]) for r in evidence])
     return model
 
 
-def _covering(terms: list[str], rows: DataFrame) -> list[str]:
+def _covering(count: dict[str, int], rows: DataFrame) -> list[str]:
     """Terms, the most frequent first, that a toxic text without COVER terms so far holds. Texts come as lists of the
-    candidates in them, and are at most the sample's."""
+    candidates in them and a mark that near copies share, and are at most the sample's."""
+    terms = list(count)
     place = {t: i for i, t in enumerate(terms)}
 
     def held(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            got = [sorted(place[t] for t in _candidates(x) if t in place) for x in batch.column(0).to_pylist()]
-            yield pa.record_batch([pa.array(got, pa.list_(pa.int32()))], names=["terms"])
+            all_ = [_candidates(x) for x in batch.column(0).to_pylist()]
+            got = [sorted(place[t] for t in x if t in place) for x in all_]
+            mark = [min((zlib.crc32(t.encode()) for t in x), default=0) for x in all_]
+            yield pa.record_batch([pa.array(got, pa.list_(pa.int32())), pa.array(mark, pa.int64())], names=["terms", "mark"])
 
-    texts = [r[0] for r in rows.filter("_toxic > 0").select("text").mapInArrow(held, "terms array<int>").collect()]
+    texts = rows.filter("_toxic > 0").select("text").mapInArrow(held, "terms array<int>, mark long").orderBy("mark", "terms").collect()
     by_term: dict[int, list[int]] = defaultdict(list)
     for i, x in enumerate(texts):
-        for t in x:
+        for t in x[0]:
             by_term[t].append(i)
+    longer: dict[str, str] = {}
+    for t in sorted(terms, key=lambda t: (len(t.removeprefix("^")), t[0] != "^")):
+        word = t.removeprefix("^")
+        for k in STEMS:
+            s = "^" + word[:k]
+            if len(word) >= k and s != t and s in count and count[t] >= 0.95 * count[s]:
+                longer[s] = t
     need, chosen, stems = [COVER] * len(texts), [], []
     for t in sorted(by_term, key=lambda t: (-len(by_term[t]), t)):
         word = terms[t].removeprefix("^")
-        if len(chosen) >= TERMS or any(word.startswith(s) for s in stems):
-            continue  # a shorter stem has it
-        if sum(need[i] > 0 for i in by_term[t]) >= LEAST:
+        if terms[t] in longer or len(chosen) >= TERMS or any(word.startswith(s) for s in stems):
+            continue  # a longer term, or a shorter stem, has it
+        if len({texts[i][1] for i in by_term[t] if need[i] > 0}) >= LEAST:
             chosen.append(terms[t])
             if terms[t][0] == "^":
                 stems.append(word)
@@ -257,8 +272,8 @@ def _covering(terms: list[str], rows: DataFrame) -> list[str]:
     return chosen
 
 
-def _benign(rows: DataFrame, model: Model) -> list[str]:
-    """Near forms that clean texts hold."""
+def _benign(rows: DataFrame, model: Model) -> tuple[frozenset[str], frozenset[str]]:
+    """Near forms that clean texts hold, and terms with LEAST clean texts with near forms or more."""
 
     def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer, seen = Scorer(model), Counter()
@@ -266,10 +281,15 @@ def _benign(rows: DataFrame, model: Model) -> list[str]:
             for t, y in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 for w in {w for c in set(t.split()) for w in words_of(c)}:
                     if (hit := scorer.automaton.look(w)) and hit[1]:
-                        seen[w] += -20 if not y else 1
-        yield pa.record_batch([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())], names=["word", "n"])
+                        seen[w, hit[0]] += 1 if not y else 0
+        yield pa.record_batch([pa.array([w for w, _ in seen], pa.string()), pa.array([t for _, t in seen], pa.string()), pa.array(list(seen.values()), pa.int64())], names=["word", "term", "clean"])
 
-    return [r[0] for r in rows.mapInArrow(near, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")).filter("n < 0").orderBy("n", "word").limit(100_000).collect()]
+    found = rows.mapInArrow(near, "word string, term string, clean long").groupBy("word", "term").agg(F.sum("clean").alias("clean")).filter("clean > 0").orderBy(F.desc("clean"), "word").limit(100_000).collect()
+    texts: Counter = Counter()
+    for r in found:
+        texts[r["term"]] += r["clean"]
+    exact = frozenset(t for t, n in texts.items() if n >= LEAST)
+    return frozenset(r["word"] for r in found if r["term"] not in exact), exact
 
 
 def _evidence(model: Model):
@@ -284,7 +304,7 @@ def _evidence(model: Model):
 def _curve(seen: list[tuple[float, int, int]]) -> tuple[float, float]:
     """A logistic curve of the evidence by Newton steps, with a prior that keeps it finite: no hit lies near 0.02, and the
     weight of one rare term is enough."""
-    x = np.array([[1.0, min(e, 40.0)] for e, _, _ in seen])
+    x = np.array([[1.0, min(e, CAP)] for e, _, _ in seen])
     y, n = np.array([float(v > 0) for _, v, _ in seen]), np.array([float(c) for _, _, c in seen])
     prior, w = np.array([-4.0, 1.5]), np.array([-4.0, 1.5])
     tight = np.diag([4.0, 4.0])
@@ -320,7 +340,7 @@ _scorers: dict[str, Scorer] = {}
 
 def _scorer(model: Model) -> Scorer:
     """A worker keeps the scorer, and with it the words it has met, from task to task."""
-    key = repr((sorted(model.weights.items()), sorted(model.exempt), model.base, model.slope))
+    key = repr((sorted(model.weights.items()), sorted(model.stems), sorted(model.exempt), sorted(model.exact), model.base, model.slope))
     if key not in _scorers:
         _scorers.clear()
         _scorers[key] = Scorer(model)
