@@ -166,7 +166,7 @@ def redact(value: Column) -> Column:
 def has_secret(value: Column) -> Column:
     """Whether a text still holds a secret. A mark that redact() has left is none."""
     bare = F.regexp_replace(value, f"(?i)({_SECRET_NAMES})=\\[REDACTED\\]", "")
-    return reduce(lambda a, b: a | b, (bare.rlike(pattern) for pattern, _ in SECRETS))
+    return bare.rlike("|".join(f"(?:{pattern})" for pattern, _ in SECRETS))  # one pass; a flag holds within its brackets
 
 
 def redact_json(value_json: Column) -> Column:
