@@ -18,7 +18,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import ship, small_side, text_of, written
+from .common import ship, small_side, text_of, unused, written
 
 SHARD_DIGESTS = 100_000
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -169,12 +169,14 @@ def dedup(df: DataFrame, doc_id: str = "doc_id", text: str = "text", history: Da
 def kept_rows(df: DataFrame, decided: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of df that dedup() keeps, all their columns as they are. Rows that are equal in doc_id and text are one."""
     gone = written(decided.filter("not kept").select("doc_id", "text_sha256", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("again")), "gone")
-    named = df.withColumn("_sha", F.sha2(normalised(text_of(df, text)), 256))
-    same = lambda t: named[doc_id].cast("long").eqNullSafe(t["doc_id"]) & (named["_sha"] == t["text_sha256"])
+    sha = unused(df, "_sha")
+    named = df.withColumn(sha, F.sha2(normalised(text_of(df, text)), 256))
+    same = lambda left, t: left[doc_id].cast("long").eqNullSafe(t["doc_id"]) & (left[sha] == t["text_sha256"])
     repeats = gone.filter("not again")
-    stays = named.join(small_side(repeats), same(repeats), "left_anti")
+    stays = named.join(small_side(repeats), same(named, repeats), "left_anti")
     again = written(gone.filter("again").select("doc_id", "text_sha256").distinct(), "again")
-    if not again.isEmpty():
-        one = stays.join(again, same(again), "left_semi").groupBy(doc_id, "_sha").agg(F.first(F.struct(*(named[c] for c in df.columns))).alias("_row"))
-        stays = stays.join(again, same(again), "left_anti").select(df.columns).unionByName(one.select("_row.*"))
-    return stays.select(df.columns)
+    if again.isEmpty():
+        return stays.select(df.columns)
+    row = unused(named, "_row")
+    one = stays.join(again, same(stays, again), "left_semi").groupBy(doc_id, sha).agg(F.first(F.struct(*df.columns)).alias(row))
+    return stays.join(again, same(stays, again), "left_anti").select(df.columns).unionByName(one.select(f"{row}.*"))

@@ -24,7 +24,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import ship, text_of, written
+from .common import ship, text_of, unused, written
 
 MIN_CHARS = 20
 #: Lines whose numbers are broadcast at most, to fetch their texts; beyond it, they are joined by a shuffle.
@@ -165,11 +165,11 @@ def _picked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def dedup_lines(df: DataFrame, min_chars: int = MIN_CHARS, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of df with the text of the lines that stay, and the columns _lines, _dropped and _near, which count."""
-    gone = repeats(df, min_chars, doc_id, text).groupBy(F.col("doc_id").alias("_doc")).agg(F.collect_set("line").alias("_gone"), F.count_if("near").cast("int").alias("_near"))
-    lines = F.split(text_of(df, text), "\n", -1)
-    joined = df.withColumn("_own", lines).join(gone, F.coalesce(df[doc_id].cast("long"), F.lit(_NO_ID).cast("long")) == gone["_doc"], "left")
-    dropped = F.coalesce(F.size("_gone"), F.lit(0))
-    stays = F.when(F.col("_gone").isNull(), F.col("_own")).otherwise(F.filter("_own", lambda x, i: ~F.array_contains(F.col("_gone"), i)))
-    rest = [F.col(c) for c in df.columns if c != text]
-    return joined.select(*rest, F.concat_ws("\n", stays).alias(text), F.size("_own").alias("_lines"), F.when(F.col("_gone").isNull(), 0).otherwise(dropped).alias("_dropped"), F.coalesce("_near", F.lit(0)).alias("_near"))
+    """The rows of df with the text of the lines that stay, and the columns _lines, _dropped and _near, which count. df has no
+    columns of these names."""
+    doc, out, near, own = (unused(df, n) for n in ("_doc", "_gone", "_n", "_own"))
+    gone = repeats(df, min_chars, doc_id, text).groupBy(F.col("doc_id").alias(doc)).agg(F.collect_set("line").alias(out), F.count_if("near").cast("int").alias(near))
+    joined = df.withColumn(own, F.split(text_of(df, text), "\n", -1)).join(gone, F.coalesce(df[doc_id].cast("long"), F.lit(_NO_ID).cast("long")) == gone[doc], "left")
+    stays = F.when(F.col(out).isNull(), F.col(own)).otherwise(F.filter(own, lambda x, i: ~F.array_contains(F.col(out), i)))
+    columns = [F.concat_ws("\n", stays).alias(c) if c == text else F.col(c) for c in df.columns]
+    return joined.select(*columns, F.size(own).alias("_lines"), F.when(F.col(out).isNull(), 0).otherwise(F.size(out)).alias("_dropped"), F.coalesce(near, F.lit(0)).alias("_near"))
