@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, functions as F
@@ -24,7 +25,14 @@ MARKS = "[\\u0300-\\u036f]"
 
 def normalise(value: Column) -> Column:
     """Lower case without accents. Letters outside of Latin blocks stay as they are."""
-    return F.regexp_replace(F.translate(F.lower(value), ACCENTED, PLAIN), MARKS, "")
+    folded = F.regexp_replace(F.translate(F.lower(value), ACCENTED, PLAIN), MARKS, "")
+    return F.when(F.octet_length(value) == F.char_length(value), F.lower(value)).otherwise(folded)  # nothing to fold in ASCII
+
+
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body of a value that is computed once for each row. A plain column would be copied to each place that names it, and
+    within a lambda function be computed for each element."""
+    return F.get(F.transform(F.array(value), lambda x: body(x)), F.lit(0))
 
 
 # --- tokens ---------------------------------------------------------------------------------------------------------
@@ -90,35 +98,41 @@ def capability_slug(path: Column) -> Column:
     return F.coalesce(F.nullif(F.lower(F.regexp_replace(F.get(parts, F.lit(0)), "[^A-Za-z0-9._-]+", "-")), F.lit("")), F.lit("capacidad-sin-nombre"))
 
 
+# Each of these names its value as seldom as it can: an expression that is named twice is computed twice.
+
+
+def _slashes(path: Column) -> Column:
+    """No double slash, and none at the end of more than a slash."""
+    return F.regexp_replace(F.regexp_replace(path, "/{2,}", "/"), "(?<=.)/$", "")
+
+
 def normalise_path(value: Column) -> Column:
     """One slash in front, no double slash, none at the end."""
-    path = F.regexp_replace(F.regexp_replace(F.when(value.startswith("/"), value).otherwise(F.concat(F.lit("/"), value)), "/{2,}", "/"), "/$", "")
-    return F.when(path == "", "/").otherwise(path)
+    return _slashes(F.concat(F.lit("/"), value))
 
 
 def join_route(prefix: Column, path: Column) -> Column:
-    out = F.regexp_replace(F.regexp_replace(F.concat(prefix, F.lit("/"), path), "/{2,}", "/"), "/$", "")
-    return F.when(out == "", "/").otherwise(out)
+    return _slashes(F.concat(prefix, F.lit("/"), path))
 
 
-_URL = "^([A-Za-z][A-Za-z0-9+.-]*)://([^/?#]+)"
+_URL, _VARIABLE = "^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]+", r"^\$\{[^}]+\}"
 
 
 def url_base(value: Column) -> Column:
     """scheme://host:port, or null."""
-    return F.nullif(F.lower(F.regexp_extract(value, _URL, 0)), F.lit(""))
+    return F.lower(F.regexp_substr(value, F.lit(_URL)))
 
 
 def call_base(value: Column) -> Column:
     """The variable in front of a call's path, or the URL's base, or null."""
-    return F.coalesce(F.nullif(F.regexp_extract(value, r"^(\$\{[^}]+\})", 1), F.lit("")), url_base(value))
+    return F.coalesce(F.regexp_substr(value, F.lit(_VARIABLE)), url_base(value))
 
 
 def call_path(value: Column) -> Column:
     """The path of a call, without variable and base; null if there is none."""
-    rest = F.regexp_replace(value, r"^\$\{[^}]+\}", "")
-    of_url = F.when(url_base(value).isNotNull(), F.regexp_extract(value, _URL + "([^?#]*)", 3))
-    return F.when(rest.startswith("/"), normalise_path(rest)).otherwise(normalise_path(of_url))
+    of_url = F.when(value.rlike(_URL), F.regexp_replace(F.regexp_replace(value, _URL, "/"), "[?#].*$", ""))
+    rest = F.coalesce(of_url, F.regexp_replace(value, _VARIABLE, ""))
+    return normalise_path(F.regexp_substr(rest, F.lit("(?s)^/.*$")))
 
 
 def normalise_alias(value: Column) -> Column:

@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.ids import field, sha256, stable_id
-from ..functions.text import normalise, tokens
+from ..functions.text import let, normalise, tokens
 from .resolve import resolve_by_suffix
 
 MAX_BYTES, MAX_SYMBOLS, MAX_LEXICAL = 48_000, 100, 1000
@@ -75,14 +75,15 @@ def document_identity(path: Column) -> dict[str, Column]:
 
 
 def section_type(document_type: Column, heading: Column) -> Column:
-    text = normalise(F.coalesce(heading, F.lit("summary")))
-    suffix = reduce(lambda rest, rule: F.when(text.rlike(rule[0]), rule[1]).otherwise(rest), reversed(SECTIONS), F.lit("summary"))
-    return F.concat(document_type, F.lit(":"), suffix)
+
+    def suffix(text: Column) -> Column:
+        return reduce(lambda rest, rule: F.when(text.rlike(rule[0]), rule[1]).otherwise(rest), reversed(SECTIONS), F.lit("summary"))
+
+    return F.concat(document_type, F.lit(":"), let(normalise(F.coalesce(heading, F.lit("summary"))), suffix))
 
 
 def _words(content: Column, values: tuple[str, ...]) -> Column:
-    text = normalise(content)
-    return F.array_compact(F.array(*(F.when(text.rlike(f"(?<![a-z0-9_]){v}(?![a-z0-9_])"), F.lit(v)) for v in values)))
+    return let(normalise(content), lambda text: F.array_compact(F.array(*(F.when(text.rlike(f"(?<![a-z0-9_]){v}(?![a-z0-9_])"), F.lit(v)) for v in values))))
 
 
 def features(content: Column, heading: Column) -> dict[str, Column]:
@@ -126,15 +127,15 @@ def build_chunks(documents: DataFrame, run_id: str, snapshots: DataFrame | None
     return own.select(*columns, *(["reused"] if previous is not None else []))
 
 
-def inverted_index(rows: DataFrame, keys: Column, most: int | None = None) -> DataFrame:
-    """(key, id) for each key of a row of more than one character; `most` keeps the first keys of a row. A table of pairs, so that a
-    common key's list is never one row."""
-    distinct = F.array_distinct(F.filter(F.transform(keys, normalise), lambda k: F.length(k) > 1))
+def inverted_index(rows: DataFrame, keys: Column, most: int | None = None, folded: bool = False) -> DataFrame:
+    """(key, id) for each key of a row of more than one character; `most` keeps the first keys of a row; folded keys are in normal form.
+    A table of pairs, so that a common key's list is never one row."""
+    distinct = F.array_distinct(F.filter(keys if folded else F.transform(keys, normalise), lambda k: F.length(k) > 1))
     return rows.select(F.explode(distinct if most is None else F.slice(distinct, 1, most)).alias("key"), "id").distinct()
 
 
 def lexical_index(chunks: DataFrame) -> DataFrame:
-    return inverted_index(chunks, tokens(F.concat_ws(" ", "heading", "content")), MAX_LEXICAL)
+    return inverted_index(chunks, tokens(F.concat_ws(" ", "heading", "content")), MAX_LEXICAL, folded=True)
 
 
 def document_links(chunks: DataFrame) -> DataFrame:

@@ -6,7 +6,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from ..functions.text import estimate_tokens, normalise, query_tokens
+from ..functions.text import estimate_tokens, let, normalise, query_tokens
 from ..sources.storage import cut
 from .search import search_documents
 from .traverse import expand_context
@@ -48,7 +48,7 @@ def priority(intent: str) -> Column:
 def contextual_priority(intent: str, query: str) -> Column:
     """Needs distance (null if not reached) and seed."""
     meta = normalise(F.concat_ws(" ", "heading", "document_path", F.array_join("source_paths", " ")))
-    affinity = 15 * F.size(F.filter(query_tokens(F.lit(query)), lambda t: F.contains(meta, t)))
+    affinity = 15 * let(meta, lambda m: F.size(F.filter(query_tokens(F.lit(query)), lambda t: F.contains(m, t))))
     return priority(intent) + affinity + F.when(F.col("distance").isNull(), 0).otherwise(F.greatest(F.lit(20), 300 - 40 * F.col("distance"))) + F.when(F.col("seed"), 1000).otherwise(0)
 
 

@@ -73,7 +73,7 @@ def build_edges(facts: DataFrame, aliases: DataFrame, scenario_id: str = "scenar
     of_bases = bases.select(
         "id", "from_", F.coalesce("node", external(F.col("alias"))).alias("to_"), F.lit("calls_http").alias("type"), F.when(hit, "supported").otherwise("unresolved").alias("status"),
         F.when(hit, _none()).otherwise(F.array(F.lit(NO_ALIAS_BASE))).alias("limitations"), "evidence_ids",
-        F.when(hit, "component").otherwise("external_service").alias("target_type"), F.when(hit, F.col("node")).otherwise(F.coalesce(F.nullif("alias", F.lit("")), F.lit(NO_NAME))).alias("target_label"),
+        F.when(hit, "component").otherwise("external_service").alias("target_type"), F.when(hit, F.col("node")).otherwise(F.regexp_replace("alias", "^$", NO_NAME)).alias("target_label"),
     )
 
     raw = F.coalesce(field(value, "path_expression", "uri_expression"), F.lit(""))
@@ -84,7 +84,7 @@ def build_edges(facts: DataFrame, aliases: DataFrame, scenario_id: str = "scenar
     matched = match_calls(calls.filter("node is null and path is not null").select("id", "component_id", "method", "path"), endpoint_index(facts))
     calls = calls.join(matched, "id", "left")
     one = F.coalesce(F.col("targets") == 1, F.lit(False))
-    label = F.coalesce(F.nullif(normalise_alias(F.coalesce("alias", "raw")), F.lit("")), F.lit(NO_NAME))
+    label = F.regexp_replace(normalise_alias(F.coalesce("alias", "raw")), "^$", NO_NAME)
     of_calls = calls.select(
         "id", "from_", F.coalesce("node", F.when(one, F.concat(F.lit("component:"), "target")), external(label)).alias("to_"), F.lit("calls_http").alias("type"),
         F.when(hit, "supported").when(one, "candidate").otherwise("unresolved").alias("status"),

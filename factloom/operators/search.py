@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..functions.text import capability_tokens, flow_tokens, normalise, prefix_match, query_tokens
+from ..functions.text import capability_tokens, flow_tokens, let, normalise, prefix_match, query_tokens
 
 # What a hit counts.
 WHOLE_METADATA, WHOLE_BODY, TERM_METADATA, TERM_BODY, ROUTE, ROUTE_TERM, SUPPORTED = 100, 60, 12, 3, 80, 35, 2
@@ -24,13 +24,17 @@ def score_documents(chunks: DataFrame, query: str) -> DataFrame:
     exact, terms = normalise(F.lit(query)), query_tokens(F.lit(query))
     route = normalise(F.concat_ws(" ", "endpoint.method", "endpoint.path"))
     parts = F.concat(F.array("heading", "document_path", F.when(F.col("endpoint").isNotNull(), F.concat_ws(" ", "endpoint.method", "endpoint.path"))), "symbols", "source_paths")
-    text = chunks.withColumns({"_meta": normalise(F.array_join(F.filter(parts, lambda p: p.isNotNull() & (p != "")), " ")), "_body": normalise(F.col("content")), "_route": route})
-    whole = F.when(F.contains("_meta", exact), WHOLE_METADATA).when(F.contains("_body", exact), WHOLE_BODY).otherwise(0)
-    by_term = _sum(terms, lambda t: F.when(F.contains("_meta", t), TERM_METADATA).when(F.contains("_body", t), TERM_BODY).otherwise(0))
-    named = F.contains(exact, normalise(F.col("endpoint.path"))) | F.contains(exact, F.col("_route"))
-    by_route = F.when(F.col("endpoint").isNotNull(), F.when(named, ROUTE).otherwise(0) + _sum(terms, lambda t: F.when(F.contains("_route", t), ROUTE_TERM).otherwise(0))).otherwise(0)
-    sure = F.when(F.array_contains("confidence_states", "supported"), SUPPORTED).otherwise(0)
-    return text.withColumn("score", whole + by_term + by_route + sure).filter("score > 0").drop("_meta", "_body", "_route")
+    texts = F.struct(normalise(F.array_join(F.filter(parts, lambda p: p.isNotNull() & (p != "")), " ")).alias("meta"), normalise(F.col("content")).alias("body"), route.alias("route"))
+
+    def score(x: Column) -> Column:
+        whole = F.when(F.contains(x["meta"], exact), WHOLE_METADATA).when(F.contains(x["body"], exact), WHOLE_BODY).otherwise(0)
+        by_term = _sum(terms, lambda t: F.when(F.contains(x["meta"], t), TERM_METADATA).when(F.contains(x["body"], t), TERM_BODY).otherwise(0))
+        named = F.contains(exact, normalise(F.col("endpoint.path"))) | F.contains(exact, x["route"])
+        by_route = F.when(F.col("endpoint").isNotNull(), F.when(named, ROUTE).otherwise(0) + _sum(terms, lambda t: F.when(F.contains(x["route"], t), ROUTE_TERM).otherwise(0))).otherwise(0)
+        return whole + by_term + by_route + F.when(F.array_contains("confidence_states", "supported"), SUPPORTED).otherwise(0)
+
+    # explode keeps the filter above it, so that texts are normalised once
+    return chunks.withColumn("score", F.explode(F.filter(F.array(let(texts, score)), lambda s: s > 0)))
 
 
 def search_documents(chunks: DataFrame, query: str, repository: str | None = None, limit: int = 20) -> DataFrame:

@@ -170,7 +170,7 @@ def secrets_left(spark, sf):
 SELECT token, count(*) AS documents FROM t GROUP BY token""")
 def token_index(spark, sf):
     own = V.table(spark, sf, "documents").select(F.col("doc_id").alias("id"), T.tokens(F.col("text")).alias("t"))
-    return C.inverted_index(own, F.col("t")).groupBy(F.col("key").alias("token")).agg(F.count(F.lit(1)).alias("documents"))
+    return C.inverted_index(own, F.col("t"), folded=True).groupBy(F.col("key").alias("token")).agg(F.count(F.lit(1)).alias("documents"))
 
 
 @register("""SELECT page_id, regexp_extract(url, '^[a-z]+://[^/?#]+') AS base, CASE WHEN p = '' THEN '/' ELSE p END AS path FROM (SELECT page_id, url, regexp_replace(regexp_extract(url, '^[a-z]+://[^/?#]+([^?#]*)', 1), '/$', '') AS p FROM pages)""")
