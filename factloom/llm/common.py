@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import uuid
 import zipfile
@@ -33,7 +35,9 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where that is unset."""
     got = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if not got:
-        got = "file://" + tempfile.mkdtemp(prefix="factloom-")
+        own = tempfile.mkdtemp(prefix="factloom-")
+        atexit.register(shutil.rmtree, own, ignore_errors=True)
+        got = f"file://{own}"
         spark.conf.set("spark.checkpoint.dir", got)
     return got.rstrip("/")
 
@@ -41,7 +45,7 @@ def shared_dir(spark: SparkSession) -> str:
 def written(df: DataFrame, name: str, codec: str = "zstd", **options: str) -> DataFrame:
     """df as a table in the shared folder: cuts the lineage, so that a lost executor costs no more than its running tasks."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/factloom/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/factloom/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
     df.write.options(compression=codec, **options).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -59,6 +63,13 @@ def text_of(df: DataFrame, text: str = "text") -> Column:
     return F.coalesce(df[text].cast("string"), F.lit(""))
 
 
+def clear(spark: SparkSession) -> None:
+    """Delete all tables that this application has written to the shared folder. Results that read them must be done."""
+    jvm = spark._jvm
+    folder = jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/factloom/{spark.sparkContext.applicationId}")
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def unused(df: DataFrame, name: str) -> str:
     """name, with underscores behind it until df has no such column."""
     taken = {c.lower() for c in df.columns}
