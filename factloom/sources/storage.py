@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -16,7 +18,9 @@ def shared_dir(spark: SparkSession) -> str:
     """spark.checkpoint.dir, or a folder of our own where it is unset."""
     got = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if not got:
-        got = "file://" + tempfile.mkdtemp(prefix="factloom-")
+        own = tempfile.mkdtemp(prefix="factloom-")
+        atexit.register(shutil.rmtree, own, ignore_errors=True)
+        got = f"file://{own}"
         spark.conf.set("spark.checkpoint.dir", got)
     return got.rstrip("/")
 
@@ -24,11 +28,17 @@ def shared_dir(spark: SparkSession) -> str:
 def cut(df: DataFrame) -> DataFrame:
     """df written to the shared folder and read again: the next step plans from a table, and a lost executor costs its
     running tasks only."""
-    path = f"{shared_dir(df.sparkSession)}/factloom/step-{uuid.uuid4().hex}"
+    path = f"{shared_dir(df.sparkSession)}/factloom/{df.sparkSession.sparkContext.applicationId}/step-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def clear(spark: SparkSession) -> None:
+    """Delete all tables that this application has cut its lineage with. Results that read them must be done."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/factloom/{spark.sparkContext.applicationId}")
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def write_artifact(df: DataFrame, root: str, name: str) -> None:
     """One artifact of runs, by run and repository; writing a run again replaces its own folders only."""
     if name not in ARTIFACTS:
