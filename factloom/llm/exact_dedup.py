@@ -1,7 +1,7 @@
 """Exact dedup against a minimal perfect hash over historical distinct digests.
 
 Texts are equal when they are identical after lower-casing A-Z. A digest is the SHA-256 of that form. The distinct digests
-of the history are dealt by their leading bits to shards of about SHARD_DIGESTS; each shard holds a minimal perfect hash
+are dealt by their leading bits to shards of about SHARD_DIGESTS; each shard holds a minimal perfect hash
 whose slots hold the full digest and the locator of the row that stays. A new digest is looked up in its shard's slot and
 compared byte by byte: a member joins the historical group; nonmembers are grouped among themselves.
 
@@ -141,7 +141,8 @@ def groups(new: DataFrame, history: DataFrame | None = None, shard_digests: int
     if history is None:
         return fresh.withColumn("historical", F.lit(False))
     old = per(history)
-    total = history.agg(F.approx_count_distinct("digest")).first()[0]  # for balance only
+    # for balance only; the new digests count too, as a shard's task holds both
+    total = sum(df.agg(F.approx_count_distinct("digest")).first()[0] for df in (history, new))
     shards = max(1, -(-total // shard_digests))
     # the leading bits of a digest choose its shard
     sharded = lambda df: df.withColumn("_shard", F.pmod(F.conv(F.substring(F.hex("digest"), 1, 12), 16, 10).cast("long"), F.lit(shards)))
