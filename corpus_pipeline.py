@@ -1,4 +1,4 @@
-"""The corpus pipeline: toxicity, exact dedup, SimHash near-dedup, best-fit packing.
+"""The corpus pipeline: toxicity, exact dedup, near-dedup, best-fit packing.
 
 Each stage takes the table that the stage before has kept, decides over all of it and returns what stays, with the columns of
 documents. The last returns the pieces of the documents and their places in sequences.
@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from factloom.llm import exact_dedup, packing, simhash, toxicity
+from factloom.llm import exact_dedup, near_text, packing, toxicity
 from factloom.llm.common import written
 from factloom.llm.queries import WORD_BPE, tokenizer
 
@@ -25,8 +25,8 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents whose fingerprints are linked, the one with the smallest doc_id stays."""
-    return simhash.first_of_groups(docs, simhash.near_groups(docs))
+    """Of documents linked by a similarity of 0.8 or more of their five-word shingles, the one with the smallest doc_id stays."""
+    return near_text.first_of_groups(docs, shingle=5, similarity=0.8)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -459,6 +459,40 @@ def test_toxicity_is_learned(spark, nothing):
     assert toxicity.fit(df.limit(0), spark.createDataFrame([], "doc_id long, toxic int")).weights == {}
 
 
+def five_words(t):
+    words = t.encode().lower().split()
+    return {tuple(words[k : k + 5]) for k in range(max(1, len(words) - 4))} if words else set()
+
+
+@pytest.mark.parametrize("few", [24, 2])
+def test_near_texts_lose_no_pair(spark, few):
+    from factloom.llm import near_text
+
+    draw = random.Random(3)
+    own = []
+    for n in [30, 60, 200] * 5:
+        base = [draw.choice(WORDS) + str(draw.randrange(99)) for _ in range(n)]
+        for _ in range(8):
+            words = list(base)
+            for _ in range(draw.randint(0, n // 40 + 1)):
+                words[draw.randrange(n)] = "changed" + str(draw.randrange(99))
+            own.append((" ".join(words) + " a passage that many of these texts have in common word for word"))
+    own += ["", " ", "a b", "A b", "one two three four five", "one two three four five six"]
+    rows = [(i, t) for i, t in enumerate(own)] + [(3, "another text with a doc_id that is a copy's, which stays"), (None, own[0]), (None, None)]
+    sets = [five_words(t) for t in own]
+    alike = lambda a, b: len(a & b) / len(a | b) >= 0.8 if a | b else True
+    linked = [(i, j) for i, j in combinations(range(len(own)), 2) if alike(sets[i], sets[j])]
+    bits = [slow_fingerprint(t) for t in own]
+    assert sum((bits[i] ^ bits[j]).bit_count() > 4 for i, j in linked) > 20  # these pass a radius of 4
+    least = reached(linked, range(len(own)))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = near_text.first_of_groups(df, few=few)
+    assert got.columns == df.columns
+    want = [(i, own[i]) for i in range(len(own)) if least[i] == i] + rows[-3:]
+    assert sorted(map(str, (tuple(r) for r in got.collect()))) == sorted(map(str, want))
+    assert near_text.first_of_groups(df.limit(0)).count() == 0
+
+
 # --- queries and pipeline -------------------------------------------------------------------------------------------
 
 
