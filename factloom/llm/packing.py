@@ -2,8 +2,8 @@
 
 Documents longer than a sequence are cut; a piece that fills a sequence is a sequence. The other pieces are dealt at
 random to groups of about GROUP_PIECES, and each group is packed on its own: best-fit decreasing, then local search that
-moves pieces, exchanges one for one or two for one between bins that aren't full. Each exchange raises the sum of squared
-fills, which drains the emptiest bins until they can go. A group loses at most a part of its last bins, so that the loss
+moves pieces, exchanges one for one or two for one between any two bins that aren't full. Each exchange raises the sum of
+squared fills, which drains the emptiest bins until they can go; it ends when no exchange does or no bin can go. A group loses at most a part of its last bins, so that the loss
 stays at about 1 / (bins of a group) at any size of the input.
 
 Nulls: a null text is an empty one; a null doc_id is kept. Every text holds at least the end id, so that empty texts have
@@ -26,8 +26,6 @@ from .encoding import encoder
 
 GROUP_PIECES = 16_000
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
-#: Bins that local search looks at from each bin, and rounds over them.
-NEIGHBOURS, ROUNDS = 64, 40
 
 
 # --- packing one group ----------------------------------------------------------------------------------------------
@@ -56,70 +54,127 @@ def best_fit(lengths: list[int], capacity: int) -> list[list[int]]:
     return bins
 
 
-def _largest_gain(small: list[tuple[int, int]], full: list[tuple[int, int]], room: int) -> tuple[int, list[int], list[int]]:
-    """The exchange that moves most from a bin to a fuller one with `room` left: (gain, indexes out of small, out of full).
-    Both lists are ascending (length, index)."""
-    best: tuple[int, list[int], list[int]] = (0, [], [])
-    lens = [n for n, _ in small]
-    k = bisect_left(lens, room + 1)
-    if k:
-        best = (lens[k - 1], [k - 1], [])  # a move
-    for j, (out, _) in enumerate(full):
-        if best[0] == room:
-            return best
-        k = bisect_left(lens, out + room + 1)  # one for one
-        if k and lens[k - 1] - out > best[0]:
-            best = (lens[k - 1] - out, [k - 1], [j])
-        if len(lens) > 1:  # two for one: a walk from both ends
-            a, b, goal = 0, len(lens) - 1, out + room
-            while a < b:
-                two = lens[a] + lens[b]
-                if two <= goal:
-                    if two - out > best[0]:
-                        best = (two - out, [a, b], [j])
-                    a += 1
+class _Open:
+    """Open bins by what they hold and the pieces in them: which lengths can come out of a bin with a given fill."""
+
+    def __init__(self, bins: list[list[int]], lengths: list[int], capacity: int):
+        self.capacity, self.clock = capacity, 0
+        self.items = [sorted((lengths[i], i) for i in b) for b in bins]
+        self.fill = [sum(n for n, _ in x) for x in self.items]
+        self.where: dict[int, dict[int, set[int]]] = {}  # fill, length: bins
+        self.bits: dict[int, int] = {}  # fill: its lengths, and 0 if there is a bin
+        self.added: dict[int, int] = {}  # fill: when a bin was last put there
+        self.count = self.total = 0
+        for b, n in enumerate(self.fill):
+            if 0 < n < capacity:
+                self.put(b)
+
+    def put(self, b: int, fresh: bool = True) -> None:
+        n = self.fill[b]
+        at = self.where.setdefault(n, {})
+        for x in {0, *(x for x, _ in self.items[b])}:
+            at.setdefault(x, set()).add(b)
+            self.bits[n] = self.bits.get(n, 0) | 1 << x
+        if fresh:
+            self.clock += 1
+            self.added[n] = self.clock
+        self.count, self.total = self.count + 1, self.total + n
+
+    def take(self, b: int) -> None:
+        n = self.fill[b]
+        at = self.where[n]
+        for x in {0, *(x for x, _ in self.items[b])}:
+            at[x].discard(b)
+            if not at[x]:
+                del at[x]
+                self.bits[n] &= ~(1 << x)
+        if not at:
+            del self.where[n], self.bits[n]
+        self.count, self.total = self.count - 1, self.total - n
+
+    def exchange(self, s: int, since: int) -> tuple[int, int, int, bool] | None:
+        """For a bin s that isn't among the open ones: the fullest bin with an exchange that raises the squared fill, and of its
+        exchanges the one that moves most: (bin, length out of s, length back, whether two pieces go). Only fills at which bins
+        were put after `since` are looked at; the others had none then, and bins that left can't make one."""
+        own, lens = self.fill[s], [n for n, _ in self.items[s]]
+        one = two = 0
+        for n in lens:
+            one |= 1 << n
+        seen = 0
+        for k, n in enumerate(lens):  # sums of two pieces: those before, moved up by this one
+            two |= seen << n
+            seen |= 1 << n
+        top = max(one.bit_length(), two.bit_length()) - 1
+        for n in sorted((n for n in self.where if self.added[n] > since and n + top > own), reverse=True):
+            room, least = min(self.capacity - n, top), max(1, own - n + 1)
+            have = self.bits[n]
+            pieces = have & ~1
+            best = (0, 0, 0, False)
+            for sums, inside, pair in ((one, have, False), (two, pieces, True)):
+                if sums.bit_count() < room - max(least, best[0] + 1):  # by sums, else by gains
+                    while sums:
+                        a = sums.bit_length() - 1
+                        sums ^= 1 << a
+                        low = max(0, a - room)
+                        if rest := inside >> low:
+                            x = low + (rest & -rest).bit_length() - 1
+                            if a - x >= least and a - x > best[0]:
+                                best = (a - x, a, x, pair)
                 else:
-                    b -= 1
-    return best
+                    for gain in range(room, max(least, best[0] + 1) - 1, -1):
+                        if met := (sums >> gain) & inside:
+                            x = met.bit_length() - 1
+                            best = (gain, x + gain, x, pair)
+                            break
+            if best[0]:
+                return min(self.where[n][best[2]]), *best[1:]
+        return None
+
+    def pick(self, b: int, length: int, pair: bool) -> list[tuple[int, int]]:
+        """Takes one piece, or two pieces, of that length out of b's items."""
+        items = self.items[b]
+        if not pair:
+            return [items.pop(bisect_left(items, (length, -1)))]
+        i, j = 0, len(items) - 1
+        while items[i][0] + items[j][0] != length:
+            i, j = (i + 1, j) if items[i][0] + items[j][0] < length else (i, j - 1)
+        return [items.pop(j), items.pop(i)]
 
 
 def improve(bins: list[list[int]], lengths: list[int], capacity: int) -> list[list[int]]:
-    """Local search: takes from the emptiest bins and fills fuller ones, until no exchange raises the squared fill."""
-    done, open_ = [], []
-    for b in bins:
-        items = sorted((lengths[i], i) for i in b)
-        (open_ if (n := sum(x for x, _ in items)) < capacity else done).append((n, items))
-    for _ in range(ROUNDS):
-        if len(open_) < 2 or sum(n for n, _ in open_) > (len(open_) - 1) * capacity:
-            break  # no bin can be saved
-        open_.sort(key=lambda x: x[0])
+    """Local search: takes from the emptiest bins and fills others, until no exchange between any two bins raises the squared
+    fill, or the sum of lengths needs all bins that there are."""
+    now = _Open(bins, lengths, capacity)
+    looked = [0] * len(bins)  # when a bin was last found to have no exchange
+    changed = True
+    while changed:
         changed = False
-        for s in range(min(NEIGHBOURS, len(open_) - 1)):  # the emptiest give
-            source_n, source = open_[s]
-            fuller = range(len(open_) - 1, s, -1)
-            for at in fuller[:NEIGHBOURS]:  # the fullest take
-                n, items = open_[at]
-                while n < capacity and source:
-                    gain, outs, ins = _largest_gain(source, items, capacity - n)
-                    if gain <= 0 or n + gain <= source_n:  # else the squared fill rises
-                        break
-                    moved, back = [source[k] for k in outs], [items[k] for k in ins]
-                    source = [x for k, x in enumerate(source) if k not in outs]
-                    items = [x for k, x in enumerate(items) if k not in ins]
-                    for x in moved:
-                        insort(items, x)
-                    for x in back:
-                        insort(source, x)
-                    n, source_n, changed = n + gain, source_n - gain, True
-                open_[at] = (n, items)
-                if not source:
-                    break
-            open_[s] = (source_n, source)
-        done += [x for x in open_ if x[0] == capacity]
-        open_ = [x for x in open_ if 0 < x[0] < capacity]
-        if not changed:
-            break
-    return [[i for _, i in items] for _, items in done + open_ if items]
+        for s in sorted((b for b, n in enumerate(now.fill) if 0 < n < capacity), key=lambda b: now.fill[b]):
+            if now.total > (now.count - 1) * capacity:
+                return [[i for _, i in x] for x in now.items if x]  # no bin can be saved
+            if not 0 < now.fill[s] < capacity:
+                continue  # filled meanwhile
+            now.take(s)
+            fresh = False
+            while now.fill[s] and (found := now.exchange(s, looked[s])):
+                to, out, back, pair = found
+                now.take(to)
+                moved = now.pick(s, out, pair)
+                returned = now.pick(to, back, False) if back else []
+                for x in moved:
+                    insort(now.items[to], x)
+                for x in returned:
+                    insort(now.items[s], x)
+                now.fill[s] += back - out
+                now.fill[to] += out - back
+                looked[s] = looked[to] = 0
+                fresh = changed = True
+                if now.fill[to] < capacity:
+                    now.put(to)
+            if now.fill[s]:
+                looked[s] = now.clock
+                now.put(s, fresh)
+    return [[i for _, i in x] for x in now.items if x]
 
 
 def pack_lengths(lengths: list[int], capacity: int) -> list[list[int]]:

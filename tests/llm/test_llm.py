@@ -188,6 +188,33 @@ def test_local_search_saves_a_bin():
     assert len(packing.improve(start, lengths, 100)) == 3
 
 
+def gaining(bins, lengths, capacity):
+    """Whether a move, a one-for-one or a two-for-one exchange of two bins raises the squared fill."""
+    held = [sorted(lengths[i] for i in b) for b in bins]
+    kinds = {(sum(h), tuple(h)): min(2, held.count(h)) for h in held if sum(h) < capacity}
+    for s, t in product(kinds, kinds):
+        outs = [*s[1], *map(sum, combinations(s[1], 2))] if s != t or kinds[s] > 1 else []
+        for k, out in enumerate(outs):
+            for back in t[1] if k >= len(s[1]) else (0, *t[1]):
+                gain = out - back
+                if 0 < gain <= capacity - t[0] and t[0] + gain > s[0]:
+                    return True
+    return False
+
+
+def test_local_search_ends_where_nothing_gains():
+    lengths = [n for n, k in ((900, 500), (800, 500), (700, 500), (600, 500), (548, 1000)) for _ in range(k)]
+    before, after = packing.best_fit(lengths, 2048), packing.pack_lengths(lengths, 2048)
+    assert sorted(i for b in after for i in b) == list(range(len(lengths))) and all(sum(lengths[i] for i in b) <= 2048 for b in after)
+    assert len(after) < len(before) == 1167 and (not gaining(after, lengths, 2048) or len(after) == -(-sum(lengths) // 2048))
+    draw = random.Random(5)
+    for low, high in ((200, 900), (500, 1000), (1, 2000)):
+        lengths = [draw.randint(low, high) for _ in range(150)]
+        after = packing.pack_lengths(lengths, 2048)
+        assert sorted(i for b in after for i in b) == list(range(150)) and all(sum(lengths[i] for i in b) <= 2048 for b in after)
+        assert not gaining(after, lengths, 2048) or len(after) == -(-sum(lengths) // 2048)
+
+
 def test_packing(docs, nothing):
     from tokenizers import Tokenizer
 
