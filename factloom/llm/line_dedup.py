@@ -12,7 +12,8 @@ there only; a variant that is a line itself links that line with the variant's o
 edit distance of linked lines is then verified on their texts.
 
 Nulls: a null text is an empty one, with one empty line; a null doc_id comes before all others. Rows with one doc_id are one
-place: lines with one number in them don't drop each other. Empty table: no row. Other columns pass through dedup_lines().
+place: lines with one number in them don't drop each other. Such rows are told apart by a digest of their texts, so that a row
+loses its own lines only. Empty table: no row. Other columns pass through dedup_lines().
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import ship, text_of, unused, written
+from .common import ship, small_side, text_of, unused, written
 
 MIN_CHARS = 20
 #: Lines whose numbers are broadcast at most, to fetch their texts; beyond it, they are joined by a shuffle.
@@ -59,7 +60,7 @@ def variants(line: str) -> tuple[np.ndarray, np.ndarray]:
     return (keys ^ (keys >> np.uint64(31))).view(np.int64), np.arange(-1, n, dtype=np.int32)
 
 
-LINES = "doc_id long, line int, digest binary, chars int, halves array<long>"
+LINES = "doc_id long, row long, line int, digest binary, chars int, halves array<long>"
 
 
 def _lines(min_chars: int):
@@ -67,36 +68,37 @@ def _lines(min_chars: int):
         import xxhash
 
         for batch in batches:
-            rows: list[list] = [[], [], [], [], []]
-            for doc, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            rows: list[list] = [[], [], [], [], [], []]
+            for doc, text, row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 for k, line in enumerate(text.split("\n")):
                     if line := line.strip():
                         halves = [x - (1 << 64) if x >> 63 else x for x in half_keys(line)] if len(line) >= min_chars - 1 else []
-                        own = (_NO_ID if doc is None else doc, k, xxhash.xxh3_128_digest(line.encode("utf-8", "surrogatepass")), len(line), halves)
+                        own = (doc, row, k, xxhash.xxh3_128_digest(line.encode("utf-8", "surrogatepass")), len(line), halves)
                         for to, v in zip(rows, own, strict=True):
                             to.append(v)
-            kinds = [pa.int64(), pa.int32(), pa.binary(), pa.int32(), pa.list_(pa.int64())]
-            yield pa.record_batch([pa.array(v, t) for v, t in zip(rows, kinds, strict=True)], names=["doc_id", "line", "digest", "chars", "halves"])
+            kinds = [pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.int32(), pa.list_(pa.int64())]
+            yield pa.record_batch([pa.array(v, t) for v, t in zip(rows, kinds, strict=True)], names=["doc_id", "row", "line", "digest", "chars", "halves"])
 
     return run
 
 
 def _emitted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(key, place, doc_id, line) of the variants of lines (doc_id, line, text)."""
+    """(key, place, doc_id, line, row) of the variants of lines (doc_id, row, line, text)."""
     for batch in batches:
-        for doc, line, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+        for doc, row, line, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
             keys, places = variants(text)
-            yield pa.record_batch([pa.array(keys), pa.array(places), pa.array(np.full(len(keys), doc)), pa.array(np.full(len(keys), line, np.int32))], names=["key", "place", "doc_id", "line"])
+            at = [pa.array(np.full(len(keys), v, kind)) for v, kind in ((doc, np.int64), (line, np.int32), (row, np.int64))]
+            yield pa.record_batch([pa.array(keys), pa.array(places), *at], names=["key", "place", "doc_id", "line", "row"])
 
 
 def _joined(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Links of a later line with an earlier one, from rows sorted by (key, place, doc_id, line). Keeps of a key no more than
+    """Links of a later line with an earlier one, from rows sorted by (key, place, doc_id, line, row). Keeps of a key no more than
     its own line and the earliest of the place at hand, however many rows it has."""
     key = place = own = first = least = None
-    columns = ["doc_id", "line", "to_doc", "to_line"]
+    columns = ["doc_id", "line", "row", "to_doc", "to_line", "to_row"]
     for batch in batches:
         out = []
-        k, p, d, n = (batch[c].to_numpy() for c in ("key", "place", "doc_id", "line"))
+        k, p, d, n, r = (batch[c].to_numpy() for c in ("key", "place", "doc_id", "line", "row"))
         # rows whose key or place is no other row's are passed over without a look
         same = np.zeros(len(k), bool)
         same[1:] |= k[1:] == k[:-1]
@@ -104,7 +106,7 @@ def _joined(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         if len(k):
             same[0] = same[-1] = True
         for i in np.flatnonzero(same).tolist():
-            at = (int(d[i]), int(n[i]))
+            at = (int(d[i]), int(n[i]), int(r[i]))
             if k[i] != key:
                 if own is not None and least is not None and least < own:
                     out.append((*own, *least))
@@ -119,57 +121,77 @@ def _joined(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             least = at if least is None or at < least else least
             if own is not None and own < at:
                 out.append((*at, *own))
-        yield pd.DataFrame(out, columns=columns).astype({"doc_id": "int64", "line": "int32", "to_doc": "int64", "to_line": "int32"})
+        yield pd.DataFrame(out, columns=columns).astype({c: "int32" if c.endswith("line") else "int64" for c in columns})
     if own is not None and least is not None and least < own:
         yield pd.DataFrame([(*own, *least)], columns=columns).astype({"line": "int32", "to_line": "int32"})
 
 
-def repeats(df: DataFrame, min_chars: int = MIN_CHARS, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, line, near): the lines that go; near: not equal to the earlier one."""
+def _repeated(df: DataFrame, doc_id: str) -> DataFrame:
+    """(_again): the doc_ids of several rows."""
+    ids = df.select(F.coalesce(df[doc_id].cast("long"), F.lit(_NO_ID).cast("long")).alias("_again"))
+    return written(ids.groupBy("_again").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("_again"), "repeated")
+
+
+def _placed(df: DataFrame, repeated: DataFrame, doc_id: str, text: str, doc: str, row: str) -> DataFrame:
+    """df with the columns doc, its doc_id, and row, which tells rows with one doc_id and different texts apart."""
+    at = df.withColumns({doc: F.coalesce(df[doc_id].cast("long"), F.lit(_NO_ID).cast("long")), row: F.xxhash64(text_of(df, text))})
+    again = unused(at, "_again")
+    joined = at.join(small_side(repeated.withColumnRenamed("_again", again)), F.col(doc) == F.col(again), "left")
+    return joined.withColumn(row, F.when(F.col(again).isNull(), F.lit(0).cast("long")).otherwise(F.col(row))).drop(again)
+
+
+def repeats(df: DataFrame, min_chars: int = MIN_CHARS, doc_id: str = "doc_id", text: str = "text", repeated: DataFrame | None = None) -> DataFrame:
+    """(doc_id, row, line, near): the lines that go; row: zero, or for repeated doc_ids a digest of the row's text; near: not
+    equal to the earlier one."""
     spark = df.sparkSession
     ship(spark)
-    own = df.select(df[doc_id].cast("long").alias("doc_id"), text_of(df, text).alias("text"))
+    placed = _placed(df.select(df[doc_id].alias("_id"), text_of(df, text).alias("text")), _repeated(df, doc_id) if repeated is None else repeated, "_id", "text", "doc_id", "row")
+    own = placed.select("doc_id", "text", "row")
     lines = written(own.mapInArrow(_lines(min_chars), LINES), "lines")
+    at = ["doc_id", "line", "row"]
     classes = written(
-        lines.groupBy("digest").agg(F.min(F.struct("doc_id", "line")).alias("first"), F.max("chars").alias("chars"), F.first("halves").alias("halves")).select("digest", "first.doc_id", "first.line", "chars", "halves"),
+        lines.groupBy("digest").agg(F.min(F.struct(*at)).alias("first"), F.max("chars").alias("chars"), F.first("halves").alias("halves")).select("digest", "first.*", "chars", "halves"),
         "classes",
     )
-    keys = classes.filter(F.size("halves") > 0).select("doc_id", "line", F.explode("halves").alias("half"))
+    keys = classes.filter(F.size("halves") > 0).select(*at, F.explode("halves").alias("half"))
     shared = keys.groupBy("half").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("half")
-    may = written(keys.join(shared, "half", "left_semi").groupBy("doc_id").agg(F.array_sort(F.collect_set("line")).alias("picked")), "may")
+    may = written(keys.join(shared, "half", "left_semi").groupBy("doc_id", "row").agg(F.array_sort(F.collect_set("line")).alias("picked")), "may")
     n = may.agg(F.coalesce(F.sum(F.size("picked")), F.lit(0)), F.count(F.lit(1))).first()
-    numbered = own.withColumn("doc_id", F.coalesce("doc_id", F.lit(_NO_ID).cast("long")))
-    fetched = numbered.join(F.broadcast(may) if n[0] + n[1] <= BROADCAST_LINES else may, "doc_id")
-    texts = written(fetched.select("doc_id", "text", "picked").mapInArrow(_picked, "doc_id long, line int, text string").dropDuplicates(["doc_id", "line"]), "texts")
-    keyed = texts.mapInArrow(_emitted, "key long, place int, doc_id long, line int")
-    links = keyed.repartition("key").sortWithinPartitions("key", "place", "doc_id", "line").mapInPandas(_joined, "doc_id long, line int, to_doc long, to_line int").distinct()
-    a = texts.select("doc_id", "line", F.col("text").alias("a"))
-    b = texts.select(F.col("doc_id").alias("to_doc"), F.col("line").alias("to_line"), F.col("text").alias("b"))
+    fetched = own.join(F.broadcast(may) if n[0] + n[1] <= BROADCAST_LINES else may, ["doc_id", "row"])
+    texts = written(fetched.select("doc_id", "row", "text", "picked").mapInArrow(_picked, "doc_id long, row long, line int, text string").dropDuplicates(at), "texts")
+    keyed = texts.mapInArrow(_emitted, "key long, place int, doc_id long, line int, row long")
+    links = keyed.repartition("key").sortWithinPartitions("key", "place", *at).mapInPandas(_joined, "doc_id long, line int, row long, to_doc long, to_line int, to_row long").distinct()
+    a = texts.select(*at, F.col("text").alias("a"))
+    b = texts.select(F.col("doc_id").alias("to_doc"), F.col("line").alias("to_line"), F.col("row").alias("to_row"), F.col("text").alias("b"))
     sure = (F.levenshtein("a", "b", 1) >= 0) & (F.char_length("a") >= min_chars) & (F.char_length("b") >= min_chars)
-    near = links.join(a, ["doc_id", "line"]).join(b, ["to_doc", "to_line"]).filter(sure).select("doc_id", "line").distinct()
-    told = classes.join(near.withColumn("near", F.lit(True)), ["doc_id", "line"], "left").select("digest", F.col("doc_id").alias("_doc"), F.col("line").alias("_line"), F.coalesce("near", F.lit(False)).alias("near"))
-    again = lines.select("doc_id", "line", "digest").join(told, "digest")
-    return again.filter("near or doc_id <> _doc or line <> _line").select("doc_id", "line", "near")
+    earlier = links.filter("to_doc < doc_id or to_doc = doc_id and to_line < line")
+    near = earlier.join(a, at).join(b, ["to_doc", "to_line", "to_row"]).filter(sure).select(*at).distinct()
+    told = classes.join(near.withColumn("near", F.lit(True)), at, "left").select("digest", F.col("doc_id").alias("_doc"), F.col("line").alias("_line"), F.coalesce("near", F.lit(False)).alias("near"))
+    again = lines.select("doc_id", "row", "line", "digest").join(told, "digest")
+    return again.filter("near or doc_id <> _doc or line <> _line").select("doc_id", "row", "line", "near")
 
 
 def _picked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        rows: list[list] = [[], [], []]
-        for doc, text, picked in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+        rows: list[list] = [[], [], [], []]
+        for doc, row, text, picked in zip(*(c.to_pylist() for c in batch.columns), strict=True):
             own = text.split("\n")
             for k in picked:
                 if k < len(own):
-                    for to, v in zip(rows, (doc, k, own[k].strip()), strict=True):
+                    for to, v in zip(rows, (doc, row, k, own[k].strip()), strict=True):
                         to.append(v)
-        yield pa.record_batch([pa.array(v, t) for v, t in zip(rows, [pa.int64(), pa.int32(), pa.string()], strict=True)], names=["doc_id", "line", "text"])
+        yield pa.record_batch([pa.array(v, t) for v, t in zip(rows, [pa.int64(), pa.int64(), pa.int32(), pa.string()], strict=True)], names=["doc_id", "row", "line", "text"])
 
 
 def dedup_lines(df: DataFrame, min_chars: int = MIN_CHARS, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of df with the text of the lines that stay, and the columns _lines, _dropped and _near, which count. df has no
     columns of these names."""
-    doc, out, near, own = (unused(df, n) for n in ("_doc", "_gone", "_n", "_own"))
-    gone = repeats(df, min_chars, doc_id, text).groupBy(F.col("doc_id").alias(doc)).agg(F.collect_set("line").alias(out), F.count_if("near").cast("int").alias(near))
-    joined = df.withColumn(own, F.split(text_of(df, text), "\n", -1)).join(gone, F.coalesce(df[doc_id].cast("long"), F.lit(_NO_ID).cast("long")) == gone[doc], "left")
+    doc, out, near, own, row, to, of = (unused(df, n) for n in ("_doc", "_gone", "_n", "_own", "_row", "_to", "_of"))
+    repeated = _repeated(df, doc_id)
+    found = repeats(df, min_chars, doc_id, text, repeated).groupBy(F.col("doc_id").alias(to), F.col("row").alias(of))
+    gone = found.agg(F.collect_set("line").alias(out), F.size(F.collect_set(F.when(F.col("near"), F.col("line")))).alias(near))
+    placed = _placed(df, repeated, doc_id, text, doc, row).withColumn(own, F.split(text_of(df, text), "\n", -1))
+    joined = placed.join(gone, (F.col(doc) == F.col(to)) & (F.col(row) == F.col(of)), "left")
     stays = F.when(F.col(out).isNull(), F.col(own)).otherwise(F.filter(own, lambda x, i: ~F.array_contains(F.col(out), i)))
     columns = [F.concat_ws("\n", stays).alias(c) if c == text else F.col(c) for c in df.columns]
     return joined.select(*columns, F.size(own).alias("_lines"), F.when(F.col(out).isNull(), 0).otherwise(F.size(out)).alias("_dropped"), F.coalesce(near, F.lit(0)).alias("_near"))

@@ -376,6 +376,14 @@ def test_line_dedup(spark):
     assert line_dedup.dedup_lines(df.limit(0)).count() == 0
 
 
+def test_rows_with_one_id_lose_their_own_lines_only(spark):
+    x, y, z, w = "the line that is repeated", "only the first row has this", "only the second row has this", "a line with its own words here"
+    rows = [(None, f"{x}\n{y}"), (None, f"{z}\n{x}"), (None, f"{w}\n{w}"), (7, f"{y}\nseven has this line alone"), (7, f"a text of seven's other row\n{z}#"), (7, f"{w[:-1]}\nthe third row of seven stays")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted(r["text"] for r in line_dedup.dedup_lines(df).collect())
+    assert got == sorted([f"{x}\n{y}", z, w, "seven has this line alone", "a text of seven's other row", "the third row of seven stays"])
+
+
 def test_line_dedup_on_odd_rows(docs):
     out = line_dedup.dedup_lines(docs)
     assert out.columns == [*docs.columns, "_lines", "_dropped", "_near"] and out.count() == docs.count()
