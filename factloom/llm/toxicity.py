@@ -8,7 +8,7 @@ one longer term nearly always continues gives way to it. The bound on the sample
 Scanning: the terms stand in a trie. Levenshtein automata of all terms, run along the trie, are made deterministic as words
 ask for it, so a word costs one step a letter and most words end in the dead state after a few. Words of 5 to 7 letters are
 found at one edit (a swap of neighbours counts as one), from 8 letters on at two; stems and shorter words as they are. Near
-forms that clean texts of the sample hold are exempt, and a term with several of them is found as it is only.
+forms that clean texts of the sample hold are exempt, each by itself; the term's other near forms are still found.
 
 Scoring: a hit counts its term's weight, near forms NEAR of it. Within a window of WINDOW words, quotation marks around a hit
 or a word of reporting before it turn it into a quotation, which counts QUOTED of it. The sum goes through a logistic curve
@@ -66,8 +66,8 @@ class Automaton:
 
     STATES = 100_000
 
-    def __init__(self, terms: list[str], stems: list[str], exact: frozenset[str] = frozenset()):
-        self.bound = {t: 0 if t in exact else bound(t) for t in terms}
+    def __init__(self, terms: list[str], stems: list[str]):
+        self.bound = {t: bound(t) for t in terms}
         self.children: list[dict[str, int]] = [{}]
         self.terms: dict[int, str] = {}
         self.stems: dict[int, str] = {}
@@ -144,7 +144,6 @@ class Model:
     weights: dict[str, float] = field(default_factory=dict)
     stems: list[str] = field(default_factory=list)
     exempt: frozenset[str] = frozenset()
-    exact: frozenset[str] = frozenset()
     base: float = -4.0
     slope: float = 1.5
 
@@ -153,7 +152,7 @@ class Scorer:
     def __init__(self, model: Model):
         self.model = model
         stems = set(model.stems)
-        self.automaton = Automaton([t for t in model.weights if t not in stems], model.stems, model.exact)
+        self.automaton = Automaton([t for t in model.weights if t not in stems], model.stems)
         self.chunks = _Kept(self._chunk, CACHE)
 
     def _chunk(self, chunk: str) -> float:
@@ -227,7 +226,7 @@ def fit(df: DataFrame, labels: DataFrame, sample: int = SAMPLE, doc_id: str = "d
     terms = _covering({r["term"]: r["toxic"] for r in top}, rows)
     stems = [t[1:] for t in terms if t[0] == "^"]
     model = Model({t.removeprefix("^"): float(weights[t]) for t in terms}, stems)
-    model.exempt, model.exact = _benign(rows, model)
+    model.exempt = _benign(rows, model)
     evidence = rows.mapInArrow(_evidence(model), "e double, y int").groupBy("y", F.round("e", 1).alias("e")).count().orderBy("y", "e").collect()
     model.base, model.slope = _curve([(r["e"], r["y"], r["count"]) for r in evidence])
     return model
@@ -272,8 +271,8 @@ def _covering(count: dict[str, int], rows: DataFrame) -> list[str]:
     return chosen
 
 
-def _benign(rows: DataFrame, model: Model) -> tuple[frozenset[str], frozenset[str]]:
-    """Near forms that clean texts hold, and terms with LEAST clean texts with near forms or more."""
+def _benign(rows: DataFrame, model: Model) -> frozenset[str]:
+    """Near forms that clean texts hold."""
 
     def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer, seen = Scorer(model), Counter()
@@ -285,11 +284,7 @@ def _benign(rows: DataFrame, model: Model) -> tuple[frozenset[str], frozenset[st
         yield pa.record_batch([pa.array([w for w, _ in seen], pa.string()), pa.array([t for _, t in seen], pa.string()), pa.array(list(seen.values()), pa.int64())], names=["word", "term", "clean"])
 
     found = rows.mapInArrow(near, "word string, term string, clean long").groupBy("word", "term").agg(F.sum("clean").alias("clean")).filter("clean > 0").orderBy(F.desc("clean"), "word").limit(100_000).collect()
-    texts: Counter = Counter()
-    for r in found:
-        texts[r["term"]] += r["clean"]
-    exact = frozenset(t for t, n in texts.items() if n >= LEAST)
-    return frozenset(r["word"] for r in found if r["term"] not in exact), exact
+    return frozenset(r["word"] for r in found)
 
 
 def _evidence(model: Model):
@@ -340,7 +335,7 @@ _scorers: dict[str, Scorer] = {}
 
 def _scorer(model: Model) -> Scorer:
     """A worker keeps the scorer, and with it the words it has met, from task to task."""
-    key = repr((sorted(model.weights.items()), sorted(model.stems), sorted(model.exempt), sorted(model.exact), model.base, model.slope))
+    key = repr((sorted(model.weights.items()), sorted(model.stems), sorted(model.exempt), model.base, model.slope))
     if key not in _scorers:
         _scorers.clear()
         _scorers[key] = Scorer(model)

@@ -528,6 +528,21 @@ def test_near_texts_lose_no_pair(spark, few):
     assert near_text.first_of_groups(df.limit(0)).count() == 0
 
 
+def test_a_clean_near_form_is_exempt_by_itself(spark):
+    draw = random.Random(9)
+    rows, labels = [], []
+    for i in range(600):
+        words = [draw.choice(WORDS) + draw.choice(WORDS) for _ in range(30)]
+        words[draw.randrange(30)] = "grubvex" if i % 6 == 0 else "rubvex" if i % 6 == 1 else "calm"
+        rows.append((i, " ".join(words)))
+        labels.append((i, int(i % 6 == 0)))
+    model = toxicity.fit(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int"))
+    model.stems = []  # near forms only
+    model.weights = {"grubvex": 6.0}
+    s = toxicity.Scorer(model)
+    assert s.evidence("a rubvex") == 0 < s.evidence("a grubbvex") < s.evidence("a grubvex")
+
+
 # --- queries and pipeline -------------------------------------------------------------------------------------------
 
 
