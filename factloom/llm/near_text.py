@@ -24,7 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from .common import discard, ship, small_side, text_of, unused, written
+from .common import ship, small_side, text_of, unused, written
 from .components import components
 from .simhash import _LOWER
 
@@ -88,6 +88,25 @@ def _frequent(rows: DataFrame, text: str, n: int, shingle: int) -> tuple[np.ndar
     return found.column("s").to_numpy(), found.column("n").to_numpy()
 
 
+def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of rows (key, node, size) sorted by key and node, each (key, node) once, of keys with several nodes."""
+    last, kept = None, False  # the last row so far, which waits for the next
+    for batch in batches:
+        rows = [c.to_numpy() for c in batch.columns]
+        if last is not None:
+            rows = [np.append(x, c) for x, c in zip(last, rows, strict=True)]
+        if not len(rows[0]):
+            continue
+        new = np.append(True, (rows[0][1:] != rows[0][:-1]) | (rows[1][1:] != rows[1][:-1]))
+        rows = [c[new] for c in rows]
+        same = rows[0][1:] == rows[0][:-1]
+        keep = np.append(kept, same) | np.append(same, False)
+        yield pa.record_batch([pa.array(c[:-1][keep[:-1]]) for c in rows], names=["key", "node", "size"])
+        last, kept = [c[-1:] for c in rows], bool(keep[-1])
+    if kept:
+        yield pa.record_batch([pa.array(c) for c in last], names=["key", "node", "size"])
+
+
 def links(rows: DataFrame, text: str = "text", shingle: int = SHINGLE, similarity: float = SIMILARITY, few: int = FEW) -> DataFrame:
     """(a, b): links between the nodes of rows (_node long, text), enough to join all that is linked."""
     frequent, count = _frequent(rows, text, rows.count(), shingle)
@@ -101,18 +120,17 @@ def links(rows: DataFrame, text: str = "text", shingle: int = SHINGLE, similarit
             size = np.repeat(np.array([len(s) for s in sets], np.int32), lens)
             yield pa.record_batch([pa.array(np.concatenate([np.zeros(0, np.int64), *own])), pa.array(node), pa.array(size)], names=["key", "node", "size"])
 
-    all_ = written(rows.select("_node", text).mapInArrow(keyed, "key long, node long, size int").distinct(), "prefixes")
-    shared = all_.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    own = written(all_.join(shared, "key"), "shared")
-    discard(all_)
+    dealt = rows.select("_node", text).mapInArrow(keyed, "key long, node long, size int").repartition("key").sortWithinPartitions("key", "node")
+    met = written(dealt.mapInArrow(_shared, "key long, node long, size int"), "shared")
+    own = written(met.join(met.groupBy("key").agg(F.count(F.lit(1)).alias("n")), "key"), "shared")
     needed = own.select(F.col("node").alias("_node")).distinct()
 
     def held(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             yield pa.record_batch([batch.column(0), pa.array([shingles(t or "", shingle).tobytes() for t in batch.column(1).to_pylist()], pa.binary())], names=["node", "set"])
 
-    texts = rows.select("_node", text).join(needed, "_node", "left_semi").mapInArrow(held, "node long, set binary")
-    sets = written(texts.dropDuplicates(["node"]), "sets")
+    texts = rows.select("_node", text).join(needed, "_node", "left_semi").dropDuplicates(["_node"])
+    sets = written(texts.mapInArrow(held, "node long, set binary"), "sets")
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
