@@ -24,7 +24,9 @@ def ship(spark: SparkSession) -> None:
     if app in _shipped:
         return
     _shipped.add(app)
-    to = os.path.join(tempfile.mkdtemp(), f"{PACKAGE.name}_{app.replace('-', '_')}.zip")
+    folder = tempfile.mkdtemp()  # the driver serves the file from here to its executors
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    to = os.path.join(folder, f"{PACKAGE.name}_{app.replace('-', '_')}.zip")
     with zipfile.ZipFile(to, "w", zipfile.ZIP_DEFLATED) as z:
         for p in sorted(PACKAGE.rglob("*.py")):
             z.write(p, str(p.relative_to(PACKAGE.parent)))
@@ -32,9 +34,12 @@ def ship(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where that is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where that is unset, one of our own if all runs on this
+    machine, and an error on a cluster."""
     got = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if not got:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         own = tempfile.mkdtemp(prefix="factloom-")
         atexit.register(shutil.rmtree, own, ignore_errors=True)
         got = f"file://{own}"

@@ -1,34 +1,47 @@
 """Connected components of link tables, by alternating large-star and small-star steps.
 
-Each step is two aggregations and joins over links; links are written to the shared folder after each round, so a lost
-executor costs one round at most. Nothing but two numbers a round comes to the driver.
+A step takes the smallest neighbour of each node and sends it to the node's other neighbours. A node may have a third of all links,
+so the minima are a table of their own, with one row for each node: they are broadcast where they are few, and otherwise joined by a
+shuffle whose large side Spark can split, as nothing else hangs on how it is dealt. The minima themselves are combined before they
+are shuffled, once by (node, part) and then by node, so no task gets more than PARTS rows of one node for each of its own.
+
+Links are written to the shared folder after each step, so a lost executor costs one step at most. Nothing but two numbers a round
+comes to the driver.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from .common import discard, written
+from .common import discard, small_side, written
 
-ROUNDS = 60
+ROUNDS, PARTS = 60, 16
 
 
 def _both(links: DataFrame) -> DataFrame:
     return links.select("a", "b").unionAll(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
 
 
-def _large_star(links: DataFrame) -> DataFrame:
-    """Each node's larger neighbours get its smallest neighbour (or itself)."""
-    both = _both(links)
-    least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-    return both.filter("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+def _least(links: DataFrame) -> DataFrame:
+    """(a, m): the smallest b of each a."""
+    some = links.groupBy("a", F.pmod(F.xxhash64("b"), F.lit(PARTS)).alias("part")).agg(F.min("b").alias("m"))
+    return written(some.groupBy("a").agg(F.min("m").alias("m")), "least")
 
 
-def _small_star(links: DataFrame) -> DataFrame:
-    """links have a > b. Each node's smaller neighbours get the smallest of them."""
-    least = links.groupBy("a").agg(F.min("b").alias("m"))
-    moved = links.join(least, "a").filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-    return moved.unionAll(least.select("a", F.col("m").alias("b")))
+def _step(links: DataFrame) -> DataFrame:
+    """links have a > b. A large star, then a small one; each drops what says nothing new."""
+    both = _both(links)
+    least = _least(both)
+    # each node's larger neighbours get its smallest neighbour, or itself
+    large = written(both.filter("b > a").join(small_side(least), "a").select(F.col("b").alias("a"), F.least("m", "a").alias("b")).distinct(), "links")
+    discard(least)
+    # each node's smaller neighbours get the smallest of them, and so does the node itself
+    least = _least(large)
+    moved = large.join(small_side(least), "a").filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+    now = written(moved.unionAll(least.select("a", F.col("m").alias("b"))).distinct(), "links")
+    discard(large)
+    discard(least)
+    return now
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -42,7 +55,7 @@ def components(links: DataFrame) -> DataFrame:
         if after[0] == 0 or after == mark:
             break
         mark = after
-        old, now = now, written(_small_star(_large_star(now)).distinct(), "links")
+        old, now = now, _step(now)
         discard(old)
     else:
         raise RuntimeError(f"components haven't settled after {ROUNDS} rounds")

@@ -1,17 +1,19 @@
 """SentencePiece encoding and decoding by a weighted finite-state transducer.
 
-The transducer is compiled from a model: the normaliser (a blank becomes the mark of a word's begin, and a text gets one in
-front), an arc for each piece, and for characters that no piece covers a row of arcs of byte pieces. Composed with an input it
-is a lattice: a state is a place in the input and the piece that led there, and an arc reads the next piece. The tropical
-shortest path is found from left to right.
+Three machines are compiled from a model. The normaliser reads a text's characters and writes a blank as the mark of a word's begin;
+at its start it writes one such mark. The pieces' machine has a state for each beginning of a piece (read from its last character on,
+so that what ends at a place is found in one walk), and writes a piece's id where one is whole. Byte fallback reads a character that
+no piece covers and writes its bytes' ids. Composed with an input (Transducer.arcs), they give a lattice: its states are the places
+of the input, an arc (from, to, piece) reads what lies between them. Transducer.shortest relaxes the arcs from left to right, which
+is the tropical-semiring shortest path, as the lattice has no cycle.
 
 For unigram models an arc weighs minus its piece's score. A byte-pair model isn't a sum of weights, but what may stand side by
-side in its results is local: the arc to piece b after piece a is free if merging the pair's characters gives just (a, b), and
-infinitely heavy otherwise. Exactly one path of finite weight is left, and it is what merging gives. Runs of blanks, whose
-pieces all have one score, are merged plainly.
+side in its results is local: behind piece a, the arc of piece b weighs 0 if merging the characters of both gives just (a, b), and
+infinity otherwise. Each place has exactly one path of finite weight, and it is what merging gives. One case isn't local: runs of
+blanks, whose pieces all have one score and go by place; the beginning of such a word is merged (n log n steps).
 
 No piece holds a word's begin after another character (compiling checks that), so that paths can be cut there. Workers keep the
-paths of words they have met.
+paths of words they have met. Models with a character map or with blanks that go are refused with an error.
 
 Nulls: a null text is an empty one with no piece; a null doc_id is kept. Repeated rows are encoded one by one. Empty table:
 no row. Other columns aren't read.
@@ -19,16 +21,18 @@ no row. Other columns aren't read.
 
 from __future__ import annotations
 
+import math
 import re
 import zlib
 from collections.abc import Iterator
+from copy import copy
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .bpe import PrefixCoder, merged
+from .bpe import PrefixCoder, backwards, ending_at, merged
 from .common import ship, text_of
 from .encoding import CACHE_LIMIT, _Kept
 
@@ -71,6 +75,8 @@ class Transducer:
         self._rank = lambda a, b: -score[a + b] if a + b in score else none
         if self.merges:
             self.coder = PrefixCoder(set(self.id), self._rank)
+        self.trie = self.coder.inner if self.merges else backwards(self.id)
+        self.heavy = 10 - min(score.values(), default=0)
         self._words = _Kept(lambda w: self._path(MARK + w), CACHE_LIMIT)
         self._chunks = _Kept(self._path, CACHE_LIMIT // 8)
 
@@ -81,34 +87,48 @@ class Transducer:
 
     def _path(self, chunk: str) -> bytes:
         """The shortest path's ids."""
-        if not self.merges:
-            pieces = self._lightest(chunk)
-        elif chunk.startswith(MARK * 2):
-            pieces = merged(list(chunk), self._rank)
-        else:
-            last, _ = self.coder.prefixes(chunk)
-            pieces, at = [], len(chunk)
-            while at:
-                pieces.append(last[at])
-                at -= len(last[at])
-            pieces.reverse()
+        pieces = merged(list(chunk), self._rank) if self.merges and chunk.startswith(MARK * 2) else self.shortest(chunk)
         return np.array([i for p in pieces for i in self._arcs(p)], self.dtype).tobytes()
 
-    def _lightest(self, chunk: str) -> list[str]:
-        """Tropical weights: sums along a path, the least of all paths. A character without a piece weighs more than any piece."""
-        heavy = 10 - min(self.score.values(), default=0)
-        cost, back = [0.0], [0]
-        for i in range(1, len(chunk) + 1):
-            ways = [(cost[k] - self.score[p], k) for k in range(max(0, i - self.longest), i) if (p := chunk[k:i]) in self.score]
-            best = min(ways, default=(cost[i - 1] + heavy, i - 1))
-            cost.append(best[0])
-            back.append(best[1])
+    def arcs(self, chunk: str, to: int) -> list[int]:
+        """Where the lattice's arcs into a place come from, the longest piece first. The last one reads a character that no piece
+        covers, if it is one."""
+        found = ending_at(self.trie, chunk, to)
+        if not found or found[-1] < to - 1:
+            found.append(to - 1)
+        return found
+
+    def weight(self, before: str, piece: str) -> float:
+        """Of an arc, behind the piece that stands before it (none at the start)."""
+        if self.merges:
+            return 0.0 if not before or self.coder.follows(before, piece) else math.inf
+        return -self.score[piece] if piece in self.score else self.heavy
+
+    def shortest(self, chunk: str) -> list[str]:
+        """The pieces of the lightest path. Of equal ones, the one whose last piece is the longest."""
+        cost, last, weight = [0.0], [""], self.weight
+        for to in range(1, len(chunk) + 1):
+            least, piece = math.inf, chunk[to - 1]
+            for k in self.arcs(chunk, to):
+                total = cost[k] + weight(last[k], own := chunk[k:to])
+                if total < least:
+                    least, piece = total, own
+                    if self.merges:
+                        break  # no other path of finite weight comes here
+            cost.append(least)
+            last.append(piece)
         pieces, at = [], len(chunk)
         while at:
-            pieces.append(chunk[back[at] : at])
-            at = back[at]
+            pieces.append(last[at])
+            at -= len(last[at])
         return pieces[::-1]
 
+    def _lightest(self, chunk: str) -> list[str]:
+        """The shortest path by the scores alone, as in a unigram model."""
+        own = copy(self)
+        own.merges, own.trie, own.heavy = False, backwards(self.score), 10 - min(self.score.values(), default=0)
+        return own.shortest(chunk)
+
     def encode(self, text: str) -> np.ndarray:
         if not text:
             return np.zeros(0, self.dtype)

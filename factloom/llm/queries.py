@@ -20,8 +20,7 @@ def tokenizer(name: str) -> str:
 
 
 def op1_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
-    blocks, lengths = token_file.write_token_file(documents(spark, sf_dir), tokenizer(BYTE_BPE), end_id=2)
-    return token_file.digest_token_file(blocks, lengths)
+    return token_file.digest_token_file(spark, token_file.write_token_file(documents(spark, sf_dir), tokenizer(BYTE_BPE), end_id=2))
 
 
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

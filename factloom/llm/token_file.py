@@ -1,28 +1,30 @@
 """Token-id files: canonical length-limited Huffman codes, decoded by table in independent blocks.
 
-Encoding: every text is encoded once; the ids go, ordered by doc_id, to a table of ranges. Global id counts (at most
-one number for each id of the vocabulary) give one canonical code of at most MAX_BITS bits. Each range is then written
-as blocks of whole documents.
+Encoding: the texts are dealt to ranges of ascending doc_ids; each is encoded once, and a range's ids are kept as blocks of whole
+documents. Global id counts (at most one number for each id of the vocabulary) give one canonical code of at most MAX_BITS bits.
+Each block is then written with that code.
 
-The file format is a Parquet table with one row for each block (Spark's committer makes it safe against lost tasks, and
-any file system that Spark writes to will do), in ascending doc_id order, beside a table that holds the code:
+A file is a folder with two Parquet tables (Spark's committer makes them safe against lost tasks, and any file system that Spark
+writes to will do). `code` has a row (id, length) for each id that occurs; a canonical code needs no more. `blocks` has a row for
+each block:
 
-  part, block      place of the block
+  part, block      place of the block, in ascending order of its doc_ids
   start            ids of all blocks before it
   doc_ids, n_ids   its documents and their ids, end id included
   checkpoints      bit offset of every STRIDE-th id, so that decoding can begin there
   bits             the codes, most significant bit first
 
-A decoder needs a block and the code's lengths only. It decodes all strides of a block side by side with one table
-lookup an id.
+A decoder needs the folder only (open_token_file). It decodes all strides of a block side by side with one table lookup an id.
 
-Nulls: a null text is an empty one; rows with a null doc_id come first. Repeated doc_ids are written one after the other,
-ordered by their ids. Empty table: no block. Other columns aren't read.
+Nulls: a null text is an empty one; rows with a null doc_id come first. Rows with one doc_id (or none) are written one after the
+other, in an order that their texts alone decide; as many as there are, they are dealt to several ranges. Empty table: no block,
+no code. Other columns aren't read. More distinct ids than codes of MAX_BITS bits are an error.
 """
 
 from __future__ import annotations
 
 import heapq
+import uuid
 import zlib
 from collections.abc import Iterator
 
@@ -30,7 +32,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .common import discard, ship, text_of, written
+from .common import discard, ship, shared_dir, text_of, written
 from .encoding import encoder
 
 MAX_BITS = 18
@@ -39,7 +41,6 @@ STRIDE = 256
 #: Bytes of text for each range.
 RANGE_BYTES = 24 << 20
 
-IDS = "doc_id long, part int, n int, ids binary"
 RAW = "part int, block int, before long, doc_ids array<long>, n_ids array<int>, ids binary"
 BLOCKS = "part int, block int, start long, doc_ids array<long>, n_ids array<int>, checkpoints array<long>, bits binary"
 
@@ -165,61 +166,32 @@ class Code:
 # --- writing --------------------------------------------------------------------------------------------------------
 
 
-def _bounds(df: DataFrame, doc_id: str, parts: int) -> list[int]:
-    """Up to parts - 1 ascending doc_ids that cut the table in ranges of about the same rows. They decide balance only."""
-    if parts < 2:
-        return []
-    return sorted(set(df.select(doc_id).approxQuantile(doc_id, [k / parts for k in range(1, parts)], 0.2 / parts)))
+def _raw_blocks(path: str, end_id: int | None, block_ids: int):
+    """Encodes a range's texts, which come in order, and gives whole documents in a row until a block has block_ids ids."""
 
-
-def _encode_rows(path: str, end_id: int | None, bounds: list[int], level: int = 3):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
+        from pyspark import TaskContext
 
-        enc, pack = encoder(path), zstandard.ZstdCompressor(level=level)
+        enc, pack, part = encoder(path), zstandard.ZstdCompressor(level=3), TaskContext.get().partitionId()
         tail = b"" if end_id is None else np.array([end_id], enc.dtype).tobytes()
-        cuts = np.array(bounds, np.float64)
-        for batch in batches:
-            docs = batch.column(0)
-            part = np.searchsorted(cuts, docs.fill_null(np.iinfo(np.int64).min).to_numpy().astype(np.float64), side="right")
-            ids = [enc.encode(t.as_py()) + tail for t in batch.column(1)]
-            yield pa.record_batch(
-                [docs, pa.array(part, pa.int32()), pa.array([len(i) // enc.width for i in ids], pa.int32()), pa.array([pack.compress(i) for i in ids], pa.binary())],
-                names=["doc_id", "part", "n", "ids"],
-            )
-
-    return run
-
-
-def _raw_blocks(width: int, block_ids: int):
-    """Whole documents in a row until a block has block_ids ids. A range comes from one partition, in order."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import zstandard
-
-        pack, unpack = zstandard.ZstdCompressor(level=3), zstandard.ZstdDecompressor()
-        now, block, before, docs, held = None, 0, 0, [], []
+        block = before = size = 0
+        docs, held = [], []
 
         def close():
-            nonlocal block, before, docs, held
-            n = [len(h) // width for h in held]
-            row = (now, block, before, docs, n, pack.compress(b"".join(held)))
-            block, before, docs, held = block + 1, before + sum(n), [], []
+            nonlocal block, before, docs, held, size
+            n = [len(h) // enc.width for h in held]
+            row = (part, block, before, docs, n, pack.compress(b"".join(held)))
+            block, before, docs, held, size = block + 1, before + sum(n), [], [], 0
             return pa.record_batch([pa.array([v], t) for v, t in zip(row, RAW_TYPES, strict=True)], names=RAW_NAMES)
 
-        size = 0
         for batch in batches:
-            for doc, part, ids in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if part != now:
-                    if held:
-                        yield close()
-                    now, block, before, size = part, 0, 0, 0
-                held.append(unpack.decompress(ids))
+            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                held.append(enc.encode(text) + tail)
                 docs.append(doc)
-                size += len(held[-1]) // width
+                size += len(held[-1]) // enc.width
                 if size >= block_ids:
                     yield close()
-                    size = 0
         if held:
             yield close()
 
@@ -232,14 +204,13 @@ RAW_TYPES = [pa.int32(), pa.int32(), pa.int64(), pa.list_(pa.int64()), pa.list_(
 
 def encode_ids(df: DataFrame, tokenizer: str, end_id: int | None, doc_id: str = "doc_id", text: str = "text", block_ids: int = BLOCK_IDS) -> DataFrame:
     """Blocks of zstd-compressed ids in doc_id order, as a table; `before` counts the ids of a block's range before it."""
-    spark = df.sparkSession
-    ship(spark)
+    ship(df.sparkSession)
     own = df.select(df[doc_id].cast("long").alias("doc_id"), text_of(df, text).alias("text"))
     size = own.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    bounds = _bounds(own, "doc_id", max(1, -(-size // RANGE_BYTES)))
-    rows = own.mapInArrow(_encode_rows(tokenizer, end_id, bounds), IDS)
-    placed = rows.repartitionById(len(bounds) + 1, F.col("part")).sortWithinPartitions("part", "doc_id", "ids")
-    return written(placed.select("doc_id", "part", "ids").mapInArrow(_raw_blocks(encoder(tokenizer).width, block_ids), RAW), "ids", codec="none")
+    # cut by doc_id and, within one, by a hash of the text: a doc_id that many rows have fills several ranges
+    order = [F.col("doc_id").asc_nulls_first(), F.xxhash64("text"), F.octet_length("text")]
+    dealt = own.repartitionByRange(max(1, -(-size // RANGE_BYTES)), *order).sortWithinPartitions(*order, "text")
+    return written(dealt.mapInArrow(_raw_blocks(tokenizer, end_id, block_ids), RAW), "ids", codec="none")
 
 
 def _id_counts(batches: Iterator[pa.RecordBatch], width: int, vocab: int) -> Iterator[pa.RecordBatch]:
@@ -272,29 +243,40 @@ NAMES = ["part", "block", "start", "doc_ids", "n_ids", "checkpoints", "bits"]
 TYPES = [pa.int32(), pa.int32(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.int64()), pa.binary()]
 
 
-def write_token_file(df: DataFrame, tokenizer: str, end_id: int | None, doc_id: str = "doc_id", text: str = "text") -> tuple[DataFrame, dict[int, int]]:
-    """The blocks as they stand in the file, and the code's lengths. See the module for the format."""
+def write_token_file(df: DataFrame, tokenizer: str, end_id: int | None, path: str | None = None, doc_id: str = "doc_id", text: str = "text") -> str:
+    """Writes a token file at a path that has none (one in the shared folder, if none is given), and returns the path."""
+    spark = df.sparkSession
+    path = path or f"{shared_dir(spark)}/factloom/{spark.sparkContext.applicationId}/tokens-{uuid.uuid4().hex}"
     enc = encoder(tokenizer)
     width, vocab = enc.width, enc.vocab_size
     ids = encode_ids(df, tokenizer, end_id, doc_id, text)
-    df.sparkSession._jvm.System.gc()  # lets Spark drop the shuffle files of the step before
     counts = ids.select("ids").mapInArrow(lambda b: _id_counts(b, width, vocab), "id int, n long").groupBy("id").agg(F.sum("n").alias("n"))
     lengths = code_lengths({r[0]: r[1] for r in counts.collect()})  # at most one row for each id of the vocabulary
     starts, total = {}, 0
     for part, n in sorted(ids.groupBy("part").agg(F.sum(F.expr("aggregate(n_ids, 0L, (a, x) -> a + x)"))).collect()):  # one row for each range
         starts[part], total = total, total + n
-    blocks = written(ids.mapInArrow(_coded_blocks(lengths, starts, width), BLOCKS), "blocks", codec="none")
+    spark.createDataFrame(sorted(lengths.items()), "id int, length int").coalesce(1).write.parquet(f"{path}/code")
+    ids.mapInArrow(_coded_blocks(lengths, starts, width), BLOCKS).write.option("compression", "none").parquet(f"{path}/blocks")
     discard(ids)
-    return blocks, lengths
+    return path
+
+
+def open_token_file(spark: SparkSession, path: str) -> tuple[DataFrame, dict[int, int]]:
+    """(blocks, the code's lengths) as a file has them; the lengths are at most 2 ** MAX_BITS rows."""
+    ship(spark)
+    lengths = {r["id"]: r["length"] for r in spark.read.schema("id int, length int").parquet(f"{path}/code").collect()}
+    return spark.read.schema(BLOCKS).parquet(f"{path}/blocks"), lengths
 
 
-def read_token_file(blocks: DataFrame, lengths: dict[int, int]) -> DataFrame:
+def read_token_file(spark: SparkSession, path: str) -> DataFrame:
     """(doc_id, start, n_tokens, ids array<int>)"""
+    blocks, lengths = open_token_file(spark, path)
     return blocks.mapInArrow(_decoded(lengths, ids=True), "doc_id long, start long, n_tokens long, ids array<int>")
 
 
-def digest_token_file(blocks: DataFrame, lengths: dict[int, int]) -> DataFrame:
+def digest_token_file(spark: SparkSession, path: str) -> DataFrame:
     """(doc_id, start, n_tokens, ids_crc32): what a file holds of each document."""
+    blocks, lengths = open_token_file(spark, path)
     return blocks.mapInArrow(_decoded(lengths, ids=False), "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 

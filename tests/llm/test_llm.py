@@ -91,22 +91,51 @@ def test_blocks_round_trip(n):
             assert (code.decode_from(bits, n, checkpoints, first, count) == ids[first : first + count]).all()
 
 
-def test_token_file(docs, nothing):
+def test_token_file(docs, nothing, tmp_path):
     from tokenizers import Tokenizer
 
     library = Tokenizer.from_file(BYTE)
-    blocks, lengths = token_file.write_token_file(docs, BYTE, end_id=2)
-    got = sorted((-1 if r["doc_id"] is None else r["doc_id"], r["start"], r["n_tokens"], r["ids_crc32"]) for r in token_file.digest_token_file(blocks, lengths).collect())
+    spark = docs.sparkSession
+    path = token_file.write_token_file(docs, BYTE, end_id=2, path=f"file://{tmp_path}/tokens")
+    got = sorted((-1 if r["doc_id"] is None else r["doc_id"], r["start"], r["n_tokens"], r["ids_crc32"]) for r in token_file.digest_token_file(spark, path).collect())
     own = sorted(((-1 if d is None else d), library.encode(t, add_special_tokens=False).ids + [2]) for d, t in pairs(docs))
     at, want = 0, []
     for d, ids in own:
         want.append((d, at, len(ids), crc(ids)))
         at += len(ids)
     assert got == want
-    read = token_file.read_token_file(blocks, lengths).orderBy("start").collect()
+    read = token_file.read_token_file(spark, path).orderBy("start").collect()
     assert [r["ids"] for r in read] == [ids for _, ids in own]
-    blocks, lengths = token_file.write_token_file(nothing, BYTE, end_id=2)
-    assert token_file.digest_token_file(blocks, lengths).count() == 0
+    empty = token_file.write_token_file(nothing, BYTE, end_id=2)
+    assert token_file.digest_token_file(spark, empty).count() == 0
+
+
+def test_token_file_is_read_from_its_files_alone(docs, tmp_path):
+    import pyarrow.parquet as pq
+
+    path = token_file.write_token_file(docs, BYTE, end_id=2, path=f"file://{tmp_path}/tokens")
+    code = token_file.Code(dict(zip(*(pq.read_table(f"{tmp_path}/tokens/code")[c].to_pylist() for c in ("id", "length")), strict=True)))
+    found = []
+    for r in sorted(pq.read_table(f"{tmp_path}/tokens/blocks").to_pylist(), key=lambda r: (r["part"], r["block"])):
+        assert r["start"] == sum(map(len, found))
+        ids = code.decode(r["bits"], sum(r["n_ids"]), np.array(r["checkpoints"]))
+        found += [x.tolist() for x in np.split(ids, np.cumsum(r["n_ids"])[:-1])]
+    assert found == [r["ids"] for r in token_file.read_token_file(docs.sparkSession, path).orderBy("start").collect()]
+    with pytest.raises(Exception):
+        token_file.write_token_file(docs, BYTE, end_id=2, path=path)  # there is one
+
+
+def test_token_file_with_many_rows_of_one_id(spark, monkeypatch):
+    monkeypatch.setattr(token_file, "RANGE_BYTES", 1000)
+    rows = [(None, sentence(12)) for _ in range(120)] + [(5, sentence(12)) for _ in range(80)] + [(i, sentence(3)) for i in range(4, 9)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    path = token_file.write_token_file(df, BYTE, end_id=2)
+    got = token_file.read_token_file(spark, path).orderBy("start").collect()
+    assert token_file.open_token_file(spark, path)[0].filter("doc_ids[0] is null").select("part").distinct().count() > 1
+    ids = [-1 if r["doc_id"] is None else r["doc_id"] for r in got]
+    assert ids == sorted(ids) and [r["start"] for r in got] == np.cumsum([0, *(r["n_tokens"] for r in got[:-1])]).tolist()
+    e = encoding.encoder(BYTE)
+    assert sorted((d, r["ids"]) for d, r in zip(ids, got, strict=True)) == sorted((-1 if d is None else d, e.ids(t).tolist() + [2]) for d, t in rows)
 
 
 def test_token_counts(docs, nothing):
@@ -118,20 +147,45 @@ def test_token_counts(docs, nothing):
     assert token_counts.count_tokens(nothing, WORD).count() == 0
 
 
+PREFIXED = ["I'll don't!!'re ab12 $%x <|endo", "Über straße naïve. Don't", "a  b\n c ", "é <|endoftext|> x", "", "a <|endoftext|> b", "hello\x1cworld", "don<|startoftext|>'re", "Kı̇ İx ΑΣ ﬁ Å",
+            "日本語の テキスト123", "한국어 각", "x\ty\u00a0z\u2003'v 've '' 'll", "क्षत्रिय ก็ำ", "e\u0301\u0323<|endoftext|>\u0301e"]
+
+
 def test_prefix_counts_answer_for_every_prefix():
     c = token_counts.counter(WORD)
-    for t in ["I'll don't!!'re ab12 $%x <|endo", "Über straße naïve. Don't", "a  b\n c ", "é <|endoftext|> x", ""]:
-        want = [len(c.encoder.library.encode(t[:i], add_special_tokens=False).ids) for i in range(len(t) + 1)]
-        assert c.prefix_counts(t).tolist() == want
-        assert c.truncated(t, 3) == max(i for i, n in enumerate(want) if n <= 3)
+    count = lambda t: len(c.encoder.library.encode(t, add_special_tokens=False).ids)
+    alphabet = [*" \n\tabcéÉ'srevtmdl.,!3<|>", "e\u0301", "\u0301", "日", "\x1c", "\xa0", "İ", "Σ", "ß", "한", "ᄒ", "ᅡ", "ᆫ", "🙂", "<|endoftext|>", "½"]
+    for t in [*PREFIXED, *("".join(rng.choice(alphabet) for _ in range(rng.randint(0, 24))) for _ in range(300))]:
+        want = [count(t[:i]) for i in range(len(t) + 1)]
+        assert c.prefix_counts(t).tolist() == want and c.count(t) == want[-1]
+        for budget in (0, 3, 6):
+            longest = max(i for i, n in enumerate(want) if n <= budget)
+            assert c.truncated(t, budget) == longest and c.fitting(t, budget) == (want[-1], longest)
+
+
+def test_long_texts_are_counted_in_one_pass():
+    import time
+
+    c, began = token_counts.counter(WORD), time.time()
+    for t in ("a\tlong word's end " * 6000, "abcde" * 400, "日本語" * 2000):
+        counts = c.prefix_counts(t)
+        assert counts[-1] == len(c.encoder.library.encode(t, add_special_tokens=False).ids) and len(counts) == len(t) + 1
+    assert time.time() - began < 20
 
 
 def test_prefix_tables_fit_budgets(spark):
-    df = spark.createDataFrame([(1, "the thing and the rest of it"), (2, ""), (3, None)], "doc_id long, text string")
+    own = [*PREFIXED, "the thing and the rest of it", None]
+    df = spark.createDataFrame(list(enumerate(own)), "doc_id long, text string")
     c = token_counts.counter(WORD)
-    got = {r["doc_id"]: r["end"] for r in token_counts.fits(token_counts.prefix_tables(df, WORD), 3).collect()}
-    t = "the thing and the rest of it"
-    assert got[2] == got[3] == 0 and c.count(t[: got[1]]) <= 3 < c.count(t[: got[1] + 6])
+    tables = token_counts.prefix_tables(df, WORD).cache()
+    for budget in (0, 3, 5):
+        for r in token_counts.fits(tables, budget).collect():
+            counts = c.prefix_counts(own[r["doc_id"]] or "")
+            assert (r["n_tokens"], r["over_limit"], r["end"]) == (counts[-1], counts[-1] > budget, np.flatnonzero(counts <= budget)[-1])
+    for length in (0, 1, 4):
+        for r in token_counts.tokens_at(tables.withColumn("length", F.least(F.lit(length), "chars")), "length").collect():
+            t = own[r["doc_id"]] or ""
+            assert r["tokens"] == len(c.encoder.library.encode(t[:length], add_special_tokens=False).ids)
 
 
 def test_prefix_coder_is_plain_merging():
@@ -160,6 +214,21 @@ def test_pieces_are_the_library_s(docs, nothing, texts):
     assert piece_transducer.round_trips(nothing, PIECE).count() == 0
 
 
+def test_long_runs_of_blanks():
+    t = piece_transducer.transducer(PIECE)
+    for x in (" " * 20_000 + "x", "a" + " " * 5_001, " " * 33):
+        assert t.encode(x).tolist() == t.library.encode(x)
+
+
+def test_each_place_has_one_finite_path():
+    t = piece_transducer.transducer(PIECE)
+    for word in ("▁transducer", "▁ñandúes", "▁日本x🙂", "▁1234"):
+        reached = [{""}]
+        for to in range(1, len(word) + 1):
+            reached.append({word[k:to] for k in t.arcs(word, to) for before in reached[k] if t.weight(before, word[k:to]) == 0})
+        assert all(len(x) == 1 for x in reached)
+
+
 def test_unigram_paths_are_lightest():
     t = piece_transducer.transducer(PIECE)
     score, longest = t.score, t.longest
