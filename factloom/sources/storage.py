@@ -15,9 +15,11 @@ ARTIFACTS = ("files", "facts", "evidence", "diagnostics", "coverage", "nodes", "
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir, or a folder of our own where it is unset."""
+    """spark.checkpoint.dir. Where that is unset, a folder of our own if all runs on this machine, and an error on a cluster."""
     got = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if not got:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         own = tempfile.mkdtemp(prefix="factloom-")
         atexit.register(shutil.rmtree, own, ignore_errors=True)
         got = f"file://{own}"
@@ -33,6 +35,12 @@ def cut(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def small_side(table: DataFrame, rows: int = 200_000) -> DataFrame:
+    """A table that cut() made, marked for broadcast if it has no more than `rows` rows; else Spark joins by a shuffle, whose
+    skewed parts it can split."""
+    return F.broadcast(table) if table.count() <= rows else table
+
+
 def clear(spark: SparkSession) -> None:
     """Delete all tables that this application has cut its lineage with. Results that read them must be done."""
     folder = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/factloom/{spark.sparkContext.applicationId}")
