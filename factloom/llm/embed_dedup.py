@@ -5,13 +5,15 @@ from the start. Unit vectors are turned to principal axes (a rotation, so produc
 first, bounds the rest of each product by the norms of the two suffixes, and drops a pair as soon as its cosine can't reach
 the threshold. The exact cosine of the vectors as given decides on survivors.
 
-Tiles: unit vectors that link differ by at most sqrt(2 - 2 t) in any direction, so along the first axis only cells of that
-width that are equal or side by side are compared, and a cell with many vectors is cut in tiles of TILE. A tile pair passes on
-a number of links for each vector and links that join what is linked, never all its pairs. The axes are fitted on at most
-SAMPLE vectors; they decide speed, not results.
-
-Nulls: vectors that are null, zero or hold null or non-finite numbers, and vectors with a null label, link with nothing; a
-null vec_id counts as a row and gives no component of its own. Vectors of different lengths don't link. Repeated rows are equal vectors. Empty table:
+Tiles: unit vectors that link differ by at most sqrt(2 - 2 t) in any direction, so a grid of that width over the leading axes has
+them in cells that are equal or touch, and only such cells are compared; a cell with many vectors is cut in tiles of TILE. How many
+axes the grid has (up to AXES) is what would be cheapest for a sample: more axes mean fewer comparisons, and more copies of a vector.
+A tile pair passes on a number of links for each vector and links that join what is linked, never all its pairs. Axes and sample
+(SAMPLE vectors at most) decide speed, not results.
+
+Nulls: vectors that are null, zero or hold null or non-finite numbers, and vectors with a null label, link with nothing. A vector
+with a null vec_id counts as any other, and gives its links to others; its own component is the smallest vec_id reached, and null
+if there is none. vec_ids lie below 2 ** 62. Vectors of different lengths don't link. Repeated rows are equal vectors. Empty table:
 no row. Other columns aren't read.
 """
 
@@ -19,16 +21,21 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from itertools import product
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from .common import ship, written
+from .common import ship, small_side, written
 from .components import components
 
-TILE, SAMPLE, LEADING, STEP = 1500, 4096, 16, 16
+TILE, SAMPLE, LEADING, STEP, AXES = 1500, 4096, 16, 16, 4
+#: A copy of a vector costs as much as so many comparisons.
+COPY = 300
+#: Bits for each axis of a cell's number, and the first number that stands for vectors without an id.
+BITS, NO_ID = 15, 1 << 62
 #: Above the error of a rotated product of unit vectors.
 SLACK = 1e-9
 
@@ -39,16 +46,40 @@ def valid(embedding: str, label: str):
     return F.coalesce(F.col(label).isNotNull() & x.isNotNull() & (F.size(x) > 0) & finite & F.exists(x, lambda v: v != 0), F.lit(False))
 
 
-def _axes(classes: DataFrame) -> dict[int, np.ndarray]:
-    """Principal axes, as columns, for each length of vectors."""
-    out = {}
-    for (d,) in classes.select("d").distinct().limit(64).collect():  # other lengths stay as they are
-        rows = classes.filter(F.col("d") == d).orderBy(F.xxhash64("node")).limit(SAMPLE).select("embedding").collect()
-        x = np.array([r[0] for r in rows], np.float64)
-        x /= np.abs(x).max(axis=1, keepdims=True)
-        x /= np.linalg.norm(x, axis=1, keepdims=True)
+def _numbers(cells: np.ndarray) -> np.ndarray:
+    """One number for each row of cell places; a step along axis a adds 2 ** (BITS * a)."""
+    return sum((cells[:, a] + (1 << BITS - 1)) << (BITS * a) for a in range(cells.shape[1])) if cells.shape[1] else np.zeros(len(cells), np.int64)
+
+
+def offsets(axes: int) -> list[int]:
+    """What lies between a cell's number and those of the cells that it touches, itself included."""
+    return [sum(o << (BITS * a) for a, o in enumerate(step)) for step in product((-1, 0, 1), repeat=axes)]
+
+
+def _cheapest(cells: np.ndarray, labels: np.ndarray, scale: float) -> int:
+    """Along how many axes the grid should be cut: of one vector in `scale`, comparisons grow with its square, copies with it."""
+    best = (math.inf, 1)
+    for axes in range(1, cells.shape[1] + 1):
+        at, n = np.unique(np.stack([labels, _numbers(cells[:, :axes])]), axis=1, return_counts=True)
+        count = dict(zip(map(tuple, at.T.tolist()), n.tolist(), strict=True))
+        near = [(m, [count.get((label, cell + o), 0) for o in offsets(axes)]) for (label, cell), m in count.items()]
+        compared = scale * scale * sum(m * sum(x) / 2 for m, x in near)
+        copied = scale * sum(m * sum(max(1.0, scale * y / TILE) for y in x if y) for m, x in near)
+        best = min(best, (compared + COPY * copied, axes))
+    return best[1]
+
+
+def _axes(classes: DataFrame, width: float) -> tuple[dict[int, np.ndarray], int]:
+    """Principal axes, as columns, for each length of vectors, and the number of axes of the grid."""
+    out, axes = {}, 1
+    sizes = {r["d"]: r["count"] for r in classes.groupBy("d").count().orderBy(F.desc("count"), "d").limit(64).collect()}  # other lengths stay as they are
+    for at, (d, n) in enumerate(sizes.items()):
+        rows = classes.filter(F.col("d") == d).orderBy(F.xxhash64("node")).limit(SAMPLE).select("embedding", F.xxhash64("label")).collect()
+        x = _unit(np.array([r[0] for r in rows], np.float64))
         out[d] = np.linalg.eigh(x.T @ x)[1][:, ::-1].copy()
-    return out
+        if not at:  # the most frequent length decides
+            axes = _cheapest(np.floor(x @ out[d][:, : min(d, AXES)] / width).astype(np.int64), np.array([r[1] for r in rows]), max(1.0, n / len(rows)))
+    return out, axes
 
 
 def _unit(x: np.ndarray) -> np.ndarray:
@@ -56,12 +87,16 @@ def _unit(x: np.ndarray) -> np.ndarray:
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
-def _celled(axes: dict[int, np.ndarray], width: float):
+def _celled(axes: dict[int, np.ndarray], cut: int, width: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             x = [np.array(v, np.float64) for v in batch.column(0).to_pylist()]
-            cells = [math.floor(float(_unit(v[None, :])[0] @ axes[len(v)][:, 0]) / width) if len(v) in axes else 0 for v in x]
-            yield pa.record_batch([*batch.columns, pa.array(cells, pa.int32())], names=[*batch.schema.names, "cell"])
+            cells = np.zeros((len(x), cut), np.int64)
+            for i, v in enumerate(x):
+                if len(v) in axes:
+                    own = np.floor(_unit(v[None, :])[0] @ axes[len(v)][:, :cut] / width)
+                    cells[i, : len(own)] = own
+            yield pa.record_batch([*batch.columns, pa.array(_numbers(cells), pa.int64())], names=[*batch.schema.names, "cell"])
 
     return run
 
@@ -144,31 +179,34 @@ def near_vectors(df: DataFrame, threshold: float = 0.98, tile: int = TILE, vec_i
     ship(spark)
     own = df.select(df[vec_id].cast("long").alias("vec_id"), df[embedding].cast("array<double>").alias("embedding"), df[label].alias("label"))
     rows = own.withColumn("_valid", valid("embedding", "label"))
-    classes = written(rows.filter("_valid").groupBy("label", "embedding").agg(F.min("vec_id").alias("node"), F.count(F.lit(1)).alias("weight")).withColumn("d", F.size("embedding")), "vectors")
-    axes = _axes(classes)
-    width = math.sqrt(max(2 - 2 * threshold, 1e-12)) * (1 + 1e-9) + SLACK
-    celled = classes.filter("node is not null").select("embedding", "label", "node", "weight", "d")
-    celled = written(celled.mapInArrow(_celled(axes, width), T.StructType([*celled.schema.fields, T.StructField("cell", T.IntegerType())])), "cells")
-    # tiles of each cell; a row of a table that is small beside the vectors
+    # a class whose vectors have no id gets a number that no id has
+    named = F.coalesce(F.min("vec_id"), F.lit(NO_ID) + F.pmod(F.xxhash64("label", "embedding"), F.lit(NO_ID)))
+    classes = rows.filter("_valid").groupBy("label", "embedding").agg(named.alias("node"), F.count(F.lit(1)).alias("weight")).withColumn("d", F.size("embedding"))
+    classes = written(classes, "vectors")
+    width = math.sqrt(max(2 - 2 * threshold, 1e-6)) * (1 + 1e-9) + SLACK
+    axes, cut = _axes(classes, width)
+    celled = classes.select("embedding", "label", "node", "weight", "d")
+    celled = written(celled.mapInArrow(_celled(axes, cut, width), T.StructType([*celled.schema.fields, T.StructField("cell", T.LongType())])), "cells")
+    # the tiles of each cell, and of the cells that it touches; at most as many rows as there are cells
     sizes = celled.groupBy("label", "d", "cell").agg(F.ceil(F.count(F.lit(1)) / F.lit(tile)).cast("int").alias("tiles"))
-    near = sizes.select("label", "d", F.explode(F.array(F.col("cell") - 1, F.col("cell"), F.col("cell") + 1)).alias("at"), "cell", "tiles")
-    around = near.groupBy("label", "d", F.col("at").alias("cell")).agg(
-        *(F.coalesce(F.max(F.when(F.col("cell") == F.col("at") + k, F.col("tiles"))), F.lit(0)).alias(n) for k, n in ((-1, "below"), (0, "here"), (1, "above")))
-    )
-    placed = celled.join(around, ["label", "d", "cell"]).withColumn("tile", F.pmod(F.xxhash64("node"), F.col("here")).cast("int"))
-    # a pair of tiles: (lower cell, its tile, cell, tile); side 0 or 1. Without another tile there, no pair.
+    near = sizes.select("label", "d", F.explode(F.array(*(F.lit(o).cast("long") for o in offsets(cut)))).alias("o"), F.col("cell").alias("to"), "tiles").withColumn("cell", F.expr("to - o"))
+    around = near.groupBy("label", "d", "cell").agg(F.collect_list(F.struct("o", "to", "tiles")).alias("near"), F.max(F.when(F.col("o") == 0, F.col("tiles"))).alias("here"))
+    around = written(around.filter("here is not null"), "around")
+    placed = celled.join(small_side(around), ["label", "d", "cell"]).withColumn("tile", F.pmod(F.xxhash64("node"), F.col("here")).cast("int"))
+    # a pair of tiles: (lower cell, its tile, higher cell, its tile); side 0 or 1, and whole for a tile's pair with itself
     pairs = F.expr("""
-        concat(
-          transform(sequence(0, here - 1), t -> struct(cell as c, least(t, tile) as s, cell as e, greatest(t, tile) as t, if(t < tile, 1, 0) as side, if(t = tile, 1, 0) as whole)),
-          if(above > 0, transform(sequence(0, greatest(above, 1) - 1), t -> struct(cell as c, tile as s, cell + 1 as e, t as t, 0 as side, 0 as whole)), array()),
-          if(below > 0, transform(sequence(0, greatest(below, 1) - 1), t -> struct(cell - 1 as c, t as s, cell as e, tile as t, 1 as side, 0 as whole)), array()))
+        flatten(transform(near, n -> transform(sequence(0, n.tiles - 1), t -> case
+          when n.o = 0 then named_struct('c', cell, 's', least(t, tile), 'e', cell, 't', greatest(t, tile), 'side', if(t < tile, 1, 0), 'whole', if(t = tile, 1, 0))
+          when n.o > 0 then named_struct('c', cell, 's', tile, 'e', n.to, 't', t, 'side', 0, 'whole', 0)
+          else named_struct('c', n.to, 's', t, 'e', cell, 't', tile, 'side', 1, 'whole', 0) end)))
     """)
     dealt = placed.withColumn("p", F.explode(pairs)).select("label", "d", "p.*", "embedding", "node", "weight")
     found = written(dealt.groupBy("label", "d", "c", "s", "e", "t").applyInPandas(_tile(axes, threshold), "node long, links long, root long"), "near")
     joined = components(found.select(F.col("node").alias("a"), F.col("root").alias("b")))
     counts = found.groupBy("node").agg(F.sum("links").alias("links"))
+    component = F.coalesce("component", "node")
     told = classes.join(counts, "node", "left").join(joined, "node", "left").select(
-        "label", "embedding", (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("n_links"), F.coalesce("component", "node").alias("component_id")
+        "label", "embedding", (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("n_links"), F.when(component < NO_ID, component).alias("component_id")
     )
     linked = rows.filter("_valid").join(told, ["label", "embedding"]).select("vec_id", "n_links", "component_id")
     alone = rows.filter("not _valid").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))

@@ -10,8 +10,8 @@ containment of their shingles, as words, decides.
 A window without a template's shingle can share no minimum with it, so only windows around such shingles are hashed. A text of
 any length is scanned as a whole; templates are a fixed list (TEMPLATES or one given), so their bands are broadcast.
 
-Nulls: a null text is an empty one; a null doc_id is kept, and rows with one doc_id give the notices of all of them. Empty
-table or no notice: no row. Other columns aren't read.
+Nulls: a null text is an empty one; a null doc_id is kept, and rows with one doc_id give the notices of all of them, each from its
+own windows. Notices of fewer than five words have no shingle and aren't looked for. Empty table or no notice: no row. Other columns aren't read.
 """
 
 from __future__ import annotations
@@ -39,6 +39,12 @@ TEMPLATES = {
     "bsd": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.",
     "mpl-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/.",
     "isc": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
+    "gpl-2.0-or-later": "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version.",
+    "lgpl-2.1-or-later": "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version.",
+    "agpl-3.0-or-later": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+    "zlib": "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software. Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions:",
+    "bsl-1.0": "Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license (the \"Software\") to use, reproduce, display, distribute, execute, and transmit the Software, and to prepare derivative works of the Software, and to permit third-parties to whom the Software is furnished to do so",
+    "epl-2.0": "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at https://www.eclipse.org/legal/epl-2.0/",
     "unlicense": "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.",
 }
 
@@ -102,7 +108,7 @@ def templates(df: DataFrame, notices: dict[str, str]) -> DataFrame:
 def scan(df: DataFrame, notices: dict[str, str] | None = None, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, license, containment, first_word): the notices in each text, the best window's share of shingles, and the
     first word of the earliest window that holds one."""
-    known = templates(df, TEMPLATES if notices is None else notices).cache()
+    known = templates(df, TEMPLATES if notices is None else notices)
     wanted = sorted({h for r in known.select("hashes").collect() for h in r[0]})  # a fixed list's hashes
     classes = sorted({r[0] for r in known.select("class").distinct().collect()})
     if not wanted:
@@ -124,7 +130,8 @@ def scan(df: DataFrame, notices: dict[str, str] | None = None, doc_id: str = "do
     banded = windows.select("doc_id", "class", "start", "w", F.posexplode(_minima(F.col("h"))).alias("band", "least"))
     bands = known.select("license", "class", "shingles", F.posexplode(_minima(F.col("hashes"))).alias("band", "least"))
     found = banded.join(F.broadcast(bands), ["class", "band", "least"])
-    once = found.groupBy("doc_id", "class", "start", "license").agg(F.first("w").alias("w"), F.first("shingles").alias("shingles"))
+    # of rows with one doc_id, each has windows of its own, which their words tell apart
+    once = found.groupBy("doc_id", "class", "start", "license", F.xxhash64("w").alias("of")).agg(F.first("w").alias("w"), F.first("shingles").alias("shingles"))
     share = F.size(F.array_intersect(_shingles(F.col("w")), "shingles")) / F.size("shingles")
     sure = once.select("doc_id", "license", "start", share.alias("containment")).filter(F.col("containment") >= SIMILARITY)
     return sure.groupBy("doc_id", "license").agg(F.round(F.max("containment"), 6).alias("containment"), F.min("start").alias("first_word"))

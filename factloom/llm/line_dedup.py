@@ -1,8 +1,9 @@
 """Line dedup by a deletion-neighbourhood join, within one edit.
 
-A line, without white space at its ends, repeats an earlier one if both are equal or, from MIN_CHARS characters on, one
-insertion, deletion or substitution apart. Earlier is by (doc_id, line number); the earliest stays and each line that has an
-earlier one within the bound goes. Empty lines stay.
+A line, without white space at its ends, repeats an earlier one if both are within the edit bound: one insertion, deletion or
+substitution if both have min_chars characters or more, none if not (in a short line, one character makes another word). That is a
+parameter of the bound; with 0, all lines have a bound of one edit. Earlier is by (doc_id, line number, row); the earliest stays and
+each line that has an earlier one within the bound goes. Empty lines stay.
 
 Equal lines are one class from the start. A line within one edit of another shares its first or its second half with it
 (in one of two places), so three half keys for each line leave those that can have a partner; only they go on, with their
@@ -11,9 +12,10 @@ the key. Lines with equal key and equal place are all within one substitution of
 there only; a variant that is a line itself links that line with the variant's owner. So no group's pairs are emitted. The
 edit distance of linked lines is then verified on their texts.
 
-Nulls: a null text is an empty one, with one empty line; a null doc_id comes before all others. Rows with one doc_id are one
-place: lines with one number in them don't drop each other. Such rows are told apart by a digest of their texts, so that a row
-loses its own lines only. Empty table: no row. Other columns pass through dedup_lines().
+Nulls: a null text is an empty one, with one empty line; a null doc_id comes before all others. Rows with one doc_id are told
+apart by a digest of their texts, which also orders them, so that a row loses its own lines only. Of rows that are equal in doc_id
+and text, one counts as the first, and the others lose all lines that aren't empty. Empty table: no row. Other columns pass through
+dedup_lines(), whatever their names.
 """
 
 from __future__ import annotations
@@ -28,6 +30,8 @@ from pyspark.sql import DataFrame, functions as F
 from .common import ship, small_side, text_of, unused, written
 
 MIN_CHARS = 20
+#: White space, as Python's str.strip() takes it away.
+BLANKS = "[\\x09-\\x0d\\x1c-\\x20\\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000]+"
 #: Lines whose numbers are broadcast at most, to fetch their texts; beyond it, they are joined by a shuffle.
 BROADCAST_LINES = 200_000
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
@@ -164,11 +168,11 @@ def repeats(df: DataFrame, min_chars: int = MIN_CHARS, doc_id: str = "doc_id", t
     a = texts.select(*at, F.col("text").alias("a"))
     b = texts.select(F.col("doc_id").alias("to_doc"), F.col("line").alias("to_line"), F.col("row").alias("to_row"), F.col("text").alias("b"))
     sure = (F.levenshtein("a", "b", 1) >= 0) & (F.char_length("a") >= min_chars) & (F.char_length("b") >= min_chars)
-    earlier = links.filter("to_doc < doc_id or to_doc = doc_id and to_line < line")
+    earlier = links.filter("to_doc < doc_id or to_doc = doc_id and (to_line < line or to_line = line and to_row < row)")
     near = earlier.join(a, at).join(b, ["to_doc", "to_line", "to_row"]).filter(sure).select(*at).distinct()
-    told = classes.join(near.withColumn("near", F.lit(True)), at, "left").select("digest", F.col("doc_id").alias("_doc"), F.col("line").alias("_line"), F.coalesce("near", F.lit(False)).alias("near"))
+    told = classes.join(near.withColumn("near", F.lit(True)), at, "left").select("digest", F.col("doc_id").alias("_doc"), F.col("line").alias("_line"), F.col("row").alias("_row"), F.coalesce("near", F.lit(False)).alias("near"))
     again = lines.select("doc_id", "row", "line", "digest").join(told, "digest")
-    return again.filter("near or doc_id <> _doc or line <> _line").select("doc_id", "row", "line", "near")
+    return again.filter("near or doc_id <> _doc or line <> _line or row <> _row").select("doc_id", "row", "line", "near").distinct()
 
 
 def _picked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -183,15 +187,32 @@ def _picked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch([pa.array(v, t) for v, t in zip(rows, [pa.int64(), pa.int64(), pa.int32(), pa.string()], strict=True)], names=["doc_id", "row", "line", "text"])
 
 
-def dedup_lines(df: DataFrame, min_chars: int = MIN_CHARS, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of df with the text of the lines that stay, and the columns _lines, _dropped and _near, which count. df has no
-    columns of these names."""
-    doc, out, near, own, row, to, of = (unused(df, n) for n in ("_doc", "_gone", "_n", "_own", "_row", "_to", "_of"))
+def _copies(placed: DataFrame, doc: str, row: str, copy: str) -> DataFrame:
+    """placed with the column copy: whether an earlier row has the same doc_id and text. Only rows of repeated doc_ids can, and
+    they alone are numbered; the table is written first, so that the numbers stay."""
+    number, first, to, of = (unused(placed, n) for n in ("_number", "_first", "_to_doc", "_to_row"))
+    table = written(placed.withColumn(number, F.monotonically_increasing_id()), "placed")
+    firsts = table.filter(F.col(row) != 0).groupBy(F.col(doc).alias(to), F.col(row).alias(of)).agg(F.min(number).alias(first), F.count(F.lit(1)).alias("n"))
+    firsts = written(firsts.filter("n > 1").drop("n"), "firsts")
+    joined = table.join(small_side(firsts), (F.col(doc) == F.col(to)) & (F.col(row) == F.col(of)), "left")
+    return joined.withColumn(copy, F.coalesce(F.col(number) > F.col(first), F.lit(False))).drop(number, first, to, of)
+
+
+def dedup_lines(df: DataFrame, min_chars: int = MIN_CHARS, doc_id: str = "doc_id", text: str = "text", counts: tuple[str, str, str] | None = None) -> DataFrame:
+    """The rows of df with the text of the lines that stay, and three columns that count: lines, dropped ones and dropped ones that
+    are near, not equal. Their names are _lines, _dropped and _near, with underscores behind where df has such a column, or counts."""
+    n_lines, n_dropped, n_near = counts or (unused(df, n) for n in ("_lines", "_dropped", "_near"))
+    if {n_lines.lower(), n_dropped.lower(), n_near.lower()} & {c.lower() for c in df.columns}:
+        raise ValueError("the table has a column of a count's name")
+    doc, out, near, own, row, to, of, copy = (unused(df, n) for n in ("_doc", "_gone", "_n", "_own", "_row", "_to", "_of", "_copy"))
     repeated = _repeated(df, doc_id)
     found = repeats(df, min_chars, doc_id, text, repeated).groupBy(F.col("doc_id").alias(to), F.col("row").alias(of))
     gone = found.agg(F.collect_set("line").alias(out), F.size(F.collect_set(F.when(F.col("near"), F.col("line")))).alias(near))
-    placed = _placed(df, repeated, doc_id, text, doc, row).withColumn(own, F.split(text_of(df, text), "\n", -1))
-    joined = placed.join(gone, (F.col(doc) == F.col(to)) & (F.col(row) == F.col(of)), "left")
-    stays = F.when(F.col(out).isNull(), F.col(own)).otherwise(F.filter(own, lambda x, i: ~F.array_contains(F.col(out), i)))
-    columns = [F.concat_ws("\n", stays).alias(c) if c == text else F.col(c) for c in df.columns]
-    return joined.select(*columns, F.size(own).alias("_lines"), F.when(F.col(out).isNull(), 0).otherwise(F.size(out)).alias("_dropped"), F.coalesce(near, F.lit(0)).alias("_near"))
+    placed = _placed(df, repeated, doc_id, text, doc, row)
+    placed = placed.withColumn(copy, F.lit(False)) if repeated.isEmpty() else _copies(placed, doc, row, copy)
+    joined = placed.withColumn(own, F.split(text_of(placed, text), "\n", -1)).join(gone, (F.col(doc) == F.col(to)) & (F.col(row) == F.col(of)), "left")
+    blank = lambda x: F.length(F.regexp_replace(x, BLANKS, "")) == 0
+    kept = F.when(F.col(copy), F.filter(own, blank)).when(F.col(out).isNull(), F.col(own)).otherwise(F.filter(own, lambda x, i: ~F.array_contains(F.col(out), i)))
+    dropped = F.when(F.col(copy), F.size(F.filter(own, lambda x: ~blank(x)))).when(F.col(out).isNull(), 0).otherwise(F.size(out))
+    columns = [F.concat_ws("\n", kept).alias(c) if c == text else F.col(c) for c in df.columns]
+    return joined.select(*columns, F.size(own).alias(n_lines), dropped.alias(n_dropped), F.when(F.col(copy), 0).otherwise(F.coalesce(near, F.lit(0))).alias(n_near))

@@ -1,15 +1,18 @@
-"""Near-dedup by the Jaccard similarity of word shingles, without loss.
+"""SimHash near-dedup that is exact for the Jaccard similarity of word shingles.
 
-A text is the set of the XXH64 hashes of its SHINGLE words in a row (op5's words; a shorter text is one shingle, one without
-words the empty set). Two texts link when their sets' similarity is SIMILARITY or more; groups are what links reach.
+A text is the set of the XXH64 hashes of its SHINGLE words in a row (a shorter text is one shingle, one without words the empty set).
+Two texts link when their sets' similarity is SIMILARITY or more; groups are what links reach.
 
-Equal sets are one node from the start. Candidates come from prefixes: in any one order of all shingles, the first
-n - ceil(SIMILARITY * n) + 1 of a set of n hold one of the prefix of each set that is similar enough, so no pair is lost. The
-order puts shingles last that are frequent in a sample of texts; the sample decides only how many candidates there are.
+Equal sets are one node from the start. Candidates come from two sides, and are all verified on the whole sets:
 
-Pairs of a key with at most FEW nodes are verified all. In a larger one, the nodes are first compared with some leaders, which
-joins the groups of near copies at a cost that is linear in the key; then each pair that still lies in two groups is verified.
-Verification counts equal shingles of the two sets. SimHash bits can't bound this similarity, so they take no part here.
+* simhash.links() over the fingerprints of the same hashes joins what differs in at most BITS bits: nearly all links of large groups
+  of near copies, at a cost that is linear in a group;
+* bits don't bound the similarity, so what they can't retrieve comes from prefixes: in any one order of all shingles, the first
+  n - ceil(SIMILARITY * n) + 1 of a set of n hold one of the prefix of each set that is similar enough. No pair is lost. The order
+  puts shingles last that are frequent in a sample of texts; the sample decides only how many candidates there are.
+
+Pairs of a key with at most FEW nodes are verified all. In a larger one, nodes that are in one group already need no look; the others
+are first compared with some leaders, and then each pair that still lies in two groups is verified.
 
 Nulls: a null text is an empty one; rows with a null doc_id stay. Rows are told apart by their sets, not by doc_id. Empty
 table: no row. Other columns pass through.
@@ -26,9 +29,9 @@ from pyspark.sql import DataFrame, functions as F, types as T
 
 from .common import ship, small_side, text_of, unused, written
 from .components import components
-from .simhash import _LOWER
+from .simhash import bits_of, hashes_of, links as near_bits
 
-SHINGLE, SIMILARITY = 5, 0.8
+SHINGLE, SIMILARITY, BITS = 5, 0.8, 4
 FEW, LEADERS, ROUNDS = 24, 8, 3
 #: Texts that the order of shingles is taken from, and how many of these hold a shingle that counts as frequent.
 ORDERED, FREQUENT = 20_000, 3
@@ -36,18 +39,7 @@ ORDERED, FREQUENT = 20_000, 3
 
 def shingles(text: str, shingle: int = SHINGLE, seed: int = 42) -> np.ndarray:
     """The distinct hashes, ascending."""
-    import xxhash
-
-    words = text.encode("utf-8", "surrogatepass").translate(_LOWER).split()
-    if not words:
-        return np.zeros(0, np.int64)
-    joined, h = b" ".join(words), xxhash.xxh64_intdigest
-    if len(words) <= shingle:
-        return np.array([h(joined, seed)], np.uint64).view(np.int64)
-    lens = np.fromiter(map(len, words), np.int64, len(words))
-    ends = np.cumsum(lens + 1) - 1
-    hashes = [h(joined[a:b], seed) for a, b in zip((ends - lens).tolist(), ends[shingle - 1 :].tolist())]
-    return np.unique(np.array(hashes, np.uint64).view(np.int64))
+    return np.unique(hashes_of(text, shingle, seed).view(np.int64))
 
 
 def node_of(own: np.ndarray) -> int:
@@ -107,8 +99,17 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch([pa.array(c) for c in last], names=["key", "node", "size"])
 
 
-def links(rows: DataFrame, text: str = "text", shingle: int = SHINGLE, similarity: float = SIMILARITY, few: int = FEW) -> DataFrame:
-    """(a, b): links between the nodes of rows (_node long, text), enough to join all that is linked."""
+def near_fingerprints(rows: DataFrame, radius: int = BITS) -> DataFrame:
+    """(a, b): pairs of nodes of rows (_node long, _fp long) that join what differs in at most `radius` bits."""
+    own = written(rows.select("_node", F.col("_fp").alias("fp")).distinct(), "fingerprints")
+    classes = written(own.groupBy("fp").agg(F.min("_node").alias("node")), "classes")
+    same = own.join(classes, "fp").filter("_node <> node").select(F.col("_node").alias("a"), F.col("node").alias("b"))
+    return near_bits(classes, radius).unionByName(same)
+
+
+def links(rows: DataFrame, text: str = "text", shingle: int = SHINGLE, similarity: float = SIMILARITY, few: int = FEW, radius: int = BITS) -> DataFrame:
+    """(a, b): links between the nodes of rows (_node long, _fp long, text), enough to join all that is linked."""
+    near = near_fingerprints(rows, radius)
     frequent, count = _frequent(rows, text, rows.count(), shingle)
 
     def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -145,13 +146,13 @@ def links(rows: DataFrame, text: str = "text", shingle: int = SHINGLE, similarit
     sized = F.least("size", "to_size") >= F.greatest("size", "to_size") * F.lit(similarity) - 1e-6
     small = own.filter(F.col("n") <= few)
     other = small.select("key", F.col("node").alias("b"), F.col("size").alias("to_size"))
-    found = verified(small.withColumnRenamed("node", "a").join(other, "key").filter("a < b").filter(sized).select("a", "b"))
+    found = verified(small.withColumnRenamed("node", "a").join(other, "key").filter("a < b").filter(sized).select("a", "b").unionByName(near))
     large = own.filter(F.col("n") > few)
     for turn in range(ROUNDS + 1):
         if large.isEmpty():
             break
         group = components(found).withColumnRenamed("component", "group")
-        # the first round knows the links of small keys; groups that a key holds but one of need no look
+        # the first round knows the links of fingerprints and of small keys; groups that a key holds but one of need no look
         named = written(large.drop("group").join(group, "node", "left").withColumn("group", F.coalesce("group", "node")), "named")
         main = named.groupBy("key", "group").agg(F.count(F.lit(1)).alias("m")).groupBy("key").agg(F.max_by("group", F.struct("m", "group")).alias("main"), F.count(F.lit(1)).alias("groups"))
         large = written(named.join(main.filter("groups > 1"), "key").drop("groups"), "large")
@@ -171,16 +172,18 @@ def links(rows: DataFrame, text: str = "text", shingle: int = SHINGLE, similarit
 def first_of_groups(df: DataFrame, shingle: int = SHINGLE, similarity: float = SIMILARITY, few: int = FEW, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of df with the smallest doc_id of their group, all their columns as they are; rows with a null doc_id stay."""
     ship(df.sparkSession)
-    node = unused(df, "_node")
+    node, fp = unused(df, "_node"), unused(df, "_fp")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            at = batch.schema.get_field_index(text)
-            nodes = [node_of(shingles(t or "", shingle)) for t in batch.column(at).to_pylist()]
-            yield pa.record_batch([*batch.columns, pa.array(nodes, pa.int64())], names=[*batch.schema.names, node])
-
-    marked = written(df.mapInArrow(run, T.StructType([*df.schema.fields, T.StructField(node, T.LongType())])), "nodes")
-    rows = marked.select(marked[doc_id].cast("long").alias("_id"), text_of(marked, text).alias("text"), F.col(node).alias("_node"))
+            hashes = [hashes_of(t or "", shingle) for t in batch.column(batch.schema.get_field_index(text)).to_pylist()]
+            nodes = pa.array([node_of(np.unique(h.view(np.int64))) for h in hashes], pa.int64())
+            fps = pa.array(np.array([bits_of(h) for h in hashes], np.uint64).view(np.int64))
+            yield pa.record_batch([*batch.columns, nodes, fps], names=[*batch.schema.names, node, fp])
+
+    more = [T.StructField(node, T.LongType()), T.StructField(fp, T.LongType())]
+    marked = written(df.mapInArrow(run, T.StructType([*df.schema.fields, *more])), "nodes")
+    rows = marked.select(marked[doc_id].cast("long").alias("_id"), text_of(marked, text).alias("text"), F.col(node).alias("_node"), F.col(fp).alias("_fp"))
     group = components(links(rows, "text", shingle, similarity, few))
     ids = rows.select("_id", "_node").distinct()
     named = ids.join(group.select(F.col("node").alias("_node"), "component"), "_node", "left").withColumn("component", F.coalesce("component", "_node"))

@@ -1,10 +1,13 @@
-"""Best-fit packing of documents into sequences, improved by swap-based local search.
+"""Best-fit packing of documents into sequences by swap-based local search.
 
 Documents longer than a sequence are cut; a piece that fills a sequence is a sequence. The other pieces are dealt at
-random to groups of about GROUP_PIECES, and each group is packed on its own: best-fit decreasing, then local search that
-moves pieces, exchanges one for one or two for one between any two bins that aren't full. Each exchange raises the sum of
-squared fills, which drains the emptiest bins until they can go; it ends when no exchange does or no bin can go. A group loses at most a part of its last bins, so that the loss
-stays at about 1 / (bins of a group) at any size of the input.
+random to groups of about GROUP_PIECES, and each group is packed on its own: each piece, as it comes, goes to the bin that it
+fits best, and local search then moves pieces and exchanges one for one or two for one between any two bins that aren't full. Each
+exchange raises the sum of squared fills, which drains the emptiest bins until they can go; it ends when no exchange does or no bin
+can go. Where more bins are left than the sum of lengths needs, a kick opens some full bins (OPENED for each that isn't), and the
+search goes on among these and the others, until KICKS kicks (more in a small group) have saved none. If more are left still, the search also starts
+from the pieces in descending order, and the better packing counts. A group loses at most a part of its last bins, so that the loss stays at about 1 / (bins of a group) at
+any size of the input.
 
 Nulls: a null text is an empty one; a null doc_id is kept. Every text holds at least the end id, so that empty texts have
 one piece. Repeated rows are packed once each. Empty table: no piece. Other columns aren't read.
@@ -12,6 +15,7 @@ one piece. Repeated rows are packed once each. Empty table: no piece. Other colu
 
 from __future__ import annotations
 
+import random
 import zlib
 from bisect import bisect_left, insort
 from collections.abc import Iterator
@@ -25,17 +29,20 @@ from .common import ship, text_of, written
 from .encoding import encoder
 
 GROUP_PIECES = 16_000
+KICKS, OPENED = 2, 6
+#: A group of few pieces is kicked more often: so many pieces may be looked at again in vain.
+IDLE_PIECES = 10_000
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
 # --- packing one group ----------------------------------------------------------------------------------------------
 
 
-def best_fit(lengths: list[int], capacity: int) -> list[list[int]]:
-    """Best-fit decreasing. Open bins are kept by what they have left; a bit set finds the least that is enough."""
+def best_fit(lengths: list[int], capacity: int, as_given: bool = False) -> list[list[int]]:
+    """Best fit, of the pieces in descending order or as they are given. Open bins are kept by what they have left; a bit set finds the least that is enough."""
     by_left: list[list[int]] = [[] for _ in range(capacity + 1)]
     open_sizes, bins = 0, []
-    for i in sorted(range(len(lengths)), key=lambda i: -lengths[i]):
+    for i in range(len(lengths)) if as_given else sorted(range(len(lengths)), key=lambda i: -lengths[i]):
         n = lengths[i]
         fits = open_sizes >> n
         if fits:
@@ -179,7 +186,21 @@ def improve(bins: list[list[int]], lengths: list[int], capacity: int) -> list[li
 
 def pack_lengths(lengths: list[int], capacity: int) -> list[list[int]]:
     """Bins of indexes, each of at most `capacity`."""
-    return improve(best_fit(lengths, capacity), lengths, capacity)
+    found = improve(best_fit(lengths, capacity, as_given=True), lengths, capacity)
+    need, draw, idle = -(-sum(lengths) // capacity), random.Random(len(lengths)), 0
+    while len(found) > need and idle < max(KICKS, IDLE_PIECES // len(lengths)):
+        left = [sum(lengths[i] for i in b) < capacity for b in found]
+        shut = [b for b, open_ in enumerate(left) if not open_]
+        again = {b for b, open_ in enumerate(left) if open_} | set(draw.sample(shut, min(len(shut), OPENED * (len(found) - len(shut)))))
+        items = [i for b in sorted(again) for i in found[b]]
+        own = [lengths[i] for i in items]
+        better = improve(best_fit(own, capacity), own, capacity)
+        idle = 0 if len(better) < len(again) else idle + 1
+        if not idle:
+            found = [x for b, x in enumerate(found) if b not in again] + [[items[i] for i in x] for x in better]
+    if len(found) <= need:
+        return found  # no packing has fewer
+    return min(found, improve(best_fit(lengths, capacity), lengths, capacity), key=len)
 
 
 # --- tables ---------------------------------------------------------------------------------------------------------

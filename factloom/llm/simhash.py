@@ -5,8 +5,9 @@ fingerprints link when they differ in at most BITS bits.
 
 Equal fingerprints are one class from the start. Candidates come from masked keys: with BITS + e parts of the 64 bits, two
 linked fingerprints agree in at least e parts, so they share one of the keys that keep e parts. The number of parts grows
-with the table so that a key has few fingerprints. A key that still has more than HOT of them is refined: the bits that it
-leaves free are cut in BITS + 1 parts, of which one must agree too. No pair is lost by either.
+with the table so that a key has few fingerprints. A key that still has more than HOT of them is refined, as often as that takes:
+the bits that it leaves free are cut in BITS + 1 parts, of which one must agree too. No pair is lost by either, and a key ends with
+at most HOT fingerprints, or 2 ** BITS where no more than BITS bits are free.
 
 Within a key, the Hamming distances of each fingerprint to PIVOTS reference fingerprints discard pairs: the difference of
 two distances to one pivot is at most the distance of the pair. Survivors are verified bit by bit. Of a key with more than
@@ -39,19 +40,23 @@ KEY_FILL = 64
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 
 
-def fingerprint(text: str, shingle: int = 4, seed: int = 42) -> int:
+def hashes_of(text: str, shingle: int = 4, seed: int = 42) -> np.ndarray:
+    """The XXH64 of each shingle, repeats included; of all words where there are fewer, and none where there is no word."""
     import xxhash
 
-    words = text.encode().translate(_LOWER).split()  # at blank and tab to carriage return
+    words = text.encode("utf-8", "surrogatepass").translate(_LOWER).split()  # at blank and tab to carriage return
     if not words:
-        return 0
+        return np.zeros(0, np.uint64)
     joined, h = b" ".join(words), xxhash.xxh64_intdigest
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)
-    starts = (ends - np.fromiter(map(len, words), np.int64, len(words)) - 1).tolist()
     if len(words) <= shingle:
-        hashes = np.array([h(joined, seed)], np.uint64)
-    else:
-        hashes = np.array([h(joined[a:b], seed) for a, b in zip(starts, (ends[shingle - 1 :] - 1).tolist())], np.uint64)
+        return np.array([h(joined, seed)], np.uint64)
+    starts = (ends - np.fromiter(map(len, words), np.int64, len(words)) - 1).tolist()
+    return np.array([h(joined[a:b], seed) for a, b in zip(starts, (ends[shingle - 1 :] - 1).tolist())], np.uint64)
+
+
+def bits_of(hashes: np.ndarray) -> int:
+    """A bit is set if it is set in over half of the hashes."""
     counts = np.zeros(64, np.int64)
     for k in range(0, len(hashes), 1 << 14):
         part = hashes[k : k + (1 << 14)].astype("<u8").view(np.uint8).reshape(-1, 8)
@@ -60,6 +65,10 @@ def fingerprint(text: str, shingle: int = 4, seed: int = 42) -> int:
     return int(set_.view("<u8")[0])
 
 
+def fingerprint(text: str, shingle: int = 4, seed: int = 42) -> int:
+    return bits_of(hashes_of(text, shingle, seed))
+
+
 def fingerprints(df: DataFrame, shingle: int = 4, seed: int = 42, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, fp long): the fingerprint's bits as a signed number."""
     ship(df.sparkSession)
@@ -188,16 +197,16 @@ def links(classes: DataFrame, radius: int = BITS, pivots: int = PIVOTS, hot: int
     keyed = lambda df, ms: df.select("fp", "node", F.explode(ms).alias("mask")).withColumn("value", F.col("fp").bitwiseAND(F.col("mask")))
     keys = written(keyed(classes, F.array(*[F.lit(_signed(m)).cast("long") for m in chosen])), "keys")
     ready: list[DataFrame] = []
-    for _ in range(4):
+    while True:  # each turn fixes more bits, and distinct fingerprints that share all but ten bits are few
         sizes = keys.groupBy("mask", "value").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > 1)
-        crowded = written(sizes.filter(F.col("n") > hot), "crowded")
-        if crowded.isEmpty():
+        crowded = written(sizes.filter((F.col("n") > hot) & (F.bit_count("mask") < 64 - radius)), "crowded")
+        chosen = [r[0] for r in crowded.select("mask").distinct().collect()]  # some of the masks so far
+        if not chosen:
             break
         ready.append(keys.join(crowded, ["mask", "value"], "left_anti"))
         over = keys.join(crowded, ["mask", "value"], "left_semi")
-        finer = {_signed(m): [_signed(x) for x in refined(m)] for m in chosen}
-        chosen = sorted({x for m in chosen for x in refined(m)})
-        table = keys.sparkSession.createDataFrame([(k, v) for k, v in finer.items()], "mask long, finer array<long>")
+        finer = [(m, sorted({_signed(x) for x in refined(m % (1 << 64), radius)})) for m in chosen]
+        table = keys.sparkSession.createDataFrame(finer, "mask long, finer array<long>")
         keys = written(keyed(over.join(F.broadcast(table), "mask"), F.col("finer")), "keys")  # one row for each mask
     ready.append(keys)
     union = ready[0]

@@ -3,19 +3,21 @@
 Learning (fit): labelled rows, at most SAMPLE of them chosen by a hash of doc_id, give for each word and each stem (a word's
 first 4 to 6 letters) the toxic and the clean texts that hold it. Terms are chosen that hardly ever occur in clean texts, until
 each toxic text of the sample holds COVER of them or no term gains LEAST texts that aren't copies of each other; a stem that
-one longer term nearly always continues gives way to it. The bound on the sample is the only one; all else reads all rows.
+one longer term nearly always continues gives way to it. A term is a word of three letters or more. The bound on the sample is the
+only one, and it bounds the lexicon: at most COVER * SAMPLE / LEAST terms, and the near forms that the sample holds.
 
 Scanning: the terms stand in a trie. Levenshtein automata of all terms, run along the trie, are made deterministic as words
 ask for it, so a word costs one step a letter and most words end in the dead state after a few. Words of 5 to 7 letters are
 found at one edit (a swap of neighbours counts as one), from 8 letters on at two; stems and shorter words as they are. Near
 forms that clean texts of the sample hold are exempt, each by itself; the term's other near forms are still found.
 
-Scoring: a hit counts its term's weight, near forms NEAR of it. Within a window of WINDOW words, quotation marks around a hit
-or a word of reporting before it turn it into a quotation, which counts QUOTED of it. The sum goes through a logistic curve
-that is fitted on the sample.
+Scoring: a hit counts its term's weight, near forms NEAR of it. A hit between a pair of quotation marks that are no more than WINDOW
+words before and behind it, or up to three words behind a verb of reporting, is a quotation, which counts QUOTED of it. Marks are
+paired from the beginning of each line, so a mark that stands alone quotes nothing. The sum goes through a logistic curve that is
+fitted on the sample.
 
 Nulls: a null text is an empty one; empty texts get the score of no hit; a null doc_id is kept and never learned from; labels
-with null doc_id or toxic are left out, and of several labels for a doc_id the largest counts. Repeated rows are scored one by
+with null doc_id or toxic are left out, and of several labels for a doc_id, or for one text, the largest counts. Repeated rows are scored one by
 one. Without a toxic and a clean labelled row there is no term and the score is the curve's at no hit. Other columns are never
 read.
 """
@@ -36,14 +38,17 @@ from pyspark.sql import Column, DataFrame, functions as F
 from .common import ship, text_of, written
 from .encoding import _Kept
 
-SAMPLE, TERMS, COVER, LEAST = 20_000, 400, 4, 3
+SAMPLE, COVER, LEAST = 20_000, 4, 3
 #: Evidence from which on more makes no difference.
 CAP = 8.0
 NEAR, QUOTED, WINDOW = 0.7, 0.25, 6
 STEMS = (4, 5, 6)
-#: Words before a hit that report what someone else said.
-REPORTING = frozenset("said says say quote quoted quotes quoting called calls wrote writes word words term phrase reported cited dit dijo sagte".split())
-OPENING, CLOSING = "\"“«„‘", "\"”»“’"
+#: Verbs that report what someone else said.
+REPORTING = frozenset("said says quote quoted quotes quoting called calls wrote writes reported cited dit dijo sagte".split())
+#: What closes each opening quotation mark. An apostrophe closes nothing but its like.
+QUOTES = {'"': '"', "“": "”", "„": "“”", "«": "»", "»": "«", "‘": "’"}
+_LINE = re.compile(r"[^\n]+")
+_CHUNK = re.compile(r"\S+")
 _WORD = re.compile(r"[\w@$*!|]+")
 _EDGE = "_@$*!|"
 CACHE = 700_000
@@ -136,6 +141,25 @@ class Automaton:
         return self.ends[at]
 
 
+def quoted_chunks(text: str) -> set[int]:
+    """The numbers of the chunks between white space that lie between a pair of quotation marks near them."""
+    quoted: set[int] = set()
+    at = 0  # chunks before the line
+    for line in _LINE.finditer(text):
+        own = _CHUNK.findall(line[0])
+        closes, opened = "", 0
+        for i, chunk in enumerate(own):
+            for k, c in enumerate(chunk):
+                # within a word an apostrophe is part of it
+                if c in closes and not (c == "’" and chunk[k + 1 : k + 2].isalpha()):
+                    quoted.update(at + j for j in range(opened, i + 1) if j - opened <= WINDOW and i - j <= WINDOW)
+                    closes = ""
+                elif not closes and c in QUOTES:
+                    closes, opened = QUOTES[c], i
+        at += len(own)
+    return quoted
+
+
 # --- model ----------------------------------------------------------------------------------------------------------
 
 
@@ -169,13 +193,9 @@ class Scorer:
         found = list(map(self.chunks.__getitem__, chunks))
         if not any(found):
             return 0.0
-        return sum(e * (QUOTED if self._quoted(chunks, i) else 1.0) for i, e in enumerate(found) if e)
-
-    def _quoted(self, chunks: list[str], i: int) -> bool:
-        before, after = chunks[max(0, i - WINDOW) : i + 1], chunks[i : i + WINDOW + 1]
-        opened = any(c.lstrip("([")[:1] and c.lstrip("([")[0] in OPENING for c in before)
-        closed = any((t := c.rstrip(".,;:!?)]"))[-1:] and t[-1] in CLOSING for c in after)
-        return (opened and closed) or any(w in REPORTING for c in before[:-1][-3:] for w in words_of(c))
+        quoted = quoted_chunks(text)
+        reported = lambda i: any(w in REPORTING for c in chunks[max(0, i - 3) : i] for w in words_of(c))
+        return sum(e * (QUOTED if i in quoted or reported(i) else 1.0) for i, e in enumerate(found) if e)
 
     def score(self, text: str) -> float:
         x = self.model.base + self.model.slope * min(self.evidence(text), CAP)
@@ -191,7 +211,7 @@ def held_out(doc_id: Column) -> Column:
 
 
 def _candidates(text: str) -> set[str]:
-    words = {w for c in set(text.split()) for w in words_of(c) if 3 <= len(w) <= 24}
+    words = {w for c in set(text.split()) for w in words_of(c) if len(w) >= 3}
     return words | {"^" + w[:k] for w in words for k in STEMS if len(w) > k}
 
 
@@ -201,7 +221,7 @@ def fit(df: DataFrame, labels: DataFrame, sample: int = SAMPLE, doc_id: str = "d
     known = labels.select(labels["doc_id"].cast("long").alias("_id"), labels["toxic"].cast("int").alias("_toxic")).dropna()
     chosen = known.filter(~held_out(F.col("_id"))).groupBy("_id").agg(F.max("_toxic").alias("_toxic")).orderBy(F.xxhash64("_id"), "_id").limit(sample)
     own = df.select(df[doc_id].cast("long").alias("_id"), text_of(df, text).alias("text"))
-    rows = written(own.join(F.broadcast(chosen), "_id").select("text", "_toxic").dropDuplicates(["text"]), "labelled")  # at most `sample` ids are broadcast
+    rows = written(own.join(F.broadcast(chosen), "_id").groupBy("text").agg(F.max("_toxic").alias("_toxic")), "labelled")  # at most `sample` ids are broadcast
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         toxic, clean = Counter(), Counter()
@@ -221,7 +241,7 @@ def fit(df: DataFrame, labels: DataFrame, sample: int = SAMPLE, doc_id: str = "d
     counted = rows.mapInArrow(count, "term string, toxic long, clean long").filter("term <> ''").groupBy("term").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
     weight = F.log((F.col("toxic") + 0.5) / (bad + 1)) - F.log((F.col("clean") + 0.5) / (good + 1))
     rare = F.col("clean") * 50 * bad <= F.col("toxic") * good  # fifty times as frequent in toxic texts
-    top = counted.filter((F.col("toxic") >= LEAST) & rare).withColumn("w", weight).orderBy(F.desc("toxic"), "clean", F.length("term"), "term").limit(10 * TERMS).collect()
+    top = counted.filter((F.col("toxic") >= LEAST) & rare).withColumn("w", weight).orderBy(F.desc("toxic"), "clean", F.length("term"), "term").collect()  # words of the sample
     weights = {r["term"]: r["w"] for r in top}
     terms = _covering({r["term"]: r["toxic"] for r in top}, rows)
     stems = [t[1:] for t in terms if t[0] == "^"]
@@ -260,7 +280,7 @@ def _covering(count: dict[str, int], rows: DataFrame) -> list[str]:
     need, chosen, stems = [COVER] * len(texts), [], []
     for t in sorted(by_term, key=lambda t: (-len(by_term[t]), t)):
         word = terms[t].removeprefix("^")
-        if terms[t] in longer or len(chosen) >= TERMS or any(word.startswith(s) for s in stems):
+        if terms[t] in longer or any(word.startswith(s) for s in stems):
             continue  # a longer term, or a shorter stem, has it
         if len({texts[i][1] for i in by_term[t] if need[i] > 0}) >= LEAST:
             chosen.append(terms[t])
@@ -283,7 +303,7 @@ def _benign(rows: DataFrame, model: Model) -> frozenset[str]:
                         seen[w, hit[0]] += 1 if not y else 0
         yield pa.record_batch([pa.array([w for w, _ in seen], pa.string()), pa.array([t for _, t in seen], pa.string()), pa.array(list(seen.values()), pa.int64())], names=["word", "term", "clean"])
 
-    found = rows.mapInArrow(near, "word string, term string, clean long").groupBy("word", "term").agg(F.sum("clean").alias("clean")).filter("clean > 0").orderBy(F.desc("clean"), "word").limit(100_000).collect()
+    found = rows.mapInArrow(near, "word string, term string, clean long").groupBy("word", "term").agg(F.sum("clean").alias("clean")).filter("clean > 0").select("word").distinct().collect()  # words of the sample
     return frozenset(r["word"] for r in found)
 
 

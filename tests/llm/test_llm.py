@@ -639,8 +639,236 @@ def test_pipeline(spark, sf):
     for d, t in own:
         groups.setdefault(lowered(t), []).append(d)
     own = [(max(ds), t) for t, ds in groups.items()]
-    fps = [(d, slow_fingerprint(t)) for d, t in own]
-    least = reached([(a, b) for (a, x), (b, y) in combinations(fps, 2) if (x ^ y).bit_count() <= 4], [d for d, _ in fps])
+    sets = [(d, five_words(t)) for d, t in own]
+    near = lambda x, y: (x | y and 5 * len(x & y) >= 4 * len(x | y)) or not x | y  # noqa: E731  # similarity of 0.8 or more
+    least = reached([(a, b) for (a, x), (b, y) in combinations(sets, 2) if near(x, y)], [d for d, _ in sets])
     got = corpus_pipeline.run(spark, sf)
     assert {r[0] for r in got.select("doc_id").distinct().collect()} == set(least.values())
     assert got.groupBy("sequence_id").agg(F.sum("length").alias("n")).filter("n > 2048").count() == 0
+
+
+# --- every registered query against brute force ----------------------------------------------------------------------
+
+
+def slow_lines(rows):
+    """(text, n_lines, n_dropped, n_near) of rows (doc_id, text) with distinct ids, by comparing all lines."""
+    def near(a, b):
+        if min(len(a), len(b)) < 20 or abs(len(a) - len(b)) > 1:
+            return False
+        p = next((i for i, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b)))
+        return a[p + 1 :] == b[p + 1 :] if len(a) == len(b) else a[p + 1 :] == b[p:] if len(a) > len(b) else a[p:] == b[p + 1 :]
+
+    first, by_half, out = {}, {}, {}
+    for d, t in sorted(rows):
+        kept, gone, close = [], 0, 0
+        for k, raw in enumerate((t or "").split("\n")):
+            line = raw.strip()
+            if not line:
+                kept.append(raw)
+                continue
+            halves = [("<", line[: len(line) // 2]), ("<", line[: (len(line) - 1) // 2]), (">", line[len(line) - (len(line) - len(line) // 2) :]), (">", line[len(line) - (len(line) - 1 - (len(line) - 1) // 2) :])]
+            if line in first:
+                gone += 1
+                close += first[line]
+                continue
+            first[line] = any(near(line, other) for h in halves for other in by_half.get(h, ()))
+            for h in halves:
+                by_half.setdefault(h, []).append(line)
+            if first[line]:
+                gone, close = gone + 1, close + 1
+            else:
+                kept.append(raw)
+        out[d] = ("\n".join(kept), len((t or "").split("\n")), gone, close)
+    return out
+
+
+@pytest.fixture(scope="module")
+def whole(spark, sf):
+    return [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()]
+
+
+def test_query_op1(spark, sf, whole):
+    library, at, want = encoding.Encoder(BYTE).library, 0, {}
+    for d, t in sorted(whole):
+        ids = library.encode(t or "", add_special_tokens=False).ids + [2]
+        want[d] = (at, len(ids), crc(ids))
+        at += len(ids)
+    assert {r["doc_id"]: (r["start"], r["n_tokens"], r["ids_crc32"]) for r in queries.QUERIES["op1_token_file"](spark, sf).collect()} == want
+
+
+def test_query_op2(spark, sf, whole):
+    got = {r["doc_id"]: r for r in queries.QUERIES["op2_toxicity"](spark, sf).collect()}
+    assert set(got) == {d for d, _ in whole} and all(0 <= r["score"] <= 1 and r["predicted"] == int(r["score"] >= 0.5) for r in got.values())
+    assert all(r["held_out"] == (zlib.crc32(str(d).encode()) % 5 == 0) for d, r in got.items())
+    model = toxicity.fit(spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet"))
+    lexicon = [t for t in model.weights if t not in model.stems]
+
+    def distance(a, b):
+        d = [[max(i, j) if not i or not j else 0 for j in range(len(b) + 1)] for i in range(len(a) + 1)]
+        for i in range(1, len(a) + 1):
+            for j in range(1, len(b) + 1):
+                d[i][j] = min(d[i - 1][j] + 1, d[i][j - 1] + 1, d[i - 1][j - 1] + (a[i - 1] != b[j - 1]))
+                if i > 1 and j > 1 and a[i - 1] == b[j - 2] and a[i - 2] == b[j - 1]:
+                    d[i][j] = min(d[i][j], d[i - 2][j - 2] + 1)
+        return d[-1][-1]
+
+    def slow_score(t):  # each word against each term
+        chunks, total = t.split(), 0.0
+        quoted = toxicity.quoted_chunks(t)
+        for i, c in enumerate(chunks):
+            best = 0.0
+            for w in toxicity.words_of(c):
+                stem = next((s for s in sorted(model.stems, key=len) if w.startswith(s)), None)
+                near = [(distance(w, x), x) for x in lexicon if abs(len(w) - len(x)) <= toxicity.bound(x)]
+                hit = (0, stem) if stem else min(((n, x) for n, x in near if n <= toxicity.bound(x)), default=None)
+                if hit and w not in model.exempt:
+                    best = max(best, model.weights[hit[1]] * (toxicity.NEAR if hit[0] else 1.0))
+            told = i in quoted or any(w in toxicity.REPORTING for x in chunks[max(0, i - 3) : i] for w in toxicity.words_of(x))
+            total += best * (toxicity.QUOTED if told else 1.0)
+        return 1 / (1 + math.exp(-(model.base + model.slope * min(total, toxicity.CAP))))
+
+    for d, t in sorted(whole, key=lambda r: len(r[1] or ""))[:60]:
+        assert got[d]["score"] == pytest.approx(slow_score(t or ""), abs=1e-9)
+
+
+def test_query_op3(spark, sf, whole):
+    library = encoding.Encoder(WORD).library
+    got = queries.QUERIES["op3_packing"](spark, sf).collect()
+    want = [(d, k, s, len(x[s : s + 2048]), crc(x[s : s + 2048])) for d, t in whole for x in [library.encode(t or "", add_special_tokens=False).ids + [0]] for k, s in enumerate(range(0, len(x), 2048))]
+    assert sorted((r["doc_id"], r["piece"], r["start"], r["length"], r["ids_crc32"]) for r in got) == sorted(want)
+    bins = {}
+    for r in got:
+        bins.setdefault(r["sequence_id"], []).append((r["offset"], r["length"]))
+    assert all(sum(n for _, n in b) <= 2048 and [o for o, _ in sorted(b)] == [0, *np.cumsum([n for _, n in sorted(b)])[:-1].tolist()] for b in bins.values())
+    lengths = [w[3] for w in want]
+    # pieces longer than half a sequence can't share one; what is too long to stand beside piece k can't take it in
+    need = max(sum(n > 2048 - k for n in lengths) + max(sum(2048 - k >= n > 1024 for n in lengths), -(-sum(n for n in lengths if k <= n <= 2048 - k) // 2048)) for k in range(1025))
+    assert need <= len(bins) <= need + 1
+
+
+def test_query_op4(spark, sf, whole):
+    library = piece_transducer.transducer(PIECE).library
+    want = {d: (len(x), crc(x)) for d, t in whole for x in [library.encode(t or "")]}
+    got = queries.QUERIES["op4_sentencepiece"](spark, sf).collect()
+    assert {r["doc_id"]: (r["n_pieces"], r["ids_crc32"]) for r in got} == want and all(r["same"] for r in got)
+
+
+def test_query_op5(spark, sf, whole):
+    fps = {d: slow_fingerprint(t or "") for d, t in whole}
+    least = reached([(a, b) for (a, x), (b, y) in combinations(fps.items(), 2) if (x ^ y).bit_count() <= 4], fps)
+    assert {r["doc_id"]: (r["fingerprint"], r["component_id"]) for r in queries.QUERIES["op5_simhash"](spark, sf).collect()} == {d: (f"{f:016x}", least[d]) for d, f in fps.items()}
+
+
+def test_query_op6(spark, sf, whole):
+    library = encoding.Encoder(WORD).library
+    count = lambda t: len(library.encode(t, add_special_tokens=False).ids)
+    got = {r["doc_id"]: r for r in queries.QUERIES["op6_token_counts"](spark, sf).collect()}
+    for d, t in whole:
+        t, r = t or "", got[d]
+        n = count(t)
+        assert (r["n_bytes"], r["n_tokens"], r["over_limit"]) == (len(t.encode()), n, n > 2048)
+        end = r["fit_chars"]
+        assert end == len(t) if n <= 2048 else count(t[:end]) <= 2048 < min(count(t[:k]) for k in range(end + 1, end + 30))
+
+
+def test_query_op7(spark, sf, whole):
+    got = {(r["doc_id"], r["license"]): r["containment"] for r in queries.QUERIES["op7_license_scan"](spark, sf).collect()}
+    want = {(d, k): c for d, t in whole for k, c in license_scan.brute(t).items()}
+    assert got.keys() == want.keys() and all(got[k] <= want[k] for k in got)
+
+
+def test_query_op8(spark, sf, whole):
+    want = {d: (n, gone, near, hashlib.sha256(t.encode()).hexdigest()) for d, (t, n, gone, near) in slow_lines(whole).items()}
+    assert {r["doc_id"]: (r["n_lines"], r["n_dropped"], r["n_near"], r["text_sha256"]) for r in queries.QUERIES["op8_line_dedup"](spark, sf).collect()} == want
+
+
+def test_a_star_of_many_leaves(spark):
+    own = spark.range(1, 100_001).select(F.col("id").alias("a"), F.when(F.col("id") % 2 == 0, 0).otherwise(200_000).cast("long").alias("b"))
+    joint = own.unionAll(spark.createDataFrame([(200_000, 300_000), (300_000, 4)], "a long, b long"))
+    got = components.components(joint)
+    assert got.count() == 100_003 and got.select("component").distinct().collect()[0][0] == 0
+
+
+def test_packing_against_the_optimum():
+    draw = random.Random(2)
+
+    def optimum(lens, capacity):
+        n = len(lens)
+        total = [0] * (1 << n)
+        for m in range(1, 1 << n):
+            total[m] = total[m & (m - 1)] + lens[(m & -m).bit_length() - 1]
+        best = [0] * (1 << n)
+        for m in range(1, 1 << n):
+            low = m & -m
+            rest, sub, best[m] = m ^ low, m ^ low, n
+            while True:
+                if total[sub | low] <= capacity:
+                    best[m] = min(best[m], 1 + best[m ^ low ^ sub])
+                if not sub:
+                    break
+                sub = (sub - 1) & rest
+        return best[-1]
+
+    sums = np.zeros(3, int)
+    for _ in range(25):
+        lens = [draw.randint(15, 60) for _ in range(9)]
+        sums += [optimum(lens, 100), len(packing.pack_lengths(lens, 100)), len(packing.best_fit(lens, 100))]
+    assert sums[0] == sums[1] <= sums[2]
+
+
+def test_kicks_free_large_pieces():
+    draw = random.Random(4)
+    lengths = [draw.choice([draw.randint(1, 400), draw.randint(900, 1400)]) for _ in range(3000)]
+    start = packing.best_fit(lengths, 2048, as_given=True)
+    searched = packing.improve(start, lengths, 2048)
+    after = packing.pack_lengths(lengths, 2048)
+    assert len(after) <= len(searched) < len(start) and sorted(i for b in after for i in b) == list(range(3000))
+
+
+def test_rows_of_one_id_have_their_own_windows(spark):
+    mit = license_scan.TEMPLATES["mit"]
+    part = " ".join(mit.split()[: int(len(mit.split()) * 0.6)])
+    for rows in ([(None, part), (None, mit)], [(None, mit), (None, part)], [(4, part), (4, mit)]):
+        got = [(r["doc_id"], r["license"], r["containment"]) for r in license_scan.scan(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)).collect()]
+        assert got == [(rows[0][0], "mit", 1.0)]
+
+
+def test_line_counts_with_clashing_names_and_repeated_rows(spark):
+    df = spark.createDataFrame([(1, "one line of text that repeats\n\nx", "a"), (1, "one line of text that repeats\n\nx", "b"), (None, "q", "c"), (None, "q", "d"), (2, "x\ny", "e")], "doc_id long, text string, _lines string")
+    out = line_dedup.dedup_lines(df)
+    assert out.columns == ["doc_id", "text", "_lines", "_lines_", "_dropped", "_near"]
+    got = sorted((r["doc_id"] or 0, r["text"], r["_dropped"]) for r in out.collect())
+    assert got == sorted([(0, "q", 0), (0, "", 1), (1, "one line of text that repeats\n\nx", 0), (1, "", 2), (2, "y", 1)])
+    with pytest.raises(ValueError):
+        line_dedup.dedup_lines(df, counts=("_LINES", "a", "b"))
+
+
+def test_short_lines_can_have_a_bound_too(spark):
+    df = spark.createDataFrame([(1, "abc\nabd\nxyz"), (2, "ab\nxy\nq")], "doc_id long, text string")
+    assert [r["text"] for r in line_dedup.dedup_lines(df, min_chars=0).orderBy("doc_id").collect()] == ["abc\nxyz", "q"]
+    assert [r["text"] for r in line_dedup.dedup_lines(df).orderBy("doc_id").collect()] == ["abc\nabd\nxyz", "ab\nxy\nq"]
+
+
+def test_vectors_without_an_id_count(spark):
+    rows = [(None, [1.0, 0.0], 1), (5, [1.0, 0.01], 1), (None, [0.0, 1.0], 1), (None, [0.0, 1.0], 2)]
+    got = sorted((r["vec_id"] or -1, r["n_links"], r["component_id"] or -1) for r in embed_dedup.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect())
+    assert got == sorted([(-1, 1, 5), (5, 1, 5), (-1, 0, -1), (-1, 0, -1)])
+
+
+def test_grids_of_any_number_of_axes_lose_no_link(spark, monkeypatch):
+    draw = np.random.default_rng(8)
+    base = draw.normal(size=(12, 8))
+    x = [(base[i % 12] + draw.normal(size=8) * 0.08).tolist() for i in range(240)]
+    df = spark.createDataFrame([(i, v, i % 2) for i, v in enumerate(x)], "vec_id long, embedding array<double>, label int")
+    unit = np.array(x) / np.linalg.norm(x, axis=1, keepdims=True)
+    links = [(i, j) for i, j in combinations(range(240), 2) if i % 2 == j % 2 and unit[i] @ unit[j] >= 0.98]
+    least, n = reached(links, range(240)), np.bincount(np.array(links).reshape(-1), minlength=240)
+    for axes in (1, 2, 4):
+        monkeypatch.setattr(embed_dedup, "_cheapest", lambda *_: axes)
+        assert {r["vec_id"]: (r["n_links"], r["component_id"]) for r in embed_dedup.near_vectors(df, tile=40).collect()} == {i: (n[i], least[i]) for i in range(240)}
+
+
+def test_marks_are_paired_by_place():
+    s = toxicity.Scorer(toxicity.Model({"idiot": 6.0}, base=-4.0, slope=1.2))
+    assert all(s.score(t) > 0.5 for t in ('"Hi" idiot "bye"', "in other words you idiot", 'a " stray and idiot', "don’t be an idiot, it’s late", 'he sat "\nidiot "'))
+    assert all(s.score(t) < 0.5 for t in ('he wrote "what an idiot" there', "« idiot »", "a “total idiot” he"))
