@@ -25,7 +25,7 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents linked by a similarity of 0.8 or more of their five-word shingles, the one with the smallest doc_id stays."""
+    """SimHash over five-word shingles; of documents linked by a similarity of 0.8 or more, the one with the smallest doc_id stays."""
     return near_text.first_of_groups(docs, shingle=5, similarity=0.8)
 
 
