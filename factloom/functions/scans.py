@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import ast
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 from typing import Any
 
@@ -122,30 +123,60 @@ _METHOD = r"(?:(public|protected|private|async|static|override)\s+)*([\w$<>\[\]?
 _NOT_NAMES = frozenset("if for while switch catch return function new else do try synchronized with super this constructor".split())
 
 
+# Types that are no part of a program's own structure.
+PLAIN_TYPES = frozenset(
+    "byte short int long float double boolean char void String Integer Long Double Float Boolean Character BigDecimal BigInteger UUID URI URL Date Instant LocalDate LocalDateTime OffsetDateTime ZonedDateTime "
+    "Object Class List Set Map Collection Optional Mono Flux".split()
+)
+SNIPPET = 4_000
+
+
+def _placed(text: str, start: int, end: int, breaks: list[int]) -> dict[str, Any]:
+    """Lines and snippet of a symbol."""
+    return {"start_line": bisect_right(breaks, start - 1) + 1, "end_line": bisect_right(breaks, max(start, end - 1) - 1) + 1, "snippet": text[start : min(end, start + SNIPPET)]}
+
+
+def _breaks(text: str) -> list[int]:
+    return [m.start() for m in re.finditer("\n", text)]
+
+
 def braces_symbols(path: str, text: str) -> Iterator[Found]:
     """Types, methods, calls, constructions and injected fields of languages with braces, without a parser."""
+    breaks = _breaks(text)
+    head = lambda start: text[text.rfind("\n", 0, start) + 1 : start]
     types = [(m.start(), balanced(text, m.end() - 1), m) for m in re.finditer(_TYPE, text)]
     methods = []
+    for m in re.finditer(_METHOD, text):
+        if m[3] not in _NOT_NAMES and (m[2] or "").strip() not in ("new", "return", "else"):
+            owner = max(((s, t[2]) for s, e, t in types if s < m.start() < e), default=(0, None))[1]
+            methods.append((m.start(), balanced(text, m.end() - 1), m[3], owner, m))
     for start, end, m in types:
-        yield "source.symbol", "code_symbol", start, end, {"symbol_id": f"{path}#{m[2]}", "name": m[2], "symbol_type": m[1], "class_name": None, "signature": re.sub(r"\s+", " ", m[0][:-1]).strip(), "source_path": path}
+        yield "source.symbol", "code_symbol", start, end, {
+            "symbol_id": f"{path}#{m[2]}", "name": m[2], "symbol_type": m[1], "class_name": None, "exported": "export" in head(start) or "public" in head(start), "signature": re.sub(r"\s+", " ", m[0][:-1]).strip()[:300],
+            "calls": [], "members": list(dict.fromkeys(x[2] for x in methods if x[3] == m[2])), "source_path": path, **_placed(text, start, end, breaks),
+        }
         for kind, names in re.findall(r"\b(extends|implements)\s+([\w$.,<>\s]+?)(?=\bimplements\b|$)", m[3].strip()):
             for name in top_level(re.sub(r"<[^<>]*>", "", names)):
                 yield "source.type-relation", "type_relation", start, end, {"source_type": m[2], "target_type": name.strip(), "relation": kind, "source_path": path}
         for f in re.finditer(r"\b(?:private|protected|public)\s+(?:final|readonly)\s+([A-Z][\w$<>]*)\s+([a-z_$][\w$]*)\s*;|\b(?:private|protected|public)\s+(?:readonly\s+)?([a-z_$][\w$]*)\s*:\s*([A-Z][\w$<>]*)\s*[,)]", text[start:end]):
-            yield "source.injection", "dependency_injection", start + f.start(), start + f.end(), {"class_name": m[2], "parameter": f[2] or f[3], "dependency_type": f[1] or f[4], "source_path": path}
-    for m in re.finditer(_METHOD, text):
-        if m[3] not in _NOT_NAMES and (m[2] or "").strip() not in ("new", "return", "else"):
-            owner = max(((s, t[2]) for s, e, t in types if s < m.start() < e), default=(0, None))[1]
-            methods.append((m.start(), balanced(text, m.end() - 1), m[3], owner, m))
+            if re.sub("<.*", "", f[1] or f[4]) not in PLAIN_TYPES:
+                yield "source.injection", "dependency_injection", start + f.start(), start + f.end(), {"class_name": m[2], "parameter": f[2] or f[3], "dependency_type": f[1] or f[4], "start": start + f.start(), "end": start + f.end(), "source_path": path}
     for start, end, name, owner, m in methods:
         id_ = f"{path}#{owner}.{name}" if owner else f"{path}#{name}"
-        yield "source.symbol", "code_symbol", start, end, {"symbol_id": id_, "name": name, "symbol_type": "method" if owner else "function", "class_name": owner, "visibility": m[1], "parameters": top_level(m[4]), "signature": re.sub(r"\s+", " ", m[0][:-1]).strip(), "source_path": path}
-        for c in re.finditer(r"(?:([\w$.]+)\.)?([A-Za-z_$][\w$]*)\s*\(", text[m.end() : end]):
-            if c[2] not in _NOT_NAMES and not re.search(r"\bnew\s*$", text[m.end() : m.end() + c.start()]):
-                yield "source.call", "symbol_call", m.end() + c.start(), m.end() + c.end(), {"caller_symbol_id": id_, "caller_name": name, "caller_class": owner, "callee_name": c[2], "receiver": c[1], "source_path": path}
+        body = text[m.end() : end]
+        made = [c for c in re.finditer(r"(?:([\w$.]+)\.)?([A-Za-z_$][\w$]*)\s*\(", body) if c[2] not in _NOT_NAMES and not re.search(r"\bnew\s*$", body[max(0, c.start() - 20) : c.start()])]
+        words = re.findall(r"\w+", m[0][: m.start(3) - m.start()])
+        yield "source.symbol", "code_symbol", start, end, {
+            "symbol_id": id_, "name": name, "symbol_type": "method" if owner else "function", "class_name": owner, "visibility": m[1], "static": "static" in words, "async": "async" in words, "exported": "export" in head(start),
+            "parameters": top_level(m[4]), "signature": re.sub(r"\s+", " ", m[0][:-1]).strip()[:300], "calls": list(dict.fromkeys(c[2] for c in made)), "source_path": path, **_placed(text, start, end, breaks),
+        }
+        for c in made:
+            yield "source.call", "symbol_call", m.end() + c.start(), m.end() + c.end(), {
+                "caller_symbol_id": id_, "caller_name": name, "caller_class": owner, "callee_name": c[2], "receiver": c[1], "expression": f"{c[1]}.{c[2]}" if c[1] else c[2], "source_path": path,
+            }
     for m in re.finditer(r"(?:(?:const|let|var|[A-Z][\w$<>]*)\s+([a-z_$][\w$]*)\s*=\s*)?new\s+([A-Z][\w$]*)(?:<[^>]*>)?\s*\(", text):
         end = balanced(text, m.end() - 1)
-        yield "source.construction", "object_construction", m.start(), end, {"variable": m[1], "constructed_type": m[2], "arguments": top_level(text[m.end() : end - 1]), "source_path": path}
+        yield "source.construction", "object_construction", m.start(), end, {"variable": m[1], "constructed_type": m[2], "arguments": top_level(text[m.end() : end - 1]), "start": m.start(), "end": end, "source_path": path}
 
 
 def imports(path: str, text: str) -> Iterator[Found]:
@@ -167,7 +198,8 @@ def python_symbols(path: str, text: str) -> Iterator[Found]:
     starts = [0]
     for line in text.split("\n"):
         starts.append(starts[-1] + len(line) + 1)
-    lines = text.split("\n")
+    lines, breaks = text.split("\n"), _breaks(text)
+    named = lambda n: list(dict.fromkeys(c.func.id if isinstance(c.func, ast.Name) else c.func.attr for c in ast.walk(n) if isinstance(c, ast.Call) and isinstance(c.func, (ast.Name, ast.Attribute))))
     at = lambda line, col: starts[line - 1] + len(lines[line - 1].encode()[:col].decode("utf-8", "replace"))
     span = lambda n: (at(n.lineno, n.col_offset), at(n.end_lineno, n.end_col_offset))
 
@@ -175,16 +207,16 @@ def python_symbols(path: str, text: str) -> Iterator[Found]:
         for n in ast.iter_child_nodes(node):
             inner = (owner, caller, name)
             if isinstance(n, ast.ClassDef):
-                yield "source.symbol", "code_symbol", *span(n), {"symbol_id": f"{path}#{n.name}", "name": n.name, "symbol_type": "class", "class_name": None, "source_path": path}
+                yield "source.symbol", "code_symbol", *span(n), {"symbol_id": f"{path}#{n.name}", "name": n.name, "symbol_type": "class", "class_name": None, "calls": [], "members": [m.name for m in n.body if isinstance(m, (ast.FunctionDef, ast.AsyncFunctionDef))], "source_path": path, **_placed(text, *span(n), breaks)}
                 inner = (n.name, caller, name)
             elif isinstance(n, (ast.FunctionDef, ast.AsyncFunctionDef)):
                 id_ = f"{path}#{owner}.{n.name}" if owner else f"{path}#{n.name}"
-                yield "source.symbol", "code_symbol", *span(n), {"symbol_id": id_, "name": n.name, "symbol_type": "method" if owner else "function", "class_name": owner, "parameters": [a.arg for a in n.args.args], "source_path": path}
+                yield "source.symbol", "code_symbol", *span(n), {"symbol_id": id_, "name": n.name, "symbol_type": "method" if owner else "function", "class_name": owner, "parameters": [a.arg for a in n.args.args], "async": isinstance(n, ast.AsyncFunctionDef), "calls": named(n), "source_path": path, **_placed(text, *span(n), breaks)}
                 inner = (owner, id_, n.name)
             elif isinstance(n, ast.Call) and caller and isinstance(n.func, (ast.Name, ast.Attribute)):
                 callee = n.func.id if isinstance(n.func, ast.Name) else n.func.attr
                 receiver = None if isinstance(n.func, ast.Name) else re.sub(r"^self\b", "this", ast.unparse(n.func.value))
-                yield "source.call", "symbol_call", *span(n), {"caller_symbol_id": caller, "caller_name": name, "caller_class": owner, "callee_name": callee, "receiver": receiver, "source_path": path}
+                yield "source.call", "symbol_call", *span(n), {"caller_symbol_id": caller, "caller_name": name, "caller_class": owner, "callee_name": callee, "receiver": receiver, "expression": f"{receiver}.{callee}" if receiver else callee, "source_path": path}
             elif isinstance(n, ast.Import):
                 for a in n.names:
                     yield "source.import", "module_dependency", *span(n), {"source_path": path, "specifier": a.name, "imports": [a.asname or a.name], "external": True}
@@ -196,9 +228,19 @@ def python_symbols(path: str, text: str) -> Iterator[Found]:
 
 
 def manifests(path: str, text: str) -> Iterator[Found]:
-    """Packages, scripts and runtimes of package.json."""
+    """Packages, scripts and runtimes of package.json; modules of Gradle builds."""
     import json
 
+    if re.search(r"(?i)(?:^|/)(?:build|settings)\.gradle(?:\.kts)?$", path):
+        owner = path.rpartition("/")[0] or "."
+        module = lambda name: name.removeprefix(":").replace(":", "/")
+        yield "repository.build-module", "build_module", 0, min(1, len(text)), {"module": owner, "manifest": path}
+        for m in re.finditer(r"\bproject\s*\(\s*[\"'](:[^\"']+)[\"']\s*\)", text):
+            yield "repository.build-dependency", "build_module_dependency", m.start(), m.end(), {"source_module": owner, "target_module": module(m[1]), "declaration": m[0], "source_path": path}
+        for m in re.finditer(r"\binclude\s*\(?\s*([^\r\n)]+)", text) if "settings.gradle" in path else ():
+            for name in re.findall(r"[\"'](:[^\"']+)[\"']", m[1]):
+                yield "repository.build-module", "build_module", m.start(), m.end(), {"module": module(name), "declared_by": path}
+        return
     if path.rsplit("/", 1)[-1] != "package.json":
         return
     try:
@@ -207,13 +249,20 @@ def manifests(path: str, text: str) -> Iterator[Found]:
         return
     if not isinstance(data, dict):
         return
-    for scope in ("dependencies", "devDependencies", "peerDependencies", "optionalDependencies"):
-        for name, version in (data.get(scope) or {}).items():
-            yield "package.dependencies", "package_dependency", 0, len(text), {"package": name, "version": str(version), "scope": scope}
-    for name, command in (data.get("scripts") or {}).items():
-        yield "package.scripts", "build_script", 0, len(text), {"name": name, "command": str(command)}
-    for name, value in (data.get("engines") or {}).items():
-        yield "package.runtime", "technology", 0, len(text), {"technology": name, "value": str(value)}
+    entries = lambda key: data[key].items() if isinstance(data.get(key), dict) else ()
+
+    def span(name: str) -> tuple[int, int]:
+        at = max(0, text.find(f'"{name}"'))
+        return at, at + len(name) + 2
+
+    for key, scope in (("dependencies", "runtime"), ("devDependencies", "development"), ("peerDependencies", "peer"), ("optionalDependencies", "optional")):
+        for name, version in entries(key):
+            yield "package.dependencies", "package_dependency", *span(name), {"package": name, "declared_version": str(version), "scope": scope}
+    for name, command in entries("scripts"):
+        yield "package.scripts", "build_script", *span(name), {"name": name, "command": str(command)}
+    for key, technology in (("packageManager", "package-manager"), ("engines", "runtime"), ("type", "module-system")):
+        if data.get(key):
+            yield "package.runtime", "technology", 0, 1, {"technology": technology, "value": data[key]}
 
 
 def scan(path: str, text: str) -> Iterator[Found]:

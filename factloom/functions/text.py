@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import json
+import re
 import unicodedata
 from collections.abc import Callable
 from functools import reduce
+from typing import Any
 
+import pandas as pd
 from pyspark.sql import Column, functions as F
 
 
@@ -183,10 +187,45 @@ def has_secret(value: Column) -> Column:
     return bare.rlike("|".join(f"(?:{pattern})" for pattern, _ in SECRETS))  # one pass; a flag holds within its brackets
 
 
+def value_redactor() -> Callable[[Any], Any]:
+    """A function of a JSON value: any value of a secret name is replaced whole, and every rule holds within strings."""
+    name = re.compile(_SECRET_NAMES, re.IGNORECASE | re.ASCII)
+    rules = [(re.compile(pattern, re.ASCII), re.sub(r"\$(\d)", r"\\\1", mark)) for pattern, mark in SECRETS]
+
+    def walk(value: Any) -> Any:
+        if isinstance(value, str):
+            for pattern, mark in rules:
+                value = pattern.sub(mark, value)
+            return value
+        if isinstance(value, list):
+            return [walk(x) for x in value]
+        if isinstance(value, dict):
+            return {k: "[REDACTED]" if name.search(k) else walk(x) for k, x in value.items()}
+        return value
+
+    return walk
+
+
 def redact_json(value_json: Column) -> Column:
-    """The text of a JSON value with secrets out of its strings, and with the values of secret names replaced whole."""
-    named = F.regexp_replace(value_json, f'(?i)("(?:[^"\\\\]|\\\\.)*(?:{_SECRET_NAMES})(?:[^"\\\\]|\\\\.)*"\\s*:\\s*)"(?:[^"\\\\]|\\\\.)*"', '$1"[REDACTED]"')
-    return reduce(lambda text, rule: F.regexp_replace(text, *rule), SECRETS[:-1], named)
+    """The text of a JSON value, redacted at any depth. A value that names no secret and holds none stays as it is; only the others
+    are walked, in batches, as regular expressions don't nest. A text that is no JSON is redacted as a text."""
+    walk = value_redactor()
+
+    def run(values: pd.Series) -> pd.Series:
+        def one(text: str | None) -> str | None:
+            if text is None:
+                return None
+            try:
+                value = json.loads(text)
+            except ValueError:
+                return walk(text)
+            return json.dumps(walk(value), ensure_ascii=False, separators=(",", ":"))
+
+        return values.map(one, na_action="ignore")
+
+    # what a rule could meet: escapes count, as they may hide a line's or a word's beginning
+    strange = value_json.rlike("|".join([f"(?i:{_SECRET_NAMES})", r"\\\\u00", *(f"(?:{pattern})" for pattern, _ in SECRETS[:-1])]))
+    return F.coalesce(F.pandas_udf(run, "string")(F.when(strange, value_json)), value_json)
 
 
 def sanitise_diagnostic(value: Column) -> Column:

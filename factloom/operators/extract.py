@@ -10,8 +10,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions.ids import canonical_json, sha256, stable_id
-from ..functions.text import redact_json
+from ..functions.text import value_redactor
 from ..sources.ship import ship
+from .architecture import with_metadata
 
 MAX_FILE_BYTES = 2 * 1024 * 1024
 RAW = "repository_id string, snapshot_id string, relative_path string, source_hash string, rule_id string, kind string, start long, end long, value_json string"
@@ -25,15 +26,17 @@ def _found(path: str, text: str, rule_ids: frozenset[str] | None) -> Iterator[tu
         if rule_ids is None or rule.id in rule_ids:
             for m in matches(rule, path, text):
                 yield rule.id, rule.kind, m.start(), m.end(), payload(rule, m)
-    for row in scan(path, text):
-        if rule_ids is None or row[0] in rule_ids:
-            yield row
+    if rule_ids is None or rule_ids - {rule.id for rule in RULES}:  # a scan is asked for
+        for row in scan(path, text):
+            if rule_ids is None or row[0] in rule_ids:
+                yield row
 
 
 def _rows(rule_ids: frozenset[str] | None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["repository_id", "snapshot_id", "relative_path", "source_hash", "rule_id", "kind", "start", "end", "value_json"]
         kinds = [pa.string()] * 6 + [pa.int64()] * 2 + [pa.string()]
+        redacted = value_redactor()
         for batch in batches:
             rows: list[list] = [[] for _ in names]
             for repository, snapshot, path, digest, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
@@ -41,7 +44,7 @@ def _rows(rule_ids: frozenset[str] | None):
                 for rule, kind, start, end, value in _found(path, text, rule_ids):
                     if not plain:
                         start, end = len(text[:start].encode()), len(text[:end].encode())
-                    own = json.dumps({"source_path": path} | value, ensure_ascii=False)
+                    own = json.dumps(redacted({"source_path": path} | value), ensure_ascii=False)
                     for to, v in zip(rows, (repository, snapshot, path, digest, rule, kind, start, end, own), strict=True):
                         to.append(v)
             yield pa.record_batch([pa.array(v, t) for v, t in zip(rows, kinds, strict=True)], names=names)
@@ -50,7 +53,7 @@ def _rows(rule_ids: frozenset[str] | None):
 
 
 def extract(files: DataFrame, rule_ids: set[str] | None = None, max_bytes: int = MAX_FILE_BYTES) -> DataFrame:
-    """files (repository_id, snapshot_id, relative_path, text) to raw findings.."""
+    """files (repository_id, snapshot_id, relative_path, text) to raw findings, redacted."""
     ship(files.sparkSession)
     own = files.filter((F.octet_length("text") <= max_bytes) & F.col("text").isNotNull()).select("repository_id", "snapshot_id", "relative_path", sha256(F.col("text")).alias("source_hash"), "text")
     return own.mapInArrow(_rows(None if rule_ids is None else frozenset(rule_ids)), RAW)
@@ -64,10 +67,10 @@ def evidence_of(found: DataFrame) -> DataFrame:
 
 
 def facts_of(found: DataFrame) -> DataFrame:
-    """Facts, redacted before they get their ids; equal facts are one."""
-    value = canonical_json(redact_json(F.col("value_json")))
+    """Facts of findings, which were redacted before, so that ids come from what is left; equal facts are one."""
+    value = canonical_json(F.col("value_json"))
     evidence = stable_id("evidence", *(F.col(c) for c in ("snapshot_id", "relative_path", "start", "end", "rule_id")))
-    own = found.withColumns({"value_json": value, "_e": evidence})
+    own = with_metadata(found).withColumns({"value_json": value, "_e": evidence})
     return own.select(stable_id("fact", F.col("repository_id"), F.col("kind"), F.col("value_json"), F.col("_e")).alias("id"), "kind", F.col("repository_id").alias("component_id"), "value_json", F.array("_e").alias("evidence_ids"), "rule_id").dropDuplicates(["id"])
 
 

@@ -2,18 +2,36 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.ids import canonical_json, stable_id
 from .scope import is_structural
 from .traverse import invalidated
 
 
-def rebase_evidence(evidence: DataFrame, stale: DataFrame, snapshot_id: str) -> DataFrame:
-    """Evidence of files that aren't stale (path), with ids of the new snapshot; old_id is the one before."""
-    kept = evidence.join(stale.select(F.col("path").alias("relative_path")), "relative_path", "left_anti")
-    fresh = stable_id("evidence", F.lit(snapshot_id), F.col("relative_path"), F.col("locator.start"), F.col("locator.end"), F.col("rule_id"))
-    return kept.withColumn("old_id", F.col("id")).withColumns({"id": fresh, "snapshot_id": F.lit(snapshot_id)})
+#: Between a repository and a path, where both are one key.
+BETWEEN = "\u0001"
+
+
+def file_key(repository: Column, path: Column) -> Column:
+    return F.concat_ws(BETWEEN, repository, path)
+
+
+def path_of(key: Column) -> Column:
+    return F.element_at(F.split(key, BETWEEN), -1)
+
+
+def rebase_evidence(evidence: DataFrame, stale: DataFrame, snapshot: str | DataFrame) -> DataFrame:
+    """Evidence of files that aren't stale (path, and repository_id where there are several), with ids of the new snapshot; old_id
+    is the one before. snapshot: its id, or the ids (repository_id, snapshot_id); what has none there is gone."""
+    keys = [c for c in ("repository_id", "relative_path") if c == "relative_path" or c in stale.columns]
+    kept = evidence.join(stale.withColumnRenamed("path", "relative_path").select(keys), keys, "left_anti").withColumn("old_id", F.col("id"))
+    if isinstance(snapshot, str):
+        kept = kept.withColumn("snapshot_id", F.lit(snapshot))
+    else:
+        kept = kept.drop("snapshot_id").join(snapshot, "repository_id")
+    fresh = stable_id("evidence", F.col("snapshot_id"), F.col("relative_path"), F.col("locator.start"), F.col("locator.end"), F.col("rule_id"))
+    return kept.withColumn("id", fresh).select(*[c for c in evidence.columns if c != "snapshot_id"], "snapshot_id", "old_id")
 
 
 def rebase_facts(facts: DataFrame, rebased: DataFrame) -> DataFrame:
@@ -33,18 +51,19 @@ def plan_refresh(changes: DataFrame, imports: DataFrame, same_rules: bool = True
     need everything again."""
     if not same_rules:
         return "full", None
-    found = changes.agg(F.count(F.lit(1)).alias("n"), F.count_if(is_structural(F.col("path"))).alias("structural")).first()
+    found = changes.agg(F.count(F.lit(1)).alias("n"), F.count_if(is_structural(path_of(F.col("path")))).alias("structural")).first()
     if not found["n"]:
         return "unchanged", None
     return ("full", None) if found["structural"] else ("incremental", invalidated(changes, imports))
 
 
-def merge(baseline: dict[str, DataFrame], delta: dict[str, DataFrame], stale: DataFrame, snapshot_id: str) -> dict[str, DataFrame]:
+def merge(baseline: dict[str, DataFrame], delta: dict[str, DataFrame], stale: DataFrame, snapshot_id: str | DataFrame) -> dict[str, DataFrame]:
     """facts, evidence and diagnostics of a baseline without what is stale, and those of the files that were read again."""
     evidence = rebase_evidence(baseline["evidence"], stale, snapshot_id)
+    run = F.lit(snapshot_id) if isinstance(snapshot_id, str) else F.lit("")
     facts = rebase_facts(baseline["facts"], evidence)
     told = baseline["diagnostics"].join(stale.select(F.col("path").alias("scope")), "scope", "left_anti")
-    told = told.withColumn("id", stable_id("diagnostic", F.lit(snapshot_id), F.col("scope"), F.col("code"), F.col("message"))).select(baseline["diagnostics"].columns)
+    told = told.withColumn("id", stable_id("diagnostic", run, F.col("scope"), F.col("code"), F.col("message"))).select(baseline["diagnostics"].columns)
     return {
         "facts": facts.unionByName(delta["facts"]).dropDuplicates(["id"]),
         "evidence": evidence.drop("old_id").unionByName(delta["evidence"]).dropDuplicates(["id"]),

@@ -6,7 +6,7 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ..operators import capability, chunks, context, diff, extract, graph, impact, incremental, inventory, query, scope, search
+from ..operators import architecture, capability, chunks, context, diff, extract, graph, impact, incremental, inventory, query, scope, search
 from ..sources.storage import cut, write_artifact
 
 
@@ -26,43 +26,60 @@ class Run:
             write_artifact(own, root, name)
 
 
+def _listed(files: DataFrame) -> DataFrame:
+    """The inventory, with a hash of each file that says whether it has changed."""
+    own = files if "object_id" in files.columns else files.withColumn("object_id", F.lit(None).cast("string"))
+    return inventory.inventory(own).withColumn("source_hash", F.coalesce(F.sha2("text", 256), "object_id"))
+
+
+def _manifest(listed: DataFrame) -> DataFrame:
+    """(path, source_hash) of files that are read, a path with its repository in front."""
+    return listed.filter("excluded_reason is null").select(incremental.file_key(F.col("repository_id"), F.col("relative_path")).alias("path"), "source_hash")
+
+
+def _graph(run_id: str, facts: DataFrame, repositories: DataFrame, aliases: dict[str, str] | None, environment: str | None) -> dict[str, DataFrame]:
+    known = graph.resolve_aliases(graph.aliases_of(facts.sparkSession, aliases or {}), repositories)
+    edges = cut(graph.build_edges(facts, known, run_id, environment))
+    return {"edges": edges, "nodes": graph.build_nodes(facts, repositories, edges, environment)}
+
+
 def analyse(run_id: str, files: DataFrame, aliases: dict[str, str] | None = None, environment: str | None = None, rule_ids: set[str] | None = None) -> Run:
-    """files (repository_id, snapshot_id, relative_path, size, kind, text) to inventory, coverage, facts, evidence and graph."""
+    """files (repository_id, snapshot_id, relative_path, size, kind, text) to inventory, coverage, facts with what they say about each
+    other, evidence and graph."""
     spark = files.sparkSession
-    listed = inventory.inventory(files)
-    found = cut(extract.extract(listed.filter("excluded_reason is null"), rule_ids))
-    facts, evidence = cut(extract.facts_of(found)), cut(extract.evidence_of(found))
-    repositories = files.select("repository_id").distinct()
-    known = graph.resolve_aliases(graph.aliases_of(spark, aliases or {}), repositories)
-    edges = cut(graph.build_edges(facts, known, run_id, environment))
-    nodes = graph.build_nodes(facts, repositories, edges, environment)
+    listed = _listed(files)
+    read = listed.filter("excluded_reason is null")
+    found = cut(extract.extract(read, rule_ids))
+    evidence = cut(extract.evidence_of(found))
+    facts = cut(architecture.resolve_facts(cut(extract.facts_of(found)), read))
     return Run(run_id, {
         "files": listed.drop("text"), "coverage": inventory.coverage(listed), "facts": facts, "evidence": evidence,
         "diagnostics": spark.createDataFrame([], "id string, severity string, code string, scope string, message string, evidence_ids array<string>, suggested_action string"),
-        "nodes": nodes, "edges": edges,
+        **_graph(run_id, facts, files.select("repository_id").distinct(), aliases, environment),
     })
 
 
 def refresh(run_id: str, baseline: Run, files: DataFrame, aliases: dict[str, str] | None = None, environment: str | None = None) -> tuple[str, Run]:
-    """What changed since a baseline is read again, with all that depends on it; the rest is carried over."""
-    own = files.withColumns({"path": F.col("relative_path"), "source_hash": F.coalesce(F.sha2("text", 256), F.col("object_id"))})
-    hashed = own.select("path", "source_hash")
-    before = baseline["evidence"].select(F.col("relative_path").alias("path"), "source_hash").distinct()
-    changes = diff.changed_paths(before, hashed.join(before.select("path"), "path", "left_semi").unionByName(hashed.join(before.select("path"), "path", "left_anti")))
-    imports = baseline["facts"].filter("kind = 'module_dependency'").select(F.get_json_object("value_json", "$.source_path").alias("source_path"), F.get_json_object("value_json", "$.target_path").alias("target_path"))
-    how, stale = incremental.plan_refresh(changes, imports)
+    """What changed since a baseline is read again, with all that imports it; the rest is carried over, and what facts say about
+    each other is found anew, so that the result is a full run's."""
+    listed = _listed(files)
+    read = listed.filter("excluded_reason is null")
+    changes = cut(diff.changed_paths(_manifest(baseline["files"]), _manifest(listed)))
+    value = F.col("value_json")
+    of = lambda name: incremental.file_key(F.col("component_id"), F.get_json_object(value, f"$.{name}"))
+    imports = baseline["facts"].filter((F.col("kind") == "module_dependency") & F.get_json_object(value, "$.target_path").isNotNull()).select(of("source_path").alias("source_path"), of("target_path").alias("target_path"))
+    how, keys = incremental.plan_refresh(changes, imports)
+    inventoried = {"files": listed.drop("text"), "coverage": inventory.coverage(listed)}
     if how == "unchanged":
-        return how, baseline
+        return how, Run(baseline.run_id, baseline.tables | inventoried)
     if how == "full":
         return how, analyse(run_id, files, aliases, environment)
-    found = cut(extract.extract(files.join(stale.select(F.col("path").alias("relative_path")), "relative_path", "left_semi")))
-    snapshot = files.select(F.max("snapshot_id")).first()[0]
-    merged = incremental.merge(baseline.tables, {"facts": extract.facts_of(found), "evidence": extract.evidence_of(found), "diagnostics": baseline["diagnostics"].limit(0)}, stale, snapshot)
-    facts = cut(merged["facts"])
-    repositories = files.select("repository_id").distinct()
-    known = graph.resolve_aliases(graph.aliases_of(files.sparkSession, aliases or {}), repositories)
-    edges = cut(graph.build_edges(facts, known, run_id, environment))
-    return how, Run(run_id, baseline.tables | merged | {"facts": facts, "edges": edges, "nodes": graph.build_nodes(facts, repositories, edges, environment)})
+    stale = cut(keys.select(F.element_at(F.split("path", incremental.BETWEEN), 1).alias("repository_id"), incremental.path_of(F.col("path")).alias("path")))
+    found = cut(extract.extract(read.join(stale.withColumnRenamed("path", "relative_path"), ["repository_id", "relative_path"], "left_semi")))
+    snapshots = files.groupBy("repository_id").agg(F.max("snapshot_id").alias("snapshot_id"))
+    merged = incremental.merge(baseline.tables, {"facts": extract.facts_of(found), "evidence": extract.evidence_of(found), "diagnostics": baseline["diagnostics"].limit(0)}, stale, snapshots)
+    facts = cut(architecture.resolve_facts(cut(merged["facts"]), read))
+    return how, Run(run_id, baseline.tables | merged | inventoried | {"facts": facts} | _graph(run_id, facts, files.select("repository_id").distinct(), aliases, environment))
 
 
 def document(run: Run, documents: DataFrame, snapshots: DataFrame | None = None, previous: DataFrame | None = None) -> Run:

@@ -10,6 +10,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions.text import redact_json
+from .ship import ship
 
 ARTIFACTS = ("files", "facts", "evidence", "diagnostics", "coverage", "nodes", "edges", "chunks", "links", "capabilities", "contexts", "analyses")
 
@@ -62,6 +63,7 @@ def read_artifact(spark: SparkSession, root: str, name: str, run_id: str | None
         df = df.filter(F.col("run_id") == run_id)
     if repository_ids is not None:
         df = df.filter(F.col("repository_id").isin(*repository_ids))
+    ship(spark)
     return df.withColumn("value_json", redact_json(F.col("value_json"))) if "value_json" in df.columns else df
 
 
