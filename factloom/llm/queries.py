@@ -75,7 +75,39 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_exact_dedup": op10_exact_dedup,
 }
 
+def _quoted(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+_NOTICES = ", ".join(f"({_quoted(k)}, {_quoted(v)})" for k, v in license_scan.TEMPLATES.items())
+_CUT = "list_filter(regexp_split_to_array(lower({}), '[^a-z0-9]+'), lambda w: w <> '')"
+_BLANK = r"[\x09-\x0d\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+"
+
 ORACLE_SQL: dict[str, str] = {
+    # all windows that hold a shingle of a notice, without bands
+    "op7_license_scan": f"""
+WITH n AS (SELECT license, {_CUT.format("notice")} AS w FROM (VALUES {_NOTICES}) AS v(license, notice)),
+s AS (SELECT DISTINCT license, unnest(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) AS shingle FROM n),
+t AS (SELECT license, count(*) AS m, CAST(ceil(log2(count(*))) AS BIGINT) AS c FROM s GROUP BY license),
+z AS (SELECT license, m, greatest(1, CAST(floor(pow(2, c - 1)) AS BIGINT)) AS step, greatest(1, CAST(floor(7 * pow(2, c) / 4) AS BIGINT)) AS size FROM t),
+d AS (SELECT doc_id, {_CUT.format("coalesce(text, '')")} AS w FROM documents),
+p AS (SELECT doc_id, unnest(range(0, len(w) - 4)) AS place, unnest(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) AS shingle FROM d WHERE len(w) > 4),
+h AS (SELECT doc_id, place, license, shingle, m, step, size FROM p JOIN s USING (shingle) JOIN z USING (license)),
+x AS (SELECT doc_id, license, m, shingle, unnest(range(CAST(greatest(ceil((place - size + 1) / step), 0) AS BIGINT), CAST(floor(place / step) AS BIGINT) + 1)) * step AS start FROM h),
+k AS (SELECT doc_id, license, start, count(DISTINCT shingle) / any_value(m) AS containment FROM x GROUP BY ALL)
+SELECT doc_id, license, round(max(containment), 6) AS containment, CAST(min(start) AS INTEGER) AS first_word FROM k WHERE containment >= 0.8 GROUP BY doc_id, license
+""",
+    "op8_line_dedup": f"""
+WITH s AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS own FROM documents),
+l AS (SELECT doc_id, unnest(range(1, len(own) + 1)) AS line, unnest(own) AS raw FROM s),
+i AS (SELECT *, regexp_replace(raw, '^{_BLANK}|{_BLANK}$', '', 'g') AS t FROM l),
+u AS (SELECT t, length(t) AS n, min(struct_pack(doc_id, line)) AS place FROM i WHERE t <> '' GROUP BY t),
+h AS (SELECT DISTINCT t, n, place, unnest(['<' || left(t, n // 2), '<' || left(t, (n - 1) // 2), '>' || right(t, n - n // 2), '>' || right(t, (n - 1) - (n - 1) // 2)]) AS half FROM u WHERE n >= 20),
+c AS (SELECT DISTINCT a.t AS a, a.n AS n, b.t AS b, b.n AS m FROM h a JOIN h b ON a.half = b.half AND b.place < a.place AND abs(a.n - b.n) <= 1),
+near AS (SELECT DISTINCT a AS t FROM c WHERE len(list_filter(range(0, greatest(n, m)), lambda k: left(a, k) = left(b, k) AND substr(a, k + CASE WHEN n < m THEN 1 ELSE 2 END) = substr(b, k + CASE WHEN m < n THEN 1 ELSE 2 END))) > 0),
+g AS (SELECT i.*, near.t IS NOT NULL AS near, i.t <> '' AND (near.t IS NOT NULL OR struct_pack(doc_id := i.doc_id, line := i.line) <> u.place) AS gone FROM i LEFT JOIN u ON u.t = i.t LEFT JOIN near ON near.t = i.t)
+SELECT doc_id, CAST(count(*) AS INTEGER) AS n_lines, CAST(count(*) FILTER (gone) AS INTEGER) AS n_dropped, CAST(count(*) FILTER (gone AND near) AS INTEGER) AS n_near, sha256(coalesce(string_agg(raw, chr(10) ORDER BY line) FILTER (NOT gone), '')) AS text_sha256 FROM g GROUP BY doc_id
+""",
     "op9_embedding_dedup": """
 WITH RECURSIVE v AS (
   SELECT vec_id, label, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings
