@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from ..functions.text import estimate_tokens, let, normalise, query_tokens
 from ..sources.storage import cut
@@ -97,18 +99,27 @@ def limit_by_weight(rows: DataFrame, key: str, order: str, weight: str, most: in
 
 
 def partition_by_bytes(rows: DataFrame, key: str, order: str, size: str, most: int) -> DataFrame:
-    """Rows of each key in order, in parts of at most `most` bytes: adds `part`, from 0. A row that is larger is an error."""
-    start = F.struct(F.array().cast("array<int>").alias("parts"), F.lit(0).alias("part"), F.lit(0).cast("long").alias("used"))
-
-    def step(s: Column, x: Column) -> Column:
-        n = F.when(x["n"] > most, F.raise_error(F.lit("a row is larger than a part")).cast("long")).otherwise(x["n"].cast("long"))
-        full = s["used"] + n > most
-        part = s["part"] + (full & (s["used"] > 0)).cast("int")
-        return F.struct(F.array_append(s["parts"], part).alias("parts"), part.alias("part"), F.when(full, n).otherwise(s["used"] + n).alias("used"))
-
-    listed = rows.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(size).alias("n")))).alias("all"))
-    placed = listed.withColumn("_parts", F.aggregate("all", start, step)["parts"]).select(key, F.explode(F.arrays_zip("all", "_parts")).alias("x"))
-    return rows.join(placed.select(key, F.col("x.all.o").alias(order), F.col("x._parts").alias("part")), [key, order])
+    """Rows of each key in order, in parts of at most `most` bytes: adds `part`, from 0. A row that is larger is an error. What is
+    in a part decides where the next begins, so it is a fold; it runs over rows as they come, sorted, and keeps two numbers."""
+    schema = T.StructType([*rows.schema.fields, T.StructField("part", T.IntegerType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, part, used, begun = None, 0, 0, False
+        for batch in batches:
+            at = batch.schema.get_field_index
+            parts = []
+            for k, n in zip(batch.column(at(key)).to_pylist(), batch.column(at(size)).to_pylist(), strict=True):
+                if n > most:
+                    raise ValueError("a row is larger than a part")
+                if not begun or k != now:
+                    now, part, used, begun = k, 0, 0, True
+                elif used + n > most:
+                    part, used = part + (used > 0), 0
+                used += n
+                parts.append(part)
+            yield pa.record_batch([*batch.columns, pa.array(parts, pa.int32())], names=[*batch.schema.names, "part"])
+
+    return rows.repartition(F.col(key)).sortWithinPartitions(key, order).mapInArrow(run, schema)
 
 
 def missing_information(selected: DataFrame, intent: str) -> DataFrame:

@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Iterator
+import uuid
+from collections.abc import Iterable, Iterator
 from typing import Any
 
 import pyarrow as pa
@@ -12,6 +13,7 @@ from pyspark.sql import DataFrame, functions as F
 from ..functions.ids import canonical_json, sha256, stable_id
 from ..functions.text import value_redactor
 from ..sources.ship import ship
+from ..sources.storage import cut
 from .architecture import with_metadata
 
 MAX_FILE_BYTES = 2 * 1024 * 1024
@@ -59,6 +61,59 @@ def extract(files: DataFrame, rule_ids: set[str] | None = None, max_bytes: int =
     return own.mapInArrow(_rows(None if rule_ids is None else frozenset(rule_ids)), RAW)
 
 
+#: The rules of each extractor, by the beginnings of their ids.
+PLUGINS = {
+    "source-architecture": ("repository.", "source.", "package."), "node-express": ("express.", "node.", "supabase."), "python": ("python.",), "dotnet": ("dotnet.",), "js-angular": ("angular.",), "js-react": ("react.",),
+    "java-spring": ("spring.",), "java-webflux": ("webflux.",), "java-weblogic": ("jee.",),
+}
+SCANS = (
+    "repository.file", "repository.build-module", "repository.build-dependency", "source.module", "source.symbol", "source.call", "source.construction", "source.injection", "source.type-relation", "source.import",
+    "package.dependencies", "package.scripts", "package.runtime", "spring.annotated-endpoint", "webflux.functional-route", "webflux.reactive-pipeline",
+)
+
+
+def rules_of(plugins: Iterable[str]) -> set[str]:
+    """The ids of all rules of these extractors; one that isn't there is an error."""
+    from ..functions.rules import RULES
+
+    wanted = set(plugins)
+    if strange := wanted - PLUGINS.keys():
+        raise ValueError(f"unknown extractors {sorted(strange)}")
+    return {r for r in (*(rule.id for rule in RULES), *SCANS) if any(r.startswith(PLUGINS[p]) for p in wanted)}
+
+
+def extract_cached(files: DataFrame, root: str, rule_ids: set[str] | None = None, version: str = "1") -> DataFrame:
+    """extract(), with what files of the same path and content gave before, in tables under root. An entry counts if its findings
+    are those that its checksum was made of; if not, the file is read again and the newer entry counts."""
+    spark = files.sparkSession
+    columns = ["rule_id", "kind", "start", "end", "value_json"]
+    basis = sha256(F.lit(json.dumps([version, sorted(rule_ids) if rule_ids is not None else None])))
+    own = files.filter((F.octet_length("text") <= MAX_FILE_BYTES) & F.col("text").isNotNull())
+    own = own.withColumn("_key", sha256(F.concat_ws("\u0001", "relative_path", sha256(F.col("text")), basis)))
+    digest = F.coalesce(F.expr(f"bit_xor(xxhash64({', '.join(f'`{c}`' for c in columns)}))"), F.lit(0))
+    schemas = {"findings": f"_key string, _batch string, {RAW.split('source_hash string, ')[1]}", "entries": "_key string, _batch string, n long, checksum long, written_at timestamp"}
+
+    def table(name: str) -> DataFrame:
+        path = spark._jvm.org.apache.hadoop.fs.Path(f"{root}/{name}")
+        there = path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path)
+        return spark.read.schema(schemas[name]).parquet(f"{root}/{name}") if there else spark.createDataFrame([], schemas[name])
+
+    found, entries = table("findings"), table("entries")
+    sums = found.groupBy("_key", "_batch").agg(F.count(F.lit(1)).alias("n"), digest.alias("checksum"))
+    sound = entries.join(sums, ["_key", "_batch", "n", "checksum"]).groupBy("_key").agg(F.max_by("_batch", "written_at").alias("_batch"))
+    sound = cut(sound)
+    batch = uuid.uuid4().hex
+    fresh = own.join(sound, "_key", "left_anti")
+    one = fresh.groupBy("_key").agg(F.first(F.struct("repository_id", "snapshot_id", "relative_path", "text")).alias("f")).select("f.*")
+    raw = cut(extract(one, rule_ids))
+    keyed = raw.withColumn("_key", sha256(F.concat_ws("\u0001", "relative_path", "source_hash", basis))).withColumn("_batch", F.lit(batch)).select("_key", "_batch", *columns)
+    keyed.write.mode("append").parquet(f"{root}/findings")
+    keyed.groupBy("_key", "_batch").agg(F.count(F.lit(1)).alias("n"), digest.alias("checksum")).withColumn("written_at", F.current_timestamp()).write.mode("append").parquet(f"{root}/entries")
+    known = found.join(sound, ["_key", "_batch"], "left_semi").select("_key", *columns).unionByName(keyed.select("_key", *columns))
+    named = own.select("repository_id", "snapshot_id", "relative_path", sha256(F.col("text")).alias("source_hash"), "_key")
+    return named.join(known, "_key").select("repository_id", "snapshot_id", "relative_path", "source_hash", *columns)
+
+
 def evidence_of(found: DataFrame) -> DataFrame:
     """One row for each place and rule."""
     own = found.select("repository_id", "snapshot_id", "relative_path", "source_hash", "rule_id", "start", "end").distinct()

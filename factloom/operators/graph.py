@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions.ids import field, stable_id
 from ..functions.text import call_base, call_path, normalise_alias, normalise_path
-from ..sources.storage import cut
+from ..sources.storage import cut, small_side
 
 UNKNOWN = "UNKNOWN"
 STATUSES = ("supported", "candidate", "unresolved")
@@ -53,11 +53,17 @@ def endpoint_index(facts: DataFrame) -> DataFrame:
 
 
 def match_calls(calls: DataFrame, index: DataFrame) -> DataFrame:
-    """calls (id, component_id, method, path): (id, targets, target): components with an endpoint of the path whose method
-    is the call's, or where either is unknown. Equal paths join; the method is a filter on that join."""
+    """calls (id, component_id, method, path): (id, targets, target): how many other components have an endpoint of the path whose
+    method is the call's, or where either is unknown, and the one if it is one. Endpoints are reduced for each (path, method) that
+    is called, to a count and the ends of the order, so that the calls of a common path meet one row each."""
     other = index.select(F.col("component_id").alias("_target"), F.col("method").alias("_method"), "path")
-    fits = (F.col("_target") != F.col("component_id")) & ((F.col("method") == UNKNOWN) | (F.col("_method") == UNKNOWN) | (F.col("method") == F.col("_method")))
-    return calls.join(other, "path").filter(fits).groupBy("id").agg(F.count_distinct("_target").alias("targets"), F.min("_target").alias("target"))
+    fits = (F.col("method") == UNKNOWN) | (F.col("_method") == UNKNOWN) | (F.col("method") == F.col("_method"))
+    met = cut(calls.select("path", "method").distinct().join(other, "path").filter(fits).select("path", "method", F.col("_target").alias("component_id")).distinct())
+    ends = small_side(cut(met.groupBy("path", "method").agg(F.count(F.lit(1)).alias("_n"), F.min("component_id").alias("_low"), F.max("component_id").alias("_high"))))
+    both = calls.join(ends, ["path", "method"]).join(met.withColumn("_own", F.lit(1)), ["path", "method", "component_id"], "left")
+    targets = F.col("_n") - F.coalesce("_own", F.lit(0))
+    target = F.when(F.col("_low") == F.col("component_id"), F.col("_high")).otherwise(F.col("_low"))
+    return both.select("id", targets.alias("targets"), F.when(targets == 1, target).alias("target")).filter("targets > 0")
 
 
 def build_edges(facts: DataFrame, aliases: DataFrame, scenario_id: str = "scenario", environment: str | None = None) -> DataFrame:
@@ -163,7 +169,8 @@ def trace_flow(edges: DataFrame, source: str, target: str, max_depth: int = 12,
     Nodes that can't reach the target within the depth are cut off first, so that only paths that arrive are enumerated;
     each hop is one join on the frontier."""
     spark: SparkSession = edges.sparkSession
-    hop = edges.select(F.col("id").alias("_e"), F.col("from").alias("_f"), F.col("to").alias("_t"), F.col("status").alias("_s")).cache()
+    hop = edges.select(F.col("id").alias("_e"), F.col("from").alias("_f"), F.col("to").alias("_t"), F.col("status").alias("_s"))
+    hop = cut(hop)
     back = hop.filter(F.col("_t") == target).select(F.col("_f").alias("n"), F.lit(1).alias("d"))
     reach, frontier = back.distinct(), back.distinct()
     for d in range(2, max_depth + 1):
@@ -174,14 +181,16 @@ def trace_flow(edges: DataFrame, source: str, target: str, max_depth: int = 12,
         reach = reach.unionByName(frontier)
     near = reach.groupBy("n").agg(F.min("d").alias("d")).withColumnRenamed("n", "_t")
     start = spark.createDataFrame([(source, [source], [], [])], "node string, nodes array<string>, edge_ids array<string>, statuses array<string>")
-    found, now = [], start
+    found, now, paths_found = [], start, 0
     for depth in range(1, max_depth + 1):
         step = now.join(hop, F.col("node") == F.col("_f")).filter(~F.array_contains("nodes", F.col("_t"))).join(near, "_t", "left").filter((F.col("_t") == target) | (F.col("d") + depth <= max_depth))
         now = cut(step.select(F.col("_t").alias("node"), F.array_append("nodes", F.col("_t")).alias("nodes"), F.array_append("edge_ids", F.col("_e")).alias("edge_ids"), F.array_append("statuses", F.col("_s")).alias("statuses")))
         found.append(now.filter(F.col("node") == target).withColumn("depth", F.lit(depth)))
-        now = now.filter(F.col("node") != target)
-        if now.isEmpty() or sum(x.count() for x in found) >= max_paths:
+        counted = now.agg(F.count_if(F.col("node") == target).alias("there"), F.count(F.lit(1)).alias("all")).first()
+        paths_found += counted["there"]
+        if counted["all"] == counted["there"] or paths_found >= max_paths:
             break
+        now = now.filter(F.col("node") != target)
     paths = reduce(DataFrame.unionByName, found).orderBy("depth", "edge_ids").limit(max_paths)
     worst = F.when(F.array_contains("statuses", "unresolved"), "unresolved").when(F.array_contains("statuses", "candidate"), "candidate").otherwise("supported")
     return paths.select("depth", "nodes", "edge_ids", worst.alias("status"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..functions.text import extension, file_name
+from ..functions.text import extension, file_name, let
 
 MAX_FILE_BYTES, SIGNAL_CHARS = 2 * 1024 * 1024, 512 * 1024
 
@@ -17,16 +17,22 @@ LANGUAGES = {
 }
 MANIFESTS = ("package.json", "angular.json", "pom.xml", "build.gradle", "build.gradle.kts", "pyproject.toml", "requirements.txt", "web.xml", "weblogic.xml", "application.xml")
 CREDENTIALS = r"(?i)(^|/)(\.env|id_rsa|id_ed25519|.*\.(pfx|p12|pem|key))$"
-#: Technologies that a text of a language gives away.
+# What gives a technology away, by a file's name or by its text in lower case (webflux: in the text as it is).
 SIGNALS = (
-    ("spring", ("java", "xml"), r"org\.springframework|@SpringBootApplication|spring-boot"),
-    ("webflux", ("java", "xml"), r"RouterFunction|spring-webflux|spring-boot-starter-webflux"),
-    ("jee", ("java", "xml"), r"javax\.(?:ejb|ws\.rs|jms)|jakarta\.(?:ejb|ws\.rs|jms)|weblogic"),
-    ("dotnet", ("c_sharp", "xml"), r"Microsoft\.AspNetCore|<Project Sdk=|WebApplication\.CreateBuilder|ControllerBase"),
-    ("angular", ("typescript", "json"), r"@angular/"),
-    ("react", ("javascript", "typescript", "tsx", "json"), r"from [\"']react[\"']|\"react\"\s*:"),
-    ("express", ("javascript", "typescript", "json"), r"from [\"']express[\"']|require\([\"']express[\"']\)|\"express\"\s*:"),
+    ("dotnet", r"\.csproj$", r"\bmicrosoft\.aspnetcore\b|\b(?:app|group)\.map(?:get|post|put|patch|delete)\s*\("),
+    ("angular", r"(?:^|/)angular\.json$", r"[\"']@angular/core[\"']"),
+    ("react", None, r"[\"'](?:react|react-dom)[\"']|\bfrom\s+[\"']react[\"']"),
+    ("express", None, r"\bfrom\s+[\"']express[\"']|\brequire\s*\(\s*[\"']express[\"']"),
+    ("spring", None, r"\borg\.springframework\b|\bspring-boot\b"),
+    ("jee", r"(?:^|/)(?:web|weblogic|application)\.xml$", r"\b(?:jakarta|javax)\.(?:ws\.rs|ejb|jms)\b"),
 )
+WEBFLUX = r"\bspring-boot-starter-webflux\b|\bRouterFunction\s*<|\bRouterFunctions\.(?:route|nest)\s*\(|\bServerRequest\b|\bServerResponse\b"
+EXPRESS_PACKAGE = r"[\"']express[\"']\s*:"
+#: Technologies of manifests by name, and those of the signals that a manifest of the name can have.
+MANIFEST_TECHNOLOGIES = (
+    (r"(?:^|/)package\.json$", "nodejs", ("angular", "react", "express")), (r"(?:^|/)(?:pom\.xml|build\.gradle[^/]*)$", "java", ("spring", "webflux")), (r"(?:^|/)(?:pyproject\.toml|requirements\.txt)$", "python", ()),
+    (r"\.csproj$", "dotnet", ()), (r"(?:^|/)(?:web|weblogic|application)\.xml$", "java-jee", ()),
+)
 
 
 def exclusion_reason(path: Column, kind: Column, size: Column, most: int = MAX_FILE_BYTES) -> Column:
@@ -78,10 +84,24 @@ def coverage(files: DataFrame) -> DataFrame:
 
 
 def technology_signals(files: DataFrame) -> DataFrame:
-    """(repository_id, technology) that texts give away."""
-    head = F.substring("text", 1, SIGNAL_CHARS)
-    found = F.array_compact(F.array(*(F.when(F.col("language").isin(*langs) & head.rlike(f"(?i){pattern}"), F.lit(t)) for t, langs, pattern in SIGNALS)))
-    return files.filter("text is not null and excluded_reason is null").select("repository_id", F.explode(found).alias("technology")).distinct()
+    """(repository_id, technology) that names and texts of files give away."""
+    name, raw = F.lower("relative_path"), F.substring("text", 1, SIGNAL_CHARS)
+
+    def found(head: Column) -> Column:
+        told = [F.when((name.rlike(file) if file else F.lit(False)) | head.rlike(pattern), F.lit(t)) for t, file, pattern in SIGNALS]
+        package = F.when(name.rlike(r"(?:^|/)package\.json$") & head.rlike(EXPRESS_PACKAGE), F.lit("express"))
+        return F.array_compact(F.array(*told, package, F.when(raw.rlike(WEBFLUX), F.lit("webflux"))))
+
+    return files.filter("text is not null and excluded_reason is null").select("repository_id", F.explode(let(F.lower(raw), found)).alias("technology")).distinct()
+
+
+def technologies(files: DataFrame, signals: DataFrame) -> DataFrame:
+    """(repository_id, relative_path, technology) of manifests: their own, and those of the repository's signals that they can have."""
+    name = F.lower("relative_path")
+    own = F.coalesce(*(F.when(name.rlike(p), F.struct(F.lit(t).alias("own"), F.array(*map(F.lit, more)).cast("array<string>").alias("more"))) for p, t, more in MANIFEST_TECHNOLOGIES))
+    told = files.filter("excluded_reason is null").select("repository_id", "relative_path", own.alias("t")).filter("t is not null")
+    some = told.select("repository_id", "relative_path", F.explode("t.more").alias("technology")).join(signals, ["repository_id", "technology"], "left_semi").select("repository_id", "relative_path", "technology")
+    return told.select("repository_id", "relative_path", F.col("t.own").alias("technology")).unionByName(some)
 
 
 def bundle_quality(capabilities: DataFrame) -> DataFrame:

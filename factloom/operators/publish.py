@@ -63,6 +63,18 @@ def publish(files: DataFrame, root: str, edition_id: str) -> DataFrame:
     return told
 
 
+def retain(spark, root: str, keep: int) -> list[str]:
+    """Removes all editions but the newest `keep` that were published, and returns their ids (a folder each, so few). The one that
+    is pointed to stays."""
+    published = spark.read.parquet(f"{root}/pointers").groupBy("edition_id").agg(F.max("published_at").alias("published_at"))
+    _, rest = pointers(published, max(1, keep))
+    gone = sorted(r["edition_id"] for r in rest.select("edition_id").collect())
+    for edition in gone:
+        folder = spark._jvm.org.apache.hadoop.fs.Path(f"{root}/editions/{edition}")
+        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+    return gone
+
+
 def current(spark, root: str) -> DataFrame:
     """The files of the edition that was published last."""
     row = spark.read.parquet(f"{root}/pointers").orderBy(F.desc("published_at"), F.desc("edition_id")).first()

@@ -127,20 +127,39 @@ def resolve_relative_imports(imports: DataFrame, files: DataFrame) -> DataFrame:
 
 def resolve_by_suffix(links: DataFrame, documents: DataFrame, most: int = 3) -> DataFrame:
     """links (id, target), documents (doc, path): documents whose path ends with the target, or with it and .md; the first
-    `most` in path order. The last segments must be equal, or end alike, so they join on the tail of that segment."""
+    `most` in path order. A target with a folder has a whole file name at its end, which is the key; one without is the end of a
+    file name, so the ends of file names, of the lengths that are asked for, are the keys."""
     last = lambda c: F.element_at(F.split(c, "/"), -1)
     bare = F.regexp_replace(F.regexp_replace("target", "^\\./", ""), "^\\.\\./", "")
-    want = links.withColumn("_bare", bare).filter("_bare <> ''").select("id", "_bare", F.explode(F.array(F.col("_bare"), F.concat("_bare", F.lit(".md")))).alias("_full"))
-    # a path's tail: its last character pair; a full segment's tail is the same for both
-    tail = lambda c: F.substring(last(c), -4, 4)
-    joined = want.withColumn("_k", tail(F.col("_full"))).join(documents.select("doc", "path", tail(F.col("path")).alias("_k")), "_k")
-    short = want.filter(F.length(last(F.col("_full"))) < 4).join(documents.select("doc", "path"), F.col("path").endswith(F.col("_full")))
-    hits = joined.filter(F.col("path").endswith(F.col("_full"))).select("id", "doc", "path").unionByName(short.select("id", "doc", "path")).distinct()
+    want = links.withColumn("_bare", bare).filter("_bare <> ''").select("id", F.explode(F.array(F.col("_bare"), F.concat("_bare", F.lit(".md")))).alias("_full"))
+    inside = F.contains(F.col("_full"), F.lit("/"))
+    own = documents.select("doc", "path", last(F.col("path")).alias("_name"))
+    by_name = want.filter(inside).withColumn("_name", last(F.col("_full"))).join(own, "_name").filter(F.col("path").endswith(F.col("_full")))
+    ends = want.filter(~inside)
+    lengths = sorted(r[0] for r in ends.select(F.length("_full")).distinct().collect())  # no more than the longest name has characters
+    cuts = F.filter(F.array(*map(F.lit, lengths)).cast("array<int>"), lambda n: n <= F.length("_name"))
+    keyed = own.select("doc", "path", F.explode(F.transform(cuts, lambda n: F.right("_name", n))).alias("_full"))
+    hits = by_name.select("id", "doc", "path").unionByName(ends.join(keyed, "_full").select("id", "doc", "path")).distinct()
     return hits.withColumn("_n", F.row_number().over(Window.partitionBy("id").orderBy("path", "doc"))).filter(F.col("_n") <= most).drop("_n")
 
 
+#: Characters of a path that are a key, from a slash on.
+KEY = 8
+
+
 def facts_of_paths(entries: DataFrame, facts: DataFrame) -> DataFrame:
     """entries (id, repository_id, path), facts (fact_id, repository_id, value_json): facts of the repository whose value holds
-    the path, whatever the case."""
-    holds = F.contains(F.lower("value_json"), F.lower("path"))
-    return entries.join(facts, "repository_id").filter(holds).select("id", "fact_id").distinct()
+    the path, whatever the case. A path begins with a slash, so it can only stand where a value has one: what follows each slash,
+    as long as the paths are and KEY characters at most, is the key. The paths that begin otherwise meet all facts of their
+    repository."""
+    own = entries.select("id", "repository_id", F.lower("path").alias("_path")).filter("_path <> ''")
+    values = facts.select("fact_id", "repository_id", F.lower("value_json").alias("_value"))
+    rooted = own.filter(F.col("_path").startswith("/")).withColumn("_key", F.substring("_path", 1, KEY))
+    lengths = sorted(r[0] for r in rooted.select(F.length("_key")).distinct().collect())  # KEY at most
+    begun = F.regexp_extract_all("_value", F.lit(f"(?s)(?=(/.{{0,{KEY - 1}}}))"), F.lit(1))
+    sized = F.flatten(F.transform(begun, lambda s: F.transform(F.filter(F.array(*map(F.lit, lengths)).cast("array<int>"), lambda n: n <= F.length(s)), lambda n: F.left(s, n))))
+    keyed = values.withColumn("_key", F.explode(F.array_distinct(sized)))
+    holds = F.contains(F.col("_value"), F.col("_path"))
+    met = rooted.join(keyed, ["repository_id", "_key"]).filter(holds).select("id", "fact_id")
+    rest = own.filter(~F.col("_path").startswith("/")).join(values, "repository_id").filter(holds).select("id", "fact_id")
+    return met.unionByName(rest).distinct()

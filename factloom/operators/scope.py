@@ -49,4 +49,5 @@ def graph_for_facts(nodes: DataFrame, edges: DataFrame, facts: DataFrame) -> tup
 
 def is_structural(path: Column) -> Column:
     """Whether a change of the file makes a full rebuild necessary."""
-    return path.rlike(r"(?i)(?:^|/)(?:package\.json|pnpm-lock\.yaml|package-lock\.json|pom\.xml|build\.gradle(?:\.kts)?|settings\.gradle(?:\.kts)?|tsconfig[^/]*\.json|pyproject\.toml|[^/]+\.csproj|[^/]+\.sln)$")
+    # Names of build files.
+    return path.rlike(r"(?i)(?:^|/)(?:package\.json|angular\.json|pom\.xml|build\.gradle(?:\.kts)?|pyproject\.toml|requirements\.txt|web\.xml|weblogic\.xml|application\.xml|[^/]+\.csproj)$")

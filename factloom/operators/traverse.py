@@ -16,6 +16,7 @@ def reach(edges: DataFrame, seeds: DataFrame, max_depth: int | None = None, max_
     """(node, depth): what is reached from seeds (node) along edges (from, to), with the fewest hops. Without a depth it goes
     on to the fixpoint."""
     hop = edges.select(F.col("from").alias("node"), F.col("to").alias("_to")).distinct()
+    # a hop adds a table of its own; only every sixteenth puts what there is together, so that plans stay short
     seen = frontier = cut(seeds.select("node").distinct().withColumn("depth", F.lit(0)))
     depth = 0
     while max_depth is None or depth < max_depth:
@@ -23,7 +24,8 @@ def reach(edges: DataFrame, seeds: DataFrame, max_depth: int | None = None, max_
         frontier = cut(hop.join(frontier.select("node"), "node").select(F.col("_to").alias("node")).distinct().join(seen.select("node"), "node", "left_anti").withColumn("depth", F.lit(depth)))
         if frontier.isEmpty():
             break
-        seen = cut(seen.unionByName(frontier))
+        seen = seen.unionByName(frontier)
+        seen = seen if depth % 16 else cut(seen)
         if max_nodes is not None and seen.count() >= max_nodes:
             break
     return seen if max_nodes is None else seen.orderBy("depth", "node").limit(max_nodes)
@@ -70,7 +72,7 @@ def expand_context(links: DataFrame, chunks: DataFrame, seeds: DataFrame, depth:
         frontier = cut(out.filter("not _chunk and not _hub").select(F.col("_n").alias("node")).distinct().join(seen, "node", "left_anti"))
         if frontier.isEmpty():
             break
-        seen = cut(seen.unionByName(frontier))
+        seen = seen.unionByName(frontier)
         if seen.count() >= max_visited:
             break
     nearest = found.groupBy(F.col("node").alias("id")).agg(F.min("distance").alias("distance"))

@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from ..functions import text as T
 from ..functions.ids import content_hash, field
-from ..operators import capability, chunks as C, context, diff, extract, graph, impact, incremental, inventory, publish, query, resolve, scope, search, summaries, traverse
+from ..operators import architecture, capability, chunks as C, context, contracts, diff, extract, graph, impact, incremental, inventory, publish, query, resolve, scope, search, summaries, traverse
+from ..sources.storage import cut
 from . import views as V
 from .views import FACTS_SQL, FILES_SQL, MOVES_SQL, PLACES_SQL
 
@@ -498,7 +499,8 @@ SELECT t.place, ok, t.id, CASE WHEN ok THEN list_append(w.repos, t.repository_id
 FROM w JOIN t ON t.place = w.place + 1, LATERAL (SELECT len(w.repos) < 40 AND len(list_filter(w.repos, lambda r: r = t.repository_id)) < 15 AND NOT (t.flow AND w.flows >= 5) AND len(w.syms) + CASE WHEN list_contains(w.syms, t.sym) THEN 0 ELSE 1 END <= 25 AND w.tokens + t.tokens <= 15000 AS ok))
 SELECT id FROM w WHERE taken""")
 def budget_selection(spark, sf):
-    top = search.search_documents(V.chunks(spark, sf), SEARCHED, limit=100).withColumn("place", F.row_number().over(Window.orderBy(F.desc("score"), "document_path", "id")))
+    best = cut(search.search_documents(V.chunks(spark, sf), SEARCHED, limit=100))  # scored once
+    top = best.withColumn("place", F.row_number().over(Window.orderBy(F.desc("score"), "document_path", "id")))
     return context.select_within(top, context.Budget()).select("id")
 
 
@@ -621,6 +623,280 @@ def extracted_endpoints(spark, sf):
 
 @register("""SELECT date_trunc('hour', ts) AS window_start, event_type, count(*) AS n, CAST(sum(CAST(round(value * 100) AS BIGINT)) AS BIGINT) AS cents FROM events GROUP BY 1, 2""")
 def event_windows(spark, sf):
+    from ..streaming.refresh import event_counts
+
+    counted = event_counts(V.table(spark, sf, "events").withColumn("value", F.round(F.col("value") * 100).cast("long")))
+    return counted.select("window_start", "event_type", "n", F.col("total").alias("cents"))
+
+
+# --- architecture of sources ----------------------------------------------------------------------------------------
+
+
+_PATHS = """p AS (SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN 'mod' || (doc_id % 3) || '/src/main/java/com/acme/D' || doc_id || '.java' WHEN 1 THEN 'src/test/port/in/Handler' || doc_id || '.ts' WHEN 2 THEN 'api/controller/d' || doc_id || '.js' ELSE 'docs/spec/d' || doc_id || '.md' END AS path, doc_id % 4 AS c FROM documents)"""
+
+
+@register(f"""WITH {_PATHS} SELECT path, CASE c WHEN 0 THEN 'main' WHEN 2 THEN 'root' ELSE 'test' END AS source_set, CASE c WHEN 0 THEN 'mod' || (doc_id % 3) ELSE '.' END AS build_module, CASE c WHEN 0 THEN 'com.acme' END AS package, CASE c WHEN 1 THEN 'in' END AS port_direction,
+CASE c WHEN 2 THEN 'api' ELSE 'root' END AS layer, CASE c WHEN 1 THEN 'port-in' WHEN 2 THEN 'controller' ELSE 'module' END AS role, CASE c WHEN 3 THEN 'documentation' ELSE 'source' END AS kind, CASE c WHEN 0 THEN 'java' WHEN 1 THEN 'typescript' ELSE 'javascript' END AS language FROM p""")
+def path_metadata(spark, sf):
+    d = F.col("doc_id")
+    id_ = d.cast("string")
+    path = (
+        F.when(d % 4 == 0, F.concat(F.lit("mod"), (d % 3).cast("string"), F.lit("/src/main/java/com/acme/D"), id_, F.lit(".java"))).when(d % 4 == 1, F.concat(F.lit("src/test/port/in/Handler"), id_, F.lit(".ts")))
+        .when(d % 4 == 2, F.concat(F.lit("api/controller/d"), id_, F.lit(".js"))).otherwise(F.concat(F.lit("docs/spec/d"), id_, F.lit(".md")))
+    )
+    own = V.table(spark, sf, "documents").select(path.alias("path"))
+    p = F.col("path")
+    return own.select("path", architecture.path_metadata(p).alias("m"), architecture.layer(p).alias("layer"), architecture.role(p).alias("role"), architecture.file_kind(p).alias("kind"), architecture.source_language(p).alias("language")).select("path", "m.*", "layer", "role", "kind", "language")
+
+
+@register("""SELECT n_nationkey, CASE n_nationkey % 3 WHEN 0 THEN 'Obtiene o consulta asociada a «find user by id»; invoca ' || lower(n_name) || ', map' WHEN 1 THEN 'Agrupa la responsabilidad asociada a «order mapper»' ELSE 'Ejecuta la operación asociada a «paint ' || n_nationkey || '»' END || '. Descripción derivada del código estático.' AS description FROM nation""")
+def symbol_descriptions(spark, sf):
+    k = F.col("n_nationkey") % 3
+    none = F.array().cast("array<string>")
+    told = architecture.describe(F.when(k == 1, "class").otherwise("method"), F.when(k == 0, "findUserById").when(k == 1, "OrderMapper").otherwise(F.concat(F.lit("paint_"), F.col("n_nationkey").cast("string"))), F.when(k == 0, F.array(F.lower("n_name"), F.lit("map"))).otherwise(none))
+    return V.table(spark, sf, "nation").select("n_nationkey", told.alias("description"))
+
+
+@register("""SELECT p_partkey, p_partkey % 5 IN (0, 3) AS architectural FROM part""")
+def architectural_types(spark, sf):
+    k = F.col("p_partkey") % 5
+    named = F.when(k == 0, F.concat(F.lit("com.acme.Part"), F.col("p_partkey").cast("string"), F.lit("<String>"))).when(k == 1, "List<Part>").when(k == 2, "java.util.UUID").when(k == 3, "PartService").otherwise("Mono<Part>")
+    return V.table(spark, sf, "part").select("p_partkey", architecture.is_architectural(named).alias("architectural"))
+
+
+_TARGETS = """f AS (SELECT doc_id, source AS repository_id, CASE doc_id % 3 WHEN 0 THEN 'src/d' || doc_id || '.ts' WHEN 1 THEN 'src/d' || doc_id || '/index.js' ELSE 'main/java/com/a/K' || doc_id || '.java' END AS relative_path FROM documents)"""
+
+
+@register(f"""WITH {_TARGETS}, i AS (SELECT doc_id AS id, source AS repository_id, doc_id % 2 = 0 AS java, doc_id + 40 AS to_ FROM documents) SELECT i.id, f.relative_path AS target_path FROM i LEFT JOIN f ON f.repository_id = i.repository_id AND f.doc_id = i.to_ AND (f.doc_id % 3 = 2) = i.java""")
+def import_targets(spark, sf):
+    d = F.col("doc_id")
+    name = lambda a, n, b="": F.concat(F.lit(a), n.cast("string"), F.lit(b))
+    docs = V.table(spark, sf, "documents").select("doc_id", F.col("source").alias("repository_id"))
+    files = docs.select("repository_id", F.when(d % 3 == 0, name("src/d", d, ".ts")).when(d % 3 == 1, name("src/d", d, "/index.js")).otherwise(name("main/java/com/a/K", d, ".java")).alias("relative_path"))
+    java = d % 2 == 0
+    imports = docs.select(d.alias("id"), "repository_id", F.when(java, name("main/java/com/b/X", d, ".java")).otherwise(name("src/deep/m", d, ".ts")).alias("source_path"), F.when(java, name("com.a.K", d + 40)).otherwise(name("./../d", d + 40)).alias("specifier"))
+    return architecture.import_targets(imports, files).select("id", "target_path")
+
+
+@register("""WITH d AS (SELECT source AS r, 'src/d' || doc_id || '.py' AS path, 'f' || (doc_id % 50) AS name, 'f' || ((doc_id * 7) % 50) AS callee FROM documents), n AS (SELECT r, name, count(*) AS n, min(path) AS at FROM d GROUP BY 1, 2)
+SELECT d.r AS component_id, d.path AS source_path, CASE WHEN n.n = 1 THEN n.at END AS target_path, CASE WHEN n.n = 1 THEN 'supported' WHEN n.n > 1 THEN 'candidate' ELSE 'unresolved' END AS resolution FROM d LEFT JOIN n ON n.r = d.r AND n.name = d.callee""")
+def resolved_calls(spark, sf):
+    d = F.col("doc_id")
+    text = F.concat(F.lit("def f"), (d % 50).cast("string"), F.lit("():\n    f"), (d * 7 % 50).cast("string"), F.lit("()\n"))
+    files = V.table(spark, sf, "documents").select(F.col("source").alias("repository_id"), F.lit("s").alias("snapshot_id"), F.concat(F.lit("src/d"), d.cast("string"), F.lit(".py")).alias("relative_path"), text.alias("text"))
+    facts = cut(extract.facts_of(extract.extract(files, {"source.symbol", "source.call"})))
+    calls = architecture.resolve_facts(facts, files).filter("kind = 'symbol_call'")
+    return calls.select("component_id", *(field("value_json", n).alias(n) for n in ("source_path", "target_path", "resolution")))
+
+
+@register("""SELECT event_id, '{"a":{"password":"[REDACTED]","list":["token=[REDACTED]","plain' || event_id || '"],"secret":"[REDACTED]"},"note":"call(x, password=[REDACTED]","n":' || event_id || '}' AS value_json FROM events""")
+def nested_redaction(spark, sf):
+    from ..sources.ship import ship
+
+    ship(spark)
+    id_ = F.col("event_id").cast("string")
+    value = F.concat(F.lit('{"a":{"password":'), id_, F.lit(',"list":["token=x'), id_, F.lit('","plain'), id_, F.lit('"],"secret":{"z":['), id_, F.lit(']}},"note":"call(x, password=hunter'), id_, F.lit(')","n":'), id_, F.lit("}"))
+    return V.table(spark, sf, "events").select("event_id", T.redact_json(value).alias("value_json"))
+
+
+# --- more joins and selections --------------------------------------------------------------------------------------
+
+
+@register(f"""WITH {FACTS_SQL} SELECT id AS fact_id, CASE WHEN k % 10 < 5 THEN 'component:' || (k % 10) END AS node, CASE WHEN k % 10 < 5 THEN 'supported' ELSE 'unresolved' END AS status FROM facts WHERE kind = 'http_client_call'""")
+def client_base_edges(spark, sf):
+    own = V.events(spark, sf)
+    rows = own.filter("kind = 'http_client_call'").select("id", F.lit("http_client_base").alias("kind"), "component_id", F.to_json(F.struct(F.concat(F.lit("HTTPS://N"), (F.col("k") % 10).cast("string"), F.lit(".example.com/x")).alias("base_url"))).alias("value_json"), F.array("id").alias("evidence_ids"), F.lit("r").alias("rule_id"))
+    repositories = spark.createDataFrame([(str(i),) for i in range(5)], "repository_id string")
+    known = graph.resolve_aliases(graph.aliases_of(spark, {f"https://n{i}.example.com": str(i) for i in range(5)}), repositories)
+    edges = graph.build_edges(rows, known)
+    return edges.select(F.element_at("fact_ids", 1).alias("fact_id"), F.when(F.col("target_type") == "component", F.col("to")).alias("node"), "status")
+
+
+@register(f"""WITH {FACTS_SQL}, ep AS (SELECT * FROM facts WHERE kind = 'http_endpoint'), m AS (SELECT DISTINCT component_id, k FROM facts WHERE kind = 'data_write' AND k % 3 = 0)
+SELECT ep.id, CASE WHEN event_id % 2 = 0 OR m.k IS NULL THEN path ELSE '/m' || m.k || path END AS path, CASE WHEN event_id % 2 = 0 THEN 'ruta completa' WHEN m.k IS NULL THEN 'fragmento; montaje no resuelto' ELSE 'ruta compuesta estáticamente' END AS status FROM ep LEFT JOIN m ON m.component_id = ep.component_id AND m.k = ep.k AND event_id % 2 = 1""")
+def endpoint_status(spark, sf):
+    own = V.events(spark, sf)
+    k = F.col("k").cast("string")
+    ends = own.filter("kind = 'http_endpoint'").select("id", "component_id", "method", "path", F.lit("h").alias("handler"), F.concat(F.lit("src/users"), k, F.lit(".routes.ts")).alias("source_path"), (F.col("event_id") % 2 == 0).alias("whole"))
+    mounts = own.filter("kind = 'data_write' and k % 3 = 0").select("component_id", F.concat(F.lit("/m"), k).alias("path"), F.concat(F.lit("Users_"), k, F.lit("Router")).alias("symbol"), F.lit("src/app.ts").alias("source_path")).distinct()
+    none = spark.createDataFrame([], "component_id string, source_path string, target_path string, symbols array<string>")
+    return resolve.resolve_endpoints(ends, mounts, none).select("id", "path", "status")
+
+
+@register("""SELECT o_orderkey FROM orders WHERE o_custkey % 7 = 0 OR o_orderpriority LIKE '1%'""")
+def reached_resources(spark, sf):
+    o = V.table(spark, sf, "orders")
+    facts = o.select("o_orderkey", F.when(F.col("o_orderpriority").startswith("1"), "entry").otherwise(F.concat(F.lit("c"), F.col("o_custkey").cast("string"))).alias("source_path"))
+    symbols = o.select(F.col("o_custkey").alias("symbol_id"), F.concat(F.lit("c"), F.col("o_custkey").cast("string")).alias("source_path")).distinct()
+    reached = symbols.filter("symbol_id % 7 = 0").select(F.col("symbol_id").alias("node"))
+    return traverse.flow_resources(reached, symbols, facts, spark.createDataFrame([("entry",)], "path string")).select("o_orderkey")
+
+
+@register("""SELECT DISTINCT user_id AS f, event_type AS t FROM events WHERE user_id % 9 = 0 OR event_type = 'error'""")
+def related_links(spark, sf):
+    links = V.table(spark, sf, "events").select(F.col("user_id").cast("string").alias("from"), F.col("event_type").alias("to"), F.lit("x").alias("type")).distinct()
+    chosen = V.table(spark, sf, "events").filter("user_id % 9 = 0").select(F.col("user_id").cast("string").alias("id")).distinct()
+    return impact.related_links(links, chosen, spark.createDataFrame([("error",)], "id string")).select(F.col("from").cast("long").alias("f"), F.col("to").alias("t"))
+
+
+@register("""SELECT c_custkey, c_name FROM customer WHERE c_custkey % 11 = 0""")
+def selected_context(spark, sf):
+    own = V.table(spark, sf, "customer").withColumn("id", F.col("c_custkey"))
+    return contracts.select_context(own, own.filter("c_custkey % 11 = 0").select("id")).select("c_custkey", "c_name")
+
+
+@register("""SELECT source AS candidate_id, sha256('{' || string_agg('"' || lang || '/' || lpad(CAST(doc_id AS VARCHAR), 9, '0') || '":"' || sha256(text) || '"', ',' ORDER BY lang || '/' || lpad(CAST(doc_id AS VARCHAR), 9, '0')) || '}') AS digest FROM documents GROUP BY 1""")
+def candidate_digests(spark, sf):
+    own = V.table(spark, sf, "documents").select(F.col("source").alias("candidate_id"), F.concat_ws("/", "lang", F.lpad(F.col("doc_id").cast("string"), 9, "0")).alias("path"), F.sha2("text", 256).alias("sha256"))
+    return contracts.candidate_digest(own)
+
+
+@register("""SELECT event_id FROM events WHERE user_id % 10 = 0 OR event_id % 25 = 0 OR user_id % 7 = 1""")
+def investigated_facts(spark, sf):
     own = V.table(spark, sf, "events")
-    counted = own.groupBy(F.window("ts", "1 hour"), "event_type").agg(F.count(F.lit(1)).alias("n"), F.sum(F.round(F.col("value") * 100).cast("long")).alias("cents"))
-    return counted.select(F.col("window.start").alias("window_start"), "event_type", "n", "cents")
+    path = lambda n: F.concat(F.lit("p"), (F.col("user_id") % n).cast("string"))
+    facts = own.select("event_id", F.col("event_id").alias("id"), path(10).alias("source_path"), F.concat(F.lit("q"), (F.col("user_id") % 7).cast("string")).alias("target_path"), F.array("event_id").alias("evidence_ids"))
+    return impact.investigation_facts(facts, spark.createDataFrame([("p0",), ("q1",)], "path string"), own.filter("event_id % 25 = 0").select(F.col("event_id").alias("id"))).select("event_id")
+
+
+@register("""SELECT doc_id, CASE WHEN doc_id % 4 = 3 THEN '_workspace' ELSE source END AS repository_id, CASE WHEN doc_id % 4 = 3 THEN 'workspace' ELSE lang END AS ref, CASE doc_id % 4 WHEN 0 THEN 'service' WHEN 1 THEN 'flow' WHEN 2 THEN 'class' ELSE 'map' END AS document_type FROM documents""")
+def document_identities(spark, sf):
+    d = F.col("doc_id")
+    file = F.when(d % 4 == 0, "servicio.md").when(d % 4 == 1, F.concat(F.lit("flujos/"), d.cast("string"), F.lit(".md"))).otherwise(F.concat(F.lit("clases/"), d.cast("string"), F.lit(".md")))
+    path = F.when(d % 4 == 3, F.concat(F.lit("Mapas/"), d.cast("string"), F.lit(".md"))).otherwise(F.concat_ws("/", F.lit("Servicios"), "source", "lang", file))
+    return V.table(spark, sf, "documents").select("doc_id", path.alias("path")).select("doc_id", *(c.alias(n) for n, c in C.document_identity(F.col("path")).items()))
+
+
+@register(f"""WITH {FACTS_SQL} SELECT component_id, 'in' AS direction, method || ' ' || path AS label, NULL AS target FROM facts WHERE kind = 'http_endpoint' UNION ALL SELECT component_id, 'screen', 'S' || k, NULL FROM facts WHERE kind = 'data_write' UNION ALL SELECT component_id, 'out', path, CASE WHEN k % 2 = 0 THEN 'component:x' END FROM facts WHERE kind = 'http_client_call'""")
+def flow_points(spark, sf):
+    own = V.events(spark, sf)
+    facts = own.filter("kind in ('data_write', 'http_client_call')").select("id", F.when(F.col("kind") == "data_write", "ui_component").otherwise(F.col("kind")).alias("kind"), "component_id", F.to_json(F.struct(F.when(F.col("kind") == "data_write", F.concat(F.lit("S"), F.col("k").cast("string"))).alias("name"), F.when(F.col("kind") == "http_client_call", F.col("path")).alias("path_expression"))).alias("value_json"))
+    edges = own.filter("kind = 'http_client_call' and k % 2 = 0").select(F.array("id").alias("fact_ids"), F.lit("component:x").alias("to"))
+    return summaries.flow_points(own.filter("kind = 'http_endpoint'").select("component_id", "method", "path"), facts, edges)
+
+
+@register("""WITH s AS (SELECT c_nationkey, count(DISTINCT c_mktsegment) AS systems FROM customer GROUP BY 1), m AS (SELECT count(DISTINCT c_mktsegment) AS systems, bool_or(c_custkey % 2 = 0) AS flow FROM customer WHERE c_custkey < 40)
+SELECT CASE WHEN flow THEN 0 ELSE 1 END + 1 + CASE WHEN systems < 2 THEN 1 ELSE 0 END AS lacks, flow AS has_flow FROM m""")
+def missing_information(spark, sf):
+    own = V.table(spark, sf, "customer").filter("c_custkey < 40")
+    none = F.array().cast("array<string>")
+    even = F.col("c_custkey") % 2 == 0
+    selected = own.select(F.when(even, "flow:steps").otherwise("class:summary").alias("section_type"), F.when(even, "flow").otherwise("class").alias("document_type"), none.alias("roles"), none.alias("source_paths"), F.col("c_mktsegment").alias("repository_id"))
+    return context.missing_information(selected, "migration").select(F.size("missing").alias("lacks"), "has_flow")
+
+
+@register("""SELECT c_custkey, CAST(10 * (c_custkey % 2) + 8 * CAST(c_custkey % 3 = 0 AS INTEGER) + 2 + CAST(c_custkey % 5 = 0 AS INTEGER) + CASE c_custkey % 4 WHEN 0 THEN 300 WHEN 1 THEN 260 WHEN 2 THEN 20 ELSE 0 END + CASE WHEN c_custkey % 13 = 0 THEN 1000 ELSE 0 END + 15 * CAST(c_custkey % 7 = 0 AS INTEGER) AS INTEGER) AS priority FROM customer""")
+def context_priorities(spark, sf):
+    k = F.col("c_custkey")
+    none = F.array().cast("array<string>")
+    rows = V.table(spark, sf, "customer").select(
+        "c_custkey", F.when(k % 2 == 1, "x:call").otherwise("x:summary").alias("section_type"), none.alias("roles"), none.alias("source_paths"), F.when(k % 7 == 0, "Billing page").otherwise("Page").alias("heading"), F.lit("d.md").alias("document_path"),
+        F.when(k % 3 == 0, F.struct(F.lit("GET").alias("method"), F.lit("/x").alias("path"))).alias("endpoint"), F.lit("r").alias("repository_id"), F.when(k % 5 == 0, F.array(F.lit("ev-1"))).otherwise(none).alias("evidence_ids"),
+        F.when(k % 4 == 0, 0).when(k % 4 == 1, 1).when(k % 4 == 2, 8).alias("distance"), (k % 13 == 0).alias("seed"),
+    )
+    return rows.select("c_custkey", context.contextual_priority("impact", "billing").cast("int").alias("priority"))
+
+
+@register("""WITH r AS (SELECT o_custkey, max(o_orderkey) AS run FROM orders WHERE o_orderkey % 2 = 0 GROUP BY 1), q AS (SELECT DISTINCT o_custkey FROM orders WHERE o_custkey % 10 = 0) SELECT CAST(o_custkey AS VARCHAR) AS label, CAST(count(o_orderkey) AS INTEGER) AS facts FROM (
+SELECT o.o_custkey, o.o_orderkey FROM r JOIN orders o ON o.o_custkey = r.o_custkey AND o.o_orderkey = r.run WHERE r.o_custkey NOT IN (SELECT o_custkey FROM q) UNION ALL SELECT o_custkey, NULL FROM q) GROUP BY 1""")
+def composed_workspace(spark, sf):
+    from . import engine
+
+    o = V.table(spark, sf, "orders").select(F.col("o_custkey").cast("string").alias("repository_id"), F.col("o_orderkey").alias("run_id"))
+    facts = o.select("repository_id", "run_id", F.concat(F.lit("f"), F.col("run_id").cast("string")).alias("id"), F.lit("technology").alias("kind"), F.col("repository_id").alias("component_id"), F.lit("{}").alias("value_json"), F.array().cast("array<string>").alias("evidence_ids"), F.lit("r").alias("rule_id"))
+    asked = o.filter("cast(repository_id as long) % 10 = 0").select("repository_id", F.lit(-1).cast("long").alias("run_id")).distinct()
+    nodes, _ = engine.compose(spark, facts, o.filter("run_id % 2 = 0"), asked)
+    return nodes.filter("type = 'component'").select("label", F.size("fact_ids").alias("facts"))
+
+
+@register("""SELECT 'component:' || n_name AS node FROM nation WHERE n_nationkey = 3""")
+def node_of_a_name(spark, sf):
+    nodes = V.table(spark, sf, "nation").select(F.concat(F.lit("component:"), "n_name").alias("id"), F.col("n_name").alias("label"))
+    name = V.table(spark, sf, "nation").filter("n_nationkey = 3").first()["n_name"]
+    return spark.createDataFrame([(graph.resolve_node(nodes, f" {name.lower()} "),)], "node string")
+
+
+@register("""SELECT c_custkey, CAST(row_number() OVER (ORDER BY CASE WHEN c_custkey % 50 = 0 THEN 0 WHEN c_custkey % 3 = 1 AND n <= 1 THEN 1 WHEN c_custkey % 3 = 2 AND n <= 2 THEN 5 ELSE 99 END, c_custkey) AS INTEGER) AS place FROM (SELECT c_custkey, row_number() OVER (PARTITION BY c_custkey % 3 ORDER BY c_custkey) AS n FROM customer WHERE c_custkey <= 1000)""")
+def structural_places(spark, sf):
+    k = F.col("c_custkey")
+    rows = V.table(spark, sf, "customer").filter("c_custkey <= 1000").select("c_custkey", k.cast("int").alias("place"), F.when(k % 3 == 1, "class UserRouter").when(k % 3 == 2, "class UserMapper").otherwise("Summary").alias("heading"), (k % 50 == 0).alias("seed"))
+    return context.structural_first(rows, "place").select("c_custkey", "place")
+
+
+@register("""WITH d AS (SELECT c_nationkey AS id, count(*) AS n FROM customer GROUP BY 1) SELECT 'n' || id AS id, 'N ' || id AS name, CAST(CASE WHEN id % 2 = 0 THEN 2 ELSE 1 END AS INTEGER) AS repositories, CAST(CASE WHEN id % 3 = 0 THEN 1 ELSE 0 END AS INTEGER) AS owners, CASE WHEN id % 4 = 0 THEN 'supported' END AS moved FROM d""")
+def capability_overrides(spark, sf):
+    ids = V.table(spark, sf, "customer").select(F.col("c_nationkey").alias("n")).distinct()
+    none = F.array().cast("array<string>")
+    id_ = F.concat(F.lit("n"), F.col("n").cast("string")).alias("id")
+    duty = "array<struct<repository_id:string,role:string,basis:string,evidence_ids:array<string>>>"
+    caps = ids.select(id_, F.concat(F.lit("N "), F.col("n").cast("string")).alias("name"), none.alias("aliases"), F.array(F.lit("r")).alias("repositories"), none.alias("entrypoints"), none.alias("flows"), F.array().cast(duty).alias("responsibilities"), F.array().cast("array<struct<from:string,to:string,status:string>>").alias("legacy_dependencies"), none.alias("contracts"), none.alias("data_resources"), none.alias("document_chunk_ids"), none.alias("evidence_ids"), F.lit("low").alias("confidence"))
+    configured = ids.filter("n % 2 = 0").select(id_, F.lit(None).cast("string").alias("label"), none.alias("aliases"), F.array(F.lit("r"), F.lit("s")).alias("systems"))
+    got = capability.with_overrides(caps, configured, ids.filter("n % 3 = 0").select(id_, F.lit("business_owner").alias("role"), F.lit("r").alias("repository_id")), ids.filter("n % 4 = 0").select(id_, F.lit("a").alias("from"), F.lit("b").alias("to"), F.lit("complete").alias("status")))
+    return got.select("id", "name", F.size("repositories").alias("repositories"), F.coalesce(F.size("responsibilities"), F.lit(0)).alias("owners"), F.get("legacy_dependencies", F.lit(0))["status"].alias("moved"))
+
+
+@register("""SELECT 'd' || c_custkey || '.md' AS path, CAST(p + 1 AS INTEGER) AS part, CAST(82 AS INTEGER) AS bytes FROM customer, range(5) AS r(p) WHERE p < 1 + c_custkey % 5""")
+def split_sections(spark, sf):
+    # pairs of paragraphs of 40 characters fit in 100 bytes, so 2 + 2 * (k % 5) paragraphs are 1 + k % 5 parts
+    k = F.col("c_custkey")
+    paragraphs = F.array_join(F.array_repeat(F.repeat(F.lit("x"), F.lit(40)), (2 + 2 * (k % 5)).cast("int")), "\n\n")
+    docs = V.table(spark, sf, "customer").select(F.concat(F.lit("d"), k.cast("string"), F.lit(".md")).alias("path"), F.lit(1).alias("section"), F.lit("H").alias("heading"), paragraphs.alias("content"))
+    return C.split_sections(docs, 100).select("path", F.col("part").cast("int").alias("part"), F.octet_length("content").alias("bytes"))
+
+
+@register("""SELECT 'd' || c_custkey || '.md' AS document_path, c_custkey % 3 <> 0 AS reused FROM customer""")
+def reused_chunks(spark, sf):
+    k = F.col("c_custkey")
+    docs = lambda end: V.table(spark, sf, "customer").select(F.concat(F.lit("d"), k.cast("string"), F.lit(".md")).alias("path"), F.concat(F.lit("# T\n\ntext "), "c_name", F.when(k % 3 == 0, end).otherwise("")).alias("content"))
+    before = cut(C.build_chunks(docs("a"), "one"))
+    return C.build_chunks(docs("b"), "two", previous=before).select("document_path", "reused")
+
+
+@register("""SELECT count(DISTINCT c_mktsegment) AS repositories, 3 AS consumers, 3 AS synchronous_dependencies, 2 AS messages, 1 AS data_resources, 1 AS unresolved_relations FROM customer WHERE c_custkey < 500""")
+def impact_dimensions(spark, sf):
+    own = V.table(spark, sf, "customer").filter("c_custkey < 500")
+    chunks = own.select(F.col("c_mktsegment").alias("repository_id"), F.array(F.lit("src/UserRepository.java")).alias("source_paths"), F.array(F.col("c_name")).alias("evidence_ids"))
+    rows = [("component:x", "calls_http", "supported"), ("component:y", "calls_http", "candidate"), ("component:BUILDING", "calls_http", "supported"), ("component:z", "publishes_to", "supported"), ("component:z", "consumes_from", "supported")]
+    got = impact.analyse(spark.createDataFrame(rows, "`from` string, type string, status string"), chunks)
+    return got.select(*(F.col(c).cast("long").alias(c) for c in ("repositories", "consumers", "synchronous_dependencies", "messages", "data_resources", "unresolved_relations")))
+
+
+@register(f"""WITH {FACTS_SQL}, l AS (SELECT DISTINCT component_id, kind, path FROM facts WHERE kind IN ('data_write', 'http_endpoint')) SELECT 'symbol:' || component_id || ':' || path AS f, CASE kind WHEN 'data_write' THEN 'writes_to' ELSE 'exposes' END AS type, count(*) AS n FROM l GROUP BY 1, 2""")
+def link_graph(spark, sf):
+    own = V.events(spark, sf).filter("kind in ('data_write', 'http_endpoint')")
+    value = F.to_json(F.struct(F.col("path").alias("source_path"), F.lit("t").alias("entity")))
+    facts = own.select("id", "kind", "component_id", value.alias("value_json"), F.array("id").alias("evidence_ids"), F.lit("r").alias("rule_id"))
+    none = C.build_chunks(spark.createDataFrame([], "path string, content string"), "run")
+    links = C.build_links(none, facts)
+    return links.groupBy(F.col("from").alias("f"), "type").agg(F.count(F.lit(1)).alias("n"))
+
+
+#: One example for each rule: the file, its text around a key, and the field of the value that holds the key.
+EXAMPLES = (
+    ("express.route", "a.js", "router.get('/x{}', (q, s) => s.send(1));", "path", "/x{}"), ("express.mount", "a.js", "app.use('/m{}', r)", "path", "/m{}"), ("node.fetch.static", "a.js", "fetch('/f{}')", "path_expression", "/f{}"),
+    ("node.fetch.symbolic", "a.js", "fetch(url{})", "path_expression", "url{}"), ("supabase.entity", "a.js", "sb.from('t{}')", "entity", "t{}"), ("supabase.read", "a.js", "sb.from('t{}').select('*')", "resource", "t{}"),
+    ("supabase.write", "a.js", "sb.from('t{}').insert(x)", "resource", "t{}"), ("python.flask.route", "a.py", "@bp.route('/f{}', methods=['GET'])", "path", "/f{}"), ("python.django.path", "urls.py", "path('d{}', v.h)", "path", "/d{}"),
+    ("python.httpx.base_url", "a.py", "httpx.Client(base_url='http://h{}')", "base_url", "http://h{}"), ("python.http.client_call", "a.py", "c.get('/c{}')", "path_expression", "/c{}"), ("python.manifest.dependency", "requirements.txt", "pkg{}==1", "package", "pkg{}"),
+    ("dotnet.controller.route", "A.cs", "[HttpGet('r{}')]", "path", "r{}"), ("dotnet.controller.prefix", "A.cs", "[Route('p{}')]", "path", "p{}"), ("dotnet.minimal.api", "A.cs", "app.MapGet('/a{}', f)", "path", "/a{}"),
+    ("dotnet.httpclient.base", "A.cs", "BaseAddress = new Uri('http://b{}')", "base_url", "http://b{}"), ("dotnet.ef.dbset", "A.cs", "DbSet<E{}> Items", "entity", "E{}"), ("dotnet.csproj.package", "a.csproj", "<PackageReference Include='P{}' Version='1'", "package", "P{}"),
+    ("angular.route", "r.ts", "{ path: 'a{}', component: C }".replace("{ ", "{{ ").replace(" }", " }}"), "path", "a{}"), ("angular.httpclient", "s.ts", "this.http.get('/h{}')", "path_expression", "/h{}"),
+    ("angular.environment", "environment.ts", "apiUrl: 'http://e{}'", "base_url", "http://e{}"), ("react.router.route", "r.tsx", "<Route path='/r{}'", "path", "/r{}"), ("react.fetch", "r.tsx", "fetch('/g{}')", "path_expression", "/g{}"),
+    ("react.axios", "r.jsx", "axios.get('/x{}')", "path_expression", "/x{}"), ("jee.jaxrs.path", "A.java", "@GET @Path('/j{}')", "path", "/j{}"), ("jee.ejb", "A.java", "@Stateless class B{} ", "name", "B{}"),
+    ("jee.jms.destination", "A.java", "destinationLookup = 'q{}'", "destination", "q{}"), ("jee.jndi", "a.xml", "<jndi-name>n{}</jndi-name>", "name", "n{}"), ("jee.module", "web.xml", "<context-root>c{}</context-root>", "value", "c{}"),
+    ("spring.feign.client", "A.java", "@FeignClient('f{}')", "base_url", "f{}"), ("spring.jpa.entity", "A.java", "@Entity class E{} ", "entity", "E{}"), ("spring.kafka.listener", "A.java", "@KafkaListener(topics = 't{}')", "topic", "t{}"),
+    ("spring.pom.dependency", "pom.xml", "<dependency><groupId>g</groupId><artifactId>a{}</artifactId></dependency>", "package", "g:a{}"), ("webflux.webclient", "A.java", "c.get().uri(u{})", "uri_expression", "u{}"),
+)
+_RULES_SQL = ", ".join(f"({i}, '{rule}', '{value.replace('{}', '|')}')" for i, (rule, _, _, _, value) in enumerate(EXAMPLES))
+
+
+@register(f"""WITH r(i, rule_id, value) AS (VALUES {_RULES_SQL}), e AS (SELECT DISTINCT event_id % 200 AS k FROM events) SELECT rule_id, replace(value, '|', CAST(k AS VARCHAR)) AS value FROM e JOIN r ON r.i = k % {len(EXAMPLES)}""")
+def rule_examples(spark, sf):
+    known = spark.createDataFrame([(i, rule, path, *(text if "{{" not in text else text.replace("{{", "\u0002").replace("}}", "\u0003")).split("{}"), name) for i, (rule, path, text, name, _) in enumerate(EXAMPLES)], "i int, rule string, file string, head string, tail string, name string")
+    keys = V.table(spark, sf, "events").select((F.col("event_id") % 200).alias("k")).distinct()
+    own = keys.join(F.broadcast(known), F.col("k") % len(EXAMPLES) == F.col("i"))
+    text = F.translate(F.concat("head", F.col("k").cast("string"), "tail"), "\u0002\u0003", "{}")
+    files = own.select(F.lit("r").alias("repository_id"), F.lit("s").alias("snapshot_id"), F.concat(F.col("k").cast("string"), F.lit("/"), "file").alias("relative_path"), text.alias("text"))
+    found = extract.extract(files, {e[0] for e in EXAMPLES}).join(F.broadcast(known.select(F.col("rule").alias("rule_id"), "i", "name")), "rule_id")
+    mine = found.filter(F.element_at(F.split("relative_path", "/"), 1).cast("int") % len(EXAMPLES) == F.col("i"))
+    value = F.coalesce(*(F.when(F.col("name") == n, field("value_json", n)) for n in sorted({e[3] for e in EXAMPLES})))
+    return mine.select("rule_id", value.alias("value"))
