@@ -11,6 +11,9 @@ Equal sets are one node from the start. Candidates come from two sides, and are
   n - ceil(SIMILARITY * n) + 1 of a set of n hold one of the prefix of each set that is similar enough. No pair is lost. The order
   puts shingles last that are frequent in a sample of texts; the sample decides only how many candidates there are.
 
+Before sets are fetched, a pair is discarded if its signatures show that it can't be similar enough: a signature counts a set's
+shingles in BUCKETS buckets, and two sets share no more than the sum of the lesser counts. Only sets of pairs that are left travel.
+
 Pairs of a key with at most FEW nodes are verified all. In a larger one, nodes that are in one group already need no look; the others
 are first compared with some leaders, and then each pair that still lies in two groups is verified.
 
@@ -27,12 +30,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from .common import ship, small_side, text_of, unused, written
+from .common import discard, ship, small_side, text_of, unused, written
 from .components import components
 from .simhash import bits_of, hashes_of, links as near_bits
 
 SHINGLE, SIMILARITY, BITS = 5, 0.8, 4
-FEW, LEADERS, ROUNDS = 24, 8, 3
+FEW, LEADERS, ROUNDS, BUCKETS = 24, 8, 3, 512
 #: Texts that the order of shingles is taken from, and how many of these hold a shingle that counts as frequent.
 ORDERED, FREQUENT = 20_000, 3
 
@@ -49,6 +52,22 @@ def node_of(own: np.ndarray) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
+def signature(own: np.ndarray) -> bytes:
+    """How many of a set's shingles fall in each bucket; empty, which tells nothing, where a bucket has more than a byte holds."""
+    counts = np.bincount((own.view(np.uint64) % np.uint64(BUCKETS)).astype(np.int64), minlength=BUCKETS)
+    return counts.astype(np.uint8).tobytes() if counts.max(initial=0) < 256 else b""
+
+
+def may_be_similar(a: list[bytes], b: list[bytes], similarity: float) -> np.ndarray:
+    """Which pairs of signatures leave room for the similarity."""
+    blank = bytes(BUCKETS)
+    x, y = (np.frombuffer(b"".join(s or blank for s in side), np.uint8).reshape(-1, BUCKETS) for side in (a, b))
+    shared = np.minimum(x, y).sum(axis=1, dtype=np.int64)
+    both = x.sum(axis=1, dtype=np.int64) + y.sum(axis=1, dtype=np.int64)
+    unknown = np.array([not s or not t for s, t in zip(a, b, strict=True)], bool)
+    return unknown | (shared * (1 + similarity) >= both * similarity - 1e-6)
+
+
 def prefix(own: np.ndarray, frequent: np.ndarray, count: np.ndarray, similarity: float) -> np.ndarray:
     """The first shingles of a set, as many as a similar set must share one of."""
     n = len(own)
@@ -108,7 +127,7 @@ def near_fingerprints(rows: DataFrame, radius: int = BITS) -> DataFrame:
 
 
 def links(rows: DataFrame, text: str = "text", shingle: int = SHINGLE, similarity: float = SIMILARITY, few: int = FEW, radius: int = BITS) -> DataFrame:
-    """(a, b): links between the nodes of rows (_node long, _fp long, text), enough to join all that is linked."""
+    """(a, b): links between the nodes of rows (_node long, _fp long, _sig binary, text), enough to join all that is linked."""
     near = near_fingerprints(rows, radius)
     frequent, count = _frequent(rows, text, rows.count(), shingle)
 
@@ -124,24 +143,38 @@ def links(rows: DataFrame, text: str = "text", shingle: int = SHINGLE, similarit
     dealt = rows.select("_node", text).mapInArrow(keyed, "key long, node long, size int").repartition("key").sortWithinPartitions("key", "node")
     met = written(dealt.mapInArrow(_shared, "key long, node long, size int"), "shared")
     own = written(met.join(met.groupBy("key").agg(F.count(F.lit(1)).alias("n")), "key"), "shared")
-    needed = own.select(F.col("node").alias("_node")).distinct()
+    signatures = written(rows.select(F.col("_node").alias("node"), F.col("_sig").alias("sig")).dropDuplicates(["node"]), "signatures")
+
+    def likely(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                ok = may_be_similar(batch.column(2).to_pylist(), batch.column(3).to_pylist(), similarity)
+                yield pa.record_batch([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(ok))
 
     def held(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             yield pa.record_batch([batch.column(0), pa.array([shingles(t or "", shingle).tobytes() for t in batch.column(1).to_pylist()], pa.binary())], names=["node", "set"])
 
-    texts = rows.select("_node", text).join(needed, "_node", "left_semi").dropDuplicates(["_node"])
-    sets = written(texts.mapInArrow(held, "node long, set binary"), "sets")
-
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ok = [similar(np.frombuffer(x, np.int64), np.frombuffer(y, np.int64), similarity) for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())]
             yield pa.record_batch([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
     def verified(pairs: DataFrame) -> DataFrame:
-        a, b = sets.select(F.col("node").alias("a"), F.col("set").alias("x")), sets.select(F.col("node").alias("b"), F.col("set").alias("y"))
-        met = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(a, "a").join(b, "b")
-        return written(met.select("a", "b", "x", "y").mapInArrow(verify, "a long, b long"), "similar")
+        def with_both(some: DataFrame, table: DataFrame, value: str) -> DataFrame:
+            a, b = table.select(F.col("node").alias("a"), F.col(value).alias("x")), table.select(F.col("node").alias("b"), F.col(value).alias("y"))
+            return some.join(a, "a").join(b, "b").select("a", "b", "x", "y")
+
+        met = written(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
+        left = written(with_both(met, signatures, "sig").mapInArrow(likely, "a long, b long"), "likely")
+        discard(met)
+        needed = written(left.select(F.explode(F.array("a", "b")).alias("_needed")).distinct(), "needed")
+        texts = rows.select("_node", text).join(small_side(needed), F.col("_node") == F.col("_needed"), "left_semi").dropDuplicates(["_node"])
+        sets = written(texts.mapInArrow(held, "node long, set binary"), "sets")
+        found = written(with_both(left, sets, "set").mapInArrow(verify, "a long, b long"), "similar")
+        for table in (left, needed, sets):
+            discard(table)
+        return found
 
     sized = F.least("size", "to_size") >= F.greatest("size", "to_size") * F.lit(similarity) - 1e-6
     small = own.filter(F.col("n") <= few)
@@ -172,18 +205,19 @@ def links(rows: DataFrame, text: str = "text", shingle: int = SHINGLE, similarit
 def first_of_groups(df: DataFrame, shingle: int = SHINGLE, similarity: float = SIMILARITY, few: int = FEW, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of df with the smallest doc_id of their group, all their columns as they are; rows with a null doc_id stay."""
     ship(df.sparkSession)
-    node, fp = unused(df, "_node"), unused(df, "_fp")
+    node, fp, sig = unused(df, "_node"), unused(df, "_fp"), unused(df, "_sig")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             hashes = [hashes_of(t or "", shingle) for t in batch.column(batch.schema.get_field_index(text)).to_pylist()]
-            nodes = pa.array([node_of(np.unique(h.view(np.int64))) for h in hashes], pa.int64())
+            sets = [np.unique(h.view(np.int64)) for h in hashes]
+            nodes, sigs = pa.array([node_of(x) for x in sets], pa.int64()), pa.array([signature(x) for x in sets], pa.binary())
             fps = pa.array(np.array([bits_of(h) for h in hashes], np.uint64).view(np.int64))
-            yield pa.record_batch([*batch.columns, nodes, fps], names=[*batch.schema.names, node, fp])
+            yield pa.record_batch([*batch.columns, nodes, fps, sigs], names=[*batch.schema.names, node, fp, sig])
 
-    more = [T.StructField(node, T.LongType()), T.StructField(fp, T.LongType())]
+    more = [T.StructField(node, T.LongType()), T.StructField(fp, T.LongType()), T.StructField(sig, T.BinaryType())]
     marked = written(df.mapInArrow(run, T.StructType([*df.schema.fields, *more])), "nodes")
-    rows = marked.select(marked[doc_id].cast("long").alias("_id"), text_of(marked, text).alias("text"), F.col(node).alias("_node"), F.col(fp).alias("_fp"))
+    rows = marked.select(marked[doc_id].cast("long").alias("_id"), text_of(marked, text).alias("text"), F.col(node).alias("_node"), F.col(fp).alias("_fp"), F.col(sig).alias("_sig"))
     group = components(links(rows, "text", shingle, similarity, few))
     ids = rows.select("_id", "_node").distinct()
     named = ids.join(group.select(F.col("node").alias("_node"), "component"), "_node", "left").withColumn("component", F.coalesce("component", "_node"))

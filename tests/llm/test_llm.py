@@ -872,3 +872,18 @@ def test_marks_are_paired_by_place():
     s = toxicity.Scorer(toxicity.Model({"idiot": 6.0}, base=-4.0, slope=1.2))
     assert all(s.score(t) > 0.5 for t in ('"Hi" idiot "bye"', "in other words you idiot", 'a " stray and idiot', "don’t be an idiot, it’s late", 'he sat "\nidiot "'))
     assert all(s.score(t) < 0.5 for t in ('he wrote "what an idiot" there', "« idiot »", "a “total idiot” he"))
+
+
+def test_signatures_discard_no_similar_pair():
+    from factloom.llm import near_text
+
+    draw = np.random.default_rng(6)
+    for _ in range(200):
+        a = draw.integers(-(2**62), 2**62, draw.integers(0, 600))
+        b = np.concatenate([a[draw.random(len(a)) < draw.uniform(0.5, 1)], draw.integers(-(2**62), 2**62, draw.integers(0, 80))])
+        ok = near_text.may_be_similar([near_text.signature(a)], [near_text.signature(b)], 0.8)[0]
+        both = len(np.intersect1d(a, b))
+        assert ok or both / max(1, len(a) + len(b) - both) < 0.8
+    many = np.arange(300 * 512)
+    assert near_text.signature(many) == b"" and near_text.may_be_similar([b""], [near_text.signature(many[:9])], 0.8)[0]
+    assert not near_text.may_be_similar([near_text.signature(many[:300])], [near_text.signature(many[300:600])], 0.8)[0]
