@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.ids import sha256
@@ -48,19 +50,45 @@ def unreferenced(stored: DataFrame, used: DataFrame, key: str = "digest") -> Dat
     return stored.join(used.select(key), key, "left_anti")
 
 
-def publish(files: DataFrame, root: str, edition_id: str) -> DataFrame:
-    """Write an edition's files as a table, read it again, and point to it once it is whole. Returns its manifest."""
+@contextlib.contextmanager
+def locked(spark, root: str):
+    """One publisher at a time: whoever makes the lock's file, which is made once or not at all, holds it."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{root}/.publisher.lock")
+    system = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    system.mkdirs(path.getParent())
+    try:
+        made = system.createNewFile(path)
+    except Exception as e:
+        raise RuntimeError(f"{root} can't be locked") from e
+    if not made:
+        raise RuntimeError(f"{root} is being published to")
+    try:
+        yield
+    finally:
+        system.delete(path, False)
+
+
+def publish(files: DataFrame, root: str, edition_id: str, keep: int | None = None) -> DataFrame:
+    """Write an edition's files as a table, read it again, and point to it once it is whole; of editions, the newest `keep` stay.
+    Returns its manifest. An edition that is there isn't written over."""
+    spark = files.sparkSession
     found = issues(files)
     if not found.isEmpty():
         raise ValueError(f"not publishable: {[tuple(r) for r in found.limit(5).collect()]}")
     own = files.withColumn("edition_id", F.lit(edition_id))
-    own.write.mode("overwrite").parquet(f"{root}/editions/{edition_id}")
-    back = files.sparkSession.read.parquet(f"{root}/editions/{edition_id}")
-    if not same_edition(manifest(own), manifest(back)):
-        raise IOError("the edition isn't what was written")
-    told = manifest(back)
-    files.sparkSession.createDataFrame([(edition_id,)], "edition_id string").withColumn("published_at", F.current_timestamp()).write.mode("append").parquet(f"{root}/pointers")
-    return told
+    with locked(spark, root):
+        own.write.mode("error").parquet(f"{root}/editions/{edition_id}")
+        back = spark.read.parquet(f"{root}/editions/{edition_id}")
+        if not same_edition(manifest(own), manifest(back)):
+            raise IOError("the edition isn't what was written")
+        _point_to(spark, root, edition_id)
+        if keep is not None:
+            retain(spark, root, keep)
+    return manifest(back)
+
+
+def _point_to(spark, root: str, edition_id: str) -> None:
+    spark.createDataFrame([(edition_id,)], "edition_id string").withColumn("published_at", F.current_timestamp()).write.mode("append").parquet(f"{root}/pointers")
 
 
 def retain(spark, root: str, keep: int) -> list[str]:
@@ -84,4 +112,5 @@ def current(spark, root: str) -> DataFrame:
 def restore(spark, root: str, edition_id: str) -> None:
     """Point to an edition that is still there."""
     spark.read.parquet(f"{root}/editions/{edition_id}")
-    spark.createDataFrame([(edition_id,)], "edition_id string").withColumn("published_at", F.current_timestamp()).write.mode("append").parquet(f"{root}/pointers")
+    with locked(spark, root):
+        _point_to(spark, root, edition_id)

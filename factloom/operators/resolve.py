@@ -105,13 +105,34 @@ def last_before(points: DataFrame, marks: DataFrame, key: str, at: str = "start"
     return m.unionByName(p).withColumn("name", F.last("_name", ignorenulls=True).over(w)).filter("_kind = 1").select("id", key, F.col("_at").alias(at), "name")
 
 
-def handler_symbol(endpoints: DataFrame, symbols: DataFrame) -> DataFrame:
-    """endpoints (id, component_id, handler, source_path): the symbol of the handler's name, of the same file first, then the
-    first by id."""
-    name = F.element_at(F.split(F.regexp_replace("handler", "[^A-Za-z0-9_$.].*$", ""), "[.]"), -1)
-    s = symbols.select("component_id", F.col("name").alias("_name"), "symbol_id", F.col("source_path").alias("_path"))
-    found = endpoints.withColumn("_name", name).join(s, ["component_id", "_name"]).groupBy("id").agg(F.min(F.struct((F.col("_path") != F.col("source_path")).alias("_other"), F.col("symbol_id"))).alias("_s"))
-    return endpoints.join(found, "id", "left").select(*endpoints.columns, F.col("_s.symbol_id").alias("symbol_id"))
+def handler_reference(handler: Column) -> Column:
+    """What a handler's text calls: its last dotted call, else its last argument without a call's brackets or an arrow's head."""
+    flat = F.trim(F.regexp_replace(handler, r"\s+", " "))
+    name = r"[A-Za-z_$][A-Za-z0-9_$]*"  # fixed value, as in the two patterns below
+    dotted = F.try_element_at(F.regexp_extract_all(flat, F.lit(rf"({name}(?: ?\. ?{name})+) ?(?=\()"), F.lit(1)), F.lit(-1))
+    plain = F.regexp_replace(F.trim(F.element_at(F.split(flat, ","), -1)), r"\([^)]*\)$", "")
+    return F.regexp_replace(F.coalesce(dotted, F.regexp_replace(plain, rf"^(?:async ?)?(?:\([^)]*\)|{name}) ?=> ?", "")), " ", "")
+
+
+def handler_symbol(endpoints: DataFrame, symbols: DataFrame, variables: DataFrame | None = None) -> DataFrame:
+    """endpoints (id, component_id, handler, source_path): the symbol that a handler names. Those fit whose class is that of the
+    handler's receiver, where variables (component_id, variable, type) tell it: the one that fits, else one of the same file, which
+    counts even if its class doesn't fit, else the first that fits by id."""
+    parts = F.filter(F.split(handler_reference(F.col("handler")), "[.?]"), lambda p: p != "")
+    asked = endpoints.withColumns({"_name": F.try_element_at(parts, F.lit(-1)), "_receiver": F.try_element_at(parts, F.lit(-2))})
+    if variables is None:
+        asked = asked.withColumn("_type", F.lit(None).cast("string"))
+    else:
+        types = variables.groupBy("component_id", F.col("variable").alias("_receiver")).agg(simple_type(F.min("type")).alias("_type"))
+        asked = asked.join(types, ["component_id", "_receiver"], "left")
+    classes = F.col("class_name") if "class_name" in symbols.columns else F.lit(None).cast("string")
+    s = symbols.select("component_id", F.col("name").alias("_name"), "symbol_id", F.col("source_path").alias("_path"), classes.alias("_class"))
+    fits, other = F.col("_type").isNull() | F.coalesce(F.col("_class") == F.col("_type"), F.lit(False)), F.col("_path") != F.col("source_path")
+    found = asked.join(s, ["component_id", "_name"]).groupBy("id").agg(
+        F.count_if(fits).alias("_n"), F.min(F.when(fits, F.struct(other.alias("other"), F.col("symbol_id").alias("symbol_id")))).alias("_fit"), F.min(F.when(~other, F.col("symbol_id"))).alias("_near"),
+    )
+    chosen = F.when((F.col("_n") == 1) | ~F.col("_fit.other"), F.col("_fit.symbol_id")).otherwise(F.coalesce("_near", "_fit.symbol_id"))
+    return endpoints.join(found.select("id", chosen.alias("symbol_id")), "id", "left").select(*endpoints.columns, "symbol_id")
 
 
 # What a relative import may mean, in this order.

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from ..sources.storage import cut
 
@@ -53,6 +53,23 @@ def flow_resources(reached: DataFrame, symbols: DataFrame, facts: DataFrame, ent
     return facts.join(paths, "source_path", "left_semi")
 
 
+def near_edges(edges: DataFrame, starts: DataFrame, max_depth: int = 4, max_edges: int = 30) -> DataFrame:
+    """(start, from, to, depth): the first edges (component_id, from, to) that are met on the way from each start (start,
+    component_id, node), nearer ones and smaller names first. All starts walk at once; an edge's depth is the hops before it."""
+    ways = edges.select("component_id", F.col("from").alias("node"), F.col("to").alias("_to")).distinct()
+    seen = frontier = cut(starts.select("start", "component_id", "node").distinct())
+    found = None
+    for depth in range(max_depth):
+        met = cut(frontier.join(ways, ["component_id", "node"]).withColumn("depth", F.lit(depth)))
+        found = met if found is None else found.unionByName(met)
+        frontier = cut(met.select("start", "component_id", F.col("_to").alias("node")).distinct().join(seen, ["start", "component_id", "node"], "left_anti"))
+        if frontier.isEmpty():
+            break
+        seen = seen.unionByName(frontier)
+    place = F.row_number().over(Window.partitionBy("start").orderBy("depth", "node", "_to"))
+    return found.withColumn("_n", place).filter(F.col("_n") <= max_edges).select("start", F.col("node").alias("from"), F.col("_to").alias("to"), "depth")
+
+
 def expand_context(links: DataFrame, chunks: DataFrame, seeds: DataFrame, depth: int = 2, limit: int = 60, max_visited: int = 5000, hub_degree: int = HUB_DEGREE) -> DataFrame:
     """(id, distance) of chunks near seeds (id). Only technical nodes are walked on; a chunk ends a walk. Links of type
     documents and unresolved ones aren't walked; backwards only those of BOTH_WAYS. A node with more technical links than

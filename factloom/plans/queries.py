@@ -10,7 +10,7 @@ from ..functions import text as T
 from ..functions.ids import content_hash, field
 from ..operators import architecture, capability, chunks as C, context, contracts, diff, extract, graph, impact, incremental, inventory, publish, query, resolve, scope, search, summaries, traverse
 from ..sources.storage import cut
-from . import views as V
+from . import answers, views as V
 from .views import FACTS_SQL, FILES_SQL, MOVES_SQL, PLACES_SQL
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -900,3 +900,53 @@ def rule_examples(spark, sf):
     mine = found.filter(F.element_at(F.split("relative_path", "/"), 1).cast("int") % len(EXAMPLES) == F.col("i"))
     value = F.coalesce(*(F.when(F.col("name") == n, field("value_json", n)) for n in sorted({e[3] for e in EXAMPLES})))
     return mine.select("rule_id", value.alias("value"))
+
+
+# --- composed answers -----------------------------------------------------------------------------------------------
+
+
+@register(f"""WITH RECURSIVE {PLACES_SQL}, s AS (SELECT 'order:' || o_orderkey AS start FROM orders WHERE o_orderstatus = 'P'), w AS (
+  SELECT s.start, p.f, p.t, 0 AS depth FROM s JOIN places p ON p.f = s.start UNION ALL SELECT w.start, p.f, p.t, w.depth + 1 FROM w JOIN places p ON p.f = w.t WHERE w.depth < 1
+) SELECT start, f, t, CAST(depth AS INTEGER) AS depth FROM w""")
+def near_module_edges(spark, sf):
+    edges = V.places(spark, sf).withColumn("component_id", F.lit("c"))
+    at = F.concat(F.lit("order:"), F.col("o_orderkey").cast("string"))
+    starts = V.table(spark, sf, "orders").filter("o_orderstatus = 'P'").select(at.alias("start"), F.lit("c").alias("component_id"), at.alias("node"))
+    return traverse.near_edges(edges, starts, max_depth=2).select("start", F.col("from").alias("f"), F.col("to").alias("t"), "depth")
+
+
+@register(f"""WITH RECURSIVE {PLACES_SQL}, w(n, depth) AS (SELECT 'order:1', 0 UNION ALL SELECT t, depth + 1 FROM w JOIN places ON f = n WHERE EXISTS (SELECT 1 FROM orders WHERE o_orderkey = 1))
+SELECT 'step' AS part, n AS name, CAST(depth AS INTEGER) AS depth FROM w WHERE depth > 0 OR EXISTS (SELECT 1 FROM places WHERE f = n)
+UNION ALL SELECT 'data', 'table of ' || n, -1 FROM w WHERE n LIKE 'nation:%'""")
+def explained_endpoint(spark, sf):
+    """Orders, customers, nations and regions as symbols that call each other; nations read a table."""
+    p = V.places(spark, sf)
+    nodes = p.select(F.col("from").alias("n")).unionByName(p.select(F.col("to").alias("n"))).distinct()
+    fact = lambda rows, key, kind, value: rows.select(
+        F.concat(F.lit(f"{kind}-"), key).alias("id"), F.lit(kind).alias("kind"), F.lit("c").alias("component_id"), F.to_json(value).alias("value_json"), F.array().cast("array<string>").alias("evidence_ids"), F.lit("r").alias("rule_id")
+    )
+    file = F.concat(F.lit("src/"), "n")
+    symbols = fact(nodes, F.col("n"), "code_symbol", F.struct(F.col("n").alias("symbol_id"), F.translate("n", ":", "_").alias("name"), file.alias("source_path")))
+    calls = fact(p, F.concat("from", F.lit(">"), "to"), "symbol_call", F.struct(F.col("from").alias("caller_symbol_id"), F.col("to").alias("target_symbol_id"), F.lit("supported").alias("resolution")))
+    data = fact(nodes.filter("n like 'nation:%'"), F.col("n"), "data_read", F.struct(F.concat(F.lit("table of "), "n").alias("entity"), file.alias("source_path")))
+    one = spark.range(1).select(F.lit("e").alias("n"))
+    end = fact(one, F.col("n"), "http_endpoint", F.struct(F.lit("GET").alias("method"), F.lit("/orders/").alias("path"), F.lit("(q, s) => ctl.order_1(q)").alias("handler_expression"), F.lit("src/app").alias("source_path")))
+    told = answers.explain_endpoint(symbols.unionByName(calls).unionByName(data).unionByName(end), "c", "get", "/orders")
+    steps = told["steps"].select(F.lit("step").alias("part"), F.col("symbol_id").alias("name"), "depth")
+    return steps.unionByName(told["data"].select(F.lit("data").alias("part"), F.col("entity").alias("name"), F.lit(-1).alias("depth")))
+
+
+@register(f"""WITH {FACTS_SQL}, ep AS (SELECT *, (CASE WHEN method = 'POST' THEN 8 ELSE 0 END) + (CASE WHEN '12' IN (CAST(k AS VARCHAR), CAST(user_id % 50 AS VARCHAR)) THEN 8 ELSE 0 END) AS score FROM facts WHERE kind = 'http_endpoint' AND component_id = '7')
+SELECT path, method, CAST(score AS INTEGER) AS score FROM ep WHERE score > 0 ORDER BY score DESC, path, method LIMIT 20""")
+def documentable_flows(spark, sf):
+    return answers.find_flows(V.facts(spark, sf), "post 12", "7").select("path", "method", "score")
+
+
+@register(f"""WITH {FACTS_SQL}, own AS (SELECT * FROM facts WHERE component_id = '7')
+SELECT count(*) FILTER (kind = 'http_endpoint') AS endpoints, (SELECT count(*) FROM (SELECT DISTINCT user_id, event_type FROM events) WHERE user_id % 40 = 7) AS relations, len(list(DISTINCT 'pkg-' || k % 20) FILTER (kind = 'package_dependency')) AS technologies FROM own""")
+def explained_service(spark, sf):
+    edges = V.table(spark, sf, "events").select((F.col("user_id") % 40).alias("c"), F.col("user_id"), "event_type").distinct().select(
+        F.concat(F.lit("component:"), F.col("c").cast("string")).alias("from"), F.concat_ws("-", F.lit("node"), F.col("user_id").cast("string")).alias("to"), F.col("event_type").alias("type"), F.lit("supported").alias("status"), F.array().cast("array<string>").alias("limitations")
+    )
+    told = answers.explain_service(V.facts(spark, sf), edges, "7")["summary"]
+    return told.select("endpoints", "relations", F.size("technologies").cast("long").alias("technologies"))
