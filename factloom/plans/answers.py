@@ -79,7 +79,7 @@ def explain_endpoint(facts: DataFrame, component: str, method: str, path: str, m
     row with a status and limitations. Without such an endpoint, answer alone says so and the others are empty."""
     own = cut(scope.production_facts(facts.filter(of_component(component))))
     named = endpoints_of(own).filter((F.upper("method") == method.upper()) & (_route(F.col("path")) == _route(F.lit(path)))).orderBy("source_path", "id").limit(1)
-    known, calls = symbols_of(own), calls_of(own)
+    known, calls = cut(symbols_of(own)), cut(calls_of(own))  # each hop reads them
     endpoint = cut(resolve.handler_symbol(named, known, variables_of(own)))
     start = endpoint.filter("symbol_id is not null").select(F.col("symbol_id").alias("node"))
     reached, made = traverse.endpoint_flow(calls, known, start, max_depth, max_symbols, max_calls)
