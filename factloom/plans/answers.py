@@ -121,7 +121,8 @@ def explain_service(facts: DataFrame, edges: DataFrame, component: str, symbols:
     # one row each
     summary = counts.crossJoin(ends.agg(F.count(F.lit(1)).alias("endpoints"))).crossJoin(touching.agg(F.count(F.lit(1)).alias("relations"))).crossJoin(tech)
     rows = known.withColumn("owner", owner).withColumn("_method", F.col("class_name").isNotNull())
-    ordered = rows.filter("owner is not null").groupBy("owner").agg(F.count_if("_method").alias("_methods"))
+    # each takes a place at least, so the window sees no more rows than symbols are asked for
+    ordered = rows.filter("owner is not null").groupBy("owner").agg(F.count_if("_method").alias("_methods")).orderBy("owner").limit(max(1, symbols))
     taken = ordered.withColumn("_before", F.coalesce(F.sum(F.greatest("_methods", F.lit(1))).over(Window.orderBy("owner").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).filter(F.col("_before") < symbols)
     numbered = rows.filter("_method").withColumn("_n", F.row_number().over(Window.partitionBy("owner").orderBy("source_path", "start_line", "symbol_id")))
     method = F.struct("_n", "name", "signature", "description", "source_path", "start_line")
