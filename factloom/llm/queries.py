@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import embed_dedup, exact_dedup, license_scan, line_dedup, packing, piece_transducer, simhash, token_counts, token_file, toxicity
+from . import byte_bpe, embed_dedup, exact_dedup, license_scan, line_dedup, packing, periodic_runs, piece_transducer, simhash, token_counts, token_file, toxicity
 from .common import documents
 
-BYTE_BPE, WORD_BPE, PIECE_BPE = "byte_bpe_50k.json", "word_bpe_49k.json", "piece_bpe_32k.model"
+BYTE_BPE, WORD_BPE, PIECE_BPE, BYTE_RANKS = "byte_bpe_50k.json", "word_bpe_49k.json", "piece_bpe_32k.model", "byte_bpe_50k.tiktoken"
 
 
 def tokenizer(name: str) -> str:
@@ -62,6 +62,16 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.dedup(documents(spark, sf_dir))
 
 
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic_runs.digests(periodic_runs.with_planted_runs(documents(spark, sf_dir).select("doc_id", "text")))
+
+
+def op13_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return byte_bpe.digests(documents(spark, sf_dir), tokenizer(BYTE_RANKS), public_tokenizers.PATTERN)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_file": op1_token_file,
     "op2_toxicity": op2_toxicity,
@@ -73,6 +83,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_line_dedup": op8_line_dedup,
     "op9_embedding_dedup": op9_embedding_dedup,
     "op10_exact_dedup": op10_exact_dedup,
+    "op12_periodic_runs": op12_periodic_runs,
+    "op13_byte_bpe": op13_byte_bpe,
 }
 
 def _quoted(text: str) -> str:
