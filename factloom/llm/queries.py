@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import byte_bpe, embed_dedup, exact_dedup, license_scan, line_dedup, packing, periodic_runs, piece_transducer, simhash, token_counts, token_file, toxicity
+from . import byte_bpe, collocations, embed_dedup, exact_dedup, license_scan, line_dedup, packing, periodic_runs, piece_transducer, simhash, token_counts, token_file, toxicity
 from .common import documents
 
 BYTE_BPE, WORD_BPE, PIECE_BPE, BYTE_RANKS = "byte_bpe_50k.json", "word_bpe_49k.json", "piece_bpe_32k.model", "byte_bpe_50k.tiktoken"
@@ -62,6 +62,10 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.dedup(documents(spark, sf_dir))
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(documents(spark, sf_dir), least=100, longest=5, share=100, top=2000)
+
+
 def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return periodic_runs.digests(periodic_runs.with_planted_runs(documents(spark, sf_dir).select("doc_id", "text")))
 
@@ -83,6 +87,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_line_dedup": op8_line_dedup,
     "op9_embedding_dedup": op9_embedding_dedup,
     "op10_exact_dedup": op10_exact_dedup,
+    "op11_collocations": op11_collocations,
     "op12_periodic_runs": op12_periodic_runs,
     "op13_byte_bpe": op13_byte_bpe,
 }
@@ -136,5 +141,23 @@ FROM v JOIN least ON least.a = vec_id
 WITH d AS (SELECT doc_id, sha256(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')) AS text_sha256 FROM documents)
 SELECT doc_id, max(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size, doc_id = max(doc_id) OVER g AS kept, text_sha256
 FROM d WINDOW g AS (PARTITION BY text_sha256)
+""",
+    # all phrases, without a sketch
+    "op11_collocations": r"""
+WITH t AS (SELECT coalesce(lang, 'und') AS lang, regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]') AS pieces FROM documents),
+p AS (SELECT lang, list_filter(regexp_split_to_array(unnest(pieces), '[\x20\x09]+'), lambda w: w <> '') AS w FROM t),
+g AS (SELECT lang, unnest(range(1, 6)) AS words, w FROM p WHERE len(w) > 0),
+o AS (SELECT lang, words, unnest(list_transform(range(1, len(w) - words + 2), lambda i: array_to_string(w[i:i + words - 1], ' '))) AS phrase FROM g WHERE len(w) >= words),
+f AS (SELECT lang, words, phrase, count(*) AS f FROM o GROUP BY ALL),
+n AS (SELECT lang, CAST(sum(f) AS BIGINT) AS n FROM f WHERE words = 1 GROUP BY lang),
+c AS (SELECT lang, words, phrase, f, string_split(phrase, ' ') AS w FROM f WHERE f >= 100),
+s AS (SELECT lang, unnest([array_to_string(w[1:words - 1], ' '), array_to_string(w[2:words], ' ')]) AS phrase, f FROM c WHERE words > 2),
+k AS (SELECT c.* FROM c WHERE words > 1 AND NOT EXISTS (SELECT 1 FROM s WHERE s.lang = c.lang AND s.phrase = c.phrase AND 100 * s.f >= 100 * c.f)),
+x AS (SELECT lang, phrase, w, words, f AS a, unnest(range(1, words)) AS cut FROM k),
+y AS (SELECT x.lang, x.phrase, x.a, x.cut, i.f AS l, j.f AS r, n.n, CAST(CAST(1000 AS HUGEINT) * x.a * n.n // (CAST(i.f AS HUGEINT) * j.f) AS BIGINT) AS score FROM x
+  JOIN f AS i ON i.lang = x.lang AND i.phrase = array_to_string(w[1:cut], ' ') JOIN f AS j ON j.lang = x.lang AND j.phrase = array_to_string(w[cut + 1:x.words], ' ') JOIN n ON n.lang = x.lang),
+z AS (SELECT lang, phrase, a, n, min(struct_pack(score, cut, l, r)) AS least FROM y GROUP BY ALL),
+q AS (SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY least.score DESC, a DESC, phrase) AS rank, phrase, a, least.l AS l, least.r AS r, n, least.score AS score FROM z)
+SELECT * FROM q WHERE rank <= 2000
 """,
 }
