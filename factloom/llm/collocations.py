@@ -14,9 +14,9 @@ number of words and f(phrase) the number of places within pieces where it stands
 4. For each cut into two parts, of l and r places, the score is floor(1000 * f * n / (l * r)); the lowest counts, of equals the first cut.
    Parts of candidates are as frequent, so their counts are in the same table. Decimals of 38 digits hold all products exactly.
 
-The sketch has `width` cells a row (by default as many as keep a cell's chance counts below a third of `least`, LIMIT at most, which
-bounds the memory of a task at 4 bytes * ROWS * LIMIT and what is broadcast at ROWS * LIMIT bits). Above that size more rare
-phrases pass the sketch; the second pass counts them for nothing and the result stays the same.
+The sketch has `width` cells a row: by default as many as keep a cell's chance counts near a quarter of `least`, within memory_mb for
+a task's sketch of two bytes a cell; a sixteenth of that is broadcast. Where that is too little for the input, more rare phrases pass the
+sketch, and the second pass counts and shuffles them for nothing; the result stays the same.
 
 Nulls: a null text is an empty one, a null language is "und". Repeated rows count each time. Ties go by f, then by phrase. Empty
 table: no row. Other columns aren't read. A text of any length is one piece of work for a batch.
@@ -37,9 +37,11 @@ from .common import discard, ship, small_side, text_of, written
 
 #: Characters that end a piece.
 PIECE_ENDS = ".,;:!?\n\x0b\x0c\r"
-ROWS, LIMIT, BLOCK = 3, 1 << 23, 1 << 17
+ROWS, BLOCK, MEMORY_MB = 3, 1 << 17, 96
 #: Bytes of text that are worked on at once, and words that a task counts before it hands them on.
-AT_ONCE, HELD = 6 << 20, 400_000
+AT_ONCE, HELD = 3 << 20, 150_000
+#: What is added at once, so that no cell passes 16 bits, and what a cell keeps at most.
+ADDED, FULL = 65_000, 255
 _END = b"."  # a piece's end among words; no word can be this
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ" + PIECE_ENDS.encode() + b"\t", b"abcdefghijklmnopqrstuvwxyz" + b"." * len(PIECE_ENDS) + b" ")
 _ODD = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)]
@@ -107,17 +109,20 @@ def cells(hashes: np.ndarray, row: int, width: int) -> np.ndarray:
 
 class Sketch:
     def __init__(self, width: int):
-        self.width, self.cells = width, np.zeros((ROWS, width), np.uint32)
+        self.width, self.cells = width, np.zeros((ROWS, width), np.uint16)
 
     def add(self, hashes: np.ndarray) -> None:
-        for row in range(ROWS):
-            np.add.at(self.cells[row], cells(hashes, row, self.width), np.uint32(1))
+        for row, own in enumerate(self.cells):
+            at = cells(hashes, row, self.width)
+            for some in (at[k : k + ADDED] for k in range(0, len(at), ADDED)):
+                np.add.at(own, some, np.uint16(1))
+                own[some] = np.minimum(own[some], FULL)
 
     def blocks(self, least: int) -> Iterator[tuple[int, int, bytes]]:
-        """(row, block, counts up to `least` or 255, packed)."""
+        """(row, block, counts up to `least` or FULL, packed)."""
         for row in range(ROWS):
             for b in range(0, self.width, BLOCK):
-                some = np.minimum(self.cells[row, b : b + BLOCK], min(least, 255)).astype(np.uint8)
+                some = np.minimum(self.cells[row, b : b + BLOCK], min(least, FULL)).astype(np.uint8)
                 if some.any():
                     yield row, b // BLOCK, zlib.compress(some.tobytes(), 1)
 
@@ -202,13 +207,13 @@ def _added(least: int):
         key, total = None, None
 
         def bits() -> pd.DataFrame:
-            return pd.DataFrame({"row": [key[0]], "block": [key[1]], "bits": [np.packbits(total >= min(least, 255), bitorder="little").tobytes()]})
+            return pd.DataFrame({"row": [key[0]], "block": [key[1]], "bits": [np.packbits(total >= min(least, FULL), bitorder="little").tobytes()]})
 
         for batch in batches:
             for row, block, packed in zip(batch["row"], batch["block"], batch["cells"], strict=True):
                 some = np.frombuffer(zlib.decompress(packed), np.uint8)
                 if (row, block) == key:
-                    np.minimum(total + some, 255, out=total)
+                    np.minimum(total + some, FULL, out=total)
                     continue
                 if key is not None:
                     yield bits()
@@ -236,7 +241,7 @@ def _count(shared, width: int, longest: int):
     return run
 
 
-def frequent_phrases(docs: DataFrame, least: int = 100, longest: int = 5, width: int | None = None) -> tuple[DataFrame, DataFrame]:
+def frequent_phrases(docs: DataFrame, least: int = 100, longest: int = 5, width: int | None = None, memory_mb: int = MEMORY_MB) -> tuple[DataFrame, DataFrame]:
     """(lang, words, phrase, f) of all phrases of 1 to `longest` words with f >= least, and (lang, n) of all languages with a word."""
     if least < 1 or longest < 1:
         raise ValueError("least and longest must be at least 1")
@@ -245,7 +250,8 @@ def frequent_phrases(docs: DataFrame, least: int = 100, longest: int = 5, width:
     own = docs.select(F.coalesce(docs["lang"].cast("string"), F.lit("und")).alias("lang"), text_of(docs).alias("text"))
     size = own.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     if width is None:  # about 0.6 phrases a byte
-        width = 1 << min(LIMIT.bit_length() - 1, max(16, round(float(np.log2(max(1, 2 * size / least))))))
+        most = max(1, (memory_mb << 20) // (2 * ROWS)).bit_length() - 1
+        width = 1 << min(most, max(16, round(float(np.log2(max(1, 2 * size / least))))))
     # a sketch for each task: more than two for a core only if each has a GB of text
     tasks = max(2 * spark.sparkContext.defaultParallelism, -(-size >> 30))
     gathered = written(own.coalesce(tasks).mapInArrow(_gather(width, least, longest), GATHERED), "gathered")
@@ -285,9 +291,9 @@ def scored(phrases: DataFrame, totals: DataFrame, share: int = 100) -> DataFrame
     return joined.groupBy("lang", "phrase", "words", "a", "n").agg(least).select("lang", "phrase", "words", "a", "least.l", "least.r", "n", "least.score")
 
 
-def collocations(docs: DataFrame, least: int = 100, longest: int = 5, share: int = 100, top: int = 2000, width: int | None = None) -> DataFrame:
+def collocations(docs: DataFrame, least: int = 100, longest: int = 5, share: int = 100, top: int = 2000, width: int | None = None, memory_mb: int = MEMORY_MB) -> DataFrame:
     """(lang, rank, phrase, a, l, r, n, score): each language's first `top` phrases by score, a (both descending) and phrase (by bytes)."""
-    phrases, totals = frequent_phrases(docs, least, longest, width)
+    phrases, totals = frequent_phrases(docs, least, longest, width, memory_mb)
     order = Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase")
     ranked = scored(phrases, written(totals, "totals"), share).withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= top)
     return ranked.select("lang", F.col("rank").cast("long").alias("rank"), "phrase", "a", "l", "r", "n", "score")
