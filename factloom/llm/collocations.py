@@ -4,11 +4,11 @@ Texts are lower-cased (A-Z), cut at PIECE_ENDS into pieces and those at blanks a
 number of words and f(phrase) the number of places within pieces where it stands, overlaps included. Candidates are phrases of
 2 to `longest` words with f >= least.
 
-1. One pass counts single words exactly and all longer phrases in a count-min sketch, one for each task; only counts up to `least`
-   matter, so a sketch travels as one byte a cell. Sketches are added up cell by cell, each cell's counters in one sorted stream that
-   keeps one block, and leave a bit: at least `least` or not. A sketch never says too little, so a phrase without all its bits is rare.
+1. One pass counts phrases of 1 to `longest` words in a count-min sketch, one for each task; only counts up to `least` matter, so a
+   sketch travels as one byte a cell. Sketches are added up cell by cell, each cell's counters in one sorted stream that keeps one
+   block, and leave a bit: at least `least` or not. A sketch never says too little, so a phrase without all its bits is rare.
 2. A second pass counts exactly what is left: phrases whose bits are set and whose first and last words, one less, are left too.
-   Phrases are told apart by their words, not by hashes, are counted before they are shuffled, and keep their counts if f >= least.
+   Phrases are told apart by their words, not by hashes, are counted by task before they are shuffled, and stay if f >= least.
 3. Candidates that stand inside a longer candidate with share * f(candidate) <= 100 * f(longer) go. As a phrase between both stands at least
    as often as the longer one, only those one word longer need to be asked.
 4. For each cut into two parts, of l and r places, the score is floor(1000 * f * n / (l * r)); the lowest counts, of equals the first cut.
@@ -38,8 +38,8 @@ from .common import discard, ship, small_side, text_of, written
 #: Characters that end a piece.
 PIECE_ENDS = ".,;:!?\n\x0b\x0c\r"
 ROWS, BLOCK, MEMORY_MB = 3, 1 << 17, 96
-#: Bytes of text that are worked on at once, and words that a task counts before it hands them on.
-AT_ONCE, HELD = 3 << 20, 150_000
+#: Bytes of text that are worked on at once, and phrases that a task counts before it hands them on.
+AT_ONCE, HELD = 3 << 20, 400_000
 #: What is added at once, so that no cell passes 16 bits, and what a cell keeps at most.
 ADDED, FULL = 65_000, 255
 _END = b"."  # a piece's end among words; no word can be this
@@ -61,38 +61,28 @@ class Words:
         self.hashes = np.fromiter((xxhash.xxh3_64_intdigest(w, seed) for w in own), np.uint64, len(own))
         self.word = self.codes != self.end
 
-    def counts(self) -> tuple[list[bytes], list[int]]:
-        n = np.bincount(self.codes, minlength=len(self.own))
-        n[self.end] = 0
-        at = np.flatnonzero(n)
-        return self.own[at].tolist(), n[at].tolist()
-
     def places(self, longest: int, keep=None) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-        """(length, places, hashes) of phrases of 2 words and more. keep(hashes) says which of them are left; a longer one is looked at
-        only where both phrases of one word less are left."""
-        h = self.hashes[self.codes]
-        last, alive, own = h, self.word, h
-        for k in range(2, longest + 1):
-            if len(alive) < 2:
-                return
-            at = np.flatnonzero(alive[:-1] & alive[1:])
-            own = own[at] * _ODD[0]
-            own ^= own >> np.uint64(31)
-            own += last[at + k - 1] * _ODD[1]
-            own ^= own >> np.uint64(29)
+        """(length, places, hashes) of phrases. keep(hashes) says which of them are left; one of two words or more is looked at only
+        where both phrases of one word less are left."""
+        words = self.hashes[self.codes]
+        at, own = np.flatnonzero(self.word), words[self.word]
+        for k in range(1, longest + 1):
+            if k > 1:
+                alive, full = np.zeros(len(words) + 1, bool), np.zeros(len(words), np.uint64)
+                alive[at], full[at] = True, own
+                at = at[alive[at + 1]]
+                own = full[at] * _ODD[0]
+                own ^= own >> np.uint64(31)
+                own += words[at + k - 1] * _ODD[1]
+                own ^= own >> np.uint64(29)
             if keep is not None:
                 left = keep(own)
                 at, own = at[left], own[left]
             yield k, at, own
-            alive = np.zeros(len(alive) - 1, bool)
-            alive[at] = True
-            full = np.zeros(len(alive), np.uint64)
-            full[at] = own
-            own = full
 
     def phrases(self, longest: int, keep) -> Iterator[tuple[int, list[bytes], list[int]]]:
         """(length, phrases, numbers of their places) of those that keep() leaves, told apart by their words."""
-        ids = self.codes.astype(np.int64)
+        ids = np.zeros(len(self.codes), np.int64)
         for k, at, _ in self.places(longest, keep):
             numbers, distinct = pd.factorize(ids[at] * len(self.own) + self.codes[at + k - 1])
             first = np.zeros(len(distinct), np.int64)
@@ -161,41 +151,23 @@ def _by_language(batches: Iterator[pa.RecordBatch]) -> Iterator[Words]:
         yield Words(lang, texts)
 
 
-GATHERED = "lang string, word string, n long, row int, block int, cells binary"
-_GATHERED = pa.schema([("lang", pa.string()), ("word", pa.string()), ("n", pa.int64()), ("row", pa.int32()), ("block", pa.int32()), ("cells", pa.binary())])
-
-
-def _record(schema: pa.Schema, rows: int, /, **columns: list) -> pa.RecordBatch:
-    """Rows of the schema; columns that aren't given are null. Words come as bytes of valid text."""
-    own = []
-    for f in schema:
-        got = columns.get(f.name)
-        own.append(pa.nulls(rows, f.type) if got is None else pa.array(got, pa.binary()).cast(f.type) if got and isinstance(got[0], bytes) else pa.array(got, f.type))
-    return pa.RecordBatch.from_arrays(own, schema=schema)
+GATHERED = "lang string, n long, row int, block int, cells binary"
+_GATHERED = pa.schema([("lang", pa.string()), ("n", pa.int64()), ("row", pa.int32()), ("block", pa.int32()), ("cells", pa.binary())])
 
 
 def _gather(width: int, least: int, longest: int):
-    """Counts of words, and the blocks of one sketch for each task."""
+    """Numbers of words by language, and the blocks of one sketch, for each task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sketch, counts = Sketch(width), defaultdict(lambda: defaultdict(int))
-
-        def counted() -> Iterator[pa.RecordBatch]:
-            for lang, own in counts.items():
-                yield _record(_GATHERED, len(own), lang=[lang] * len(own), word=list(own), n=list(own.values()))
-            counts.clear()
-
+        sketch, total = Sketch(width), defaultdict(int)
         for words in _by_language(batches):
-            own = counts[words.lang]
-            for w, n in zip(*words.counts(), strict=True):
-                own[w] += n
-            if sum(map(len, counts.values())) >= HELD:
-                yield from counted()
+            total[words.lang] += int(words.word.sum())
             for _, _, hashes in words.places(longest):
                 sketch.add(hashes)
-        yield from counted()
+        rows = [{"lang": lang, "n": n} for lang, n in total.items() if n]
+        yield pa.RecordBatch.from_pylist(rows, schema=_GATHERED)
         for row, block, packed in sketch.blocks(least):
-            yield _record(_GATHERED, 1, row=[row], block=[block], cells=[packed])
+            yield pa.RecordBatch.from_pylist([{"row": row, "block": block, "cells": packed}], schema=_GATHERED)
 
     return run
 
@@ -228,15 +200,28 @@ _COUNTED = pa.schema([("lang", pa.string()), ("words", pa.int32()), ("phrase", p
 
 
 def _count(shared, width: int, longest: int):
-    """Exact counts of the phrases that the sketch leaves."""
+    """Exact counts of the phrases that the sketch leaves, added up by task; HELD of them at most are kept at a time."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keep = Frequent(width, shared.value)
+        keep, counts = Frequent(width, shared.value), defaultdict(lambda: defaultdict(int))
+
+        def counted() -> Iterator[pa.RecordBatch]:
+            for (lang, k), own in counts.items():
+                phrases, f = list(own), list(own.values())
+                for at in range(0, len(own), 50_000):
+                    some = pa.array(phrases[at : at + 50_000], pa.binary()).cast(pa.string())
+                    columns = [pa.array([lang] * len(some), pa.string()), pa.array([k] * len(some), pa.int32()), some, pa.array(f[at : at + 50_000], pa.int64())]
+                    yield pa.RecordBatch.from_arrays(columns, schema=_COUNTED)
+            counts.clear()
+
         for words in _by_language(batches):
             for k, phrases, n in words.phrases(longest, keep):
-                for at in range(0, len(phrases), 100_000):
-                    own = phrases[at : at + 100_000]
-                    yield _record(_COUNTED, len(own), lang=[words.lang] * len(own), words=[k] * len(own), phrase=own, f=n[at : at + 100_000])
+                own = counts[words.lang, k]
+                for p, f in zip(phrases, n, strict=True):
+                    own[p] += f
+            if sum(map(len, counts.values())) >= HELD:
+                yield from counted()
+        yield from counted()
 
     return run
 
@@ -252,18 +237,15 @@ def frequent_phrases(docs: DataFrame, least: int = 100, longest: int = 5, width:
     if width is None:  # about 0.6 phrases a byte
         most = max(1, (memory_mb << 20) // (2 * ROWS)).bit_length() - 1
         width = 1 << min(most, max(16, round(float(np.log2(max(1, 2 * size / least))))))
-    # a sketch for each task: more than two for a core only if each has a GB of text
-    tasks = max(2 * spark.sparkContext.defaultParallelism, -(-size >> 30))
-    gathered = written(own.coalesce(tasks).mapInArrow(_gather(width, least, longest), GATHERED), "gathered")
-    counts = written(gathered.filter("word is not null").groupBy("lang", "word").agg(F.sum("n").alias("f")), "words")
-    totals = counts.groupBy("lang").agg(F.sum("f").alias("n"))
+    # a sketch and counts for each task: more than two for a core only if each has a GB of text
+    own = own.coalesce(max(2 * spark.sparkContext.defaultParallelism, -(-size >> 30)))
+    gathered = written(own.mapInArrow(_gather(width, least, longest), GATHERED), "gathered")
+    totals = written(gathered.filter("lang is not null").groupBy("lang").agg(F.sum("n").alias("n")), "totals")
     # ROWS * width bits at most come to the driver, whatever the input
     blocks = gathered.filter("row is not null").select("row", "block", "cells").repartition("row", "block").sortWithinPartitions("row", "block")
     blocks = [(r["row"], r["block"], bytes(r["bits"])) for r in blocks.mapInPandas(_added(least), "row int, block int, bits binary").collect()]
     found = own.mapInArrow(_count(spark.sparkContext.broadcast(blocks), width, longest), "lang string, words int, phrase string, f long")
-    found = found.groupBy("lang", "words", "phrase").agg(F.sum("f").alias("f")).filter(F.col("f") >= least)
-    single = counts.filter(F.col("f") >= least).select("lang", F.lit(1).alias("words"), F.col("word").alias("phrase"), "f")
-    found = written(single.unionAll(found), "phrases")
+    found = written(found.groupBy("lang", "words", "phrase").agg(F.sum("f").alias("f")).filter(F.col("f") >= least), "phrases")
     discard(gathered)
     return found, totals
 
@@ -295,5 +277,5 @@ def collocations(docs: DataFrame, least: int = 100, longest: int = 5, share: int
     """(lang, rank, phrase, a, l, r, n, score): each language's first `top` phrases by score, a (both descending) and phrase (by bytes)."""
     phrases, totals = frequent_phrases(docs, least, longest, width, memory_mb)
     order = Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase")
-    ranked = scored(phrases, written(totals, "totals"), share).withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= top)
+    ranked = scored(phrases, totals, share).withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= top)
     return ranked.select("lang", F.col("rank").cast("long").alias("rank"), "phrase", "a", "l", "r", "n", "score")

@@ -67,7 +67,7 @@ def test_no_rows_and_no_words(spark):
         c.frequent_phrases(frame(spark, [("en", "x")]), least=0)
 
 
-def test_small_batches_and_flushed_words(rows, monkeypatch):
+def test_small_batches_and_flushed_phrases(spark, rows, monkeypatch):
     """Whatever is worked on at once, each text is counted once."""
     import pyarrow as pa
 
@@ -75,15 +75,18 @@ def test_small_batches_and_flushed_words(rows, monkeypatch):
     monkeypatch.setattr(c, "HELD", 3)
     texts = [(x or "und", t or "") for x, t in rows]
     batch = pa.RecordBatch.from_arrays([pa.array([r[0] for r in texts]), pa.array([r[1] for r in texts])], names=["lang", "text"])
-    total = Counter()
-    for b in c._gather(64, 3, 5)(iter([batch])):
+    total, n = Counter(), Counter()
+    for b in c._count(spark.sparkContext.broadcast([(r, 0, b"\xff" * 8) for r in range(3)]), 64, 1)(iter([batch])):
         for r in b.to_pylist():
-            if r["word"] is not None:
-                total[r["lang"], r["word"]] += r["n"]
-    want = Counter()
+            total[r["lang"], r["phrase"]] += r["f"]
+    for b in c._gather(64, 3, 5)(iter([batch])):
+        n.update({r["lang"]: r["n"] for r in b.to_pylist() if r["lang"] is not None})
+    want, all_words = Counter(), Counter()
     for lang, text in texts:
-        want.update((lang, w) for w in re.findall(r"[^\x20\x09.,;:!?\x0A-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text)))
-    assert total == want
+        own = re.findall(r"[^\x20\x09.,;:!?\x0A-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text))
+        want.update((lang, w) for w in own)
+        all_words[lang] += len(own)
+    assert total == want and n == +all_words
 
 
 def test_sketches_never_say_too_little():
