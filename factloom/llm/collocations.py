@@ -37,7 +37,7 @@ from .common import discard, ship, small_side, text_of, written
 
 #: Characters that end a piece.
 PIECE_ENDS = ".,;:!?\n\x0b\x0c\r"
-ROWS, BLOCK, MEMORY_MB = 3, 1 << 17, 96
+ROWS, BLOCK, MEMORY_MB = 3, 1 << 17, 192
 #: Bytes of text that are worked on at once, and phrases that a task counts before it hands them on.
 AT_ONCE, HELD = 3 << 20, 400_000
 #: What is added at once, so that no cell passes 16 bits, and what a cell keeps at most.
