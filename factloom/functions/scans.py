@@ -6,7 +6,7 @@ import ast
 import re
 from bisect import bisect_right
 from collections.abc import Iterator
-from typing import Any
+from typing import Any, NamedTuple
 
 Found = tuple[str, str, int, int, dict[str, Any]]  # rule, kind, start, end, payload
 
@@ -30,6 +30,91 @@ def balanced(text: str, at: int) -> int:
     return len(text)
 
 
+#: Comments and strings of languages with braces; what begins a template or may end a template's expression.
+_LITERAL = r"""(?P<comment>//[^\n]*|/\*.*?(?:\*/|\Z))|(?P<string>\"{3}.*?(?:\"{3}|\Z)|@"(?:""|[^"])*"|"(?:\\.|[^"\\\n])*"|'(?:\\.|[^'\\\n])*')|(?P<brace>[{}])"""
+_BRACED = re.compile(_LITERAL, re.DOTALL)
+# a slash begins a pattern where no value can stand before it
+_SCRIPT = re.compile(_LITERAL + r"""|(?P<tick>`)|(?:(?<=[(,=:\[!&|?;{}])|(?<=\breturn))[ \t]*(?P<pattern>/(?![/*])(?:\\.|\[(?:\\.|[^\]\\\n])*\]|[^/\\\[\n])+/)""", re.DOTALL)
+_TEMPLATE = re.compile(r"(?:\\.|\$(?!\{)|[^`\\$])*", re.DOTALL)
+
+
+def _blank(text: str) -> str:
+    return re.sub(r"[^\n]", " ", text)
+
+
+def blanked(text: str, script: bool = False) -> tuple[str, str]:
+    """A text of a language with braces, of equal length: as code (comments, templates and what strings hold are blank; a template's
+    expressions stay), and with its comments blank only. script: templates and patterns between slashes too."""
+    find, code, plain = (_SCRIPT if script else _BRACED).search, [], []
+    at, depth, open_ = 0, 0, []  # depths of braces at which a template goes on
+
+    def put(own: str, shown: str) -> None:
+        code.append(own)
+        plain.append(shown)
+
+    while m := find(text, at):
+        put(text[at : m.start()], text[at : m.start()])
+        own, at, kind = m[0], m.end(), m.lastgroup
+        template = kind == "tick"
+        if kind == "comment":
+            put(_blank(own), _blank(own))
+        elif kind == "string":
+            put(own[0] + _blank(own[1:-1]) + own[-1] if own[0] != "@" else f' "{_blank(own[2:-1])}"', own)
+        elif kind == "pattern":
+            put(_blank(own), own)
+        elif own == "}" and open_ and open_[-1] == depth:
+            open_.pop()
+            template = True
+            put(" ", own)
+        elif kind == "brace":
+            depth += 1 if own == "{" else -1
+            put(own, own)
+        if template:
+            if kind == "tick":
+                put(" ", own)
+            end = _TEMPLATE.match(text, at).end()
+            put(_blank(text[at:end]), text[at:end])
+            at = end
+            if text.startswith("${", at):
+                open_.append(depth)
+                put("  ", "${")
+                at += 2
+            elif at < len(text):
+                put(" ", text[at])
+                at += 1
+    put(text[at:], text[at:])
+    return "".join(code), "".join(plain)
+
+
+def brackets(code: str) -> dict[int, int]:
+    """The place after the bracket that closes each one, in one pass; the end of the text where none does."""
+    close, out, open_ = {"(": ")", "{": "}", "[": "]"}, {}, []
+    for m in re.finditer(r"[(){}\[\]]", code):
+        if m[0] in close:
+            out[m.start()] = len(code)
+            open_.append((close[m[0]], m.start()))
+        elif any(m[0] == c for c, _ in open_[-8:]):  # one that was left open is passed over
+            while open_[-1][0] != m[0]:
+                open_.pop()
+            out[open_.pop()[1]] = m.end()
+    return out
+
+
+def enclosing(points: list[int], spans: list[tuple[int, int]]) -> list[int]:
+    """For each point, in order, the number of the innermost of nested spans, in order, that holds it; -1 if none does."""
+    out, stack, k = [], [], 0
+    for p in points:
+        while k < len(spans) and spans[k][0] < p:
+            while stack and spans[stack[-1]][1] <= spans[k][0]:
+                stack.pop()
+            stack.append(k)
+            k += 1
+        while stack and spans[stack[-1]][1] <= p:
+            stack.pop()
+        out.append(stack[-1] if stack else -1)
+    return out
+
+
 def top_level(text: str, separator: str = ",") -> list[str]:
     """Parts between separators outside of brackets and strings."""
     out, start, i = [], 0, 0
@@ -105,22 +190,46 @@ def webflux_routes(text: str) -> Iterator[Found]:
             }
 
 
-# Operators that a pipeline may show.
-OPERATORS = r"\.(map|flatMap|filter|collectList|onErrorResume|onErrorMap|switchIfEmpty|zipWith|then|delayElements|buffer|retry|timeout|block|subscribe)\s*\("
+# Operators that a pipeline may show, those that say where it runs, and the words for a subscription by hand.
+OPERATORS = (
+    "map flatMap flatMapMany filter switchIfEmpty defaultIfEmpty zip zipWith zipWhen when then thenReturn onErrorResume onErrorMap doOnNext doOnError publishOn subscribeOn delayElement parallel runOn "
+    "sequential collectList concatMap mergeWith timeout retry"
+).split()
+CONCURRENT = ("publishOn", "subscribeOn", "parallel", "runOn", "sequential")
+SUBSCRIBED = "suscripción manual dentro del código de aplicación"
 
 
 def reactive_pipelines(text: str) -> Iterator[Found]:
-    for m in re.finditer(r"\b(Mono|Flux)\s*<([^;{}()]*?)>\s+(\w+)\s*\([^)]*\)\s*(?:throws\s+[\w.,\s]+)?\{", text):
-        end = balanced(text, m.end() - 1)
-        used = re.findall(OPERATORS, text[m.end() : end])
+    """Methods that return a Mono or a Flux, and what their bodies do, each operator once."""
+    code, plain = blanked(text)
+    ends = brackets(code)
+    classes = [(m.start(), m[1]) for m in re.finditer(r"\b(?:class|record|interface)\s+([A-Za-z_$][\w$]*)", code)]
+    for m in re.finditer(r"\b(Mono|Flux)\s*<([^;{}()]*)>\s+([A-Za-z_$][\w$]*)\s*\(", code):
+        tail = re.compile(r"\s*(?:throws\s+[\w.,\s]+)?\{").match(code, ends[m.end() - 1])
+        if not tail:
+            continue
+        end = ends[tail.end() - 1]
+        body = code[tail.end() : end]
+        used = [x for x in dict.fromkeys(re.findall(r"\.([A-Za-z]+)\s*\(", body)) if x in OPERATORS]
+        taken = re.search(r"bodyTo(Mono|Flux)\s*\(", body)
         yield "webflux.reactive-pipeline", "reactive_pipeline", m.start(), end, {
-            "container": m[1], "payload": m[2].strip(), "name": m[3], "cardinality": "one" if m[1] == "Mono" else "many", "operators": used, "sse": "ServerSentEvent" in m[2], "risks": sorted({x for x in used if x in ("block", "subscribe")}),
+            "class_name": next((n for p, n in reversed(classes) if p < m.start()), None), "symbol_name": m[3], "container": m[1], "payload": m[2].strip(), "cardinality": "many" if m[1] == "Flux" else "zero-or-one",
+            "operators": used, "empty_strategy": next((x for x in used if x in ("switchIfEmpty", "defaultIfEmpty")), None), "error_strategy": [x for x in used if x.startswith("onError") or x in ("retry", "timeout")],
+            "concurrency": [x for x in used if x in CONCURRENT], "body_input": ("Mono" if "bodyToMono" in body else taken[1]) if taken else None, "sse": bool(re.search("ServerSentEvent|TEXT_EVENT_STREAM", body)),
+            "risks": [SUBSCRIBED] if re.search(r"\.subscribe\s*\(", body) else [],
         }
 
 
 _TYPE = r"\b(class|interface|record|enum)\s+([A-Za-z_$][\w$]*)([^{;]*)\{"
-_METHOD = r"(?:(public|protected|private|async|static|override)\s+)*([\w$<>\[\]?,.]+\s+)?([A-Za-z_$][\w$]*)\s*\(([^(){};]*)\)\s*(?::\s*[\w$<>\[\]|.]+\s*)?(?:throws\s+[\w$.,\s]+)?\{"
-_NOT_NAMES = frozenset("if for while switch catch return function new else do try synchronized with super this constructor".split())
+_HEAD = re.compile(r"(?:([\w$.]+)\.)?([A-Za-z_$][\w$]*)\s*(?:<[^<>(){};]*>\s*)?\(")
+_TAIL = re.compile(r"\s*(?::\s*[\w$<>\[\]|.,&?\s]+?)?\s*(?:throws\s+[\w$.,\s]+?)?\s*([{;]|=>)")
+_ARROW = re.compile(
+    r"(?:(\b(?:const|let|var)\s+)|(?<=[;{}\n])[ \t]*((?:(?:public|private|protected|static|readonly|override)\s+)*))([A-Za-z_$][\w$]*)\s*(?::[^=;{}]*?)?=\s*(async\b\s*)?(?:(function)\b\s*\*?\s*[\w$]*\s*)?(?:<[^<>(){};]*>\s*)?"
+    r"(?:(\()|([A-Za-z_$][\w$]*)\s*=>)"
+)
+_ARROW_TAIL = re.compile(r"\s*(?::[^={};]+?)?\s*=>")
+_BODY = re.compile(r"\s*(?::[^={};]+?)?\s*\{")
+_NOT_NAMES = frozenset("if for while switch catch return function new else do try synchronized with super this async await typeof throw case in of lock using foreach when".split())
 
 
 # Types that are no part of a program's own structure.
@@ -140,43 +249,150 @@ def _breaks(text: str) -> list[int]:
     return [m.start() for m in re.finditer("\n", text)]
 
 
+def _statement_end(code: str, at: int, ends: dict[int, int]) -> int:
+    """Where an expression ends: before a separator, a closing bracket, or a line's end that nothing carries on."""
+    while at < len(code):
+        c = code[at]
+        if c in "({[":
+            at = ends[at]
+            continue
+        if c in ";,)}]" or c == "\n" and not re.compile(r"\s*[.?:&|+*=<>-]").match(code, at) and code[:at].rstrip()[-1:] not in "=>&|+?:":
+            break
+        at += 1
+    return at
+
+
+class _Function(NamedTuple):
+    start: int
+    end: int
+    body: int  # where calls begin; its end if it has no body
+    name: str
+    owner: str | None
+    head: tuple[int, int]  # parameters
+    words: frozenset[str]
+
+
+def _functions(code: str, ends: dict[int, int], types: list[tuple[int, int, re.Match]], script: bool, arrows_of_methods: bool) -> list[_Function]:
+    """Methods, constructors, functions, and arrow functions with a name, in order of their places."""
+    curly = sorted((p, e) for p, e in ends.items() if code[p] == "{")
+    body_of = {m.end() - 1: m for _, _, m in types}
+    spans = [(s, e) for s, e, _ in types]
+    found: dict[int, _Function] = {}
+
+    def placed(matches: list[re.Match], group: int) -> Iterator[tuple[re.Match, re.Match | None, str | None]]:
+        """With the type whose own braces are the nearest, and the name of the innermost type."""
+        points = [m.start(group) for m in matches]
+        for m, k, t in zip(matches, enclosing(points, curly), enclosing(points, spans), strict=True):
+            yield m, body_of.get(curly[k][0]) if k >= 0 else None, types[t][2][2] if t >= 0 else None
+
+    def line_start(at: int) -> int:
+        start = max(code.rfind(c, 0, at) for c in "\n;{}") + 1
+        while (above := code.rfind("\n", 0, max(0, start - 1)) + 1) < start and code[start - 1] == "\n" and re.match(r"\s*@", code[above : start - 1]):
+            start = above
+        return start + len(code[start:at]) - len(code[start:at].lstrip(" \t\n)"))
+
+    for m, direct, owner in placed(list(_HEAD.finditer(code)), 2):
+        name, open_ = m[2], m.end() - 1
+        if m[1] or name in _NOT_NAMES or code[: m.start()].endswith("."):
+            continue
+        tail = _TAIL.match(code, ends[open_])
+        if not tail or tail[1] == "=>" and not (arrows_of_methods and direct):
+            continue
+        start = line_start(m.start())
+        before = re.sub(r"@[\w.]+\s*(?:\([^()]*\))?", " ", code[start : m.start()])
+        words = frozenset(re.findall(r"\w+", before))
+        if "=" in before or words & {"new", "return", "else", "throw", "await"}:
+            continue
+        if tail[1] == ";" and not (direct and (direct[1] == "interface" or "abstract" in words)):
+            continue
+        end = ends[tail.end() - 1] if tail[1] == "{" else _statement_end(code, tail.end(), ends) if tail[1] == "=>" else tail.end()
+        found[m.start(2)] = _Function(start, end, end if tail[1] == ";" else tail.end(), name, owner, (open_ + 1, ends[open_] - 1), words)
+    for m, direct, owner in placed(list(_ARROW.finditer(code)) if script else [], 3):
+        if not (m[1] or direct):
+            continue
+        if m[6]:
+            head = (m.end(), ends[m.end() - 1] - 1)
+            tail = (_BODY if m[5] else _ARROW_TAIL).match(code, head[1] + 1)
+            if not tail:
+                continue
+            at = tail.end() - 1 if m[5] else tail.end()
+        else:
+            head, at = m.span(7), m.end()
+        at += len(code[at:]) - len(code[at:].lstrip()) if not m[5] else 0
+        end = ends[at] if code[at : at + 1] == "{" else _statement_end(code, at, ends)
+        start = m.start() + len(m[0]) - len(m[0].lstrip())
+        words = frozenset(re.findall(r"\w+", f"{m[2] or ''} {m[4] or ''}"))
+        found[m.start(3)] = _Function(start, end, at, m[3], owner, head, words)
+    return [found[k] for k in sorted(found)]
+
+
 def braces_symbols(path: str, text: str) -> Iterator[Found]:
-    """Types, methods, calls, constructions and injected fields of languages with braces, without a parser."""
-    breaks = _breaks(text)
-    head = lambda start: text[text.rfind("\n", 0, start) + 1 : start]
-    types = [(m.start(), balanced(text, m.end() - 1), m) for m in re.finditer(_TYPE, text)]
-    methods = []
-    for m in re.finditer(_METHOD, text):
-        if m[3] not in _NOT_NAMES and (m[2] or "").strip() not in ("new", "return", "else"):
-            owner = max(((s, t[2]) for s, e, t in types if s < m.start() < e), default=(0, None))[1]
-            methods.append((m.start(), balanced(text, m.end() - 1), m[3], owner, m))
+    """Types, methods, functions, calls, constructions and injections of languages with braces, without a parser: brackets and names
+    are sought in the code alone, so that comments and strings never count. A call belongs to the innermost function around it. Of
+    functions with one name in one type, the second and later ones have their number behind their ids."""
+    script = bool(re.search(r"\.[cm]?[jt]sx?$", path))
+    code, plain = blanked(text, script)
+    ends, breaks = brackets(code), _breaks(text)
+    head = lambda start: code[code.rfind("\n", 0, start) + 1 : start]
+    types = [(m.start(), ends[m.end() - 1], m) for m in re.finditer(_TYPE, code)]
+    functions = sorted(_functions(code, ends, types, script, path.endswith(".cs")), key=lambda f: (f.start, -f.end))
+    lombok = re.search(r"@RequiredArgsConstructor\b", code) is not None
+    known: set[tuple[str | None, str]] = set()  # what Lombok's constructor takes
+    flat = lambda a, b: re.sub(r"\s+", " ", plain[a:b]).strip()[:300]
     for start, end, m in types:
         yield "source.symbol", "code_symbol", start, end, {
-            "symbol_id": f"{path}#{m[2]}", "name": m[2], "symbol_type": m[1], "class_name": None, "exported": "export" in head(start) or "public" in head(start), "signature": re.sub(r"\s+", " ", m[0][:-1]).strip()[:300],
-            "calls": [], "members": list(dict.fromkeys(x[2] for x in methods if x[3] == m[2])), "source_path": path, **_placed(text, start, end, breaks),
+            "symbol_id": f"{path}#{m[2]}", "name": m[2], "symbol_type": m[1], "class_name": None, "exported": "export" in head(start) or "public" in head(start), "signature": flat(start, m.end() - 1),
+            "calls": [], "members": list(dict.fromkeys(f.name for f in functions if f.owner == m[2] and start < f.start < end)), "source_path": path, **_placed(text, start, end, breaks),
         }
-        for kind, names in re.findall(r"\b(extends|implements)\s+([\w$.,<>\s]+?)(?=\bimplements\b|$)", m[3].strip()):
-            for name in top_level(re.sub(r"<[^<>]*>", "", names)):
+        for kind, names in re.findall(r"\b(extends|implements)\s+([\w$.,\s]+?)(?=\bimplements\b|$)", _without_arguments(m[3]).strip()):
+            for name in top_level(names):
                 yield "source.type-relation", "type_relation", start, end, {"source_type": m[2], "target_type": name.strip(), "relation": kind, "source_path": path}
-        for f in re.finditer(r"\b(?:private|protected|public)\s+(?:final|readonly)\s+([A-Z][\w$<>]*)\s+([a-z_$][\w$]*)\s*;|\b(?:private|protected|public)\s+(?:readonly\s+)?([a-z_$][\w$]*)\s*:\s*([A-Z][\w$<>]*)\s*[,)]", text[start:end]):
-            if re.sub("<.*", "", f[1] or f[4]) not in PLAIN_TYPES:
-                yield "source.injection", "dependency_injection", start + f.start(), start + f.end(), {"class_name": m[2], "parameter": f[2] or f[3], "dependency_type": f[1] or f[4], "start": start + f.start(), "end": start + f.end(), "source_path": path}
-    for start, end, name, owner, m in methods:
-        id_ = f"{path}#{owner}.{name}" if owner else f"{path}#{name}"
-        body = text[m.end() : end]
-        made = [c for c in re.finditer(r"(?:([\w$.]+)\.)?([A-Za-z_$][\w$]*)\s*\(", body) if c[2] not in _NOT_NAMES and not re.search(r"\bnew\s*$", body[max(0, c.start() - 20) : c.start()])]
-        words = re.findall(r"\w+", m[0][: m.start(3) - m.start()])
-        yield "source.symbol", "code_symbol", start, end, {
-            "symbol_id": id_, "name": name, "symbol_type": "method" if owner else "function", "class_name": owner, "visibility": m[1], "static": "static" in words, "async": "async" in words, "exported": "export" in head(start),
-            "parameters": top_level(m[4]), "signature": re.sub(r"\s+", " ", m[0][:-1]).strip()[:300], "calls": list(dict.fromkeys(c[2] for c in made)), "source_path": path, **_placed(text, start, end, breaks),
+        for f in re.finditer(r"\bprivate\s+final\s+([A-Z][\w$]*(?:\s*<[^;=]+>)?)\s+([a-z_$][\w$]*)\s*;", code[start:end]) if lombok else ():
+            known.add((m[2], f[2]))
+            yield from _injected(path, m[2], f[2], f[1], start + f.start(), start + f.end())
+    spans = [(f.body - 1, f.end) for f in functions]
+    heads = [m for m in _HEAD.finditer(code) if m[2] not in _NOT_NAMES and not re.search(r"\bnew\s*$", code[max(0, m.start() - 20) : m.start()])]
+    declared = {f.head[0] for f in functions}
+    calls: dict[int, list[re.Match]] = {}
+    order = sorted(range(len(spans)), key=lambda k: (spans[k][0], -spans[k][1]))
+    for m, k in zip(heads, enclosing([m.start(2) for m in heads], [spans[k] for k in order]), strict=True):
+        if k >= 0 and m.end() not in declared:
+            calls.setdefault(order[k], []).append(m)
+    seen: dict[tuple[str | None, str], int] = {}
+    for k, f in enumerate(functions):
+        seen[f.owner, f.name] = n = seen.get((f.owner, f.name), 0) + 1
+        id_ = (f"{path}#{f.owner}.{f.name}" if f.owner else f"{path}#{f.name}") + (f"~{n}" if n > 1 else "")
+        made, constructor = calls.get(k, []), f.owner is not None and f.name in ("constructor", f.owner)
+        parameters = top_level(plain[slice(*f.head)])
+        yield "source.symbol", "code_symbol", f.start, f.end, {
+            "symbol_id": id_, "name": f.name, "symbol_type": "constructor" if constructor else "method" if f.owner else "function", "class_name": f.owner,
+            "visibility": next((w for w in ("public", "protected", "private") if w in f.words), None), "static": "static" in f.words, "async": "async" in f.words, "exported": "export" in head(f.start) + code[f.start : f.head[0]],
+            "parameters": parameters, "signature": flat(f.start, f.body - 1 if code[f.body - 1 : f.body] == "{" else f.body), "calls": list(dict.fromkeys(c[2] for c in made)), "source_path": path, **_placed(text, f.start, f.end, breaks),
         }
+        for p in parameters if constructor else ():
+            named = re.match(r"(?:@[\w.]+\s*(?:\([^()]*\)\s*)?|(?:public|private|protected|readonly|final|val|var)\s+)*(?:([A-Za-z_$][\w$]*)\??\s*:\s*([A-Z][\w$]*(?:<.*>)?)|([A-Z][\w$]*(?:\s*<.*>)?)\s+([A-Za-z_$][\w$]*))\s*(?:=.*)?$", p, re.DOTALL)
+            if named and (f.owner, named[1] or named[4]) not in known:
+                at = plain.find(p, f.head[0])
+                yield from _injected(path, f.owner, named[1] or named[4], named[2] or named[3], at, at + len(p))
         for c in made:
-            yield "source.call", "symbol_call", m.end() + c.start(), m.end() + c.end(), {
-                "caller_symbol_id": id_, "caller_name": name, "caller_class": owner, "callee_name": c[2], "receiver": c[1], "expression": f"{c[1]}.{c[2]}" if c[1] else c[2], "source_path": path,
+            yield "source.call", "symbol_call", c.start(), c.end(), {
+                "caller_symbol_id": id_, "caller_name": f.name, "caller_class": f.owner, "callee_name": c[2], "receiver": c[1], "expression": f"{c[1]}.{c[2]}" if c[1] else c[2], "source_path": path,
             }
-    for m in re.finditer(r"(?:(?:const|let|var|[A-Z][\w$<>]*)\s+([a-z_$][\w$]*)\s*=\s*)?new\s+([A-Z][\w$]*)(?:<[^>]*>)?\s*\(", text):
-        end = balanced(text, m.end() - 1)
-        yield "source.construction", "object_construction", m.start(), end, {"variable": m[1], "constructed_type": m[2], "arguments": top_level(text[m.end() : end - 1]), "start": m.start(), "end": end, "source_path": path}
+    for m in re.finditer(r"(?:(?:const|let|var|[A-Z][\w$<>]*)\s+([a-z_$][\w$]*)\s*=\s*)?\bnew\s+([A-Z][\w$]*)(?:<[^>]*>)?\s*\(", code):
+        end = ends[m.end() - 1]
+        yield "source.construction", "object_construction", m.start(), end, {"variable": m[1], "constructed_type": m[2], "arguments": top_level(plain[m.end() : end - 1]), "start": m.start(), "end": end, "source_path": path}
+
+
+def _without_arguments(text: str) -> str:
+    """Without what stands between <>, at any depth."""
+    while (less := re.sub(r"<[^<>]*>", "", text)) != text:
+        text = less
+    return text
+
+
+def _injected(path: str, owner: str, parameter: str, kind: str, start: int, end: int) -> Iterator[Found]:
+    if re.sub(r"\s*<.*", "", kind, flags=re.DOTALL) not in PLAIN_TYPES:
+        yield "source.injection", "dependency_injection", start, end, {"class_name": owner, "parameter": parameter, "dependency_type": kind, "start": start, "end": end, "source_path": path}
 
 
 def imports(path: str, text: str) -> Iterator[Found]:
@@ -269,13 +485,15 @@ def scan(path: str, text: str) -> Iterator[Found]:
     """All of the above that a file's name calls for, and the file itself."""
     yield "repository.file", "repository_file", 0, len(text), {"path": path}
     if path.endswith(".java"):
-        for f in (spring_endpoints, webflux_routes, reactive_pipelines):
-            yield from f(text)
+        without_comments = blanked(text)[1]
+        yield from spring_endpoints(without_comments)
+        yield from webflux_routes(without_comments)
+        yield from reactive_pipelines(text)
     if path.endswith(".py"):
         yield from python_symbols(path, text)
     elif re.search(r"\.(?:java|kt|cs|[cm]?[jt]sx?)$", path):
         yield from braces_symbols(path, text)
-        yield from imports(path, text)
+        yield from imports(path, blanked(text, bool(re.search(r"\.[cm]?[jt]sx?$", path)))[1])
     if re.search(r"\.(?:java|kt|cs|py|[cm]?[jt]sx?)$", path):
         yield "source.module", "source_module", 0, len(text), {"path": path, "source_path": path}
     yield from manifests(path, text)

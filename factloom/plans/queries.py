@@ -950,3 +950,27 @@ def explained_service(spark, sf):
     )
     told = answers.explain_service(V.facts(spark, sf), edges, "7")["summary"]
     return told.select("endpoints", "relations", F.size("technologies").cast("long").alias("technologies"))
+
+
+@register("""WITH d AS (SELECT doc_id, 'd' || doc_id || CASE doc_id % 2 WHEN 0 THEN '.ts' ELSE '.java' END AS source_path, 'A' || (doc_id % 7) AS c FROM documents)
+SELECT source_path, source_path || '#' || c || '.foo' AS caller, 'a' || (doc_id % 5) AS callee, 3 AS start_line FROM d UNION ALL SELECT source_path, source_path || '#' || c || '.bar', 'this.x.b' || (doc_id % 3), 6 FROM d
+UNION ALL SELECT source_path, source_path || '#B.baz', 'c', 8 FROM d""")
+def source_calls(spark, sf):
+    """Whole texts of documents as comments and strings in code: each call goes to its true caller, whatever the texts hold."""
+    d = F.col("doc_id").cast("string")
+    n = lambda k: (F.col("doc_id") % k).cast("string")
+    text = F.coalesce("text", F.lit(""))
+    block = F.regexp_replace(F.regexp_replace(text, "[*]/", "* /"), r"[\r\n]", " ")
+    line = F.regexp_replace(text, r"[\r\n]", " ")
+    quoted = F.regexp_replace(text, r"[\r\n\\\\\"]", " ")
+    code = F.concat(
+        F.lit("class A"), n(7), F.lit(" {\n/* "), block, F.lit(" */\nfoo() { // "), line, F.lit("\na"), n(5), F.lit("(\""), quoted, F.lit("\"); }\n// "), line,
+        F.lit("\nbar(x) {\nthis.x.b"), n(3), F.lit("(); } }\nclass B { baz() { c('{'); } }\n"),
+    )
+    path = F.concat(F.lit("d"), d, F.when(F.col("doc_id") % 2 == 0, ".ts").otherwise(".java"))
+    files = V.table(spark, sf, "documents").select(F.lit("r").alias("repository_id"), F.lit("s").alias("snapshot_id"), path.alias("relative_path"), code.alias("text"))
+    facts = cut(extract.extract(files, {"source.call", "source.symbol"}))
+    value = lambda x: field("value_json", x)
+    calls = facts.filter("rule_id = 'source.call'").select(value("source_path").alias("source_path"), value("caller_symbol_id").alias("caller"), value("expression").alias("callee"))
+    lines = facts.filter("rule_id = 'source.symbol'").select(value("symbol_id").alias("caller"), value("start_line").cast("int").alias("start_line"))
+    return calls.join(lines, "caller").select("source_path", "caller", "callee", "start_line")
