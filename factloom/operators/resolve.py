@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from ..functions.text import join_route, simple_type
 
@@ -90,10 +92,40 @@ def bind_arguments(constructions: DataFrame, injections: DataFrame, variables: D
 
 
 def nearest_enclosing(points: DataFrame, ranges: DataFrame, key: str) -> DataFrame:
-    """points (id, key, start, end), ranges (key, range_id, range_start, range_end): the smallest range around each point."""
-    inside = (F.col("range_start") <= F.col("start")) & (F.col("end") <= F.col("range_end"))
-    found = points.join(ranges, key).filter(inside).groupBy("id").agg(F.min(F.struct((F.col("range_end") - F.col("range_start")).alias("length"), F.col("range_start"), F.col("range_id"))).alias("_r"))
-    return points.join(found, "id", "left").select(*points.columns, F.col("_r.range_id").alias("range_id"))
+    """points (id, key, start, end), ranges (key, range_id, range_start, range_end): the smallest range around each point, of equals the
+    first by place, then by range_id; null where there is none, and where the key is null.
+
+    Both are sorted by key and place and swept once, without a join: a stack keeps the ranges that are still open, so a point is
+    compared with those around it only, however many its key has."""
+    keep, names = points.columns, ("_at", "_mark", "_end", "_range")
+    kind = ranges.schema["range_id"].dataType
+    nothing = [F.lit(None).cast(points.schema[c].dataType).alias(c) if c != key else F.col(key) for c in keep]
+    long = lambda c: F.col(c).cast("long")
+    open_ = ranges.select(*nothing, long("range_start"), F.lit(0), long("range_end"), F.col("range_id"))
+    asked = points.select(*keep, long("start"), F.lit(1), long("end"), F.lit(None).cast(kind))
+    both = asked.toDF(*keep, *names).unionAll(open_.toDF(*keep, *names))
+    schema = T.StructType([*points.schema.fields, T.StructField("range_id", kind)])
+
+    def sweep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, stack = None, []
+        for batch in batches:
+            found = []
+            mark = batch.column("_mark")
+            for k, at, point, end, range_ in zip(*(batch.column(c).to_pylist() for c in (key, *names)), strict=True):
+                if k != now:
+                    now, stack = k, []
+                if not point:
+                    if range_ is not None and end is not None and at is not None:
+                        while stack and stack[-1][0] < at:
+                            stack.pop()
+                        stack.append((end, at, range_))
+                    continue
+                around = [(e - s, s, r) for e, s, r in stack if e >= end] if k is not None and at is not None and end is not None else []
+                found.append(min(around)[2] if around else None)
+            of_points = batch.filter(pc.equal(mark, 1)).select(keep)
+            yield pa.RecordBatch.from_arrays([*of_points.columns, pa.array(found, batch.column("_range").type)], names=[*keep, "range_id"])
+
+    return both.repartition(key).sortWithinPartitions(key, "_at", "_mark", F.desc("_end")).mapInArrow(sweep, schema)
 
 
 def last_before(points: DataFrame, marks: DataFrame, key: str, at: str = "start") -> DataFrame:
@@ -148,14 +180,17 @@ def resolve_relative_imports(imports: DataFrame, files: DataFrame) -> DataFrame:
 
 def resolve_by_suffix(links: DataFrame, documents: DataFrame, most: int = 3) -> DataFrame:
     """links (id, target), documents (doc, path): documents whose path ends with the target, or with it and .md; the first
-    `most` in path order. A target with a folder has a whole file name at its end, which is the key; one without is the end of a
-    file name, so the ends of file names, of the lengths that are asked for, are the keys."""
+    `most` in path order. The keys are whole targets: ends of paths, of the lengths that targets with a folder and the same file name
+    have, and ends of file names, of the lengths of targets without a folder. So a name that many folders have is no hot key."""
     last = lambda c: F.element_at(F.split(c, "/"), -1)
     bare = F.regexp_replace(F.regexp_replace("target", "^\\./", ""), "^\\.\\./", "")
     want = links.withColumn("_bare", bare).filter("_bare <> ''").select("id", F.explode(F.array(F.col("_bare"), F.concat("_bare", F.lit(".md")))).alias("_full"))
     inside = F.contains(F.col("_full"), F.lit("/"))
     own = documents.select("doc", "path", last(F.col("path")).alias("_name"))
-    by_name = want.filter(inside).withColumn("_name", last(F.col("_full"))).join(own, "_name").filter(F.col("path").endswith(F.col("_full")))
+    placed = want.filter(inside)
+    asked = placed.groupBy(last(F.col("_full")).alias("_name")).agg(F.collect_set(F.length("_full")).alias("_sizes"))  # a number for each length of a path
+    sized = own.join(asked, "_name").select("doc", "path", F.explode(F.filter("_sizes", lambda n: n <= F.length("path"))).alias("_n"))
+    by_name = placed.join(sized.select("doc", "path", F.right("path", F.col("_n")).alias("_full")), "_full")
     ends = want.filter(~inside)
     lengths = sorted(r[0] for r in ends.select(F.length("_full")).distinct().collect())  # no more than the longest name has characters
     cuts = F.filter(F.array(*map(F.lit, lengths)).cast("array<int>"), lambda n: n <= F.length("_name"))
@@ -164,23 +199,45 @@ def resolve_by_suffix(links: DataFrame, documents: DataFrame, most: int = 3) ->
     return hits.withColumn("_n", F.row_number().over(Window.partitionBy("id").orderBy("path", "doc"))).filter(F.col("_n") <= most).drop("_n")
 
 
-#: Characters of a path that are a key, from a slash on.
-KEY = 8
+#: How many parts the facts of one repository are dealt to; each gets all entry paths of the repository.
+PARTS = 16
 
 
 def facts_of_paths(entries: DataFrame, facts: DataFrame) -> DataFrame:
-    """entries (id, repository_id, path), facts (fact_id, repository_id, value_json): facts of the repository whose value holds
-    the path, whatever the case. A path begins with a slash, so it can only stand where a value has one: what follows each slash,
-    as long as the paths are and KEY characters at most, is the key. The paths that begin otherwise meet all facts of their
-    repository."""
-    own = entries.select("id", "repository_id", F.lower("path").alias("_path")).filter("_path <> ''")
-    values = facts.select("fact_id", "repository_id", F.lower("value_json").alias("_value"))
-    rooted = own.filter(F.col("_path").startswith("/")).withColumn("_key", F.substring("_path", 1, KEY))
-    lengths = sorted(r[0] for r in rooted.select(F.length("_key")).distinct().collect())  # KEY at most
-    begun = F.regexp_extract_all("_value", F.lit(f"(?s)(?=(/.{{0,{KEY - 1}}}))"), F.lit(1))
-    sized = F.flatten(F.transform(begun, lambda s: F.transform(F.filter(F.array(*map(F.lit, lengths)).cast("array<int>"), lambda n: n <= F.length(s)), lambda n: F.left(s, n))))
-    keyed = values.withColumn("_key", F.explode(F.array_distinct(sized)))
-    holds = F.contains(F.col("_value"), F.col("_path"))
-    met = rooted.join(keyed, ["repository_id", "_key"]).filter(holds).select("id", "fact_id")
-    rest = own.filter(~F.col("_path").startswith("/")).join(values, "repository_id").filter(holds).select("id", "fact_id")
-    return met.unionByName(rest).distinct()
+    """entries (id, repository_id, path), facts (fact_id, repository_id, value_json): facts of the repository whose value holds the
+    path, whatever the case.
+
+    A repository's paths, which are few, are put into an Aho-Corasick automaton, and each value is read once by it: the work is
+    linear in the values' lengths and in what is found, however many paths begin alike. Facts of one repository are dealt to PARTS
+    parts, each with all of the paths, which come before the facts in the sorted stream of a task. A null repository, path or value and
+    an empty path meet nothing."""
+    own = entries.filter("repository_id is not null and path <> ''").select("repository_id", F.explode(F.array(*map(F.lit, range(PARTS)))).alias("_part"), F.lit(0).alias("_kind"), "id", F.lit(None).cast(facts.schema["fact_id"].dataType).alias("fact_id"), F.lower("path").alias("_text"))
+    values = facts.filter("repository_id is not null and value_json is not null").select(
+        "repository_id", F.pmod(F.xxhash64("fact_id"), F.lit(PARTS)).cast("int").alias("_part"), F.lit(1).alias("_kind"), F.lit(None).cast(entries.schema["id"].dataType).alias("id"), "fact_id", F.lower("value_json").alias("_text"),
+    )
+    schema = T.StructType([T.StructField("id", entries.schema["id"].dataType), T.StructField("fact_id", facts.schema["fact_id"].dataType)])
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import ahocorasick
+
+        now, paths, automaton = None, {}, None
+        for batch in batches:
+            ids, found = [], []
+            for repository, part, kind, id_, fact, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if (repository, part) != now:
+                    now, paths, automaton = (repository, part), {}, None
+                if not kind:
+                    paths.setdefault(text, []).append(id_)
+                elif paths:
+                    if automaton is None:
+                        automaton = ahocorasick.Automaton()
+                        for path, own_ids in paths.items():
+                            automaton.add_word(path, own_ids)
+                        automaton.make_automaton()
+                    for own_ids in {id(x): x for _, x in automaton.iter(text)}.values():
+                        ids.extend(own_ids)
+                        found.extend([fact] * len(own_ids))
+            yield pa.RecordBatch.from_arrays([pa.array(ids, batch.column("id").type), pa.array(found, batch.column("fact_id").type)], names=["id", "fact_id"])
+
+    both = own.unionAll(values).repartition("repository_id", "_part").sortWithinPartitions("repository_id", "_part", "_kind")
+    return both.mapInArrow(read, schema).distinct()
