@@ -39,7 +39,7 @@ _TEMPLATE = re.compile(r"(?:\\.|\$(?!\{)|[^`\\$])*", re.DOTALL)
 
 
 def _blank(text: str) -> str:
-    return re.sub(r"[^\n]", " ", text)
+    return "\n".join([" " * len(line) for line in text.split("\n")])
 
 
 def blanked(text: str, script: bool = False) -> tuple[str, str]:
@@ -256,7 +256,7 @@ def _statement_end(code: str, at: int, ends: dict[int, int]) -> int:
         if c in "({[":
             at = ends[at]
             continue
-        if c in ";,)}]" or c == "\n" and not re.compile(r"\s*[.?:&|+*=<>-]").match(code, at) and code[:at].rstrip()[-1:] not in "=>&|+?:":
+        if c in ";,)}]" or c == "\n" and not re.compile(r"\s*[.?:&|+*=<>-]").match(code, at) and code[max(0, at - 200) : at].rstrip()[-1:] not in "=>&|+?:":
             break
         at += 1
     return at
@@ -293,7 +293,7 @@ def _functions(code: str, ends: dict[int, int], types: list[tuple[int, int, re.M
 
     for m, direct, owner in placed(list(_HEAD.finditer(code)), 2):
         name, open_ = m[2], m.end() - 1
-        if m[1] or name in _NOT_NAMES or code[: m.start()].endswith("."):
+        if m[1] or name in _NOT_NAMES or code[max(0, m.start() - 1) : m.start()] == ".":
             continue
         tail = _TAIL.match(code, ends[open_])
         if not tail or tail[1] == "=>" and not (arrows_of_methods and direct):

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Mapping
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from ..functions.ids import field, stable_id
 from ..functions.text import call_base, call_path, normalise_alias, normalise_path
@@ -163,12 +163,41 @@ def worst_status(status: str = "status") -> Column:
     return F.element_at(F.array(*map(F.lit, STATUSES)), F.coalesce(rank, F.lit(len(STATUSES))).cast("int"))
 
 
-def trace_flow(edges: DataFrame, source: str, target: str, max_depth: int = 12, max_paths: int = 20) -> DataFrame:
+def _paths(hop: DataFrame, near: DataFrame, source: str, target: str, max_depth: int, most: int, width: int) -> DataFrame | None:
+    """The first `most` simple paths with `width` partial ones a hop and depth; None if that many don't decide."""
+    now = hop.sparkSession.createDataFrame([(source, [source], [], [])], "node string, nodes array<string>, edge_ids array<string>, statuses array<string>")
+    found, counts, dropped = [], {}, set()
+    for depth in range(1, max_depth + 1):
+        step = hop.join(F.broadcast(now), F.col("node") == F.col("_f")).filter(~F.array_contains("nodes", F.col("_t"))).join(near, "_t", "left")
+        step = step.withColumn("least", F.when(F.col("_t") == target, depth).otherwise(F.col("d") + depth)).filter(F.col("least") <= max_depth)
+        step = step.select(F.col("_t").alias("node"), F.array_append("nodes", F.col("_t")).alias("nodes"), F.array_append("edge_ids", F.col("_e")).alias("edge_ids"), F.array_append("statuses", F.col("_s")).alias("statuses"), "least")
+        place = F.row_number().over(Window.partitionBy("goal").orderBy("edge_ids"))
+        on = step.filter(F.col("node") != target).withColumn("goal", F.explode(F.sequence("least", F.lit(max_depth)))).withColumn("n", place).filter(F.col("n") <= width + 1)
+        table = cut(on.unionByName(step.filter(F.col("node") == target).withColumns({"goal": F.lit(depth), "n": F.lit(0)})))
+        told = table.agg(F.count_if(F.col("n") == 0).alias("there"), F.count(F.lit(1)).alias("all"), F.collect_set(F.when(F.col("n") > width, F.col("goal"))).alias("dropped")).first()
+        found.append(table.filter("n = 0").select("nodes", "edge_ids", "statuses", F.lit(depth).alias("depth")))
+        counts[depth] = told["there"]
+        have = 0
+        for d in range(1, depth + 1):
+            have += counts[d]
+            if have >= most:
+                break
+            if d in dropped:
+                return None
+        if have >= most or told["all"] == told["there"]:
+            break
+        dropped |= set(told["dropped"])
+        now = table.filter((F.col("n") > 0) & (F.col("n") <= width)).dropDuplicates(["edge_ids"]).select("node", "nodes", "edge_ids", "statuses")
+    return reduce(DataFrame.unionByName, found)
+
+
+def trace_flow(edges: DataFrame, source: str, target: str, max_depth: int = 12, max_paths: int = 20, width: int | None = None) -> DataFrame:
     """(path, depth, nodes, edge_ids, status): simple directed paths, the shortest first, then by their edges' ids.
 
-    Nodes that can't reach the target within the depth are cut off first, so that only paths that arrive are enumerated;
-    each hop is one join on the frontier."""
-    spark: SparkSession = edges.sparkSession
+    A partial path goes on only if its hops and the distance from its end to the target fit into the depth. For each depth that it
+    may end at, a hop keeps the `width` first ones by edges (four times max_paths at first), so the frontier never holds more than width
+    * max_depth paths, however dense the graph: what is dropped comes behind all that is kept, and behind what that leads to. So
+    the paths found are the first ones; only where dead ends leave too few of them, it begins again four times as wide."""
     hop = edges.select(F.col("id").alias("_e"), F.col("from").alias("_f"), F.col("to").alias("_t"), F.col("status").alias("_s"))
     hop = cut(hop)
     back = hop.filter(F.col("_t") == target).select(F.col("_f").alias("n"), F.lit(1).alias("d"))
@@ -179,19 +208,11 @@ def trace_flow(edges: DataFrame, source: str, target: str, max_depth: int = 12,
         if frontier.isEmpty():
             break
         reach = reach.unionByName(frontier)
-    near = reach.groupBy("n").agg(F.min("d").alias("d")).withColumnRenamed("n", "_t")
-    start = spark.createDataFrame([(source, [source], [], [])], "node string, nodes array<string>, edge_ids array<string>, statuses array<string>")
-    found, now, paths_found = [], start, 0
-    for depth in range(1, max_depth + 1):
-        step = now.join(hop, F.col("node") == F.col("_f")).filter(~F.array_contains("nodes", F.col("_t"))).join(near, "_t", "left").filter((F.col("_t") == target) | (F.col("d") + depth <= max_depth))
-        now = cut(step.select(F.col("_t").alias("node"), F.array_append("nodes", F.col("_t")).alias("nodes"), F.array_append("edge_ids", F.col("_e")).alias("edge_ids"), F.array_append("statuses", F.col("_s")).alias("statuses")))
-        found.append(now.filter(F.col("node") == target).withColumn("depth", F.lit(depth)))
-        counted = now.agg(F.count_if(F.col("node") == target).alias("there"), F.count(F.lit(1)).alias("all")).first()
-        paths_found += counted["there"]
-        if counted["all"] == counted["there"] or paths_found >= max_paths:
-            break
-        now = now.filter(F.col("node") != target)
-    paths = reduce(DataFrame.unionByName, found).orderBy("depth", "edge_ids").limit(max_paths)
+    near = cut(reach.groupBy("n").agg(F.min("d").alias("d")).withColumnRenamed("n", "_t"))
+    width = width or 4 * max_paths
+    while (found := _paths(hop, near, source, target, max_depth, max_paths, width)) is None:
+        width *= 4
+    paths = found.orderBy("depth", "edge_ids").limit(max_paths)
     worst = F.when(F.array_contains("statuses", "unresolved"), "unresolved").when(F.array_contains("statuses", "candidate"), "candidate").otherwise("supported")
     return paths.select("depth", "nodes", "edge_ids", worst.alias("status"))
 

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections import Counter, defaultdict
+
+import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
 
 from ..sources.storage import cut
@@ -96,15 +99,64 @@ def expand_context(links: DataFrame, chunks: DataFrame, seeds: DataFrame, depth:
     return nearest.orderBy("distance", "id").limit(limit)
 
 
-def has_cycle(edges: DataFrame) -> bool:
-    """Whether edges (from, to) hold a cycle: sources are taken off until none is left."""
-    now = cut(edges.select("from", "to").distinct())
-    while not now.isEmpty():
-        less = cut(now.join(now.select(F.col("to").alias("from")).distinct(), "from", "left_semi"))
-        if less.count() == now.count():
-            return True
-        now = less
-    return False
+#: Edges of a graph that one task may hold.
+SMALL = 200_000
+
+
+def _peeled(edges: pd.DataFrame) -> pd.DataFrame:
+    """(graph, cyclic) of one graph: nodes without an edge into them are taken off as long as there are any."""
+    after, waits = defaultdict(list), Counter()
+    for a, b in zip(edges["from"], edges["to"], strict=True):
+        after[a].append(b)
+        waits[b] += 1
+    free, left = [n for n in after if not waits[n]], len(edges)
+    while free:
+        for n in after[free.pop()]:
+            left -= 1
+            waits[n] -= 1
+            if not waits[n]:
+                free.append(n)
+    return pd.DataFrame({"graph": edges["graph"].iloc[:1], "cyclic": [left > 0]})
+
+
+def cyclic_graphs(edges: DataFrame, small: int = SMALL) -> DataFrame:
+    """(graph, cyclic) of graphs (graph, from, to). One of no more than `small` edges is peeled by one task. In a larger one, a round
+    takes off all edges that come from nowhere or lead nowhere; where that takes none off, the rest holds a cycle. Chains don't need a
+    round for each node: a node with one way out gives its place to the node behind it, for nodes chosen by a coin so that no two
+    neighbours go at once, which keeps all cycles and takes a part of a chain off in each round. Edges without a node at an end count
+    for nothing."""
+    now = cut(edges.select("graph", "from", "to").dropna(subset=["from", "to"]).distinct())
+    schema = f"graph {now.schema['graph'].dataType.simpleString()}, cyclic boolean"
+    at = lambda c: F.col(c).alias("from" if c == "to" else "to")
+    told, rounds = None, 0
+    while True:
+        size = cut(now.groupBy("graph").agg(F.count(F.lit(1)).alias("_n"), F.max(F.col("from") == F.col("to")).alias("_loop")))
+        few = size.filter((F.col("_n") <= small) & ~F.col("_loop"))
+        some = now.join(few.select("graph"), "graph", "left_semi").groupBy("graph").applyInPandas(_peeled, schema)
+        some = some.unionByName(size.filter("_loop").select("graph", F.lit(True).alias("cyclic")))
+        large = size.filter((F.col("_n") > small) & ~F.col("_loop"))
+        if large.isEmpty():
+            told = some if told is None else told.unionByName(some)
+            break
+        now = cut(now.join(large.select("graph"), "graph", "left_semi"))
+        inner = now.join(now.select("graph", at("to")).distinct(), ["graph", "from"], "left_semi").join(now.select("graph", at("from")).distinct(), ["graph", "to"], "left_semi")
+        inner = cut(inner.select("graph", "from", "to"))
+        left = cut(large.select("graph", "_n").join(inner.groupBy("graph").agg(F.count(F.lit(1)).alias("_left")), "graph", "left").fillna(0, ["_left"]))
+        some = some.unionByName(left.filter("_left = _n or _left = 0").select("graph", (F.col("_left") > 0).alias("cyclic")))
+        told = cut(some) if told is None else told.unionByName(cut(some))
+        open_ = inner.join(left.filter("_left <> _n and _left > 0").select("graph"), "graph", "left_semi")
+        rounds += 1
+        coin = lambda c: F.pmod(F.xxhash64(c, F.lit(rounds)), F.lit(2)) == 1  # noqa: E731, B023
+        way = open_.groupBy("graph", "from").agg(F.count(F.lit(1)).alias("_n"), F.max("to").alias("_to")).filter((F.col("_n") == 1) & coin("from") & ~coin("_to"))
+        way = cut(way.select("graph", F.col("from").alias("_over"), "_to"))
+        passed = open_.join(way.select("graph", F.col("_over").alias("from")), ["graph", "from"], "left_anti").join(way.withColumnRenamed("_over", "to"), ["graph", "to"], "left")
+        now = cut(passed.select("graph", "from", F.coalesce("_to", "to").alias("to")).distinct())
+    return told.groupBy("graph").agg(F.max("cyclic").alias("cyclic"))
+
+
+def has_cycle(edges: DataFrame, small: int = SMALL) -> bool:
+    """Whether edges (from, to) hold a cycle."""
+    return bool(cyclic_graphs(edges.select(F.lit(0).alias("graph"), "from", "to"), small).filter("cyclic").count())
 
 
 def ready_tasks(tasks: DataFrame, needs: DataFrame, done: DataFrame, most: int = 2) -> DataFrame:

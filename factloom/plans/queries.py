@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
@@ -974,3 +975,26 @@ def source_calls(spark, sf):
     calls = facts.filter("rule_id = 'source.call'").select(value("source_path").alias("source_path"), value("caller_symbol_id").alias("caller"), value("expression").alias("callee"))
     lines = facts.filter("rule_id = 'source.symbol'").select(value("symbol_id").alias("caller"), value("start_line").cast("int").alias("start_line"))
     return calls.join(lines, "caller").select("source_path", "caller", "callee", "start_line")
+
+
+@register("""WITH RECURSIVE e AS (SELECT DISTINCT l_orderkey AS graph, l_partkey % 9 AS a, l_suppkey % 9 AS b FROM lineitem), r(graph, a, b) AS (SELECT * FROM e UNION SELECT r.graph, r.a, e.b FROM r JOIN e ON e.graph = r.graph AND e.a = r.b)
+SELECT graph, bool_or(a = b) AS cyclic FROM r GROUP BY graph""")
+def task_cycles(spark, sf):
+    lines = V.table(spark, sf, "lineitem")
+    return traverse.cyclic_graphs(lines.select(F.col("l_orderkey").alias("graph"), (F.col("l_partkey") % 9).alias("from"), (F.col("l_suppkey") % 9).alias("to")))
+
+
+@register("""WITH RECURSIVE w AS (SELECT DISTINCT 'o' || l_orderkey AS o, 'p' || l_partkey AS p, 's' || l_suppkey AS s FROM lineitem), l AS (SELECT 's' || s_suppkey AS s, 'n' || s_nationkey AS n FROM supplier), a AS (SELECT 'n' || n_nationkey AS n, 'r' || n_regionkey AS r FROM nation),
+e AS (SELECT o AS a, p AS b FROM w UNION SELECT p, s FROM w UNION SELECT s, p FROM w UNION SELECT s, n FROM l UNION SELECT n, r FROM a), f AS (SELECT min(o) AS o FROM w),
+t(node, nodes, ids) AS (SELECT o, [o], []::VARCHAR[] FROM f UNION ALL SELECT e.b, list_append(t.nodes, e.b), list_append(t.ids, e.a || '>' || e.b) FROM t JOIN e ON e.a = t.node WHERE len(t.ids) < 4 AND t.node <> 'r1' AND NOT list_contains(t.nodes, e.b))
+SELECT CAST(len(ids) AS INTEGER) AS depth, array_to_string(nodes, '|') AS nodes, array_to_string(ids, '|') AS edge_ids, 'supported' AS status FROM t WHERE node = 'r1' ORDER BY len(ids), ids LIMIT 20""")
+def flow_trace_of_orders(spark, sf):
+    """From one order over its parts, their suppliers, those suppliers' parts and so on, to a region: all of lineitem is the graph."""
+    name = lambda c, k: F.concat(F.lit(k), F.col(c).cast("string"))
+    w = V.table(spark, sf, "lineitem").select(name("l_orderkey", "o").alias("o"), name("l_partkey", "p").alias("p"), name("l_suppkey", "s").alias("s"))
+    l = V.table(spark, sf, "supplier").select(name("s_suppkey", "s").alias("s"), name("s_nationkey", "n").alias("n"))  # noqa: E741
+    a = V.table(spark, sf, "nation").select(name("n_nationkey", "n").alias("n"), name("n_regionkey", "r").alias("r"))
+    parts = [w.select("o", "p"), w.select("p", "s"), w.select("s", "p"), l.select("s", "n"), a.select("n", "r")]
+    edges = reduce(DataFrame.unionAll, (x.toDF("from", "to") for x in parts)).distinct().select(F.concat("from", F.lit(">"), "to").alias("id"), "from", "to", F.lit("supported").alias("status"))
+    found = graph.trace_flow(edges, w.agg(F.min("o")).first()[0], "r1", max_depth=4, max_paths=20)
+    return found.select("depth", F.array_join("nodes", "|").alias("nodes"), F.array_join("edge_ids", "|").alias("edge_ids"), "status")

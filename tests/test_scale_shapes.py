@@ -56,3 +56,70 @@ def test_scopes_against_brute_force(spark):
     for i, k, s, e, _ in points:
         around = [(b - a, a, r) for q, r, a, b in ranges if k is not None and q == k and a <= s and e <= b]
         assert got[i] == (min(around)[2] if around else None)
+
+
+def simple_paths(edges, source, target, depth):
+    """All of them, by depth first search."""
+    out, after = [], {}
+    for e, a, b, s in edges:
+        after.setdefault(a, []).append((e, b, s))
+
+    def walk(node, nodes, ids):
+        for e, b, _ in after.get(node, []):
+            if b in nodes or len(ids) == depth:
+                continue
+            if b == target:
+                out.append((len(ids) + 1, [*ids, e]))
+            else:
+                walk(b, [*nodes, b], [*ids, e])
+
+    walk(source, [source], [])
+    return sorted(out)
+
+
+@pytest.mark.parametrize("seed, n, m, depth, most, width", [(1, 7, 20, 5, 20, None), (2, 9, 22, 6, 8, 1), (3, 12, 18, 8, 50, 2)])
+def test_first_paths_against_all_paths(spark, seed, n, m, depth, most, width):
+    rng = random.Random(seed)
+    edges = [(f"e{i:03}", f"n{rng.randrange(n)}", f"n{rng.randrange(n)}", rng.choice(["supported", "candidate"])) for i in range(m)]
+    got = graph.trace_flow(spark.createDataFrame(edges, "id string, from string, to string, status string"), "n0", "n1", depth, most, width).collect()
+    assert sorted((r["depth"], r["edge_ids"]) for r in got) == simple_paths(edges, "n0", "n1", depth)[:most]
+
+
+def test_a_dense_graph_keeps_its_frontier_small(spark, monkeypatch):
+    n, sizes = 1000, []
+    edges = spark.range(n * 40).select(F.format_string("e%06d", "id").alias("id"), F.format_string("n%03d", F.floor(F.col("id") / 40)).alias("from"), F.format_string("n%03d", F.pmod(F.floor(F.col("id") / 40) + 1 + F.pmod("id", F.lit(40)), F.lit(n))).alias("to"), F.lit("supported").alias("status"))
+    put = graph.cut
+    monkeypatch.setattr(graph, "cut", lambda df: [t := put(df), sizes.append(t.count()) if "goal" in t.columns else None][0])
+    got = graph.trace_flow(edges, "n000", "n160", max_depth=6, max_paths=20).collect()
+    own = {i: [(i * 40 + k, (i + 1 + k) % n) for k in range(40)] for i in range(n)}
+    best = [(d, [f"e{x:06}" for x in p]) for d, p in [(4, p) for p in [[0 * 40 + 39, 40 * 40 + 39, 80 * 40 + 39, 120 * 40 + 39]]]]
+    assert [(r["depth"], r["edge_ids"]) for r in got[:1]] == best and len(got) == 20 and own[0][39][1] == 40
+    assert [r["depth"] for r in got] == [4] + [5] * 19 and max(sizes) <= (80 + 1) * 6 + 20 * 80
+
+
+@pytest.mark.parametrize("small", [0, 1000])
+def test_cycles_of_many_graphs(spark, small):
+    rng = random.Random(small)
+    rows, want = [], {}
+    for g in range(40):
+        n, m = rng.randint(1, 8), rng.randint(1, 9)
+        own = [(rng.randrange(n), rng.randrange(n)) for _ in range(m)]
+        own = [(min(e), max(e)) for e in own if e[0] != e[1]] or [(0, 1)] if g % 2 else own
+        reach = {(a, b) for a, b in own}
+        while more := {(a, d) for a, b in reach for c, d in reach if b == c} - reach:
+            reach |= more
+        want[g] = any(a == b for a, b in reach)
+        rows += [(g, f"t{a}", f"t{b}") for a, b in own]
+    rows += [(0, None, "t1"), (1, "t0", None)]
+    got = {r["graph"]: r["cyclic"] for r in traverse.cyclic_graphs(spark.createDataFrame(rows, "graph long, from string, to string"), small).collect()}
+    assert got == want and len(set(want.values())) == 2
+
+
+def test_a_chain_of_tasks_takes_few_rounds(spark, monkeypatch):
+    cuts = []
+    put = traverse.cut
+    monkeypatch.setattr(traverse, "cut", lambda df: [cuts.append(1), put(df)][1])
+    chain = spark.range(4_000).select(F.col("id").alias("from"), (F.col("id") + 1).alias("to"))
+    assert not traverse.has_cycle(chain, small=500) and len(cuts) < 6 * 20
+    assert traverse.has_cycle(chain.unionAll(spark.createDataFrame([(4_000, 0)], "from long, to long")))
+    assert not traverse.has_cycle(chain)
