@@ -17,7 +17,8 @@ fingerprint to all that it reaches among those not yet reached.
 Pivot distances alone can't choose candidates at this radius (distances to a pivot lie within 32 +- 4 for most pairs), so
 they filter what the keys bring together.
 
-Nulls: a null text is an empty one, with fingerprint zero; a row with a null doc_id gets the component of its fingerprint.
+Nulls: a null text is an empty one, with fingerprint zero. A row with a null doc_id links like any other and gets the smallest doc_id
+that it reaches, or null if it reaches none. Ids are below NO_ID; numbers from there on name fingerprints without an id.
 Repeated rows have equal fingerprints. Empty table: no row. Other columns aren't read.
 """
 
@@ -34,7 +35,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from .common import ship, small_side, text_of, written
 from .components import components
 
-BITS, PIVOTS, HOT, FEW = 4, 16, 2_000, 24
+BITS, PIVOTS, HOT, FEW, NO_ID = 4, 16, 2_000, 24, 1 << 62
 #: Fingerprints for each key, on average, from which on keys get longer.
 KEY_FILL = 64
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
@@ -219,9 +220,10 @@ def links(classes: DataFrame, radius: int = BITS, pivots: int = PIVOTS, hot: int
 def near_groups(df: DataFrame, shingle: int = 4, seed: int = 42, radius: int = BITS, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, fp, component_id) of each row: the smallest doc_id that links reach."""
     rows = written(fingerprints(df, shingle, seed, doc_id, text), "fingerprints")
-    classes = written(rows.groupBy("fp").agg(F.min("doc_id").alias("node")), "classes")
-    found = components(links(classes.filter("node is not null"), radius))
-    named = classes.join(found, "node", "left").select("fp", F.coalesce("component", "node").alias("component_id"))
+    named = F.coalesce(F.col("least"), F.lit(NO_ID) + F.monotonically_increasing_id())  # written, so each number stays
+    classes = written(rows.groupBy("fp").agg(F.min("doc_id").alias("least")).select("fp", named.alias("node")), "classes")
+    component = F.coalesce("component", "node")
+    named = classes.join(components(links(classes, radius)), "node", "left").select("fp", F.when(component < NO_ID, component).alias("component_id"))
     return rows.join(named, "fp").select("doc_id", "fp", "component_id")
 
 

@@ -887,3 +887,31 @@ def test_signatures_discard_no_similar_pair():
     many = np.arange(300 * 512)
     assert near_text.signature(many) == b"" and near_text.may_be_similar([b""], [near_text.signature(many[:9])], 0.8)[0]
     assert not near_text.may_be_similar([near_text.signature(many[:300])], [near_text.signature(many[300:600])], 0.8)[0]
+
+
+def test_rows_without_an_id_link_fingerprints(spark):
+    """A (1), B (null), C (2), with A and B, B and C near, A and C not: one component. And null rows alone, and near each other."""
+    draw = random.Random(12)
+    base, chains = " ".join(draw.choice(WORDS) for _ in range(300)), []
+    while len(chains) < 3:
+        words = base.split()
+        texts = [base]
+        for _ in range(2):
+            words = [*words]
+            words[draw.randrange(len(words))] = draw.choice(WORDS)
+            texts.append(" ".join(words))
+        a, b, c = (slow_fingerprint(t) for t in texts)
+        if 0 < (a ^ b).bit_count() <= 4 and 0 < (b ^ c).bit_count() <= 4 < (a ^ c).bit_count():
+            chains.append(texts)
+        base = " ".join(draw.choice(WORDS) for _ in range(300)) if draw.random() < 0.2 else base
+    rows = [(1, chains[0][0]), (None, chains[0][1]), (2, chains[0][2]), (None, None), (None, "alone " + LONG[:400])]
+    rows += [(None, chains[1][0]), (None, chains[1][1]), (9, chains[1][2])] + [(None, t.upper() + " q w e r t z u i") for t in chains[2]]
+    fps = [slow_fingerprint(t or "") for _, t in rows]
+    least = reached([(i, j) for i, j in combinations(range(len(rows)), 2) if (fps[i] ^ fps[j]).bit_count() <= 4], range(len(rows)))
+    ids = {}
+    for i, (d, _) in enumerate(rows):
+        if d is not None:
+            ids[least[i]] = min(d, ids.get(least[i], d))
+    got = simhash.near_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    key = lambda d, f, c: (d or 0, f % (1 << 64), c or 0)
+    assert sorted(key(r["doc_id"], r["fp"], r["component_id"]) for r in got) == sorted(key(d, fps[i], ids.get(least[i])) for i, (d, _) in enumerate(rows))
