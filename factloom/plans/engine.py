@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import json
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql.types import StructType
 
-from ..operators import architecture, capability, chunks, context, diff, extract, graph, impact, incremental, inventory, query, scope, search
-from ..sources.storage import cut, write_artifact
+from ..operators import architecture, capability, chunks, context, contracts, diff, extract, graph, impact, incremental, inventory, query, scope, search
+from ..sources.storage import cut, redacted, write_artifact
 
 
 @dataclass
@@ -21,9 +23,49 @@ class Run:
         return self.tables[name]
 
     def save(self, root: str) -> None:
+        """The tables, then what the catalogue says of each: its schema, its number of rows and a digest. So a run is there once all of
+        it is; one that is saved again counts from its newest entry on."""
+        spark, told = next(iter(self.tables.values())).sparkSession, []
         for name, df in self.tables.items():
-            own = df.withColumn("run_id", F.lit(self.run_id)) if "run_id" not in df.columns else df
+            own = df if "run_id" in df.columns else df.withColumn("run_id", F.lit(self.run_id))
+            own = cut(own)
             write_artifact(own, root, name)
+            told.append((self.run_id, name, own.schema.json(), df.columns, *_digest(own)))
+        listed = spark.createDataFrame(told, "saved_run string, artifact string, schema string, columns array<string>, rows long, digest string")
+        listed.withColumn("saved_at", F.current_timestamp()).coalesce(1).write.mode("append").parquet(f"{root}/catalogue")
+
+
+def _digest(df: DataFrame) -> tuple[int, str]:
+    """Number of rows, and the sum of their hashes, whatever their order."""
+    row = F.xxhash64(F.to_json(F.struct(*(F.col(c) for c in sorted(df.columns))))).cast("decimal(20,0)")
+    got = df.agg(F.count(F.lit(1)), F.sum(row).cast("string")).first()
+    return got[0], got[1] or "0"
+
+
+def saved_runs(spark: SparkSession, root: str) -> DataFrame:
+    """(run_id, saved_at) of the runs that are there as a whole, the newest first."""
+    return spark.read.parquet(f"{root}/catalogue").groupBy(F.col("saved_run").alias("run_id")).agg(F.max("saved_at").alias("saved_at")).orderBy(F.desc("saved_at"), F.desc("run_id"))
+
+
+def load(spark: SparkSession, root: str, run_id: str) -> Run:
+    """A saved run, for questions or as a baseline. A table that isn't what the catalogue says, facts whose evidence is missing, and
+    evidence of files that aren't listed are errors. Values are redacted on reading."""
+    entries = spark.read.parquet(f"{root}/catalogue").filter(F.col("saved_run") == run_id)
+    newest = entries.agg(F.max("saved_at")).first()[0]
+    if newest is None:
+        raise ValueError(f"run {run_id} isn't in the catalogue")
+    tables = {}
+    for e in entries.filter(F.col("saved_at") == F.lit(newest)).collect():  # one row for each table of the run
+        stored = spark.read.schema(StructType.fromJson(json.loads(e["schema"]))).parquet(f"{root}/{e['artifact']}").filter(F.col("run_id") == run_id)
+        if _digest(stored) != (e["rows"], e["digest"]):
+            raise ValueError(f"{e['artifact']} of run {run_id} isn't what was saved")
+        tables[e["artifact"]] = redacted(stored).select(*e["columns"])
+    if {"facts", "evidence", "files"} <= set(tables):
+        lost = contracts.broken_references(tables["facts"], {"evidence_ids": tables["evidence"]}).limit(1).count()
+        unlisted = tables["evidence"].join(tables["files"].select("repository_id", "relative_path"), ["repository_id", "relative_path"], "left_anti").limit(1).count()
+        if lost or unlisted:
+            raise ValueError(f"facts, evidence and files of run {run_id} don't fit")
+    return Run(run_id, tables)
 
 
 def _listed(files: DataFrame) -> DataFrame:

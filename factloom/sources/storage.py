@@ -63,7 +63,12 @@ def read_artifact(spark: SparkSession, root: str, name: str, run_id: str | None
         df = df.filter(F.col("run_id") == run_id)
     if repository_ids is not None:
         df = df.filter(F.col("repository_id").isin(*repository_ids))
-    ship(spark)
+    return redacted(df)
+
+
+def redacted(df: DataFrame) -> DataFrame:
+    """Rows with their values redacted, where they have any."""
+    ship(df.sparkSession)
     return df.withColumn("value_json", redact_json(F.col("value_json"))) if "value_json" in df.columns else df
 
 
