@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.ids import canonical_json, field, stable_id
 from ..functions.text import simple_type
+from ..sources.storage import cut, small_side
 from .resolve import bind_arguments, resolve_calls
 
 # Files, folders and words that give a file its kind, layer and role, and a symbol its description.
@@ -142,8 +145,13 @@ def joined_path(path: Column) -> Column:
 
 
 def import_targets(imports: DataFrame, files: DataFrame) -> DataFrame:
-    """imports (id, repository_id, source_path, specifier) with target_path, the file of the repository that is meant. Every way
-    to write a file is an equi-join: a path as a whole, or for Java a file's name, whose folders must then fit."""
+    """imports (id, repository_id, source_path, specifier) with target_path, the file of the repository that is meant."""
+    return imports.join(_import_hits(imports, files), "id", "left")
+
+
+def _import_hits(imports: DataFrame, files: DataFrame) -> DataFrame:
+    """(id, target_path) of imports that mean one of these files. Every way to write a file is an equi-join: a path as a whole, or
+    for Java a file's name, whose folders must then fit."""
     path, spec = F.col("source_path"), F.col("specifier")
     folder = F.regexp_replace(path, "[^/]*$", "")
     base = joined_path(F.concat(folder, spec))
@@ -162,7 +170,7 @@ def import_targets(imports: DataFrame, files: DataFrame) -> DataFrame:
     java = imports.filter(path.rlike(r"(?i)\.java$")).select("id", "repository_id", suffix.alias("_suffix")).withColumn("_name", F.element_at(F.split("_suffix", "/"), -1))
     named = known.filter(F.col("relative_path").rlike(r"(?i)\.java$")).withColumn("_name", F.element_at(F.split("relative_path", "/"), -1))
     by_name = java.join(named, ["repository_id", "_name"]).filter(F.col("relative_path").endswith(F.col("_suffix"))).groupBy("id").agg(F.min("relative_path").alias("target_path"))
-    return imports.join(by_path.unionByName(by_name), "id", "left")
+    return by_path.unionByName(by_name)
 
 
 # --- facts about each other -----------------------------------------------------------------------------------------
@@ -176,32 +184,113 @@ def _told(rows: DataFrame, kind: str, rule: str | None, **fields: Column) -> Dat
     return own.select(id_.alias("id"), F.lit(kind).alias("kind"), "component_id", "value_json", "evidence_ids", "rule_id")
 
 
-def resolve_facts(facts: DataFrame, files: DataFrame) -> DataFrame:
-    """facts with the targets of imports and calls, and with a binding for each argument of a construction. files
-    (repository_id, relative_path): those that may be meant. Targets that facts have are found anew, and bindings made anew, so
-    that facts of several runs can be put together first. The table of facts is read several times: cut it before."""
-    value = F.col("value_json")
-    of = lambda kind, schema: facts.filter(F.col("kind") == kind).withColumn("v", F.from_json("value_json", schema))
-    imports = of("module_dependency", "source_path string, specifier string, imports array<string>, external boolean")
-    targets = import_targets(imports.select("id", F.col("component_id").alias("repository_id"), "v.source_path", "v.specifier"), files).select("id", "target_path")
+#: Fields of calls that stay as they were read; what calls mean is added to them.
+CALL_FIELDS = ("caller_symbol_id", "caller_name", "caller_class", "callee_name", "receiver", "expression", "source_path")
+
+
+def _imports(facts: DataFrame) -> DataFrame:
+    own = facts.filter("kind = 'module_dependency'").withColumn("v", F.from_json("value_json", "source_path string, specifier string, imports array<string>, external boolean"))
+    return own.withColumns({"repository_id": F.col("component_id"), "source_path": F.col("v.source_path"), "specifier": F.col("v.specifier")})
+
+
+def _symbols(facts: DataFrame) -> DataFrame:
+    return facts.filter("kind = 'code_symbol'").select("component_id", *(field(F.col("value_json"), n).alias(n) for n in ("symbol_id", "class_name", "name", "source_path")))
+
+
+def _constructions(facts: DataFrame) -> DataFrame:
+    """Constructions with the class and the arguments as bindings ask for them."""
+    own = facts.filter("kind = 'object_construction'").withColumn("v", F.from_json("value_json", "variable string, constructed_type string, arguments array<string>, source_path string, start long"))
+    return own.withColumns({"class_name": simple_type(F.col("v.constructed_type")), "arguments": F.transform("v.arguments", lambda a: F.trim(F.regexp_replace(a, "^this[.]", "")))})
+
+
+def _variables(constructions: DataFrame) -> DataFrame:
+    return constructions.select("component_id", F.regexp_replace("v.variable", "^this[.]", "").alias("variable"), F.col("v.constructed_type").alias("type")).dropna()
+
+
+def _points(facts: DataFrame) -> DataFrame:
+    """Parameters that classes are injected with."""
+    own = facts.filter("kind = 'dependency_injection'").withColumn("v", F.from_json("value_json", "class_name string, parameter string, dependency_type string, source_path string, start long"))
+    declared = F.col("v.dependency_type")
+    return own.select("component_id", "v.class_name", "v.parameter", declared.alias("declared"), simple_type(declared).alias("type"), "v.source_path", "v.start").filter("class_name is not null and parameter is not null")
+
+
+def _calls(facts: DataFrame) -> DataFrame:
+    own = facts.filter("kind = 'symbol_call'").withColumn("v", F.from_json("value_json", ", ".join(f"{n} string" for n in CALL_FIELDS)))
+    return own.withColumns({"caller_class": F.col("v.caller_class"), "receiver": F.nullif(F.trim(F.col("v.receiver")), F.lit("")), "callee": F.col("v.callee_name")})
+
+
+def _resolved(asked: DataFrame, files: DataFrame, symbols: DataFrame, variables: DataFrame, points: DataFrame) -> DataFrame:
+    """The facts asked for, with what their imports, calls and constructions mean among these files, symbols, variables and points."""
+    imports = _imports(asked)
     told_imports = _told(
-        imports.join(targets, "id", "left"), "module_dependency", None, source_path=F.col("v.source_path"), specifier=F.col("v.specifier"), target_path=F.col("target_path"),
-        external=F.when(F.col("v.source_path").rlike(r"(?i)\.(?:java|py)$"), F.col("target_path").isNull()).otherwise(~F.col("v.specifier").startswith(".")), imports=F.col("v.imports"),
+        import_targets(imports, files), "module_dependency", None, source_path=F.col("source_path"), specifier=F.col("specifier"), target_path=F.col("target_path"),
+        external=F.when(F.col("source_path").rlike(r"(?i)\.(?:java|py)$"), F.col("target_path").isNull()).otherwise(~F.col("specifier").startswith(".")), imports=F.col("v.imports"),
     )
-    symbols = facts.filter("kind = 'code_symbol'").select("component_id", *(field(value, n).alias(n) for n in ("symbol_id", "class_name", "name", "source_path")))
-    made = of("object_construction", "variable string, constructed_type string, arguments array<string>, source_path string, start long")
-    injected = of("dependency_injection", "class_name string, parameter string, dependency_type string, source_path string, start long")
-    variables = made.select("component_id", F.regexp_replace("v.variable", "^this[.]", "").alias("variable"), F.col("v.constructed_type").alias("type")).dropna()
-    points = injected.select("component_id", "v.class_name", "v.parameter", F.col("v.dependency_type").alias("declared"), simple_type(F.col("v.dependency_type")).alias("type"), "v.source_path", "v.start").filter("class_name is not null and parameter is not null")
-    names = ("caller_symbol_id", "caller_name", "caller_class", "callee_name", "receiver", "expression", "source_path")
-    calls = of("symbol_call", ", ".join(f"{n} string" for n in names))
-    asked = calls.select("id", "component_id", "v.caller_class", F.nullif(F.trim(F.col("v.receiver")), F.lit("")).alias("receiver"), F.col("v.callee_name").alias("callee"))
-    answers = resolve_calls(asked, symbols, variables, points.select("component_id", "class_name", "parameter", "type")).select("id", "target_symbol_id", "target_class", "target_path", "resolution")
-    told_calls = _told(calls.join(answers, "id"), "symbol_call", None, **{n: F.col(f"v.{n}") for n in names}, **{n: F.col(n) for n in ("target_symbol_id", "target_class", "target_path", "resolution")})
+    calls = _calls(asked)
+    answers = resolve_calls(calls.select("id", "component_id", "caller_class", "receiver", "callee"), symbols, variables, points.select("component_id", "class_name", "parameter", "type"))
+    answers = answers.select("id", "target_symbol_id", "target_class", "target_path", "resolution")
+    told_calls = _told(calls.drop("caller_class", "receiver", "callee").join(answers, "id"), "symbol_call", None, **{n: F.col(f"v.{n}") for n in CALL_FIELDS}, **{n: F.col(n) for n in ("target_symbol_id", "target_class", "target_path", "resolution")})
     order = Window.partitionBy("component_id", "class_name").orderBy("source_path", "start", "parameter")
     numbered = points.withColumn("ordinal", F.row_number().over(order) - 1).select("component_id", "class_name", "ordinal", "parameter", F.col("declared").alias("type"))
-    built = made.filter(F.size("v.arguments") > 0).select(F.col("id"), "component_id", F.col("v.constructed_type").alias("type"), F.transform("v.arguments", lambda a: F.trim(F.regexp_replace(a, "^this[.]", ""))).alias("arguments"))
+    made = _constructions(asked)
+    built = made.filter(F.size("arguments") > 0).select("id", "component_id", F.col("v.constructed_type").alias("type"), "arguments")
     bound = bind_arguments(built, numbered, variables).join(made.select("id", "evidence_ids", F.col("v.source_path").alias("source_path")), "id")
     told = _told(bound, "dependency_binding", "source.binding", **{n: F.col(n) for n in ("consumer_class", "injection_point", "declared_type", "implementation_type", "argument", "source_path", "resolution")})
-    rest = facts.filter(~F.col("kind").isin("module_dependency", "symbol_call", "dependency_binding")).select(told.columns)
+    rest = asked.filter(~F.col("kind").isin("module_dependency", "symbol_call", "dependency_binding")).select(told.columns)
     return rest.unionByName(told_imports).unionByName(told_calls).unionByName(told).dropDuplicates(["id"])
+
+
+def resolve_facts(facts: DataFrame, files: DataFrame) -> DataFrame:
+    """facts with the targets of imports and calls, and with a binding for each argument of a construction. files
+    (repository_id, relative_path): those that may be meant. Targets that facts have are found anew, and bindings made anew, so
+    that facts of several runs can be put together first. The table of facts is read several times: cut it before."""
+    return _resolved(facts, files, _symbols(facts), _variables(_constructions(facts)), _points(facts))
+
+
+def _differences(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
+    """Keys whose rows aren't the same on both sides, repeats counted."""
+    return small_side(cut(a.exceptAll(b).select(keys).unionAll(b.exceptAll(a).select(keys)).distinct()))
+
+
+def resolve_changes(kept: DataFrame, gone: DataFrame, fresh: DataFrame, files: DataFrame, moved: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """What resolve_facts() gives for kept and fresh facts together, from a baseline that was resolved before: kept are its facts that
+    stay, gone those of files that were read again or are no more, fresh what these files say now, and moved (repository_id,
+    relative_path) the files that came or went. All but files are read several times: cut them before.
+
+    An import is looked up again if it may mean a file that came or went; a call if a symbol of its name, its receiver's variable or
+    what its class is injected with has changed; a construction if its class's parameters or a variable among its arguments have.
+    The others carry over. What is looked up meets only those symbols, variables and parameters that it names, so the joins grow
+    with the change; the rest of a run is read by filters against the small tables of what has changed.
+
+    Returns the facts, and (kind, n): how many were looked up."""
+    part = ["component_id"]
+    names = _differences(_symbols(gone), _symbols(fresh), [*part, "name"]).withColumnRenamed("name", "callee")
+    variables = _differences(_variables(_constructions(gone)), _variables(_constructions(fresh)), [*part, "variable"])
+    classes = _differences(_points(gone), _points(fresh), [*part, "class_name"])
+    receiver = F.trim(F.regexp_replace("receiver", "^this[.]", ""))
+    calls, made = _calls(kept).withColumn("variable", receiver), _constructions(kept).filter(F.size("arguments") > 0)
+    of_argument = lambda rows: rows.select("id", *part, F.explode("arguments").alias("variable"))
+    hit = made.join(classes, [*part, "class_name"], "left_semi").select("id").unionAll(of_argument(made).join(variables, [*part, "variable"], "left_semi").select("id"))
+    # bindings have no name of their construction but its evidence: all that shares it goes together
+    places = small_side(cut(made.join(small_side(cut(hit.distinct())), "id", "left_semi").select(F.explode("evidence_ids").alias("_e")).distinct()))
+    at = kept.filter(F.col("kind").isin("object_construction", "dependency_binding")).select("id", F.explode("evidence_ids").alias("_e"))
+    again = (
+        _import_hits(_imports(kept), small_side(cut(moved))).select("id")
+        .unionAll(calls.join(names, [*part, "callee"], "left_semi").select("id")).unionAll(calls.join(variables, [*part, "variable"], "left_semi").select("id"))
+        .unionAll(calls.join(classes.withColumnRenamed("class_name", "caller_class"), [*part, "caller_class"], "left_semi").select("id")).unionAll(at.join(places, "_e", "left_semi").select("id"))
+    )
+    again = small_side(cut(again.distinct()))
+    asked = cut(kept.join(again, "id", "left_semi").filter("kind <> 'dependency_binding'").unionByName(fresh))
+    asked_calls, asked_made = _calls(asked), _constructions(asked)
+    wanted = lambda *rows: small_side(cut(reduce(DataFrame.unionAll, rows).distinct()))
+    of_names = wanted(asked_calls.select(*part, F.col("callee").alias("name")))
+    of_variables = wanted(asked_calls.select(*part, receiver.alias("variable")), of_argument(asked_made).select(*part, "variable"))
+    of_classes = wanted(asked_calls.select(*part, F.col("caller_class").alias("class_name")), asked_made.select(*part, "class_name"))
+    whole = kept.unionByName(fresh)
+    told = _resolved(
+        asked, files, _symbols(whole).join(of_names, [*part, "name"], "left_semi"), _variables(_constructions(whole)).join(of_variables, [*part, "variable"], "left_semi"),
+        _points(whole).join(of_classes, [*part, "class_name"], "left_semi"),
+    )
+    carried = kept.join(again, "id", "left_anti")
+    counted = asked.filter(F.col("kind").isin("module_dependency", "symbol_call", "object_construction")).groupBy("kind").agg(F.count(F.lit(1)).alias("n"))
+    return carried.select(told.columns).unionByName(told), counted

@@ -11,7 +11,7 @@ WHOLE_METADATA, WHOLE_BODY, TERM_METADATA, TERM_BODY, ROUTE, ROUTE_TERM, SUPPORT
 PATH_WORD, PATH_PREFIX, CONTEXT_WORD, CONTEXT_PREFIX = 8, 5, 3, 1
 
 
-def _top(limit: int, most: int = 100) -> int:
+def top_of(limit: int, most: int = 100) -> int:
     return max(1, min(limit, most))
 
 
@@ -19,12 +19,16 @@ def _sum(values: Column, score) -> Column:
     return F.aggregate(values, F.lit(0), lambda total, x: total + score(x))
 
 
-def score_documents(chunks: DataFrame, query: str) -> DataFrame:
-    """chunks with a score over zero."""
+def document_texts() -> Column:
+    """The normal forms that a chunk's score reads: of what is said about it, of its content and of its endpoint."""
+    route = F.concat_ws(" ", "endpoint.method", "endpoint.path")
+    parts = F.concat(F.array("heading", "document_path", F.when(F.col("endpoint").isNotNull(), route)), "symbols", "source_paths")
+    return F.struct(normalise(F.array_join(F.filter(parts, lambda p: p.isNotNull() & (p != "")), " ")).alias("meta"), normalise(F.col("content")).alias("body"), normalise(route).alias("route"))
+
+
+def score_documents(chunks: DataFrame, query: str, texts: Column | None = None) -> DataFrame:
+    """chunks with a score over zero. texts: where document_texts() are stored, if they are."""
     exact, terms = normalise(F.lit(query)), query_tokens(F.lit(query))
-    route = normalise(F.concat_ws(" ", "endpoint.method", "endpoint.path"))
-    parts = F.concat(F.array("heading", "document_path", F.when(F.col("endpoint").isNotNull(), F.concat_ws(" ", "endpoint.method", "endpoint.path"))), "symbols", "source_paths")
-    texts = F.struct(normalise(F.array_join(F.filter(parts, lambda p: p.isNotNull() & (p != "")), " ")).alias("meta"), normalise(F.col("content")).alias("body"), route.alias("route"))
 
     def score(x: Column) -> Column:
         whole = F.when(F.contains(x["meta"], exact), WHOLE_METADATA).when(F.contains(x["body"], exact), WHOLE_BODY).otherwise(0)
@@ -34,12 +38,16 @@ def score_documents(chunks: DataFrame, query: str) -> DataFrame:
         return whole + by_term + by_route + F.when(F.array_contains("confidence_states", "supported"), SUPPORTED).otherwise(0)
 
     # explode keeps the filter above it, so that texts are normalised once
-    return chunks.withColumn("score", F.explode(F.filter(F.array(let(texts, score)), lambda s: s > 0)))
+    return chunks.withColumn("score", F.explode(F.filter(F.array(let(document_texts() if texts is None else texts, score)), lambda s: s > 0)))
+
+
+def by_score(scored: DataFrame) -> DataFrame:
+    return scored.orderBy(F.desc("score"), "document_path", "id")
 
 
 def search_documents(chunks: DataFrame, query: str, repository: str | None = None, limit: int = 20) -> DataFrame:
     rows = chunks if repository is None else chunks.filter(F.col("repository_id") == repository)
-    return score_documents(rows, query).orderBy(F.desc("score"), "document_path", "id").limit(_top(limit))
+    return by_score(score_documents(rows, query)).limit(top_of(limit))
 
 
 def find_flows(endpoints: DataFrame, query: str, component_id: str | None = None, limit: int = 20) -> DataFrame:
@@ -50,7 +58,7 @@ def find_flows(endpoints: DataFrame, query: str, component_id: str | None = None
         F.when(F.array_contains("_path", t), PATH_WORD).when(F.exists("_path", lambda w: prefix_match(w, t)), PATH_PREFIX)
         .when(F.array_contains("_context", t), CONTEXT_WORD).when(F.exists("_context", lambda w: prefix_match(w, t)), CONTEXT_PREFIX).otherwise(0)
     ))
-    return words.withColumn("score", score).filter("score > 0").drop("_path", "_context").orderBy(F.desc("score"), "path", "method").limit(_top(limit))
+    return words.withColumn("score", score).filter("score > 0").drop("_path", "_context").orderBy(F.desc("score"), "path", "method").limit(top_of(limit))
 
 
 def rank_capabilities(capabilities: DataFrame, query: str) -> DataFrame:

@@ -8,8 +8,8 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.types import StructType
 
-from ..operators import architecture, capability, chunks, context, contracts, diff, extract, graph, impact, incremental, inventory, query, scope, search
-from ..sources.storage import cut, redacted, write_artifact
+from ..operators import architecture, capability, chunks, context, contracts, diff, extract, graph, impact, incremental, inventory, query, scope, search, text_index
+from ..sources.storage import cut, redacted, small_side, write_artifact
 
 
 @dataclass
@@ -102,8 +102,8 @@ def analyse(run_id: str, files: DataFrame, aliases: dict[str, str] | None = None
 
 
 def refresh(run_id: str, baseline: Run, files: DataFrame, aliases: dict[str, str] | None = None, environment: str | None = None) -> tuple[str, Run]:
-    """What changed since a baseline is read again, with all that imports it; the rest is carried over, and what facts say about
-    each other is found anew, so that the result is a full run's."""
+    """What changed since a baseline is read again, with all that imports it; the rest is carried over. What facts say about each other
+    is found anew where the change may tell (`architecture.resolve_changes`), so that the result is a full run's."""
     listed = _listed(files)
     read = listed.filter("excluded_reason is null")
     changes = cut(diff.changed_paths(_manifest(baseline["files"]), _manifest(listed)))
@@ -119,8 +119,15 @@ def refresh(run_id: str, baseline: Run, files: DataFrame, aliases: dict[str, str
     stale = cut(keys.select(F.element_at(F.split("path", incremental.BETWEEN), 1).alias("repository_id"), incremental.path_of(F.col("path")).alias("path")))
     found = cut(extract.extract(read.join(stale.withColumnRenamed("path", "relative_path"), ["repository_id", "relative_path"], "left_semi")))
     snapshots = files.groupBy("repository_id").agg(F.max("snapshot_id").alias("snapshot_id"))
-    merged = incremental.merge(baseline.tables, {"facts": extract.facts_of(found), "evidence": extract.evidence_of(found), "diagnostics": baseline["diagnostics"].limit(0)}, stale, snapshots)
-    facts = cut(architecture.resolve_facts(cut(merged["facts"]), read))
+    fresh = cut(extract.facts_of(found))
+    merged = incremental.merge(baseline.tables, {"facts": fresh.limit(0), "evidence": extract.evidence_of(found), "diagnostics": baseline["diagnostics"].limit(0)}, stale, snapshots)
+    left = baseline["evidence"].join(stale.withColumnRenamed("path", "relative_path"), ["repository_id", "relative_path"], "left_semi")
+    left = small_side(cut(left.select(F.col("id").alias("_e"))))
+    touched = small_side(cut(baseline["facts"].select("id", F.explode("evidence_ids").alias("_e")).join(left, "_e", "left_semi").select("id").distinct()))
+    gone = cut(baseline["facts"].join(touched, "id", "left_semi"))
+    moved = changes.filter("change <> 'modified'").select(F.element_at(F.split("path", incremental.BETWEEN), 1).alias("repository_id"), incremental.path_of(F.col("path")).alias("relative_path"))
+    told, _ = architecture.resolve_changes(cut(merged["facts"]), gone, fresh, read, moved)
+    facts = cut(told)
     return how, Run(run_id, baseline.tables | merged | inventoried | {"facts": facts} | _graph(run_id, facts, files.select("repository_id").distinct(), aliases, environment))
 
 
@@ -157,8 +164,14 @@ def ask(run: Run, category: str, **options) -> DataFrame:
     return query.query_facts(run["facts"], category, **options)
 
 
-def find(run: Run, question: str, **options) -> DataFrame:
-    return search.search_documents(run["chunks"], question, **options)
+def index(run: Run, root: str) -> text_index.Index:
+    """An index of a run's chunks on disk, for find()."""
+    return text_index.build(run["chunks"], root)
+
+
+def find(run: Run, question: str, index: text_index.Index | None = None, **options) -> DataFrame:
+    """The best chunks, by a scan, or by an index of them."""
+    return search.search_documents(run["chunks"], question, **options) if index is None else text_index.search(index, question, **options)[0]
 
 
 def compose(spark: SparkSession, facts: DataFrame, published: DataFrame, requested: DataFrame, aliases: dict[str, str] | None = None, environment: str | None = None) -> tuple[DataFrame, DataFrame]:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from functools import reduce
 
@@ -9,8 +10,8 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from ..functions import text as T
 from ..functions.ids import content_hash, field
-from ..operators import architecture, capability, chunks as C, context, contracts, diff, extract, graph, impact, incremental, inventory, publish, query, resolve, scope, search, summaries, traverse
-from ..sources.storage import cut
+from ..operators import architecture, capability, chunks as C, context, contracts, diff, extract, graph, impact, incremental, inventory, publish, query, resolve, scope, search, summaries, text_index, traverse
+from ..sources.storage import cut, shared_dir
 from . import answers, views as V
 from .views import FACTS_SQL, FILES_SQL, MOVES_SQL, PLACES_SQL
 
@@ -460,6 +461,19 @@ def document_search(spark, sf):
     return search.search_documents(V.chunks(spark, sf), SEARCHED, limit=500).select("id", "score")
 
 
+@register(f"""WITH {_SCORE} SELECT id, CAST(score AS INTEGER) AS score FROM s WHERE score > 0 ORDER BY score DESC, document_path, id LIMIT 100""")
+def indexed_search(spark, sf):
+    root = f"{shared_dir(spark)}/factloom/{spark.sparkContext.applicationId}/search-{uuid.uuid4().hex}"
+    return text_index.search(text_index.build(V.chunks(spark, sf), root, 8), SEARCHED, limit=500)[0].select("id", "score")
+
+
+@register("""WITH d AS (SELECT doc_id, lower(text) AS t FROM documents WHERE text IS NOT NULL), g AS (SELECT DISTINCT doc_id, unnest(list_transform(range(1, length(t) - 1), lambda i: t[i:i+2])) AS gram FROM d)
+SELECT gram, count(*) AS n FROM g GROUP BY gram""")
+def gram_counts(spark, sf):
+    each = V.table(spark, sf, "documents").select(F.explode(text_index.grams(F.lower("text"))).alias("gram"))
+    return each.groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
+
+
 @register(f"""WITH {FACTS_SQL}, p AS (SELECT DISTINCT method, path, 'handler' || (k % 4) AS handler FROM facts WHERE kind = 'http_endpoint' AND component_id = '7'),
 w AS (SELECT *, list_filter(string_split_regex(lower(method || ' ' || path), '[^a-z0-9]+'), lambda t: length(t) >= 2) AS pw FROM p), q AS (SELECT ['get', '42', 'handler2', 'handler'] AS terms),
 s AS (SELECT *, CAST(list_sum(list_transform(terms, lambda t: CASE WHEN list_contains(pw, t) THEN 8 WHEN handler = t THEN 3 WHEN length(t) >= 4 AND (starts_with(handler, t) OR starts_with(t, handler)) THEN 1 ELSE 0 END)) AS INTEGER) AS score FROM w, q)
@@ -690,6 +704,20 @@ def resolved_calls(spark, sf):
     return calls.select("component_id", *(field("value_json", n).alias(n) for n in ("source_path", "target_path", "resolution")))
 
 
+@register("""WITH d AS (SELECT source AS r, 'src/d' || doc_id || '.py' AS path, CASE WHEN doc_id % 11 = 0 THEN 'g' ELSE 'f' END || (doc_id % 500) AS name, 'f' || ((doc_id * 7) % 500) AS callee FROM documents), n AS (SELECT r, name, count(*) AS n, min(path) AS at FROM d GROUP BY 1, 2)
+SELECT d.r AS component_id, d.path AS source_path, CASE WHEN n.n = 1 THEN n.at END AS target_path, CASE WHEN n.n = 1 THEN 'supported' WHEN n.n > 1 THEN 'candidate' ELSE 'unresolved' END AS resolution FROM d LEFT JOIN n ON n.r = d.r AND n.name = d.callee""")
+def refreshed_calls(spark, sf):
+    d = F.col("doc_id")
+    text = lambda name: F.concat(F.lit("def "), name, (d % 500).cast("string"), F.lit("():\n    f"), (d * 7 % 500).cast("string"), F.lit("()\n"))
+    docs = V.table(spark, sf, "documents").select("doc_id", F.col("source").alias("repository_id"), F.lit("s").alias("snapshot_id"), F.concat(F.lit("src/d"), d.cast("string"), F.lit(".py")).alias("relative_path"))
+    rules, touched, path = {"source.symbol", "source.call"}, d % 11 == 0, field("value_json", "source_path")
+    read = lambda rows, name: cut(extract.facts_of(extract.extract(rows.withColumn("text", text(F.lit(name))), rules)))
+    base = cut(architecture.resolve_facts(read(docs, "f"), docs))
+    stale = F.regexp_extract(path, r"(\d+)[.]py$", 1).cast("long") % 11 == 0
+    told, _ = architecture.resolve_changes(cut(base.filter(~stale)), cut(base.filter(stale)), read(docs.filter(touched), "g"), docs, docs.select("repository_id", "relative_path").limit(0))
+    return told.filter("kind = 'symbol_call'").select("component_id", *(field("value_json", n).alias(n) for n in ("source_path", "target_path", "resolution")))
+
+
 @register("""SELECT event_id, '{"a":{"password":"[REDACTED]","list":["token=[REDACTED]","plain' || event_id || '"],"secret":"[REDACTED]"},"note":"call(x, password=[REDACTED]","n":' || event_id || '}' AS value_json FROM events""")
 def nested_redaction(spark, sf):
     from ..sources.ship import ship
