@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import contextlib
+import time
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions.ids import sha256
 from ..functions.text import has_secret
@@ -50,67 +51,175 @@ def unreferenced(stored: DataFrame, used: DataFrame, key: str = "digest") -> Dat
     return stored.join(used.select(key), key, "left_anti")
 
 
+POINTERS = "edition_id string, published_at timestamp, fence long"
+LEASE_SECONDS = 3600  # how long a publisher may give no sign of life
+
+
+def _name(number: int) -> str:
+    return f"{number:012d}"
+
+
+class Lease:
+    """The right to publish to a folder. Each has a number, one more than the one before; of those who make a number's file one
+    succeeds. The greatest number holds, until it is given back or `seconds` have passed since it was last renewed, by the clocks of the
+    file system and of who asks. A holder that was taken for dead finds a greater number when it checks."""
+
+    def __init__(self, spark: SparkSession, root: str, seconds: float = LEASE_SECONDS):
+        self.root, self._path = root, spark._jvm.org.apache.hadoop.fs.Path
+        self._folder = f"{root}/.leases"
+        self._system = self._path(self._folder).getFileSystem(spark._jsc.hadoopConfiguration())
+        try:
+            self._system.mkdirs(self._path(self._folder))
+        except Exception as e:
+            raise RuntimeError(f"{root} can't be locked") from e
+        there = self._there()
+        last = max((n for n in there if n.isdigit()), default=None)
+        if last and f"{last}.done" not in there and time.time() * 1000 - there[last] < seconds * 1000:
+            raise RuntimeError(f"{root} is being published to")
+        self.number = int(last or 0) + 1
+        if not self._make(_name(self.number)):
+            raise RuntimeError(f"{root} is being published to")
+        for name in there:
+            self._system.delete(self._path(f"{self._folder}/{name}"), False)
+
+    def _there(self) -> dict[str, int]:
+        return {s.getPath().getName(): s.getModificationTime() for s in self._system.listStatus(self._path(self._folder))}
+
+    def _make(self, name: str) -> bool:
+        try:
+            return self._system.createNewFile(self._path(f"{self._folder}/{name}"))
+        except Exception as e:
+            if name in self._there():
+                return False
+            raise RuntimeError(f"{self.root} can't be locked") from e
+
+    def check(self) -> None:
+        """Renews the lease, or fails if another one has taken over."""
+        if max(n for n in self._there() if n.isdigit()) != _name(self.number):
+            raise RuntimeError(f"another publisher has taken over {self.root}")
+        self._system.setTimes(self._path(f"{self._folder}/{_name(self.number)}"), int(time.time() * 1000), -1)
+
+    def give_back(self) -> None:
+        self._make(f"{_name(self.number)}.done")
+
+
 @contextlib.contextmanager
-def locked(spark, root: str):
-    """One publisher at a time: whoever makes the lock's file, which is made once or not at all, holds it."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(f"{root}/.publisher.lock")
-    system = path.getFileSystem(spark._jsc.hadoopConfiguration())
-    system.mkdirs(path.getParent())
-    try:
-        made = system.createNewFile(path)
-    except Exception as e:
-        raise RuntimeError(f"{root} can't be locked") from e
-    if not made:
-        raise RuntimeError(f"{root} is being published to")
+def locked(spark: SparkSession, root: str, seconds: float = LEASE_SECONDS):
+    """One publisher at a time."""
+    lease = Lease(spark, root, seconds)
     try:
-        yield
+        yield lease
     finally:
-        system.delete(path, False)
+        lease.give_back()
+
+
+class FolderTarget:
+    """Editions as tables in a folder. Another place to publish to is another class with these methods: staged files can be read back
+    and either become an edition as a whole or go; what is pointed to is the edition of the greatest fence, so a pointer that a
+    publisher writes after another one has taken over changes nothing."""
+
+    def __init__(self, spark: SparkSession, root: str, format: str = "parquet", seconds: float = LEASE_SECONDS):
+        self.spark, self.root, self.format, self.seconds = spark, root, format, seconds
+
+    def lease(self):
+        return locked(self.spark, self.root, self.seconds)
 
+    def _at(self, place: str):
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{place}")
+        return path.getFileSystem(self.spark._jsc.hadoopConfiguration()), path
 
-def publish(files: DataFrame, root: str, edition_id: str, keep: int | None = None) -> DataFrame:
-    """Write an edition's files as a table, read it again, and point to it once it is whole; of editions, the newest `keep` stay.
-    Returns its manifest. An edition that is there isn't written over."""
-    spark = files.sparkSession
+    def has(self, edition_id: str) -> bool:
+        system, path = self._at(f"editions/{edition_id}")
+        return system.exists(path)
+
+    def edition(self, edition_id: str) -> DataFrame:
+        return self.spark.read.format(self.format).load(f"{self.root}/editions/{edition_id}")
+
+    def stage(self, files: DataFrame, fence: int) -> DataFrame:
+        """Files that are no edition yet, as they are read back. What publishers before this one have left is removed."""
+        self.discard()
+        files.write.format(self.format).save(f"{self.root}/staging/{_name(fence)}")
+        return self.spark.read.format(self.format).schema(files.schema).load(f"{self.root}/staging/{_name(fence)}")
+
+    def promote(self, fence: int, edition_id: str) -> None:
+        """Staged files become an edition by one renaming."""
+        system, to = self._at(f"editions/{edition_id}")
+        system.mkdirs(to.getParent())
+        if system.exists(to) or not system.rename(self._at(f"staging/{_name(fence)}")[1], to):
+            raise IOError(f"edition {edition_id} can't be promoted")
+
+    def discard(self, fence: int | None = None) -> None:
+        system, path = self._at("staging" if fence is None else f"staging/{_name(fence)}")
+        system.delete(path, True)
+
+    def point_to(self, edition_id: str, fence: int) -> None:
+        row = self.spark.createDataFrame([(edition_id, fence)], "edition_id string, fence long").withColumn("published_at", F.current_timestamp())
+        row.select("edition_id", "published_at", "fence").coalesce(1).write.mode("append").parquet(f"{self.root}/pointers")
+
+    def published(self) -> DataFrame:
+        """(edition_id, published_at): when each edition was last pointed to, by fence first."""
+        rows = self.spark.read.schema(POINTERS).parquet(f"{self.root}/pointers")
+        return rows.groupBy("edition_id").agg(F.max(F.struct(F.coalesce("fence", F.lit(0)).alias("fence"), "published_at")).alias("published_at"))
+
+    def remove(self, edition_id: str) -> None:
+        system, path = self._at(f"editions/{edition_id}")
+        system.delete(path, True)
+
+
+def publish(files: DataFrame, root: str | FolderTarget, edition_id: str, keep: int | None = None) -> DataFrame:
+    """Stage an edition's files, read them again, make them an edition once they are whole, and point to it; of editions, the newest
+    `keep` stay. Returns its manifest. Files that fail leave nothing behind. An edition that is there isn't written over: the same files
+    are pointed to again, as after a publisher that was lost on its way, and others are an error."""
+    target = root if isinstance(root, FolderTarget) else FolderTarget(files.sparkSession, root)
     found = issues(files)
     if not found.isEmpty():
         raise ValueError(f"not publishable: {[tuple(r) for r in found.limit(5).collect()]}")
     own = files.withColumn("edition_id", F.lit(edition_id))
-    with locked(spark, root):
-        own.write.mode("error").parquet(f"{root}/editions/{edition_id}")
-        back = spark.read.parquet(f"{root}/editions/{edition_id}")
-        if not same_edition(manifest(own), manifest(back)):
-            raise IOError("the edition isn't what was written")
-        _point_to(spark, root, edition_id)
+    with target.lease() as lease:
+        if target.has(edition_id):
+            if not same_edition(manifest(own), manifest(target.edition(edition_id))):
+                raise ValueError(f"edition {edition_id} is there with other files")
+        else:
+            try:
+                back = target.stage(own, lease.number)
+                if not same_edition(manifest(own), manifest(back)):
+                    raise IOError("the edition isn't what was written")
+                lease.check()
+                target.promote(lease.number, edition_id)
+            except BaseException:
+                target.discard(lease.number)
+                raise
+        lease.check()
+        target.point_to(edition_id, lease.number)
         if keep is not None:
-            retain(spark, root, keep)
-    return manifest(back)
+            _retain(target, keep)
+    return manifest(target.edition(edition_id))
 
 
-def _point_to(spark, root: str, edition_id: str) -> None:
-    spark.createDataFrame([(edition_id,)], "edition_id string").withColumn("published_at", F.current_timestamp()).write.mode("append").parquet(f"{root}/pointers")
+def _retain(target: FolderTarget, keep: int) -> list[str]:
+    _, rest = pointers(target.published(), max(1, keep))
+    gone = sorted(r["edition_id"] for r in rest.select("edition_id").collect())
+    for edition in gone:
+        target.remove(edition)
+    return gone
 
 
-def retain(spark, root: str, keep: int) -> list[str]:
+def retain(spark: SparkSession, root: str, keep: int) -> list[str]:
     """Removes all editions but the newest `keep` that were published, and returns their ids (a folder each, so few). The one that
     is pointed to stays."""
-    published = spark.read.parquet(f"{root}/pointers").groupBy("edition_id").agg(F.max("published_at").alias("published_at"))
-    _, rest = pointers(published, max(1, keep))
-    gone = sorted(r["edition_id"] for r in rest.select("edition_id").collect())
-    for edition in gone:
-        folder = spark._jvm.org.apache.hadoop.fs.Path(f"{root}/editions/{edition}")
-        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
-    return gone
+    return _retain(FolderTarget(spark, root), keep)
 
 
-def current(spark, root: str) -> DataFrame:
+def current(spark: SparkSession, root: str | FolderTarget) -> DataFrame:
     """The files of the edition that was published last."""
-    row = spark.read.parquet(f"{root}/pointers").orderBy(F.desc("published_at"), F.desc("edition_id")).first()
-    return spark.read.parquet(f"{root}/editions/{row['edition_id']}")
+    target = root if isinstance(root, FolderTarget) else FolderTarget(spark, root)
+    newest, _ = pointers(target.published())
+    return target.edition(newest.first()["edition_id"])
 
 
-def restore(spark, root: str, edition_id: str) -> None:
+def restore(spark: SparkSession, root: str, edition_id: str) -> None:
     """Point to an edition that is still there."""
-    spark.read.parquet(f"{root}/editions/{edition_id}")
-    with locked(spark, root):
-        _point_to(spark, root, edition_id)
+    target = FolderTarget(spark, root)
+    target.edition(edition_id)
+    with target.lease() as lease:
+        target.point_to(edition_id, lease.number)
