@@ -159,12 +159,24 @@ def handler_symbol(endpoints: DataFrame, symbols: DataFrame, variables: DataFram
         asked = asked.join(types, ["component_id", "_receiver"], "left")
     classes = F.col("class_name") if "class_name" in symbols.columns else F.lit(None).cast("string")
     s = symbols.select("component_id", F.col("name").alias("_name"), "symbol_id", F.col("source_path").alias("_path"), classes.alias("_class"))
-    fits, other = F.col("_type").isNull() | F.coalesce(F.col("_class") == F.col("_type"), F.lit(False)), F.col("_path") != F.col("source_path")
-    found = asked.join(s, ["component_id", "_name"]).groupBy("id").agg(
-        F.count_if(fits).alias("_n"), F.min(F.when(fits, F.struct(other.alias("other"), F.col("symbol_id").alias("symbol_id")))).alias("_fit"), F.min(F.when(~other, F.col("symbol_id"))).alias("_near"),
-    )
-    chosen = F.when((F.col("_n") == 1) | ~F.col("_fit.other"), F.col("_fit.symbol_id")).otherwise(F.coalesce("_near", "_fit.symbol_id"))
-    return endpoints.join(found.select("id", chosen.alias("symbol_id")), "id", "left").select(*endpoints.columns, "symbol_id")
+    # symbols are reduced for each key that an endpoint may ask by, so that each endpoint meets one row, however many have a common name
+    blank = F.col("_path").isNull()
+    told = [F.count(F.lit(1)).alias("n"), F.min("symbol_id").alias("first"), F.min(F.when(blank, F.col("symbol_id"))).alias("blank")]
+    place, row = ["component_id", "_name"], F.struct("n", "first", "blank")
+    typed = {"_type": F.col("_class")}
+    every, by_class = s.groupBy(*place).agg(*told).select(*place, row.alias("_every")), s.withColumns(typed).groupBy(*place, "_type").agg(*told).select(*place, "_type", row.alias("_typed"))
+    near = s.withColumnRenamed("_path", "source_path").groupBy(*place, "source_path").agg(F.min("symbol_id").alias("_near"))
+    near_class = s.withColumnRenamed("_path", "source_path").withColumns(typed).groupBy(*place, "source_path", "_type").agg(F.min("symbol_id").alias("_near_typed"))
+    met = asked.join(every, place).join(near, [*place, "source_path"], "left")
+    if variables is None:
+        met = met.withColumns({"_fit": F.col("_every"), "_same": F.col("_near")})
+    else:
+        met = met.join(by_class, [*place, "_type"], "left").join(near_class, [*place, "source_path", "_type"], "left")
+        met = met.withColumns({"_fit": F.when(F.col("_type").isNull(), F.col("_every")).otherwise(F.col("_typed")), "_same": F.when(F.col("_type").isNull(), F.col("_near")).otherwise(F.col("_near_typed"))})
+    # a symbol without a path comes before those of other files
+    other = F.coalesce(F.when(F.col("source_path").isNotNull(), F.col("_fit.blank")), F.col("_fit.first"))
+    chosen = F.when(F.col("_fit.n") == 1, F.col("_fit.first")).when(F.col("_fit.blank").isNull() & F.col("_same").isNotNull(), F.col("_same")).otherwise(F.coalesce("_near", other))
+    return endpoints.join(met.groupBy("id").agg(F.min(chosen).alias("symbol_id")), "id", "left").select(*endpoints.columns, "symbol_id")
 
 
 # What a relative import may mean, in this order.

@@ -123,3 +123,26 @@ def test_a_chain_of_tasks_takes_few_rounds(spark, monkeypatch):
     assert not traverse.has_cycle(chain, small=500) and len(cuts) < 6 * 20
     assert traverse.has_cycle(chain.unionAll(spark.createDataFrame([(4_000, 0)], "from long, to long")))
     assert not traverse.has_cycle(chain)
+
+
+def test_one_handler_name_of_many_symbols(spark):
+    rng = random.Random(11)
+    pick = lambda *of: rng.choice(of)
+    symbols = [(pick("a", "b"), pick("save", "load"), f"s{i:03}", pick("x.ts", "y.ts", "z.ts", None), pick("Ctl", "Store", None)) for i in range(40)] + [("a", "one", "s900", "q.ts", "Ctl")]
+    ends = [(i, pick("a", "b", "c", None), pick("ctl.save(q)", "save", "load", "st.load(q)", "ctl.one()", "zz.save()", None), pick("x.ts", "y.ts", "w.ts", None)) for i in range(120)]
+    types = {"ctl": "Ctl", "st": "Nothing"}
+    of_ends, of_symbols = "id long, component_id string, handler string, source_path string", "component_id string, name string, symbol_id string, source_path string, class_name string"
+    variables = spark.createDataFrame([(c, *v) for c in "ab" for v in types.items()], "component_id string, variable string, type string")
+    got = {r["id"]: r["symbol_id"] for r in resolve.handler_symbol(spark.createDataFrame(ends, of_ends), spark.createDataFrame(symbols, of_symbols), variables).collect()}
+    for i, c, h, p in ends:
+        *receiver, name = (h or "").split("(")[0].split(".")
+        own = [s for s in symbols if c and s[0] == c and s[1] == name]
+        kind = types.get(receiver[-1]) if receiver else None
+        fits, near = [s for s in own if kind is None or s[4] == kind], min((s[2] for s in own if p and s[3] == p), default=None)
+        first = min(((bool(p and s[3]), bool(p and s[3] and s[3] != p), s[2]) for s in fits), default=None)
+        want = first and first[2] if len(fits) == 1 or first and first[:2] == (True, False) else near or first and first[2]
+        assert got[i] == want, (i, c, h, p)
+    many = spark.range(60_000).select("id", F.lit("c").alias("component_id"), F.lit("save").alias("handler"), F.concat(F.lit("f"), "id").alias("source_path"))
+    began = time.time()
+    found = resolve.handler_symbol(many, many.select("component_id", F.col("handler").alias("name"), F.format_string("s%06d", "id").alias("symbol_id"), "source_path"))
+    assert found.filter(F.col("symbol_id") == F.format_string("s%06d", "id")).count() == 60_000 and time.time() - began < 60
