@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from collections import Counter, defaultdict
+from collections.abc import Iterator
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window, functions as F
 
 from ..sources.storage import cut
@@ -103,20 +105,48 @@ def expand_context(links: DataFrame, chunks: DataFrame, seeds: DataFrame, depth:
 SMALL = 200_000
 
 
-def _peeled(edges: pd.DataFrame) -> pd.DataFrame:
-    """(graph, cyclic) of one graph: nodes without an edge into them are taken off as long as there are any."""
-    after, waits = defaultdict(list), Counter()
-    for a, b in zip(edges["from"], edges["to"], strict=True):
-        after[a].append(b)
-        waits[b] += 1
-    free, left = [n for n in after if not waits[n]], len(edges)
+def _peeled(before: np.ndarray, after: np.ndarray) -> np.ndarray:
+    """Which edges of a graph (numbers of nodes) are left when all that come from nowhere are taken off, as long as there are any."""
+    n = int(max(before.max(initial=-1), after.max(initial=-1))) + 1
+    waits = np.bincount(after, minlength=n)
+    order = np.argsort(before, kind="stable")
+    ways, starts = after[order].tolist(), np.searchsorted(before[order], np.arange(n + 1)).tolist()
+    free, left = np.flatnonzero(waits == 0).tolist(), waits.tolist()
     while free:
-        for n in after[free.pop()]:
-            left -= 1
-            waits[n] -= 1
-            if not waits[n]:
-                free.append(n)
-    return pd.DataFrame({"graph": edges["graph"].iloc[:1], "cyclic": [left > 0]})
+        at = free.pop()
+        left[at] = -1
+        for to in ways[starts[at] : starts[at + 1]]:
+            left[to] -= 1
+            if not left[to]:
+                free.append(to)
+    return np.array(left, np.int64)[before] >= 0
+
+
+def _peel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(graph, cyclic) of edges (graph, from, to) that come sorted by graph. All graphs that end in a batch are peeled at once, as one."""
+    wait: list[pa.RecordBatch] = []
+
+    def told(table: pa.Table) -> pa.RecordBatch:
+        graph, node = table.column("graph").combine_chunks(), pa.chunked_array([*table.column("from").chunks, *table.column("to").chunks])
+        first = np.append(True, pc.not_equal(graph[1:], graph[:-1]).to_numpy(zero_copy_only=False))
+        of = np.cumsum(first) - 1
+        codes = pc.dictionary_encode(node).combine_chunks().indices.to_numpy().astype(np.int64)
+        nodes = np.unique(np.concatenate([of, of]) * (codes.max() + 1) + codes, return_inverse=True)[1]
+        cyclic = np.bincount(of, _peeled(nodes[: len(of)], nodes[len(of) :]), minlength=of[-1] + 1) > 0
+        return pa.record_batch([graph.filter(pa.array(first)), pa.array(cyclic)], names=["graph", "cyclic"])
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        graph = batch.column("graph")
+        new = np.flatnonzero(pc.not_equal(graph, graph[batch.num_rows - 1]).to_numpy(zero_copy_only=False))
+        end = int(new[-1]) + 1 if len(new) else 0  # where the last graph begins, which may go on
+        if end or wait and wait[-1].column("graph")[0] != graph[0]:
+            yield told(pa.Table.from_batches([*wait, batch.slice(0, end)]))
+            wait = []
+        wait.append(batch.slice(end))
+    if wait:
+        yield told(pa.Table.from_batches(wait))
 
 
 def cyclic_graphs(edges: DataFrame, small: int = SMALL) -> DataFrame:
@@ -132,7 +162,8 @@ def cyclic_graphs(edges: DataFrame, small: int = SMALL) -> DataFrame:
     while True:
         size = cut(now.groupBy("graph").agg(F.count(F.lit(1)).alias("_n"), F.max(F.col("from") == F.col("to")).alias("_loop")))
         few = size.filter((F.col("_n") <= small) & ~F.col("_loop"))
-        some = now.join(few.select("graph"), "graph", "left_semi").groupBy("graph").applyInPandas(_peeled, schema)
+        both = ("graph", F.coalesce("from", "to").alias("from"), F.coalesce("to", "from").alias("to"))  # of one type
+        some = now.join(few.select("graph"), "graph", "left_semi").select(*both).repartition("graph").sortWithinPartitions("graph").mapInArrow(_peel, schema)
         some = some.unionByName(size.filter("_loop").select("graph", F.lit(True).alias("cyclic")))
         large = size.filter((F.col("_n") > small) & ~F.col("_loop"))
         if large.isEmpty():
