@@ -150,8 +150,9 @@ def test_one_handler_name_of_many_symbols(spark):
 
 def test_cycles_of_very_many_graphs(spark):
     n = 600_000
-    small = spark.range(n).select((F.col("id") + 2).alias("graph"), F.explode(F.array(F.struct(F.lit(1).alias("from"), F.lit(2).alias("to")), F.struct(F.lit(2), F.when(F.col("id") % 3 == 0, 1).otherwise(3)))).alias("e")).select("graph", "e.from", "e.to")
-    long = spark.range(30_000).select(F.explode(F.array(F.lit(0), F.lit(1))).cast("long").alias("graph"), F.col("id").cast("int").alias("from"), (F.col("id") + 1).cast("int").alias("to"))  # more than a batch holds
+    ends = lambda a, b: F.struct(F.lit(a).alias("from"), b.alias("to"))
+    small = spark.range(n).select((F.col("id") + 2).alias("graph"), F.explode(F.array(ends(1, F.lit(2)), ends(2, F.when(F.col("id") % 3 == 0, 1).otherwise(3)))).alias("e")).select("graph", "e.from", "e.to")
+    long = spark.range(30_000).select(F.explode(F.array(F.lit(0).cast("long"), F.lit(1).cast("long"))).alias("graph"), F.col("id").cast("int").alias("from"), (F.col("id") + 1).cast("int").alias("to"))  # more than a batch holds
     began = time.time()
     got = traverse.cyclic_graphs(small.unionAll(long).unionAll(spark.createDataFrame([(1, 30_000, 7)], "graph long, from int, to int")))
     wrong = got.filter(F.col("cyclic") != F.when(F.col("graph") < 2, F.col("graph") == 1).otherwise((F.col("graph") - 2) % 3 == 0))
