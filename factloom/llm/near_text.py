@@ -9,13 +9,17 @@ Equal sets are one node from the start. Candidates come from two sides, and are
   of near copies, at a cost that is linear in a group;
 * bits don't bound the similarity, so what they can't retrieve comes from prefixes: in any one order of all shingles, the first
   n - ceil(SIMILARITY * n) + 1 of a set of n hold one of the prefix of each set that is similar enough. No pair is lost. The order
-  puts shingles last that are frequent in a sample of texts; the sample decides only how many candidates there are.
+  puts shingles last that are frequent in a sample of texts; the sample decides only how many candidates there are. A pair is
+  compared at a key only if the key's places in both leave room for what they must share: sets of n and m share at least
+  ceil(SIMILARITY / (1 + SIMILARITY) * (n + m)) shingles, and the first that a similar pair shares has as many or more behind it,
+  itself included, in both. So texts that are alike only in what is common, behind too much of their own, are no candidates.
 
 Before sets are fetched, a pair is discarded if its signatures show that it can't be similar enough: a signature counts a set's
 shingles in BUCKETS buckets, and two sets share no more than the sum of the lesser counts. Only sets of pairs that are left travel.
 
 Pairs of a key with at most FEW nodes are verified all. In a larger one, nodes that are in one group already need no look; the others
-are first compared with some leaders, and then each pair that still lies in two groups is verified.
+are first compared with some leaders, and then each pair that still lies in two groups is verified, unless parities of bucket counts show
+that it differs in too much.
 
 Nulls: a null text is an empty one; rows with a null doc_id stay. Rows are told apart by their sets, not by doc_id. Empty
 table: no row. Other columns pass through.
@@ -25,10 +29,11 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from .common import discard, ship, small_side, text_of, unused, written
 from .components import components
@@ -40,6 +45,10 @@ FEW, LEADERS, ROUNDS, BUCKETS = 24, 8, 3, 512
 ORDERED, FREQUENT = 20_000, 3
 
 
+#: A shingle of a node's prefix: the size of the node's set, and how many come before it in the order.
+KEYED = ["key", "node", "size", "place"]
+
+
 def shingles(text: str, shingle: int = SHINGLE, seed: int = 42) -> np.ndarray:
     """The distinct hashes, ascending."""
     return np.unique(hashes_of(text, shingle, seed).view(np.int64))
@@ -68,6 +77,24 @@ def may_be_similar(a: list[bytes], b: list[bytes], similarity: float) -> np.ndar
     return unknown | (shared * (1 + similarity) >= both * similarity - 1e-6)
 
 
+#: Words of 64 bits that hold the parities of a signature's buckets.
+WORDS = [f"p{i}" for i in range(BUCKETS // 64)]
+
+
+def parities(signatures: DataFrame) -> DataFrame:
+    """(node, WORDS) of signatures (node, sig): a bit for each bucket, 1 for an odd count; null for an empty signature. What two sets
+    share changes both bits alike, so they differ in at least as many shingles as bits."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sigs = batch.column(1).to_pylist()
+            bits = np.frombuffer(b"".join(s or bytes(BUCKETS) for s in sigs), np.uint8).reshape(-1, BUCKETS) & 1
+            words, blank = np.packbits(bits, axis=1).view(np.int64), np.array([not s for s in sigs], bool)
+            yield pa.record_batch([batch.column(0), *(pa.array(words[:, i], mask=blank) for i in range(len(WORDS)))], names=["node", *WORDS])
+
+    return signatures.select("node", "sig").mapInArrow(run, ", ".join(["node long", *(f"{w} long" for w in WORDS)]))
+
+
 def prefix(own: np.ndarray, frequent: np.ndarray, count: np.ndarray, similarity: float) -> np.ndarray:
     """The first shingles of a set, as many as a similar set must share one of."""
     n = len(own)
@@ -100,7 +127,7 @@ def _frequent(rows: DataFrame, text: str, n: int, shingle: int) -> tuple[np.ndar
 
 
 def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows (key, node, size) sorted by key and node, each (key, node) once, of keys with several nodes."""
+    """Of rows (key, node, size, place) sorted by key and node, each (key, node) once, of keys with several nodes."""
     last, kept = None, False  # the last row so far, which waits for the next
     for batch in batches:
         rows = [c.to_numpy() for c in batch.columns]
@@ -112,10 +139,10 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = [c[new] for c in rows]
         same = rows[0][1:] == rows[0][:-1]
         keep = np.append(kept, same) | np.append(same, False)
-        yield pa.record_batch([pa.array(c[:-1][keep[:-1]]) for c in rows], names=["key", "node", "size"])
+        yield pa.record_batch([pa.array(c[:-1][keep[:-1]]) for c in rows], names=KEYED)
         last, kept = [c[-1:] for c in rows], bool(keep[-1])
     if kept:
-        yield pa.record_batch([pa.array(c) for c in last], names=["key", "node", "size"])
+        yield pa.record_batch([pa.array(c) for c in last], names=KEYED)
 
 
 def near_fingerprints(rows: DataFrame, radius: int = BITS) -> DataFrame:
@@ -138,10 +165,12 @@ def links(rows: DataFrame, text: str = "text", shingle: int = SHINGLE, similarit
             lens = [len(x) for x in own]
             node = np.repeat(batch.column(0).to_numpy(), lens)
             size = np.repeat(np.array([len(s) for s in sets], np.int32), lens)
-            yield pa.record_batch([pa.array(np.concatenate([np.zeros(0, np.int64), *own])), pa.array(node), pa.array(size)], names=["key", "node", "size"])
+            place = np.concatenate([np.zeros(0, np.int32), *(np.arange(x, dtype=np.int32) for x in lens)])
+            yield pa.record_batch([pa.array(np.concatenate([np.zeros(0, np.int64), *own])), pa.array(node), pa.array(size), pa.array(place)], names=KEYED)
 
-    dealt = rows.select("_node", text).mapInArrow(keyed, "key long, node long, size int").repartition("key").sortWithinPartitions("key", "node")
-    met = written(dealt.mapInArrow(_shared, "key long, node long, size int"), "shared")
+    schema = "key long, node long, size int, place int"
+    dealt = rows.select("_node", text).mapInArrow(keyed, schema).repartition("key").sortWithinPartitions("key", "node")
+    met = written(dealt.mapInArrow(_shared, schema), "shared")
     own = written(met.join(met.groupBy("key").agg(F.count(F.lit(1)).alias("n")), "key"), "shared")
     signatures = written(rows.select(F.col("_node").alias("node"), F.col("_sig").alias("sig")).dropDuplicates(["node"]), "signatures")
 
@@ -176,9 +205,11 @@ def links(rows: DataFrame, text: str = "text", shingle: int = SHINGLE, similarit
             discard(table)
         return found
 
-    sized = F.least("size", "to_size") >= F.greatest("size", "to_size") * F.lit(similarity) - 1e-6
+    room = F.least(F.col("size") - F.col("place"), F.col("to_size") - F.col("to_place"))
+    sized = (F.least("size", "to_size") >= F.greatest("size", "to_size") * F.lit(similarity) - 1e-6) & (room >= (F.col("size") + F.col("to_size")) * F.lit(similarity / (1 + similarity)) - 1e-6)
     small = own.filter(F.col("n") <= few)
-    other = small.select("key", F.col("node").alias("b"), F.col("size").alias("to_size"))
+    to = [F.col("size").alias("to_size"), F.col("place").alias("to_place")]
+    other = small.select("key", F.col("node").alias("b"), *to)
     found = verified(small.withColumnRenamed("node", "a").join(other, "key").filter("a < b").filter(sized).select("a", "b").unionByName(near))
     large = own.filter(F.col("n") > few)
     for turn in range(ROUNDS + 1):
@@ -192,11 +223,14 @@ def links(rows: DataFrame, text: str = "text", shingle: int = SHINGLE, similarit
         if turn < ROUNDS:
             draw = F.xxhash64("node", F.pmod("key", F.lit(LEADERS)), F.lit(turn))
             of = F.when(F.col("group") == F.col("main"), draw)  # a leader of the largest group
-            led = large.groupBy("key").agg(F.min_by(F.struct("node", "size"), of).alias("to")).select("key", F.col("to.node").alias("b"), F.col("to.size").alias("to_size"))
+            led = large.groupBy("key").agg(F.min_by(F.struct("node", "size", "place"), of).alias("to")).select("key", F.col("to.node").alias("b"), F.col("to.size").alias("to_size"), F.col("to.place").alias("to_place"))
             pairs = large.withColumnRenamed("node", "a").join(led, "key").filter(F.col("group") != F.col("main")).filter(sized)
         else:
-            apart = large.filter(F.col("group") != F.col("main")).select("key", F.col("node").alias("b"), F.col("size").alias("to_size"), F.col("group").alias("to_group"))
-            pairs = large.withColumnRenamed("node", "a").join(apart, "key").filter("group <> to_group and (a < b or group = main)").filter(sized)
+            large = written(large.join(parities(signatures), "node"), "large")
+            apart = large.filter(F.col("group") != F.col("main")).select("key", F.col("node").alias("b"), *to, F.col("group").alias("to_group"), *(F.col(w).alias(f"to_{w}") for w in WORDS))
+            differ = reduce(Column.__add__, (F.bit_count(F.col(w).bitwiseXOR(F.col(f"to_{w}"))) for w in WORDS))
+            close = differ <= (F.col("size") + F.col("to_size")) * F.lit((1 - similarity) / (1 + similarity)) + 1e-6
+            pairs = large.withColumnRenamed("node", "a").join(apart, "key").filter("group <> to_group and (a < b or group = main)").filter(sized & F.coalesce(close, F.lit(True)))
         found = written(found.unionByName(verified(pairs.select("a", "b"))), "similar")
         large = large.drop("main")
     return found

@@ -915,3 +915,15 @@ def test_rows_without_an_id_link_fingerprints(spark):
     got = simhash.near_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     key = lambda d, f, c: (d or 0, f % (1 << 64), c or 0)
     assert sorted(key(r["doc_id"], r["fp"], r["component_id"]) for r in got) == sorted(key(d, fps[i], ids.get(least[i])) for i, (d, _) in enumerate(rows))
+
+
+def test_texts_with_a_common_passage_are_few_candidates(spark, monkeypatch):
+    from factloom.llm import near_text
+
+    passage = " ".join(f"w{i}" for i in range(85))
+    rows = [(i, passage + " " + " ".join(f"own{i}x{k}" for k in range(15))) for i in range(300)]
+    rows += [(300 + i, rows[i][1] + " more") for i in range(40)]  # near copies of the first
+    seen, put = [], near_text.written
+    monkeypatch.setattr(near_text, "written", lambda df, name, *a, **k: [t := put(df, name, *a, **k), seen.append(t.count()) if name == "pairs" else None][0])
+    got = near_text.first_of_groups(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted(r["doc_id"] for r in got.collect()) == list(range(300)) and sum(seen) < 3_000
