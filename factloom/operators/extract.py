@@ -29,7 +29,7 @@ def _found(path: str, text: str, rule_ids: frozenset[str] | None) -> Iterator[tu
             for m in matches(rule, path, text):
                 yield rule.id, rule.kind, m.start(), m.end(), payload(rule, m)
     if rule_ids is None or rule_ids - {rule.id for rule in RULES}:  # a scan is asked for
-        for row in scan(path, text):
+        for row in scan(path, text, rule_ids):
             if rule_ids is None or row[0] in rule_ids:
                 yield row
 

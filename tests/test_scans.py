@@ -95,3 +95,19 @@ def test_a_long_file_takes_seconds():
     began = time.time()
     symbols, calls, _ = told("a.ts", "class A {\n" + "".join(f"  m{i}() {{ // don't\n    this.x.f{i}(g(h({i})));\n  }}\n" for i in range(20_000)) + "}\n")
     assert len(symbols) == 20_001 and len(calls) == 60_000 and time.time() - began < 30
+
+
+def test_a_file_is_blanked_once_and_heads_lose_none(monkeypatch):
+    import random
+
+    from factloom.functions import scans
+
+    seen, put = [], scans.blanked
+    monkeypatch.setattr(scans, "blanked", lambda *a: [seen.append(a), put(*a)][1])
+    code = "class A {\n/* " + "long (comment) " * 99 + " */ void f() { g(1); }\n}\n"
+    found = [r for r in scans.scan("A.java", code, {"source.call"}) if r[0] == "source.call"]
+    assert [r[4]["expression"] for r in found] == ["g"] and len(seen) == 1
+    rng = random.Random(2)
+    for _ in range(2_000):
+        text = "".join(rng.choice(["foo", "a.b", "(", ")", "<", ">", "T, ", " " * 40, "\n" * 35, ";", "{", "9", " "]) for _ in range(rng.randint(1, 25)))
+        assert [m.span() for m in scans.heads(text)] == [m.span() for m in scans._HEAD.finditer(text)], text
