@@ -9,6 +9,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from ..functions.text import join_route, simple_type
+from ..sources.storage import cut, small_side
 
 # Statuses of endpoints.
 WHOLE, COMPOSED, FRAGMENT = "ruta completa", "ruta compuesta estáticamente", "fragmento; montaje no resuelto"
@@ -159,6 +160,8 @@ def handler_symbol(endpoints: DataFrame, symbols: DataFrame, variables: DataFram
         asked = asked.join(types, ["component_id", "_receiver"], "left")
     classes = F.col("class_name") if "class_name" in symbols.columns else F.lit(None).cast("string")
     s = symbols.select("component_id", F.col("name").alias("_name"), "symbol_id", F.col("source_path").alias("_path"), classes.alias("_class"))
+    # symbols whose name no handler has aren't grouped
+    s = s.join(small_side(cut(asked.select("component_id", "_name").distinct())), ["component_id", "_name"], "left_semi")
     # symbols are reduced for each key that an endpoint may ask by, so that each endpoint meets one row, however many have a common name
     blank = F.col("_path").isNull()
     told = [F.count(F.lit(1)).alias("n"), F.min("symbol_id").alias("first"), F.min(F.when(blank, F.col("symbol_id"))).alias("blank")]

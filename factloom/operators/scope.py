@@ -4,33 +4,36 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..functions.ids import field
-
 # Names of test folders and test files.
 TEST_FOLDERS = ("test", "tests", "spec", "specs", "__tests__")
 TEST_FILES = r"(?:(?:^|\.)(?:test|spec)\.[^.]+$)|(?:^test_.*\.py$)|(?:_test\.py$)|(?:(?:test|tests|spec|it|itcase)\.(?:java|kt|kts|groovy|cs)$)"
 
 
 def is_test_path(path: Column) -> Column:
+    low = F.lower(path)
     parts = F.filter(F.split(F.lower(F.regexp_replace(F.regexp_replace(path, "\\\\", "/"), "^\\./", "")), "/"), lambda p: p != "")
     folder = F.exists(parts, lambda p: p.isin(*TEST_FOLDERS) | p.endswith(".tests"))
-    return F.coalesce(folder | F.coalesce(F.element_at(parts, -1), F.lit("")).rlike(TEST_FILES), F.lit(False))
+    # all names hold one of these, so that most paths aren't split
+    likely = F.contains(low, F.lit("test")) | F.contains(low, F.lit("spec")) | F.contains(low, F.lit("it.")) | F.contains(low, F.lit("itcase."))
+    return F.coalesce(likely & (folder | F.coalesce(F.element_at(parts, -1), F.lit("")).rlike(TEST_FILES)), F.lit(False))
 
 
-def is_test_fact(kind: str = "kind", value_json: str = "value_json") -> Column:
-    paths = [is_test_path(F.get_json_object(value_json, f"$.{n}")) for n in ("source_path", "path", "manifest")]
-    target = (F.col(kind) != "symbol_call") & is_test_path(field(value_json, "target_path"))
-    return F.coalesce(F.lower(field(value_json, "source_set")) == "test", F.lit(False)) | paths[0] | paths[1] | paths[2] | target
+#: What a fact says about where it is.
+_PLACES = ("source_set", "source_path", "path", "manifest", "target_path")
 
 
 def production_facts(facts: DataFrame) -> DataFrame:
-    """Facts outside of tests; a call into tests stays, without its target."""
-    into = (F.col("kind") == "symbol_call") & is_test_path(field("value_json", "target_path"))
+    """Facts outside of tests; a call into tests stays, without its target. A value is read once, by a generator, which filters that read
+    its columns aren't pushed below: a filter on the value would be computed anew for each field that it names."""
+    told = facts.select("*", F.json_tuple("value_json", *_PLACES).alias(*(f"_{n}" for n in _PLACES)))
+    call = F.col("kind") == "symbol_call"
+    inside = F.coalesce(F.lower("_source_set") == "test", F.lit(False)) | is_test_path(F.col("_source_path")) | is_test_path(F.col("_path")) | is_test_path(F.col("_manifest"))
     masked = F.to_json(F.map_concat(
         F.map_filter(F.from_json("value_json", "map<string,string>"), lambda k, v: ~k.isin("target_symbol_id", "target_class", "target_path", "resolution")),
         F.create_map(F.lit("resolution"), F.lit("unresolved")),
     ))
-    return facts.filter(~is_test_fact()).withColumn("value_json", F.when(into, masked).otherwise(F.col("value_json")))
+    kept = told.filter(~(inside | ~call & is_test_path(F.col("_target_path"))))
+    return kept.withColumn("value_json", F.when(call & is_test_path(F.col("_target_path")), masked).otherwise(F.col("value_json"))).drop(*(f"_{n}" for n in _PLACES))
 
 
 def graph_for_facts(nodes: DataFrame, edges: DataFrame, facts: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -9,7 +9,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window, functions as F
 
-from ..sources.storage import cut
+from ..sources.storage import cut, small_side
 
 # What is walked backwards too, and names of hubs that are walked on.
 BOTH_WAYS = ("contains_symbol", "implements", "implemented_by")
@@ -17,16 +17,19 @@ HUBS = r"(?:Port(?:In|Out)?|Repository|Mapper|Entity|UseCase|Handler)(?:\.|$)"
 HUB_DEGREE = 64
 
 
-def reach(edges: DataFrame, seeds: DataFrame, max_depth: int | None = None, max_nodes: int | None = None) -> DataFrame:
+def reach(edges: DataFrame, seeds: DataFrame, max_depth: int | None = None, max_nodes: int | None = None, known: DataFrame | None = None) -> DataFrame:
     """(node, depth): what is reached from seeds (node) along edges (from, to), with the fewest hops. Without a depth it goes
-    on to the fixpoint."""
-    hop = edges.select(F.col("from").alias("node"), F.col("to").alias("_to")).distinct()
+    on to the fixpoint. known (node): all others are left out. A short frontier is sent to the edges and to what is known, so that a
+    hop reads them and moves neither."""
+    hop = edges.select(F.col("from").alias("node"), F.col("to").alias("_to"))
+    within = lambda nodes: nodes if known is None else known.select("node").join(small_side(cut(nodes)), "node").distinct()
     # a hop adds a table of its own; only every sixteenth puts what there is together, so that plans stay short
-    seen = frontier = cut(seeds.select("node").distinct().withColumn("depth", F.lit(0)))
+    seen = frontier = cut(within(seeds.select("node").distinct()).withColumn("depth", F.lit(0)))
     depth = 0
     while max_depth is None or depth < max_depth:
         depth += 1
-        frontier = cut(hop.join(frontier.select("node"), "node").select(F.col("_to").alias("node")).distinct().join(seen.select("node"), "node", "left_anti").withColumn("depth", F.lit(depth)))
+        met = hop.join(small_side(frontier.select("node")), "node").select(F.col("_to").alias("node")).distinct().join(seen.select("node"), "node", "left_anti")
+        frontier = cut(within(met).withColumn("depth", F.lit(depth)))
         if frontier.isEmpty():
             break
         seen = seen.unionByName(frontier)
@@ -45,10 +48,9 @@ def invalidated(changed: DataFrame, imports: DataFrame) -> DataFrame:
 def endpoint_flow(calls: DataFrame, symbols: DataFrame, start: DataFrame, max_depth: int = 12, max_symbols: int = 80, max_calls: int = 160) -> tuple[DataFrame, DataFrame]:
     """Symbols and calls that are reached from start (node): calls (id, from, to, resolution), symbols (symbol_id, source_path).
     Breadth first; of one depth, the smaller ids first."""
-    known = symbols.select(F.col("symbol_id").alias("node")).distinct()
-    within = calls.join(known.withColumnRenamed("node", "to"), "to", "left_semi")
-    reached = reach(within, start.join(known, "node", "left_semi"), max_depth, max_symbols)
-    made = calls.join(reached.filter(F.col("depth") < max_depth).select(F.col("node").alias("from"), "depth"), "from").orderBy("depth", "from", "id").limit(max_calls)
+    known = symbols.select(F.col("symbol_id").alias("node"))
+    reached = cut(reach(calls, start, max_depth, max_symbols, known))
+    made = calls.join(small_side(reached.filter(F.col("depth") < max_depth).select(F.col("node").alias("from"), "depth")), "from").orderBy("depth", "from", "id").limit(max_calls)
     return reached, made
 
 

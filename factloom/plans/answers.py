@@ -49,19 +49,17 @@ def endpoints_of(facts: DataFrame) -> DataFrame:
 
 
 def symbols_of(facts: DataFrame) -> DataFrame:
-    value = F.col("value_json")
-    names = ("symbol_id", "name", "class_name", "symbol_type", "signature", "description", "source_path", "snippet")
-    own = facts.filter("kind = 'code_symbol'").select("component_id", "evidence_ids", *(field(value, n).alias(n) for n in names), *(field(value, n).cast("int").alias(n) for n in ("start_line", "end_line")))
+    names, numbers = ("symbol_id", "name", "class_name", "symbol_type", "signature", "description", "source_path", "snippet"), ("start_line", "end_line")
+    told = F.json_tuple("value_json", *names, *numbers).alias(*names, *numbers)  # a value is read once
+    own = facts.filter("kind = 'code_symbol'").select("component_id", "evidence_ids", told).withColumns({n: F.col(n).cast("int") for n in numbers})
     return own.filter("symbol_id is not null and name is not null")
 
 
 def calls_of(facts: DataFrame) -> DataFrame:
     """(id, component_id, from, to, and what the call says)."""
-    value = F.col("value_json")
     names = ("callee_name", "caller_name", "caller_class", "expression", "receiver", "target_path")
-    own = facts.filter("kind = 'symbol_call'").select(
-        "id", "component_id", field(value, "caller_symbol_id").alias("from"), field(value, "target_symbol_id").alias("to"), *(field(value, n).alias(n) for n in names), F.coalesce(field(value, "resolution"), F.lit("unresolved")).alias("resolution")
-    )
+    told = F.json_tuple("value_json", "caller_symbol_id", "target_symbol_id", *names, "resolution").alias("from", "to", *names, "resolution")
+    own = facts.filter("kind = 'symbol_call'").select("id", "component_id", told).withColumn("resolution", F.coalesce("resolution", F.lit("unresolved")))
     return own.filter("`from` is not null")
 
 
@@ -83,7 +81,7 @@ def explain_endpoint(facts: DataFrame, component: str, method: str, path: str, m
     endpoint = cut(resolve.handler_symbol(named, known, variables_of(own)))
     start = endpoint.filter("symbol_id is not null").select(F.col("symbol_id").alias("node"))
     reached, made = traverse.endpoint_flow(calls, known, start, max_depth, max_symbols, max_calls)
-    reached, made = cut(reached), cut(made)
+    made = cut(made)
     steps = cut(known.join(reached.withColumnRenamed("node", "symbol_id"), "symbol_id").drop("snippet", "evidence_ids"))
     value = F.col("value_json")
     placed = own.filter(F.col("kind").isin(*DATA_KINDS, "http_client_call")).withColumn("source_path", field(value, "source_path"))

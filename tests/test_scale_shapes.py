@@ -1,12 +1,13 @@
 """Shapes that grow: one hot prefix, one hot file name, one long file, dense graphs, long chains. Each against plain enumeration."""
 
+import json
 import random
 import time
 
 import pytest
 from pyspark.sql import functions as F
 
-from factloom.operators import graph, resolve, traverse
+from factloom.operators import graph, resolve, scope, traverse
 
 
 def test_many_paths_that_begin_alike(spark):
@@ -157,3 +158,28 @@ def test_cycles_of_very_many_graphs(spark):
     got = traverse.cyclic_graphs(small.unionAll(long).unionAll(spark.createDataFrame([(1, 30_000, 7)], "graph long, from int, to int")))
     wrong = got.filter(F.col("cyclic") != F.when(F.col("graph") < 2, F.col("graph") == 1).otherwise((F.col("graph") - 2) % 3 == 0))
     assert got.count() == n + 2 and wrong.count() == 0 and time.time() - began < 60
+
+
+def _plan(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_a_fact_value_is_computed_once(spark):
+    of = lambda kind: F.when(F.col("id") % 2 == 0, "symbol_call").otherwise(kind)
+    value = F.to_json(F.struct(F.concat(F.lit("costly"), "id").alias("path"), F.lit("T_tests\\\\it").alias("source_path"), F.when(F.col("id") % 4 == 0, "a/tests/b.ts").alias("target_path"), F.lit("s").alias("target_symbol_id")))
+    facts = spark.range(8).select("id", of("http_endpoint").alias("kind"), F.lit("c").alias("component_id"), value.alias("value_json"))
+    got = scope.production_facts(facts).filter("component_id = 'c' and kind <> 'x'")
+    assert _plan(got).count("costly") == 1
+    told = {r["id"]: json.loads(r["value_json"]) for r in got.collect()}
+    assert sorted(told) == list(range(8)) and told[0]["resolution"] == "unresolved" and "target_path" not in told[0] and told[2]["target_symbol_id"] == "s"
+    paths = spark.createDataFrame([(p,) for p in ("a/Tests/x", "x\\SPEC\\y", "./test/", "q.tests/a", "aIT.java", "b/fooTest.kt", "c_test.py", "x/latest/y", "git.py", "", None, "test_a.py/", "spec.ts")], "p string")
+    assert [r[0] for r in paths.select(scope.is_test_path(F.col("p"))).collect()] == [True, True, True, True, True, True, True, False, False, False, False, True, True]
+
+
+def test_a_hop_moves_neither_edges_nor_symbols(spark, monkeypatch):
+    plans, put, n = [], traverse.cut, 2_000_000
+    monkeypatch.setattr(traverse, "cut", lambda df: [plans.append(df._jdf.queryExecution().sparkPlan().toString()), put(df)][1])
+    calls = spark.range(n).select("id", F.col("id").alias("from"), F.explode(F.array(F.col("id") + 1, F.col("id") + n)).alias("to"), F.lit("supported").alias("resolution"))
+    reached, made = traverse.endpoint_flow(calls, spark.range(n).select(F.col("id").alias("symbol_id")), spark.createDataFrame([(n - 3,), (n,)], "node long"), max_depth=5)
+    assert sorted(map(tuple, reached.collect())) == [(n - 3, 0), (n - 2, 1), (n - 1, 2)] and made.count() == 6
+    assert plans and not any("SortMergeJoin" in p or "ShuffledHashJoin" in p for p in plans)
