@@ -14,6 +14,7 @@ from ..operators.query import of_component
 from ..sources.storage import cut
 from .engine import Run, prepare_context
 
+ENDPOINT_KINDS = ("http_endpoint", "http_endpoint_fragment", "http_route_mount", "module_dependency")  # what endpoints_of() reads
 DATA_KINDS = ("data_read", "data_write", "data_entity", "data_resource")
 # How what is missing or not certain is said.
 NO_ENDPOINT = "No existe un endpoint extraído que coincida exactamente con método y ruta."
@@ -134,7 +135,8 @@ def explain_service(facts: DataFrame, edges: DataFrame, component: str, symbols:
 
 def find_flows(facts: DataFrame, question: str, component: str, limit: int = 20) -> DataFrame:
     """Endpoints of a component by the words of a question, the best first."""
-    ends = endpoints_of(scope.production_facts(facts.filter(F.col("component_id") == component)))
+    own = facts.filter((F.col("component_id") == component) & F.col("kind").isin(*ENDPOINT_KINDS))
+    ends = endpoints_of(cut(scope.production_facts(own)))  # read once for endpoints, mounts and imports
     return search.find_flows(ends, question, component, limit).select("component_id", "method", "path", "handler", "source_path", "score")
 
 
