@@ -177,14 +177,37 @@ SECRETS = (
 )
 
 
+# Parts of secret names, one of which each of them holds.
+_NAME_PARTS = ("passw", "pwd", "secret", "token", "key", "authorization", "credential", "string")
+
+
+def _may_hold_secret(value: Column) -> Column:
+    """Whether a rule of SECRETS could match: what each needs, searched as plain text. False means that none does."""
+    has = lambda text, part: F.contains(text, F.lit(part))
+
+    def hints(low: Column) -> Column:
+        some = lambda *parts: reduce(Column.__or__, (has(low, p) for p in parts))
+        return some("-----begin", "bearer", "basic", "eyj") | (some("@") & some("://")) | (some(":", "=") & some(*_NAME_PARTS))
+
+    return (
+        let(F.lower(value), hints) | has(value, "AKIA") | has(value, "ASIA") | (has(value, "_") & value.rlike("gh[pousr]_"))
+        | value.rlike(SECRETS[7][0])  # the long word: its rule begins at words only
+    )
+
+
 def redact(value: Column) -> Column:
-    return reduce(lambda text, rule: F.regexp_replace(text, *rule), SECRETS, value)
+    """A text with marks for its secrets. One that can't hold any isn't given to the rules."""
+    return let(value, lambda x: F.when(_may_hold_secret(x), reduce(lambda text, rule: F.regexp_replace(text, *rule), SECRETS, x)).otherwise(x))
 
 
 def has_secret(value: Column) -> Column:
     """Whether a text still holds a secret. A mark that redact() has left is none."""
-    bare = F.regexp_replace(value, f"(?i)({_SECRET_NAMES})=\\[REDACTED\\]", "")
-    return bare.rlike("|".join(f"(?:{pattern})" for pattern, _ in SECRETS))  # one pass; a flag holds within its brackets
+
+    def found(x: Column) -> Column:
+        bare = F.regexp_replace(x, f"(?i)({_SECRET_NAMES})=\\[REDACTED\\]", "")
+        return _may_hold_secret(x) & bare.rlike("|".join(f"(?:{pattern})" for pattern, _ in SECRETS))  # one pass; a flag holds within its brackets
+
+    return let(value, found)
 
 
 def value_redactor() -> Callable[[Any], Any]:

@@ -183,3 +183,14 @@ def test_a_hop_moves_neither_edges_nor_symbols(spark, monkeypatch):
     reached, made = traverse.endpoint_flow(calls, spark.range(n).select(F.col("id").alias("symbol_id")), spark.createDataFrame([(n - 3,), (n,)], "node long"), max_depth=5)
     assert sorted(map(tuple, reached.collect())) == [(n - 3, 0), (n - 2, 1), (n - 1, 2)] and made.count() == 6
     assert plans and not any("SortMergeJoin" in p or "ShuffledHashJoin" in p for p in plans)
+
+
+def test_rules_see_no_text_without_hints(spark, monkeypatch):
+    from factloom.functions import text as T
+
+    rows = [("plain words, tokens and keys",), ("ToKen : x",), ("a http://u:p@h/ ASIA" + "A" * 16,), ("," + "b" * 52,), (None,)]
+    texts = spark.createDataFrame(rows, "t string")
+    assert [r[0] for r in texts.select(T.redact(F.col("t"))).collect()] == [rows[0][0], "ToKen=[REDACTED]", "a http://[REDACTED]@[REDACTED-HOST]/h/ [REDACTED ACCESS KEY]", ",[REDACTED]", None]
+    assert [r[0] for r in texts.select(T.has_secret(F.col("t"))).collect()] == [False, True, True, True, None]
+    monkeypatch.setattr(T, "SECRETS", (("(", ""), *T.SECRETS[1:]))  # a rule that can't be run
+    assert texts.limit(1).select(T.redact(F.col("t"))).first()[0] == rows[0][0]
