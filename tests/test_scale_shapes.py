@@ -194,3 +194,12 @@ def test_rules_see_no_text_without_hints(spark, monkeypatch):
     assert [r[0] for r in texts.select(T.has_secret(F.col("t"))).collect()] == [False, True, True, True, None]
     monkeypatch.setattr(T, "SECRETS", (("(", ""), *T.SECRETS[1:]))  # a rule that can't be run
     assert texts.limit(1).select(T.redact(F.col("t"))).first()[0] == rows[0][0]
+
+
+def test_a_trace_keeps_only_edges_between_its_ends(spark, monkeypatch):
+    sizes, put = [], graph.cut
+    monkeypatch.setattr(graph, "cut", lambda df: [t := put(df), sizes.append(t.count())][0])
+    way = spark.createDataFrame([("a", "a", "b"), ("a", "a", "b"), ("b", "b", "c"), ("c", "c", "z")], "id string, from string, to string")
+    into = spark.range(20_000).select(F.concat(F.lit("x"), "id").alias("id"), F.concat(F.lit("n"), "id").alias("from"), F.lit("b").alias("to"))
+    got = graph.trace_flow(way.unionAll(into).withColumn("status", F.lit("supported")), "a", "z", max_depth=4)
+    assert [tuple(r) for r in got.select("depth", F.array_join("edge_ids", "")).collect()] == [(3, "abc")] and max(sizes) < 100
