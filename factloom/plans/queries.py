@@ -470,8 +470,7 @@ def indexed_search(spark, sf):
 @register("""WITH d AS (SELECT doc_id, lower(text) AS t FROM documents WHERE text IS NOT NULL), g AS (SELECT DISTINCT doc_id, unnest(list_transform(range(1, length(t) - 1), lambda i: t[i:i+2])) AS gram FROM d)
 SELECT gram, count(*) AS n FROM g GROUP BY gram""")
 def gram_counts(spark, sf):
-    each = V.table(spark, sf, "documents").select(F.explode(text_index.grams(F.lower("text"))).alias("gram"))
-    return each.groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
+    return text_index.gram_counts(V.table(spark, sf, "documents").select(F.lower("text").alias("text")), "text")
 
 
 @register(f"""WITH {FACTS_SQL}, p AS (SELECT DISTINCT method, path, 'handler' || (k % 4) AS handler FROM facts WHERE kind = 'http_endpoint' AND component_id = '7'),

@@ -59,3 +59,30 @@ def test_torn_and_foreign_indexes_are_refused(spark, chunks, tmp_path):
     newest.write.mode("append").parquet(f"{root}/manifest")
     with pytest.raises(ValueError, match="layout 9"):
         text_index.load(spark, root)
+
+
+def test_postings_grow_by_block_and_not_by_chunk(index, chunks):
+    """A gram has one row for each block of texts that holds it; what it counts are chunks."""
+    n = {r["gram"]: r["n"] for r in index.grams.collect()}
+    assert index.postings.count() < sum(n.values()) / 5
+    texts = [f"{r['meta']}\n{r['body']}" for r in chunks.select(search.document_texts().alias("t")).select("t.*").na.fill("").collect()]
+    for gram in ("the", "typ", "/ap", "😀 e"):
+        assert n[gram] == sum(gram in t for t in texts)
+
+
+@pytest.mark.parametrize("block", (1, 7, 1 << 22))
+def test_grams_of_blocks(spark, block, monkeypatch):
+    monkeypatch.setattr(text_index, "BLOCK", block)
+    wide = ["".join(map(chr, range(0x4E00 + 700 * i, 0x4E00 + 700 * i + 900))) + "😀😀😀😀" + "".join(map(chr, range(0x20000 + 40_000 * (i % 2), 0x20000 + 40_000 * (i % 2) + 40_000))) for i in range(4)] + ["abcd"] * 5000  # numbers of 17 bits a character and 13 a text don't fit: halved
+    for texts in (["", "ab", "abc", "abcabcab", "aaaa", "x😀y😀", "", "ñandú"], ["abababab"], [""], *([wide] if block > 7 else [])):
+        got = {}
+        for start, end in text_index._blocks(texts, text_index.np.zeros(len(texts), "int64")):
+            for names, ends, places in text_index.block_grams(texts[start:end]):
+                for i, name in enumerate(names):
+                    got.setdefault(name, []).extend((places[ends[i]:ends[i + 1]] + start).tolist())
+        assert got == {g: [i for i, t in enumerate(texts) if g in t] for g in {g for t in texts for g in text_index.grams(t)}} if texts is not wide else {g: v for g, v in got.items() if v != sorted(set(v))} == {}
+        if texts is wide:
+            assert sum(map(len, got.values())) == sum(len(text_index.grams(t)) for t in texts)
+    if block > 7:
+        counted = text_index.gram_counts(spark.createDataFrame([("a😀b😀b",), ("😀b😀",), (None,)], "text string"), "text")
+        assert {r["gram"]: r["n"] for r in counted.collect()} == {"a😀b": 1, "😀b😀": 2, "b😀b": 1}
