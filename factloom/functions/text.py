@@ -215,15 +215,34 @@ def value_redactor() -> Callable[[Any], Any]:
     name = re.compile(_SECRET_NAMES, re.IGNORECASE | re.ASCII)
     rules = [(re.compile(pattern, re.ASCII), re.sub(r"\$(\d)", r"\\\1", mark)) for pattern, mark in SECRETS]
 
+    def redacted(value: str) -> str:
+        for pattern, mark in rules:
+            value = pattern.sub(mark, value)
+        return value
+
+    known: dict[str, str] = {}  # short strings of late: names and paths come again in a file's facts
+    secret: dict[str, bool] = {}
+
+    def is_secret(key: str) -> bool:
+        if (told := secret.get(key)) is None:
+            if len(secret) >= 10_000:
+                secret.clear()
+            told = secret[key] = name.search(key) is not None
+        return told
+
     def walk(value: Any) -> Any:
         if isinstance(value, str):
-            for pattern, mark in rules:
-                value = pattern.sub(mark, value)
-            return value
+            if len(value) > 200:
+                return redacted(value)
+            if (told := known.get(value)) is None:
+                if len(known) >= 10_000:
+                    known.clear()
+                told = known[value] = redacted(value)
+            return told
         if isinstance(value, list):
             return [walk(x) for x in value]
         if isinstance(value, dict):
-            return {k: "[REDACTED]" if name.search(k) else walk(x) for k, x in value.items()}
+            return {k: "[REDACTED]" if is_secret(k) else walk(x) for k, x in value.items()}
         return value
 
     return walk

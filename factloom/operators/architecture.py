@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.ids import canonical_json, field, stable_id
-from ..functions.text import simple_type
+from ..functions.text import let, simple_type
 from ..sources.storage import cut, small_side
 from .resolve import bind_arguments, resolve_calls
 
@@ -43,20 +43,28 @@ def _none() -> Column:
 
 def path_metadata(path: Column) -> Column:
     """source_set, build_module, package and port_direction."""
-    parts = F.split(path, "/")
-    places = F.sequence(F.lit(0), F.size(parts) - 1)
-    # the first place that holds what is looked for, or -1
-    first = lambda test: F.coalesce(F.get(F.filter(places, test), F.lit(0)), F.lit(-1))
-    at = lambda i: F.coalesce(F.get(parts, i), F.lit(""))
-    root = first(lambda i: (at(i) == "src") & at(i + 1).isin("main", "test"))
-    java = first(lambda i: (at(i) == "java") & (i > root))
-    port = first(lambda i: F.lower(at(i)) == "port")
-    return F.struct(
-        F.when(root >= 0, at(root + 1)).when(path.rlike(TEST_FOLDER), "test").otherwise("root").alias("source_set"),
-        F.when(root > 0, F.array_join(F.slice(parts, 1, root), "/")).otherwise(".").alias("build_module"),
-        F.when((java >= 0) & (F.size(parts) > java + 2), F.array_join(F.slice(parts, java + 2, F.size(parts) - java - 2), ".")).alias("package"),
-        F.when((port >= 0) & at(port + 1).isin("in", "out"), at(port + 1)).alias("port_direction"),
-    )
+    at = lambda parts, i: F.coalesce(F.get(parts, i), F.lit(""))
+
+    def first(parts: Column, test) -> Column:
+        """The first place that holds what is looked for, or -1."""
+        return F.coalesce(F.get(F.filter(F.sequence(F.lit(0), F.size(parts) - 1), test), F.lit(0)), F.lit(-1))
+
+    def places(parts: Column) -> Column:
+        port = first(parts, lambda i: F.lower(at(parts, i)) == "port")
+        return let(first(parts, lambda i: (at(parts, i) == "src") & at(parts, i + 1).isin("main", "test")), lambda root: F.struct(
+            parts.alias("parts"), root.alias("root"), first(parts, lambda i: (at(parts, i) == "java") & (i > root)).alias("java"), port.alias("port")))
+
+    def told(p: Column) -> Column:
+        parts, root, java, port = p["parts"], p["root"], p["java"], p["port"]
+        return F.struct(
+            F.when(root >= 0, at(parts, root + 1)).when(path.rlike(TEST_FOLDER), "test").otherwise("root").alias("source_set"),
+            F.when(root > 0, F.array_join(F.slice(parts, 1, root), "/")).otherwise(".").alias("build_module"),
+            F.when((java >= 0) & (F.size(parts) > java + 2), F.array_join(F.slice(parts, java + 2, F.size(parts) - java - 2), ".")).alias("package"),
+            F.when((port >= 0) & at(parts, port + 1).isin("in", "out"), at(parts, port + 1)).alias("port_direction"),
+        )
+
+    # bound, as all of it would be computed anew for each folder and field
+    return let(let(F.split(path, "/"), places), told)
 
 
 def file_kind(path: Column) -> Column:
@@ -78,16 +86,23 @@ def layer(path: Column) -> Column:
 
 def role(path: Column) -> Column:
     """A port with its direction, else the first of the roles that is a folder's name."""
-    parts = F.split(F.lower(path), "/")
-    place = F.array_position(parts, F.lit("port")).cast("int")
-    direction = F.get(parts, place)  # places count from 1, so this is the folder behind it
-    found = F.get(F.filter(F.array(*map(F.lit, ROLES)), lambda r: F.array_contains(parts, r)), F.lit(0))
-    return F.when((place > 0) & direction.isin("in", "out"), F.concat(F.lit("port-"), direction)).otherwise(F.coalesce(F.regexp_replace(found, "s$", ""), F.lit("module")))
+
+    def told(parts: Column) -> Column:
+        place = F.array_position(parts, F.lit("port")).cast("int")
+        direction = F.get(parts, place)  # places count from 1, so this is the folder behind it
+        found = F.get(F.filter(F.array(*map(F.lit, ROLES)), lambda r: F.array_contains(parts, r)), F.lit(0))
+        return F.when((place > 0) & direction.isin("in", "out"), F.concat(F.lit("port-"), direction)).otherwise(F.coalesce(F.regexp_replace(found, "s$", ""), F.lit("module")))
+
+    return let(F.split(F.lower(path), "/"), told)
 
 
 def describe(kind: Column, name: Column, calls: Column) -> Column:
     """A symbol in words, from its name and what it calls (a class: its methods)."""
     words = F.lower(F.regexp_replace(F.regexp_replace(name, "([a-z0-9])([A-Z])", "$1 $2"), "[_-]+", " "))
+    return let(words, lambda w: _described(kind, w, calls))
+
+
+def _described(kind: Column, words: Column, calls: Column) -> Column:
     verb = F.when(kind == "class", "Agrupa la responsabilidad").when(kind == "method", "Ejecuta la operación").otherwise("Implementa")
     for pattern, text in reversed(VERBS):
         verb = F.when(words.rlike(f"^(?:{pattern})(?![a-z0-9_])"), text).otherwise(verb)
@@ -107,13 +122,13 @@ def with_metadata(found: DataFrame) -> DataFrame:
     meta = path_metadata(path)
     names = ("source_set", "build_module", "package", "port_direction")
     calls = F.coalesce(F.from_json(F.coalesce(F.get_json_object(value, "$.members"), F.get_json_object(value, "$.calls")), "array<string>"), F.array().cast("array<string>"))
-    more = F.struct(
-        *(meta[n].alias(n) for n in names), F.when(kind == "repository_file", file_kind(path)).alias("kind"), F.when(kind == "source_module", source_language(path)).alias("language"),
+    more = lambda m: F.struct(
+        *(m[n].alias(n) for n in names), F.when(kind == "repository_file", file_kind(path)).alias("kind"), F.when(kind == "source_module", source_language(path)).alias("language"),
         *(F.when(kind != "repository_file", f(path)).alias(n) for n, f in (("layer", layer), ("role", role))),
         F.when(kind == "code_symbol", describe(field(value, "symbol_type"), field(value, "name"), calls)).alias("description"),
     )
     merged = F.concat(F.regexp_replace(value, r"\}\s*$", ""), F.lit(","), F.expr("substring(_more, 2)"))
-    told = found.withColumn("_more", F.when(kind.isin("repository_file", "source_module", "code_symbol"), F.to_json(more)))
+    told = found.withColumn("_more", F.when(kind.isin("repository_file", "source_module", "code_symbol"), F.to_json(let(meta, more))))
     return told.withColumn("value_json", F.when(F.col("_more").isNotNull(), merged).otherwise(value)).drop("_more")
 
 

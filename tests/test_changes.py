@@ -75,3 +75,15 @@ def test_nothing_in_common(spark, base):
     assert told(alone) == told(unresolved) and n.agg(F.sum("n")).first()[0] > 0
     kept, n = architecture.resolve_changes(facts, none, none, files, nowhere)
     assert told(kept) == told(facts) and n.count() == 0
+
+
+def test_parts_of_a_path_are_made_once(spark):
+    """Not for each folder, field and role; nor a symbol's words for each verb."""
+    own = spark.createDataFrame([("mod/src/main/java/com/acme/port/in/A.java", "findUserById")], "path string, name string")
+    none = F.array().cast("array<string>")
+    told = {"split(": architecture.path_metadata(F.col("path")), "split(lower(": architecture.role(F.col("path")), "lower(regexp_replace(": architecture.describe(F.lit("method"), F.col("name"), none)}
+    for part, column in told.items():
+        plan = own.select(column.alias("x"))._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count(part) == 1, plan
+    row = own.select(architecture.path_metadata(F.col("path")).alias("m"), told["split(lower("].alias("role")).first()
+    assert tuple(row["m"]) == ("main", "mod", "com.acme.port.in", "in") and row["role"] == "port-in"
