@@ -4,10 +4,12 @@ import json
 import random
 import time
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
 from factloom.operators import graph, resolve, scope, traverse
+from factloom.plans.queries import ORACLE_SQL, QUERIES
 
 
 def test_many_paths_that_begin_alike(spark):
@@ -203,3 +205,40 @@ def test_a_trace_keeps_only_edges_between_its_ends(spark, monkeypatch):
     into = spark.range(20_000).select(F.concat(F.lit("x"), "id").alias("id"), F.concat(F.lit("n"), "id").alias("from"), F.lit("b").alias("to"))
     got = graph.trace_flow(way.unionAll(into).withColumn("status", F.lit("supported")), "a", "z", max_depth=4)
     assert [tuple(r) for r in got.select("depth", F.array_join("edge_ids", "")).collect()] == [(3, "abc")] and max(sizes) < 100
+
+
+@pytest.mark.parametrize("seed, n, m, depth, most, width", [(1, 7, 20, 5, 20, None), (2, 9, 22, 6, 3, 3)])
+def test_first_paths_of_many_ends_against_all_paths(spark, seed, n, m, depth, most, width):
+    rng = random.Random(seed)
+    edges = [(f"e{i:03}", f"n{rng.randrange(n)}", f"n{rng.randrange(n)}", rng.choice(["supported", "candidate", "unresolved"])) for i in range(m)]
+    edges += [(f"d{i:03}", f"x{rng.randrange(3)}", f"n{rng.randrange(n)}", "supported") for i in range(8)]
+    sources, targets = ["x0", "x1", "x2", "n0", "n1", "away"], ["n0", "n3", "n4", "away"]
+    table = lambda names: spark.createDataFrame([(x,) for x in names], "node string")
+    got = graph.trace_flows(spark.createDataFrame(edges + edges[:5], "id string, from string, to string, status string"), table(sources), table(targets), depth, most, width).collect()
+    said = {e: s for e, _, _, s in edges}
+    for a in sources:
+        for b in targets:
+            own = [r for r in got if (r["source"], r["target"]) == (a, b)]
+            assert sorted((r["depth"], r["edge_ids"]) for r in own) == (simple_paths(edges, a, b, depth)[:most] if a != b else []), (a, b)
+            for r in own:
+                assert r["nodes"][0] == a and r["nodes"][-1] == b and r["status"] == max((said[e] for e in r["edge_ids"]), key=graph.STATUSES.index)
+
+
+def test_all_orders_are_traced_to_all_regions(spark, tmp_path):
+    lines = [(1, 1, 1), (1, 2, 2), (2, 2, 2), (3, 1, 3), (4, 3, 3), (5, 3, 4), (6, 4, 5), (7, 5, 4), (8, 5, 1), (8, 5, 1), (9, None, 1), (None, 2, 4), (10, 6, 9), (11, 7, None)]
+    places = [(1, 1), (2, 2), (3, 3), (4, 1), (5, 4), (6, 2)]
+    nations = [(1, 0), (2, 1), (3, 1), (4, 2), (5, 3)]
+    for name, rows, schema in (("lineitem", lines, "l_orderkey long, l_partkey long, l_suppkey long"), ("supplier", places, "s_suppkey long, s_nationkey long"), ("nation", nations, "n_nationkey long, n_regionkey long")):
+        spark.createDataFrame(rows, schema).coalesce(1).write.parquet(f"{tmp_path}/{name}.parquet")
+    pairs = {(f"o{o}", f"p{p}") for o, p, _ in lines if o and p}
+    for _, p, s in lines:
+        pairs |= {(f"p{p}", f"s{s}"), (f"s{s}", f"p{p}")} if p and s else set()
+    pairs |= {(f"s{s}", f"n{n}") for s, n in places} | {(f"n{n}", f"r{r}") for n, r in nations}
+    edges = [(f"{a}>{b}", a, b, "supported") for a, b in pairs]
+    want = sorted((d, "|".join(ids)) for o in {a for a, _ in pairs if a[0] == "o"} for r in range(4) for d, ids in simple_paths(edges, o, f"r{r}", 12)[:20])
+    assert {d for d, _ in want} == {4, 6, 8, 10}
+    assert sorted(map(tuple, QUERIES["flow_trace_of_orders"](spark, str(tmp_path)).select("depth", "edge_ids").collect())) == want
+    duck = duckdb.connect()
+    for name in ("lineitem", "supplier", "nation"):
+        duck.execute(f"CREATE VIEW {name} AS SELECT * FROM read_parquet('{tmp_path}/{name}.parquet/*.parquet')")
+    assert sorted((d, ids) for d, _, ids, _ in duck.execute(ORACLE_SQL["flow_trace_of_orders"]).fetchall()) == want
